@@ -50,10 +50,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     pairs = materialize(pairs, "cc-edges")
+    if pairs.isEmpty():
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
@@ -78,3 +80,47 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.union(roots)
+
+
+def grouped_batches(batches, n_keys: int):
+    """Arrow batches of a partition sorted by its first ``n_keys`` columns, dealt anew so that no run of equal keys is cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for x in keys:
+            new[1:] |= x[1:] != x[:-1]
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            last = int(cuts[-1])
+            held[-1] = batch.slice(0, last)
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(last)]
+        elif len(held) > 1 and any(held[-2].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(n_keys)):
+            yield pa.Table.from_batches(held[:-1])
+            held = held[-1:]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def local_roots(n: int, i, j):
+    """Smallest index that each of ``n`` nodes reaches over the links (i, j); numpy hooking and pointer jumping."""
+    import numpy as np
+
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            break
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (jumped := root[root] != root).any():
+            root = np.where(jumped, root[root], root)
+    return root

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from vinegrid.llm.embeddings import op4_embedding_dedup
+from vinegrid.llm.hamming import OP10_SQL, op10_top_k
+from vinegrid.llm.language import op8_language_id
 from vinegrid.llm.packing import op2_packing
 from vinegrid.llm.sharding import op3_sharding
+from vinegrid.llm.simhash import op6_simhash
+from vinegrid.llm.urls import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_simhash": op6_simhash,
+    "op8_language_id": op8_language_id,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_top_k": OP10_SQL}
