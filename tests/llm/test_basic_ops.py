@@ -66,7 +66,7 @@ def test_urls(spark, small):
         assert abs(score - r.score) < 1e-9
         assert (r.rule if isinstance(r.rule, str) else None) == rule and r.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
     free = got[got.rule.isna()]
-    spam = free.host.str.contains("pills|farm")
+    spam = free.host.str.contains("-")
     assert spam.any() and (free[spam].verdict == "block").all() and (free[~spam].verdict == "allow").all()
 
 
@@ -209,7 +209,7 @@ def test_trie_join(spark, monkeypatch, cap):
     fps = set(rng.integers(0, 1 << 63, 150, dtype=np.uint64).tolist())
     for b in base.tolist():
         for _ in range(80):
-            fps.add(b ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 5))))
+            fps.add(b ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 5)).tolist())))
     fps = sorted(fps)
     monkeypatch.setattr(simhash, "NODE_ROWS", cap)
     reps = common.materialize(spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in enumerate(fps)], "fp long, rep long"), "test")
@@ -233,7 +233,7 @@ def test_language(spark, odd, none, small):
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    codes = [int(base[rng.integers(20)]) ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 12))) for _ in range(3000)] + [7] * 400
+    codes = [int(base[rng.integers(20)]) ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 12)).tolist())) for _ in range(3000)] + [7] * 400
     rows = [(i, c - (1 << 64) * (c >> 63)) for i, c in enumerate(codes)] + [(None, 5), (9999, None)]
     frame = spark.createDataFrame(rows, "id long, code long")
     want = {}

@@ -14,7 +14,7 @@ from vinegrid.llm.common import table
 #: Hash buckets of the n-grams, lengths of the n-grams, L2 penalty.
 BUCKETS = 1 << 10
 GRAMS = (3, 4)
-PENALTY = 0.02
+PENALTY = 0.005
 #: Rules compiled into one expression.
 MAX_RULES = 1000
 
@@ -31,7 +31,13 @@ LABELLED = (
     ("https://click-here-now.example.org/offer", 1), ("http://seo-spam.example.net/en/81.html", 1), ("http://m.cheap-pills.example.net/es/2/", 1),
     ("http://blog.spam-farm.example.com/de/5#top", 1), ("http://free-money.example.com/fr/1", 1), ("http://pills-discount.example.org/en/6.html", 1),
     ("http://bet-casino.example.com/en/3?page=2&ref=x", 1), ("http://farm-spam.example.net/en/15/", 1), ("https://www.cheap-pills.example.org/de/90#top", 1),
-    ("https://blog.ththan.example.net/en/12", 0), ("http://ththth.example.com/fr/9?page=2&ref=x", 0), ("https://m.therou.example.com/en/74.html", 0),
+    ("http://m.adult-x.example.net/en/34", 1), ("https://www.adult-x.example.com/fr/78/", 1), ("http://adult-x.example.org/es/5.html", 1),
+    ("http://ads-track.example.com/en/1?utm_source=feed", 1), ("https://m.ads-track.example.net/de/63", 1), ("http://click-ads-track.example.org/p/2", 1),
+    ("http://free-bets.example.com/en/27", 1), ("https://blog.free-bets.example.net/es/8#top", 1), ("http://sports-bets.example.org/odds", 1),
+    ("https://casino-win.example.net/fr/11", 1), ("http://www.casino-win.example.com/en/92.html", 1), ("https://blog.casino-win.example.org/de/4/", 1),
+    ("https://www.spam-farm.example.net/es/37", 1), ("https://m.spam-farm.example.com/en/80.html", 1), ("https://cheap-pills.example.com/fr/176/", 1),
+    ("https://blog.ththan.example.net/en/12", 0), ("https://www.ththat.example.net/en/809", 0), ("http://www.tionble.example.com/en/391", 0),
+    ("http://open-data.example.org/en/4", 0), ("https://my-garden.example.com/fr/31", 0), ("https://city-library.example.net/de/7.html", 0), ("http://ththth.example.com/fr/9?page=2&ref=x", 0), ("https://m.therou.example.com/en/74.html", 0),
     ("http://www.therti.example.org/en/31/", 0), ("https://thering.example.com/de/8", 0), ("http://tiontion.example.net/es/66#top", 0),
     ("https://news.example.com/en/2021/report", 0), ("http://docs.example.org/guide/install.html", 0), ("https://www.library.example.net/catalogue/5", 0),
     ("http://blog.garden.example.org/fr/22", 0), ("https://m.weather.example.com/de/4", 0), ("http://university.example.org/en/courses/7", 0),
