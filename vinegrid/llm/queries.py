@@ -8,6 +8,7 @@ from vinegrid.llm.language import op8_language_id
 from vinegrid.llm.packing import op2_packing
 from vinegrid.llm.sharding import op3_sharding
 from vinegrid.llm.simhash import op6_simhash
+from vinegrid.llm.suffix import op7_suffix_dedup
 from vinegrid.llm.urls import op1_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_simhash": op6_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op10_top_k": op10_top_k,
 }
