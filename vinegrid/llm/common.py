@@ -124,3 +124,18 @@ def local_roots(n: int, i, j):
         while (jumped := root[root] != root).any():
             root = np.where(jumped, root[root], root)
     return root
+
+
+def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Add ``_key``: the id itself where ids are unique and not null, else ranks of (id, text's hash), a null id first.
+
+    Rows that repeat both id and text are one document and share their key.
+    """
+    doc_id = F.col(id_col).cast("long")
+    if docs.groupBy(doc_id.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").isEmpty():
+        return docs.withColumn("_key", doc_id)
+    hashed = docs.withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    pairs = hashed.select(doc_id.alias("i"), "_h").distinct().orderBy(F.asc_nulls_first("i"), "_h")
+    ranks = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_i long, _g string, _key long")
+    ranks = materialize(ranks, "doc-keys")
+    return hashed.join(ranks, doc_id.eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).drop("_i", "_g", "_h")

@@ -6,6 +6,7 @@ from vinegrid.llm.embeddings import op4_embedding_dedup
 from vinegrid.llm.hamming import OP10_SQL, op10_top_k
 from vinegrid.llm.language import op8_language_id
 from vinegrid.llm.packing import op2_packing
+from vinegrid.llm.paragraphs import op5_substring_dedup
 from vinegrid.llm.sharding import op3_sharding
 from vinegrid.llm.simhash import op6_simhash
 from vinegrid.llm.suffix import op7_suffix_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,

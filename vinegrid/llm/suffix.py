@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import grouped_batches, materialize, table
+from vinegrid.llm.common import grouped_batches, keyed_documents, materialize, table
 
 #: Bytes of a string that counts as repeated, of the gram that names its bucket.
 LENGTH = 100
@@ -355,21 +355,6 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.int64()))], names=["h", "key", "start"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): the doc_id itself where ids are unique, else ranks of (doc_id, text), a null id first.
-
-    Rows that repeat both id and text are one document and share their key.
-    """
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if thin.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
-        return thin.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    pairs = thin.select("doc_id", F.sha2("text", 256).alias("h")).distinct().orderBy(F.asc_nulls_first("doc_id"), "h")
-    ranks = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, hash string, key long")
-    ranks = materialize(ranks, "suffix-keys")
-    hashed = thin.withColumn("h", F.sha2("text", 256))
-    return hashed.join(ranks, F.expr("doc_id <=> id AND h = hash")).select("key", "doc_id", "text")
-
-
 def removable_windows(keyed: DataFrame) -> DataFrame:
     """``(key, start, n)``: the windows start .. start + n - 1 of that text start earlier somewhere, too.
 
@@ -430,7 +415,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     before all others; rows that repeat id and text count as one document, rows that repeat only the id are put in order by
     their text's hash. An empty table gives no rows.
     """
-    keyed = _keyed(docs)
+    keyed = keyed_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).withColumnRenamed("_key", "key")
     runs = removable_windows(keyed).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     joined = keyed.join(runs, "key", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_apply(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, kept binary")
