@@ -7,6 +7,7 @@ from vinegrid.llm.hamming import OP10_SQL, op10_top_k
 from vinegrid.llm.language import op8_language_id
 from vinegrid.llm.packing import op2_packing
 from vinegrid.llm.paragraphs import op5_substring_dedup
+from vinegrid.llm.segmentation import op9_sentencepiece
 from vinegrid.llm.sharding import op3_sharding
 from vinegrid.llm.simhash import op6_simhash
 from vinegrid.llm.suffix import op7_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_top_k": op10_top_k,
 }
 
