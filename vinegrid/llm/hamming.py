@@ -156,9 +156,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Signs as text, compared place by place.
 OP10_SQL = """
-WITH c AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL),
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL),
 d AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.b, r.b), z -> CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS BIGINT) AS distance
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.b, r.b), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS BIGINT) AS distance
   FROM c q CROSS JOIN c r WHERE q.vec_id % 50 = 0
 ),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
