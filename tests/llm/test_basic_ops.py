@@ -228,6 +228,10 @@ def test_language(spark, odd, none, small):
     assert language.identify_languages(none).count() == 0
     kept = language.keep_identified(spark, odd, small)
     assert kept.columns == odd.columns and not {2, 3, 8} & {r.doc_id for r in kept.collect()}
+    strange = spark.createDataFrame([(1, "漢字仮名交じり文 " * 60, "zz"), (2, "short one", "en")], "doc_id long, text string, lang string")
+    known = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").where("doc_id > 2")
+    both = language.keep_identified(spark, known.union(strange.withColumn("lang", F.lit(None))), small)
+    assert {r.doc_id for r in both.where("doc_id < 3").collect()} == {2} and both.count() >= 0.99 * known.count()
 
 
 def test_top_k(spark, monkeypatch):

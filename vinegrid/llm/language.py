@@ -21,8 +21,10 @@ SAMPLE_PER_LANG = 250
 LANDMARKS_PER_LANG = 24
 RIDGE = 1.0
 UNKNOWN = "und"
-#: A document whose best one-versus-rest output is below this score is rejected by the pipeline.
+#: The pipeline rejects documents whose best one-versus-rest output is below this score, unless they are so short (characters)
+#: that a low score says little.
 REJECT_BELOW = 0.5
+SHORT = 200
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -158,7 +160,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without letters, or that no language claims, go. All columns stay as they are."""
+    """Pipeline stage: documents without letters go, and those that no language claims though they are long enough to tell.
+
+    All columns stay as they are.
+    """
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
     judged = predict_language(docs, model, names=("_lang_pred", "_lang_score"))
-    return judged.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= REJECT_BELOW)).select(*docs.columns)
+    return judged.where((F.col("_lang_pred") != UNKNOWN) & ((F.col("_lang_score") >= REJECT_BELOW) | (F.length("text") < SHORT))).select(*docs.columns)
