@@ -1,6 +1,7 @@
 """Paragraph dedup against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -13,7 +14,7 @@ def shingles(line):
 
 
 def brute(texts, min_words=par.MIN_WORDS):
-    """Kept texts, by all pairs of paragraphs."""
+    """Kept texts and what is gone, by all pairs of paragraphs and all runs of words."""
     items = [(d, n, shingles(x)) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if len(x.split()) >= min_words]
     root = list(range(len(items)))
     find = lambda x: x if root[x] == x else find(root[x])
@@ -24,13 +25,38 @@ def brute(texts, min_words=par.MIN_WORDS):
                 u, v = sorted((find(i), find(j)))
                 root[v] = u
     gone = {items[i][:2] for i in range(len(items)) if find(i) != i}
-    return [t and "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in enumerate(texts)], gone
+    seen, out = set(), []
+    w = par.WINDOW
+    for d, t in enumerate(texts):
+        words = (t or "").lower().split()
+        rank = [(int(h) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 28 for h in par.word_hashes(t or "")]
+        starts = {min(range(i, i + w), key=lambda p: (rank[p], p)) for i in range(len(words) - w + 1)}
+        cut = set()
+        for p in sorted(starts):
+            if p + w <= len(words):
+                run = tuple(words[p : p + w])
+                if run in seen:
+                    cut.update(range(p, p + w))
+                seen.add(run)
+        if t is None:
+            out.append(None)
+            continue
+        kept, at = [], 0
+        for n, line in enumerate(t.split("\n")):
+            tokens = re.findall(r"\s*\S+", line)
+            left = [k for k in range(len(tokens)) if at + k not in cut]
+            if (d, n) not in gone and (left or not tokens):
+                kept.append(line if len(left) == len(tokens) else " ".join(tokens[k].strip() for k in left))
+            at += len(tokens)
+        out.append("\n".join(kept))
+    return out, gone
 
 
 def corpus():
     rng = random.Random(5)
     words = lambda n: [rng.choice("alpha beta gamma delta omega kappa sigma theta iota mu nu xi pi rho tau".split()) + str(rng.randrange(30)) for _ in range(n)]
     shared = [words(60) for _ in range(4)]
+    inner = words(91)
     texts = []
     for k in range(120):
         lines = [words(rng.randrange(3, 50)) for _ in range(3)]
@@ -39,6 +65,9 @@ def corpus():
             for _ in range(rng.randrange(3)):
                 p[rng.randrange(len(p))] = "changed" + str(rng.randrange(99))
             lines.insert(rng.randrange(3), p)
+        if k % 7 == 1:  # a passage within a longer paragraph, over two lines at times
+            at = rng.randrange(len(lines[0]))
+            lines[0] = words(60) + lines[0][:at] + inner[: 51 + rng.randrange(40)] + lines[0][at:] + words(70)
         texts.append("\n".join(" ".join(x) for x in lines))
     return [*texts, None, "", "\n\n", texts[5], "  " + texts[7].upper().replace(" ", "  "), " ".join(words(20_000))]
 
@@ -53,6 +82,8 @@ def test_remove_paragraphs(spark, monkeypatch, paired, tile):
     want, gone = brute(texts)
     assert [got[k].kept_text for k in range(len(texts))] == want
     assert sum(r.n_removed for r in got.values()) == len(gone)
+    # every later document with the passage loses some of it
+    assert all(got[k].n_passages >= 1 for k in range(8, 120, 7)) and got[1].n_passages == 0
     stage = par.without_repeated_paragraphs(spark, frame, "")
     assert stage.columns == frame.columns and {r.doc_id: r.text for r in stage.collect()} == dict(enumerate(want))
 

@@ -1,7 +1,12 @@
-"""Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components."""
+"""Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
+
+A passage that stands within a longer paragraph changes too little of it for that: such passages show as equal runs of WINDOW
+words, which start at words picked by their content and go through the same buckets.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, log
@@ -19,6 +24,9 @@ THRESHOLD = 0.8
 RECALL = 0.999
 #: Paragraphs of fewer words are left alone: short lines repeat by chance.
 MIN_WORDS = 20
+#: Words of a run that counts as a passage. Of each so many words in a row one starts a run, so any passage of 2 * WINDOW - 1
+#: words holds a whole run, the same one wherever the passage stands.
+WINDOW = 24
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
 TILE = 512
@@ -86,55 +94,113 @@ def paragraphs(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
+def window_starts(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Places of the words that start a run, in texts laid end to end (low, high: their ranges).
+
+    A word is picked if it has the smallest hash, the first of equals, of any ``width`` words in a row of its text.
+    """
+    n = len(words)
+    if n < width:
+        return np.zeros(0, np.int64)
+    place = np.arange(n, dtype=np.uint64)
+    value = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(28) << np.uint64(28)) | place
+    span, least = 1, value
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    least = np.minimum(least[: n - width + 1], least[width - span : width - span + n - width + 1])
+    end = np.repeat(high, high - low)
+    picked = np.unique((least & np.uint64((1 << 28) - 1))[np.arange(n - width + 1) + width <= end[: n - width + 1]]).astype(np.int64)
+    return picked[picked + width <= end[picked]]
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the run of words from each start."""
+    one, two = np.zeros(len(starts), np.uint64), np.ones(len(starts), np.uint64)
+    for k in range(width):
+        word = words[starts + k]
+        one = (one ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        one ^= one >> np.uint64(29)
+        two = (two + word) * np.uint64(0xD6E8FEB86659FD93)
+        two ^= two >> np.uint64(32)
+    return one, two
+
+
+#: Marks, in place of a band, of runs of words and of runs that the batch holds earlier.
+RUN, KNOWN_RUN = -1, -2
+
+
 def _banded(rows: int, bands: int, min_words: int, shingle: int):
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (bucket, words' hash, key, paragraph) for each band of each paragraph. Of equal paragraphs of a batch the first
-        goes on with all bands, the others with the first band only, as copies of it."""
+        goes on with all bands, the others with the first band only, as copies of it. A row for each run of words, too, its
+        first word's number for the paragraph's; of equal runs of a batch only the first looks for others."""
         for batch in batches:
-            seen: dict[int, int] = {}
             out: list[list[np.ndarray]] = []
+            first_bucket: dict[int, int] = {}
+            copies: list[tuple[int, int, int]] = []
+            runs: list[list[np.ndarray]] = []
+            texts: list[tuple[int, np.ndarray]] = []
             held: list[tuple[int, int, int, np.ndarray]] = []
             size = 0
 
             def flush() -> None:
-                nonlocal held, size
                 if held:
                     keys = band_keys([h[3] for h in held], rows, bands, shingle).view(np.int64)
                     hashes = np.array([h[0] for h in held], np.uint64).view(np.int64)
                     out.append([keys.ravel(), np.repeat(hashes, bands), np.repeat(np.array([h[1] for h in held], np.int64), bands), np.repeat(np.array([h[2] for h in held], np.int64), bands), np.tile(np.arange(bands), len(held))])
-                    copies_of.update({h[0]: keys[k, 0] for k, h in enumerate(held)})
-                held, size = [], 0
-
-            copies_of: dict[int, int] = {}
-            copies: list[tuple[int, int, int]] = []
-            for key, text in sorted(zip(batch.column(0).to_pylist(), range(batch.num_rows))):
-                for n, line in enumerate(paragraphs(batch.column(1)[text].as_py())):
-                    if len(line) < 2 * min_words - 1:
-                        continue
-                    words = word_hashes(line)
+                    first_bucket.update({h[0]: keys[k, 0] for k, h in enumerate(held)})
+                if texts:
+                    words = np.concatenate([w for _, w in texts])
+                    high = np.cumsum([len(w) for _, w in texts])
+                    low = high - np.array([len(w) for _, w in texts])
+                    starts = window_starts(words, low, high)
+                    bucket, code = window_hashes(words, starts)
+                    owner = np.searchsorted(high, starts, "right")
+                    runs.append([bucket.view(np.int64), code.view(np.int64), np.array([k for k, _ in texts], np.int64)[owner], starts - low[owner]])
+                held.clear()
+                texts.clear()
+
+            for key, at in sorted(zip(batch.column(0).to_pylist(), range(batch.num_rows))):
+                lines = [word_hashes(line) for line in paragraphs(batch.column(1)[at].as_py())]
+                texts.append((key, np.concatenate(lines)))
+                size += len(texts[-1][1])
+                for n, words in enumerate(lines):
                     if len(words) < min_words:
                         continue
                     own = xxhash.xxh3_64_intdigest(words.tobytes())
-                    if own in seen:
+                    if own in first_bucket:
                         copies.append((own, key, n))
-                        continue
-                    seen[own] = 1
-                    held.append((own, key, n, words))
-                    size += len(words)
-                    if size >= WORDS:
-                        flush()
+                    else:
+                        first_bucket[own] = 0
+                        held.append((own, key, n, words))
+                if size >= WORDS:
+                    flush()
+                    size = 0
             flush()
             if copies:
                 hashes = np.array([c[0] for c in copies], np.uint64).view(np.int64)
-                out.append([np.array([copies_of[c[0]] for c in copies], np.int64), hashes, np.array([c[1] for c in copies], np.int64), np.array([c[2] for c in copies], np.int64), np.zeros(len(copies), np.int64)])
+                out.append([np.array([first_bucket[c[0]] for c in copies], np.int64), hashes, np.array([c[1] for c in copies], np.int64), np.array([c[2] for c in copies], np.int64), np.zeros(len(copies), np.int64)])
+            if runs:
+                bucket, code, key, par = (np.concatenate(x) for x in zip(*runs))
+                order = np.lexsort((par, key, code, bucket))
+                bucket, code, key, par = (x[order] for x in (bucket, code, key, par))
+                first = np.ones(len(bucket), bool)
+                first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+                later = ~first & ((key != key[lead]) | (par != par[lead]))
+                out.append([bucket[first], code[first], key[first], par[first], np.full(int(first.sum()), RUN)])
+                # known runs only travel along, dealt out evenly; the place of the hash holds the first run's key
+                out.append([key[later] * 31 + par[later], key[lead[later]], key[later], par[later], np.full(int(later.sum()), KNOWN_RUN)])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["bucket", "hash", "key", "par", "band"])
 
     return banded
 
 
-#: Kinds of rows: an equal paragraph of an earlier one; a candidate pair; a paragraph of a bucket too large for pairs.
-COPY, PAIR, LARGE = 0, 1, 2
+#: Kinds of rows: an equal paragraph of an earlier one; a candidate pair; a paragraph of a bucket too large for pairs; a run of
+#: words that is there earlier.
+COPY, PAIR, LARGE, PASSAGE = 0, 1, 2, 3
 _FOUND = "kind int, bucket long, key_a long, par_a long, key_b long, par_b long"
 
 
@@ -142,13 +208,20 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets sorted by (bucket, hash, key, par) to copies, candidate pairs and members of large buckets."""
     for part in grouped_batches(batches, 1):
         bucket, code, key, par, band = (part.column(k).to_numpy() for k in range(5))
+        known = band == KNOWN_RUN
+        zero = np.zeros(int(known.sum()), np.int64)
+        passed = [zero + PASSAGE, zero, key[known], par[known], code[known], zero]
+        bucket, code, key, par, band = (x[~known] for x in (bucket, code, key, par, band))
         first = np.ones(len(bucket), bool)
         first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         copy = np.flatnonzero(~first & (band == 0) & ((key != key[lead]) | (par != par[lead])))
         zero = np.zeros(len(copy), np.int64)
-        rows = [[zero + COPY, zero, key[copy], par[copy], key[lead[copy]], par[lead[copy]]]]
-        own = np.flatnonzero(first)
+        rows = [passed, [zero + COPY, zero, key[copy], par[copy], key[lead[copy]], par[lead[copy]]]]
+        run = np.flatnonzero(~first & (band == RUN) & ((key != key[lead]) | (par != par[lead])))
+        zero = np.zeros(len(run), np.int64)
+        rows.append([zero + PASSAGE, zero, key[run], par[run], key[lead[run]], par[lead[run]]])
+        own = np.flatnonzero(first & (band != RUN))
         new = np.ones(len(own) + 1, bool)
         new[1:-1] = bucket[own[1:]] != bucket[own[:-1]]
         edge = np.flatnonzero(new)
@@ -231,12 +304,13 @@ _ENDS = ["key_a", "par_a", "key_b", "par_b"]
 
 
 def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE) -> DataFrame:
-    """``(key, par, first_key, first_par)`` of each paragraph that has a near copy earlier in the corpus.
+    """``(key, par, first_key, passage)`` of each paragraph, or run of words (passage), that has a copy earlier in the corpus.
 
     keyed: (_key, text). Paragraphs of ``min_words`` words or more are banded; equal paragraphs of a bucket are one class, named
     by its first place. Classes that meet in a band are verified by the exact Jaccard similarity of their word shingles: small
     buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components, and
-    the first paragraph of each is not in the result.
+    the first paragraph of each is not in the result. For a passage, par is the number of its first word in the text; equal
+    runs of words, by two hashes of 64 bits, are one class, of which the first stays.
     """
     rows, bands = tune_bands(threshold, recall)
     thin = keyed.select(F.col("_key").alias("key"), "text")
@@ -261,48 +335,85 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     copies = found.where(F.col("kind") == COPY).select(*_ENDS)
     edges = copies.union(links).union(forest).select(F.struct(F.col("key_a").alias("key"), F.col("par_a").alias("par")).alias("src"), F.struct(F.col("key_b").alias("key"), F.col("par_b").alias("par")).alias("dst"))
     comps = connected_components(edges)
-    return comps.where("node <> component").select("node.key", "node.par", F.col("component.key").alias("first_key"), F.col("component.par").alias("first_par"))
+    gone = comps.where("node <> component").select("node.key", "node.par", F.col("component.key").alias("first_key"), F.lit(False).alias("passage"))
+    return gone.union(found.where(F.col("kind") == PASSAGE).select(F.col("key_a"), F.col("par_a"), F.col("key_b"), F.lit(True)))
 
 
-def _cleaned(min_words: int):
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, counts, chars = [], [], []
-            for text, gone in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py()
-                lines, out = paragraphs(text), set(gone or ())
-                counts.append(sum(len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words for x in lines))
-                left = "\n".join(x for n, x in enumerate(lines) if n not in out) if out else text
-                kept.append(left)
-                chars.append(len(text or "") - len(left or ""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(counts, pa.int32()), pa.array([len(x or ()) for x in batch.column(2).to_pylist()], pa.int32()), pa.array(chars, pa.int64())], names=["_key", "kept_text", "n_paragraphs", "n_removed", "chars_removed"])
+_WORD = re.compile(r"\S+")
 
-    return cleaned
+
+def cut_text(text: str, lines_gone: set[int], runs: list[int], width: int = WINDOW) -> tuple[str, int]:
+    """The text without those lines and without runs of ``width`` words from those words on, and how many passages went.
+
+    A line that loses all its words goes; within a line, what follows the passage moves up to its start.
+    """
+    lines = paragraphs(text)
+    gone = np.zeros(len(text) // 2 + 2 + width, bool)
+    for start in runs:
+        gone[start : start + width] = True
+    kept, passages, word, open_ = [], 0, 0, False
+    for n, line in enumerate(lines):
+        if not runs:
+            if n not in lines_gone:
+                kept.append(line)
+            continue
+        spans = [m.span() for m in _WORD.finditer(line)]
+        own = gone[word : word + len(spans)]
+        word += len(spans)
+        if n in lines_gone or not own.any():
+            open_ = False
+            if n not in lines_gone:
+                kept.append(line)
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+        out, at = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            passages += not (open_ and a == 0)
+            out.append(line[at : spans[a][0]] if b < len(spans) or not a else line[at : spans[a - 1][1]])
+            at = spans[b][0] if b < len(spans) else len(line)
+        open_ = bool(own[-1])
+        if not own.all():
+            kept.append("".join(out) + line[at:])
+    return "\n".join(kept), passages
+
+
+def _runs(gone: DataFrame) -> DataFrame:
+    """(_key, lines, words) to cut per text."""
+    return gone.groupBy("key").agg(
+        F.collect_list(F.when(~F.col("passage"), F.col("par"))).alias("_lines"), F.collect_list(F.when(F.col("passage"), F.col("par"))).alias("_words")
+    ).withColumnRenamed("key", "_key")
 
 
 def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``(doc_id, n_paragraphs, n_removed, chars_removed, first_docs, kept_text)``.
+    """One row per document: ``(doc_id, n_paragraphs, n_removed, n_passages, chars_removed, first_docs, kept_text)``.
 
     Paragraphs (lines) that have an equal or near copy (Jaccard of five-word shingles) earlier, by doc_id and line, are taken
-    out of the text; of each group the first stays. first_docs: ids of the documents that keep the group's first paragraph.
-    Lines of under ``min_words`` words, null and empty texts stay as they are. A null id comes first; rows that repeat id and
-    text are one document, and each is returned. An empty table gives no rows.
+    out of the text; of each group the first stays. Within the other paragraphs, runs of WINDOW words that are there earlier
+    go, too (n_passages). first_docs: ids of documents that hold the text removed earlier on. Lines of under ``min_words``
+    words, null and empty texts stay as they are. A null id comes first; rows that repeat id and text are one document, and
+    each is returned. An empty table gives no rows.
     """
     keyed = keyed_documents(docs.select("doc_id", "text"))
     gone = materialize(paragraph_groups(keyed, threshold, min_words=min_words), "par-gone")
     ids = keyed.select(F.col("_key").alias("first_key"), F.col("doc_id").alias("first_doc")).distinct()
     first = gone.select("key", "first_key").distinct().join(ids, "first_key").groupBy("key").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    by_text = gone.groupBy("key").agg(F.collect_list("par").alias("gone")).join(first, "key", "left").withColumnRenamed("key", "_key")
-    joined = keyed.join(by_text, "_key", "left")
-    schema = "_key long, kept_text string, n_paragraphs int, n_removed int, chars_removed long, doc_id long, first_docs array<bigint>"
+    by_text = _runs(gone).join(first.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_words")
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in _cleaned(min_words)([batch.select(["_key", "text", "gone"])]):
-                yield pa.RecordBatch.from_arrays([*own.columns, batch.column(3), batch.column(4)], names=[*own.schema.names, "doc_id", "first_docs"])
+            out: list[list] = [[], [], [], [], []]
+            for text, lines, words in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                text = text.as_py()
+                kept, passages = cut_text(text, set(lines), words) if lines or words else (text, 0)
+                counted = sum(len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words for x in paragraphs(text))
+                for column, x in zip(out, (counted, len(lines or ()), passages, len(text or "") - len(kept or ""), kept)):
+                    column.append(x)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "first_docs", "n_paragraphs", "n_removed", "n_passages", "chars_removed", "kept_text"])
 
-    out = joined.select("_key", "text", "gone", F.col("doc_id").cast("long").alias("doc_id"), "first_docs").mapInArrow(both, schema)
-    return out.select("doc_id", "n_paragraphs", "n_removed", "chars_removed", "first_docs", "kept_text")
+    out = joined.mapInArrow(cut, "doc_id long, first_docs array<bigint>, n_paragraphs int, n_removed int, n_passages int, chars_removed long, kept_text string")
+    return out.select("doc_id", "n_paragraphs", "n_removed", "n_passages", "chars_removed", "first_docs", "kept_text")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,13 +421,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts lose their repeated paragraphs, ``n_chars`` follows where it is there; all rows stay."""
+    """Pipeline stage: texts lose their repeated paragraphs and passages, ``n_chars`` follows where it is there; all rows stay."""
     keyed = keyed_documents(docs)
-    gone = paragraph_groups(keyed.select("_key", "text")).groupBy("key").agg(F.collect_list("par").alias("_gone")).withColumnRenamed("key", "_key")
-    joined = keyed.join(gone, "_key", "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(F.transform(lines, lambda x, n: F.when(~F.array_contains("_gone", n.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    joined = keyed.join(_runs(paragraph_groups(keyed.select("_key", "text"))), "_key", "left").select(*docs.columns, "_lines", "_words")
+    at = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = (batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1))
+            texts = [cut_text(t.as_py(), set(a), b)[0] if a or b else t.as_py() for t, a, b in zip(batch.column(at), lines, words)]
+            touched = [bool(a or b) for a, b in zip(lines, words)]
+            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -2], pa.array(touched, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*docs_names, "_touched"])
+
+    docs_names = docs.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_touched boolean"])
+    out = joined.mapInArrow(cut, schema)
+    if "n_chars" in docs_names:
+        out = out.withColumn("n_chars", F.when(F.col("_touched"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs_names)
