@@ -104,3 +104,17 @@ def core_cells(cells: DataFrame, edges: DataFrame, core: DataFrame) -> DataFrame
     """(parcel_id, row, col) of the cells in each parcel's eroded core."""
     found = locate(cells, edges).where("inside").join(core.select("parcel_id", "erosion_m"), "parcel_id")
     return found.where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).select("parcel_id", "row", "col")
+
+
+def edges_of_geojson(parcels: DataFrame, text: str = "geojson") -> DataFrame:
+    """Edge table of polygons given as GeoJSON text (parcel_id, text), in the text's own units; rings are closed, edges of no length left out."""
+    from pyspark.sql import Window
+
+    from vinegrid.schema import GEOJSON
+
+    ring = F.from_json(c(text), GEOJSON)["coordinates"][0]
+    points = parcels.select("parcel_id", F.posexplode(ring).alias("edge_id", "p")).select("parcel_id", "edge_id", c("p")[0].alias("x1"), c("p")[1].alias("y1"))
+    w = Window.partitionBy("parcel_id").orderBy("edge_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda x: F.coalesce(F.lead(x).over(w), F.first(x).over(whole))
+    return points.withColumns({"x2": nxt("x1"), "y2": nxt("y1")}).where("x1 <> x2 OR y1 <> y2")
