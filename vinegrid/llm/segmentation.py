@@ -21,7 +21,7 @@ SAMPLES = 3
 SHARPNESS = 1.0
 SEED = 23
 #: Characters whose lattices are built at once (a longer text is a batch of its own).
-CHARS = 1 << 21
+CHARS = 1 << 19
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -36,9 +36,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _uniform(seed: np.ndarray, a, b, c) -> np.ndarray:
     """Numbers between 0 and 1 that depend on the row's seed and three counters alone, not on the batch."""
-    x = _mixed(seed ^ (np.asarray(a, np.uint64) * _BASE))
-    x = _mixed(x ^ (np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    x = _mixed(x ^ (np.asarray(c, np.uint64) * np.uint64(0x165667B19E3779F9)))
+    with np.errstate(over="ignore"):
+        apart = np.asarray(a, np.uint64) * _BASE + np.asarray(c, np.uint64) * np.uint64(0x165667B19E3779F9)
+        x = _mixed(seed + apart + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
@@ -58,6 +58,10 @@ class Vocabulary:
         self.byte_weight = -np.log1p(float(n))
         self.byte_ids = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes = [bytes([self.byte_ids.index(i)]) if p.is_byte(i) else pieces[i].encode() if i in pieces else b"" for i in range(n)]
+        self.weight[self.byte_ids] = self.byte_weight
+        self.size = np.array([len(x) for x in self.bytes])
+        self.place = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.longest = max(map(len, pieces.values()))
         # a line feed that no piece holds is an edge of its own, so the lattice falls apart there, too
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in x for x in pieces.values()) else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -70,17 +74,20 @@ class Vocabulary:
             by_length.setdefault(len(codes), {})[int(sums[-1])] = i
             for k in range(1, len(codes)):
                 prefixes.setdefault(k, set()).add(int(sums[k - 1]))
-        self.pieces = {}
-        for k, found in by_length.items():
-            hashes = np.array(sorted(found), np.uint64)
-            self.pieces[k] = hashes, np.array([found[int(h)] for h in hashes])
-        self.prefixes = {k: np.array(sorted(x), np.uint64) for k, x in prefixes.items()}
+        #: by length: hashes of pieces and of longer pieces' starts, the piece's id or -1, whether longer ones follow
+        self.starts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in range(1, self.longest + 1):
+            found, more = by_length.get(k, {}), prefixes.get(k, set())
+            hashes = np.array(sorted(found.keys() | more), np.uint64)
+            self.starts[k] = hashes, np.array([found.get(int(h), -1) for h in hashes]), np.array([int(h) in more for h in hashes], bool)
 
     def normalized(self, text: str) -> str:
         return self.processor.normalize(text) if text else ""
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        size = self.size[ids]
+        at = np.repeat(self.place[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        raw = self.flat[at].tobytes().decode("utf-8", "replace")
         return raw.replace(SPACE, " ")[1:] if raw.startswith(SPACE) else raw.replace(SPACE, " ")
 
 
@@ -90,14 +97,6 @@ def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(file)
 
 
-def _within(sorted_: np.ndarray | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each x is in a sorted array, and where."""
-    if sorted_ is None or not len(sorted_):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return sorted_[at] == x, at
-
-
 class Lattice:
     """Edges of the lattices of distinct chunks, laid end to end, and the exact log sums from each place to its chunk's end."""
 
@@ -114,14 +113,19 @@ class Lattice:
         sums = np.zeros(n, np.uint64)
         for k in range(1, vocab.longest + 1):
             sums = sums + mixed[at + k - 1] * vocab.power[k - 1]
-            hit, where = _within(vocab.pieces[k][0] if k in vocab.pieces else None, sums)
+            hashes, ids, longer = vocab.starts[k]
+            where = np.minimum(np.searchsorted(hashes, sums), len(hashes) - 1)
+            same = hashes[where] == sums
+            own = np.where(same, ids[where], -1)
+            hit = own >= 0
             if hit.any():
-                source.append(at[hit]), length.append(np.full(int(hit.sum()), k)), piece.append(vocab.pieces[k][1][where[hit]])
+                source.append(at[hit]), length.append(np.full(int(hit.sum()), k)), piece.append(own[hit])
             if k == 1 and not hit.all():  # characters that are no piece: their bytes, as one edge
                 lone = at[~hit]
-                source.append(lone), length.append(np.ones(len(lone), np.int64)), piece.append(-1 - codes[lone].astype(np.int64))
-            more, _ = _within(vocab.prefixes.get(k), sums)
-            more &= left[at] > k
+                code = codes[lone].astype(np.int64)
+                source.append(lone), length.append(np.ones(len(lone), np.int64))
+                piece.append(np.where(code < 128, np.array(vocab.byte_ids)[np.minimum(code, 127)], -1 - code))
+            more = same & longer[where] & (left[at] > k)
             at, sums = at[more], sums[more]
             if not len(at):
                 break
@@ -132,7 +136,7 @@ class Lattice:
         known = self.piece >= 0
         weight[known] = vocab.weight[self.piece[known]]
         alien = -1 - self.piece[~known]
-        weight[~known] = vocab.byte_weight * (1 + (alien > 0x7F) + (alien > 0x7FF) + (alien > 0xFFFF))
+        weight[~known] = vocab.byte_weight * (2 + (alien > 0x7FF) + (alien > 0xFFFF))
         weight *= sharpness
         # from the ends of the chunks to their starts, all chunks at once
         total = np.zeros(n + 1)
@@ -152,45 +156,57 @@ class Lattice:
             value[a:b] = own
         #: log probability of each edge at its place, the place that it leads to (-1: the chunk's end)
         self.log_p = value - total[source]
-        self.target = np.where(ends, -1, source + length)
+        self.target = np.where(ends, -1, source + length).astype(np.int32)
         start = np.flatnonzero(first)
-        self.first = np.zeros(n, np.int64)
-        self.count = np.zeros(n, np.int64)
+        self.first = np.zeros(n, np.int32)
+        self.count = np.zeros(n, np.int32)
         self.first[source[start]] = start
         self.count[source[start]] = np.diff(np.append(start, len(source)))
-        self.source = source
-        p = np.exp(self.log_p)
-        running = np.cumsum(p)
+        self.source = source.astype(np.int32)
+        self.piece = self.piece.astype(np.int32)
+        #: probability of the edges of a place up to this one, 1 for the last
+        running = np.cumsum(np.exp(self.log_p))
         rank = np.cumsum(first) - 1
-        base = np.concatenate([[0.0], running])[start]
-        self.rank = np.zeros(n, np.int64)
-        self.rank[source[start]] = np.arange(len(start))
-        self.ladder = rank + np.minimum(running - base[rank], 1.0)
-        # 1 - p, exactly nothing where there is one edge only
-        self.log_rest = np.where(self.count[source] > 1, np.log(np.maximum(-np.expm1(self.log_p), 1e-300)), -np.inf)
+        self.up_to = running - np.concatenate([[0.0], running])[start][rank]
+        self.up_to[np.append(start[1:], len(source)) - 1 if len(start) else start] = 1.0
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log of 1 - p, exactly nothing where there is one edge only."""
+        rest = np.log(np.maximum(-np.expm1(self.log_p[edges]), 1e-300))
+        return np.where(self.count[self.source[edges]] > 1, rest, -np.inf)
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each place, by its probability."""
-        edge = np.searchsorted(self.ladder, self.rank[node] + u)
-        return np.clip(edge, self.first[node], self.first[node] + self.count[node] - 1)
+        edge = self.first[node]
+        on = np.flatnonzero(self.up_to[edge] < u)
+        while len(on):
+            edge[on] += 1
+            on = on[self.up_to[edge[on]] < u[on]]
+        return edge
 
     def walk(self, node: np.ndarray, seed: np.ndarray, step: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled edges from each place to its chunk's end, in the order of the places, and how many for each."""
-        live = np.arange(len(node))
-        at, found, owner = node, [], []
+        live, at = None, node
+        found, owners = [], []
+        counts = np.zeros(len(node), np.int64)
         turn = 0
-        while len(live):
-            edge = self.pick(at, _uniform(seed[live], step, number[live], turn))
-            found.append(edge), owner.append(live)
+        while len(at):
+            edge = self.pick(at, _uniform(seed if live is None else seed[live], (step << 24) + turn, number if live is None else number[live], 0))
+            found.append(edge), owners.append(live)
             at = self.target[edge]
-            go = at >= 0
-            live, at = live[go], at[go]
+            go = np.flatnonzero(at >= 0)
+            counts[slice(None) if live is None else live] += 1
+            live, at = go if live is None else live[go], at[go]
             turn += 1
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(len(node), np.int64)
-        owner, found = np.concatenate(owner), np.concatenate(found)
-        order = np.argsort(owner, kind="stable")
-        return found[order], np.bincount(owner, minlength=len(node))
+        out = np.empty(int(counts.sum()), np.int32)
+        place = np.cumsum(counts) - counts
+        for turn, (edge, owner) in enumerate(zip(found, owners)):
+            out[(place if owner is None else place[owner]) + turn] = edge
+        return out, counts
+
+
+#: No Gumbel value made from a number of _uniform is larger.
+_HIGHEST = 36.8
 
 
 def _truncated_gumbel(location: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.ndarray:
@@ -226,7 +242,10 @@ def sample_batch(items: list[tuple[object, str, int]], vocab: Vocabulary, k: int
     texts = []
     for key, text, seed in items:
         found = vocab.cut(vocab.normalized(text))
-        texts.append(_Text(key, text, np.array([names.setdefault(c, len(names)) for c in found], np.int64), np.uint64(seed)))
+        for c in found:
+            if c not in names:
+                names[c] = len(names)
+        texts.append(_Text(key, text, np.fromiter(map(names.__getitem__, found), np.int32, len(found)), np.uint64(seed)))
     lattice = Lattice(list(names), vocab, sharpness)
     open_ = texts
     for step in range(k):
@@ -260,13 +279,12 @@ def sample_batch(items: list[tuple[object, str, int]], vocab: Vocabulary, k: int
                 first, begin = (np.array([target]), chunk + 1) if target >= 0 else (np.zeros(0, np.int64), chunk + 1)
             rest_nodes = lattice.root[x.chunks[begin:]]
             nodes += [first, rest_nodes]
-            numbers.append(np.arange(begin - len(first), len(x.chunks)))
+            numbers.append(np.arange(begin - len(first), len(x.chunks), dtype=np.int32))
             sizes.append(len(first) + len(rest_nodes))
             seeds.append(np.full(sizes[-1], x.seed))
             going.append(x)
         if not going:
             break
-        leads = [y for y in leads]
         edges, counts = lattice.walk(np.concatenate(nodes), np.concatenate(seeds), step, np.concatenate(numbers))
         chunk_of = np.repeat(np.concatenate(numbers), counts)
         per_text = np.add.reduceat(np.append(counts, 0), np.minimum(np.cumsum(sizes) - sizes, len(counts))) if len(sizes) else []
@@ -277,17 +295,26 @@ def sample_batch(items: list[tuple[object, str, int]], vocab: Vocabulary, k: int
             keep = 0
             if lead is not None:
                 path, place, edge, chunk = lead
-                own = np.concatenate([x.edges[path][:place], [edge], own])
-                of_chunk = np.concatenate([x.of_chunk[path][:place], [chunk], of_chunk])
+                own = np.concatenate([x.edges[path][:place], np.array([edge], np.int32), own])
+                of_chunk = np.concatenate([x.of_chunk[path][:place], np.array([chunk], np.int32), of_chunk])
                 keep = place + 1
-            steps = np.cumsum(lattice.log_p[own])
-            before = np.concatenate([[0.0], steps])[:-1] if len(own) else steps
-            best = np.full(len(own), -np.inf)
-            if len(own) > keep:
-                tail = own[keep:]
-                best[keep:] = _truncated_gumbel(before[keep:] + lattice.log_rest[tail], x.value[-1], _uniform(np.full(len(tail), x.seed), step, np.arange(keep, len(own)), 1 << 23))
+            log_p = lattice.log_p[own]
+            # a Gumbel value lies at most _HIGHEST over its place's log mass, so places far down can't be among the next k
+            total = np.cumsum(log_p)
+            reach = min(len(own), int(np.searchsorted(-total, _HIGHEST + 8)) + 1)
+            while True:
+                head = total[:reach]
+                before = np.concatenate([[0.0], head])[:-1] if reach else head
+                location = before[keep:] + lattice.log_rest(own[keep:reach])
+                best = np.full(reach, -np.inf)
+                if reach > keep:
+                    best[keep:] = _truncated_gumbel(location, x.value[-1], _uniform(np.full(reach - keep, x.seed), step, np.arange(keep, reach), 1 << 23))
+                lead_k = np.sort(best)[-k - 1] if reach > k else -np.inf
+                if reach == len(own) or head[-1] + _HIGHEST < lead_k:
+                    break
+                reach = min(len(own), 2 * reach)
             x.edges.append(own), x.of_chunk.append(of_chunk), x.before.append(before), x.best.append(best)
-            x.log_p.append(float(steps[-1]) if len(steps) else 0.0)
+            x.log_p.append(float(total[-1]) if len(total) else 0.0)
         open_ = going
     for x in texts:
         threshold = max((float(b.max(initial=-np.inf)) for b in x.best), default=-np.inf)
