@@ -82,6 +82,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return leaves.union(roots)
 
 
+def sliced(batches, rows: int = 1000):
+    """The same rows in batches of at most ``rows``, to bound what a worker holds at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def grouped_batches(batches, n_keys: int):
     """Arrow batches of a partition sorted by its first ``n_keys`` columns, dealt anew so that no run of equal keys is cut."""
     import numpy as np

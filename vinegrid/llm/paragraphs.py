@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, table
+from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, sliced, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -32,7 +32,7 @@ PAIRED = 16
 TILE = 512
 #: Words that are hashed at once, and entries of a worker's cache of word hashes.
 WORDS = 1 << 17
-CACHE = 400_000
+CACHE = 150_000
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 36) -> tuple[int, int]:
@@ -135,7 +135,7 @@ def _banded(rows: int, bands: int, min_words: int, shingle: int):
         """A row (bucket, words' hash, key, paragraph) for each band of each paragraph. Of equal paragraphs of a batch the first
         goes on with all bands, the others with the first band only, as copies of it. A row for each run of words, too, its
         first word's number for the paragraph's; of equal runs of a batch only the first looks for others."""
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             out: list[list[np.ndarray]] = []
             first_bucket: dict[int, int] = {}
             copies: list[tuple[int, int, int]] = []
@@ -244,7 +244,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], []]
             for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 lines = paragraphs(text.as_py())
@@ -401,7 +401,7 @@ def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_words")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for text, lines, words in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 text = text.as_py()
@@ -427,7 +427,7 @@ def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: st
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lines, words = (batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1))
             texts = [cut_text(t.as_py(), set(a), b)[0] if a or b else t.as_py() for t, a, b in zip(batch.column(at), lines, words)]
             touched = [bool(a or b) for a, b in zip(lines, words)]
