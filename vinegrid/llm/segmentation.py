@@ -130,7 +130,10 @@ class Lattice:
             if not len(at):
                 break
         source, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (source, length, piece))
-        order = np.lexsort((source, left[source]))
+        # by what is left of the chunk, then by place: a merge of sorted runs, then a radix sort where 16 bits do
+        order = np.argsort(source, kind="stable")
+        rest = left[source[order]]
+        order = order[np.argsort(rest.astype(np.uint16) if int(left.max(initial=0)) < 1 << 16 else rest, kind="stable")]
         source, length, self.piece = source[order], length[order], piece[order]
         weight = np.empty(len(source))
         known = self.piece >= 0
@@ -188,10 +191,12 @@ class Lattice:
         """Sampled edges from each place to its chunk's end, in the order of the places, and how many for each."""
         live, at = None, node
         found, owners = [], []
+        with np.errstate(over="ignore"):
+            own = seed + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(step << 24) * _BASE
         counts = np.zeros(len(node), np.int64)
         turn = 0
         while len(at):
-            edge = self.pick(at, _uniform(seed if live is None else seed[live], (step << 24) + turn, number if live is None else number[live], 0))
+            edge = self.pick(at, _uniform(own if live is None else own[live], turn, 0, 0))
             found.append(edge), owners.append(live)
             at = self.target[edge]
             go = np.flatnonzero(at >= 0)
