@@ -25,8 +25,8 @@ RECALL = 0.999
 #: Paragraphs of fewer words are left alone: short lines repeat by chance.
 MIN_WORDS = 20
 #: Words of a run that counts as a passage. Of each so many words in a row one starts a run, so any passage of 2 * WINDOW - 1
-#: words holds a whole run, the same one wherever the passage stands.
-WINDOW = 24
+#: words (51) holds a whole run, the same one wherever the passage stands.
+WINDOW = 26
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
 TILE = 512
@@ -315,12 +315,12 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     rows, bands = tune_bands(threshold, recall)
     thin = keyed.select(F.col("_key").alias("key"), "text")
     banded = thin.mapInArrow(_banded(rows, bands, min_words, shingle), "bucket long, hash long, key long, par long, band long")
-    found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND), "par-found")
+    found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND), "par-found", release=True)
     pairs = materialize(found.where(F.col("kind") == PAIR).select(*_ENDS).distinct(), "par-pairs")
     large = found.where(F.col("kind") == LARGE).select("bucket", F.col("key_a").alias("key"), F.col("par_a").alias("par"))
     wanted = pairs.select(F.col("key_a").alias("key"), F.col("par_a").alias("par")).union(pairs.select("key_b", "par_b")).union(large.select("key", "par")).distinct()
     by_text = wanted.groupBy("key").agg(F.collect_list("par").alias("wanted"))
-    sets = materialize(thin.join(by_text, "key").mapInArrow(_shingle_sets(shingle), "key long, par long, shingles binary"), "par-sets")
+    sets = materialize(thin.join(by_text, "key").mapInArrow(_shingle_sets(shingle), "key long, par long, shingles binary"), "par-sets", release=True)
     side = lambda x: sets.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(f"par_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), ["key_a", "par_a"]).join(side("b"), ["key_b", "par_b"]).select(*_ENDS, "set_a", "set_b")
     links = both.mapInArrow(_verified(threshold), "key_a long, par_a long, key_b long, par_b long")
