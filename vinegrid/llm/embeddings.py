@@ -137,3 +137,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label, then what links reach.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0),
+n AS (SELECT vec_id, label, e, list_inner_product(e, e) AS q FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.q > 0 AND b.q > 0 AND list_inner_product(a.e, b.e) / sqrt(a.q * b.q) >= 0.93
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1),
+many AS (SELECT a AS vec_id, count(*) AS k FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(k, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN many USING (vec_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vinegrid.llm.embeddings import op4_embedding_dedup
+from vinegrid.llm.embeddings import OP4_SQL, op4_embedding_dedup
 from vinegrid.llm.hamming import OP10_SQL, op10_top_k
 from vinegrid.llm.language import op8_language_id
 from vinegrid.llm.packing import op2_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_top_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op10_top_k": OP10_SQL}
