@@ -47,3 +47,34 @@ def test_empty_and_odd(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tiny)
     assert docs.count() >= 2
+
+
+def slow_near(texts, threshold=0.8):
+    """Numbers of the texts that stay, by all pairs of sets of five-word shingles."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and len(a & b) >= threshold * len(a | b):
+                u, v = sorted((find(i), find(j)))
+                root[v] = u
+    return {i for i in root if find(i) == i}
+
+
+def test_near_copies(spark, small):
+    """Edited copies go: the stage's result on documents and on planted edits is that of all pairs."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(400).toPandas().sort_values("doc_id")
+    texts = [*docs.text.tolist(), None, "", "  "]
+    long = [t.split() for t in docs.text if len(t.split()) > 100][:40]
+    for k, words in enumerate(long):  # copies with one to four words in a hundred changed
+        edited = list(words)
+        for at in range(k % 7, len(edited), 100 // (k % 4 + 1)):
+            edited[at] = f"edited{k}"
+        texts.append(" ".join(edited))
+    want = slow_near(texts)
+    assert len(texts) - len(want) >= 25
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = simhash.keep_one_of_group(spark, frame, "")
+    assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == want

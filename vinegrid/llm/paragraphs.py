@@ -94,6 +94,10 @@ def paragraphs(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
+def _whole(text: str | None) -> list[str]:
+    return [text or ""]
+
+
 def window_starts(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Places of the words that start a run, in texts laid end to end (low, high: their ranges).
 
@@ -130,11 +134,14 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, width: int = WINDOW) ->
 RUN, KNOWN_RUN = -1, -2
 
 
-def _banded(rows: int, bands: int, min_words: int, shingle: int):
+def _banded(rows: int, bands: int, min_words: int, shingle: int, whole: bool = False):
+    split = _whole if whole else paragraphs
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (bucket, words' hash, key, paragraph) for each band of each paragraph. Of equal paragraphs of a batch the first
         goes on with all bands, the others with the first band only, as copies of it. A row for each run of words, too, its
-        first word's number for the paragraph's; of equal runs of a batch only the first looks for others."""
+        first word's number for the paragraph's; of equal runs of a batch only the first looks for others. With ``whole``, texts
+        are banded as they are, and there are no runs."""
         for batch in sliced(batches, 2000):
             out: list[list[np.ndarray]] = []
             first_bucket: dict[int, int] = {}
@@ -162,12 +169,15 @@ def _banded(rows: int, bands: int, min_words: int, shingle: int):
                 texts.clear()
 
             for key, at in sorted(zip(batch.column(0).to_pylist(), range(batch.num_rows))):
-                lines = [word_hashes(line) for line in paragraphs(batch.column(1)[at].as_py())]
-                texts.append((key, np.concatenate(lines)))
-                size += len(texts[-1][1])
+                lines = [word_hashes(line) for line in split(batch.column(1)[at].as_py())]
+                if not whole:
+                    texts.append((key, np.concatenate(lines)))
+                size += sum(map(len, lines))
                 for n, words in enumerate(lines):
                     if len(words) < min_words:
                         continue
+                    if not len(words):  # all texts without words are equal
+                        words = np.zeros(1, np.uint64)
                     own = xxhash.xxh3_64_intdigest(words.tobytes())
                     if own in first_bucket:
                         copies.append((own, key, n))
@@ -242,12 +252,14 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in others)], names=["kind", "bucket", "key_a", "par_a", "key_b", "par_b"])
 
 
-def _shingle_sets(shingle: int):
+def _shingle_sets(shingle: int, whole: bool = False):
+    split = _whole if whole else paragraphs
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out: list[list] = [[], [], []]
             for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                lines = paragraphs(text.as_py())
+                lines = split(text.as_py())
                 for n in wanted:
                     for column, x in zip(out, (key, n, np.unique(shingle_hashes(word_hashes(lines[n]), shingle)).tobytes())):
                         column.append(x)
@@ -303,24 +315,25 @@ def _tile_links(threshold: float):
 _ENDS = ["key_a", "par_a", "key_b", "par_b"]
 
 
-def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE) -> DataFrame:
+def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> DataFrame:
     """``(key, par, first_key, passage)`` of each paragraph, or run of words (passage), that has a copy earlier in the corpus.
 
     keyed: (_key, text). Paragraphs of ``min_words`` words or more are banded; equal paragraphs of a bucket are one class, named
     by its first place. Classes that meet in a band are verified by the exact Jaccard similarity of their word shingles: small
     buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components, and
     the first paragraph of each is not in the result. For a passage, par is the number of its first word in the text; equal
-    runs of words, by two hashes of 64 bits, are one class, of which the first stays.
+    runs of words, by two hashes of 64 bits, are one class, of which the first stays. With ``whole``, texts are taken as one
+    paragraph each, and there are no passages.
     """
     rows, bands = tune_bands(threshold, recall)
     thin = keyed.select(F.col("_key").alias("key"), "text")
-    banded = thin.mapInArrow(_banded(rows, bands, min_words, shingle), "bucket long, hash long, key long, par long, band long")
+    banded = thin.mapInArrow(_banded(rows, bands, min_words, shingle, whole), "bucket long, hash long, key long, par long, band long")
     found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND), "par-found", release=True)
     pairs = materialize(found.where(F.col("kind") == PAIR).select(*_ENDS).distinct(), "par-pairs")
     large = found.where(F.col("kind") == LARGE).select("bucket", F.col("key_a").alias("key"), F.col("par_a").alias("par"))
     wanted = pairs.select(F.col("key_a").alias("key"), F.col("par_a").alias("par")).union(pairs.select("key_b", "par_b")).union(large.select("key", "par")).distinct()
     by_text = wanted.groupBy("key").agg(F.collect_list("par").alias("wanted"))
-    sets = materialize(thin.join(by_text, "key").mapInArrow(_shingle_sets(shingle), "key long, par long, shingles binary"), "par-sets", release=True)
+    sets = materialize(thin.join(by_text, "key").mapInArrow(_shingle_sets(shingle, whole), "key long, par long, shingles binary"), "par-sets", release=True)
     side = lambda x: sets.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(f"par_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), ["key_a", "par_a"]).join(side("b"), ["key_b", "par_b"]).select(*_ENDS, "set_a", "set_b")
     links = both.mapInArrow(_verified(threshold), "key_a long, par_a long, key_b long, par_b long")

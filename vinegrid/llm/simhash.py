@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, grouped_batches, local_roots, materialize, table
+from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, table
+from vinegrid.llm.paragraphs import paragraph_groups
 
 BUDGET = 2
 SHINGLE = 3
@@ -19,6 +20,9 @@ SEED = 42
 NODE_ROWS = 4096
 #: Bits by which a large node is split in one step.
 STEP = 6
+#: Of the pipeline's stage: words of a shingle and the least Jaccard similarity of near-duplicates.
+STAGE_SHINGLE = 5
+STAGE_THRESHOLD = 0.8
 #: Node pairs of so few fingerprint pairs are compared directly.
 LEAF_PAIRS = 32
 
@@ -200,7 +204,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates, the document with the smallest id stays; rows with a null id stay."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates, the document with the smallest id stays.
+
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
+    link. At 0.8 two fingerprints differ in about 10 bits, too many for the trie join, so MinHash bands find the candidates
+    and each is verified by its exact similarity. Texts without words are copies of each other. A null id comes first.
+    """
+    keyed = keyed_documents(docs)
+    found = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
+    return keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
