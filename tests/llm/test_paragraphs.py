@@ -105,3 +105,42 @@ def test_real_documents(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").toPandas().sort_values("doc_id")
     got = par.op5_substring_dedup(spark, tiny).toPandas().sort_values("doc_id")
     assert got.kept_text.tolist() == brute(docs.text.tolist())[0]
+
+
+def repeated_words(texts, length=51):
+    """Numbers of the words, text by text, that lie in a string of ``length`` words which starts earlier, too."""
+    seen, out = set(), []
+    for t in texts:
+        words, cut = (t or "").lower().split(), set()
+        for p in range(len(words) - length + 1):
+            run = tuple(words[p : p + length])
+            if run in seen:
+                cut.update(range(p, p + length))
+            seen.add(run)
+        out.append(cut)
+    return out
+
+
+def test_whole_passages(spark):
+    """All words of repeated strings of over 50 words go, wherever they start, and no word outside repeated runs."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    shared = [words(n) for n in (51, 60, 77, 120, 200)]
+    texts = []
+    for k in range(150):
+        p = shared[k % 5]
+        part = p if k > 9 else p[len(p) - 51 :] if k < 5 else p[:51]  # the first places hold only part of it
+        line = words(rng.randrange(90, 150)) + part + words(rng.randrange(90, 150))
+        at = rng.randrange(len(line))
+        texts.append(" ".join(line) if k % 2 else " ".join(line[:at]) + "\n" + " ".join(line[at:]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in par.remove_paragraphs(frame).collect()}
+    most, least = repeated_words(texts, par.WINDOW), repeated_words(texts)
+    assert sum(map(len, least)) > 12_000
+    for k, t in enumerate(texts):
+        assert got[k].n_removed == 0
+        left = [w for n, w in enumerate(t.split()) if n not in least[k]]
+        assert len(most[k]) >= len(t.split()) - len(got[k].kept_text.split()) >= len(least[k])
+        if most[k] == least[k]:
+            assert got[k].kept_text.split() == left
+    assert sum(a == b for a, b in zip(most, least)) > 140

@@ -1,7 +1,8 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
 
 A passage that stands within a longer paragraph changes too little of it for that: such passages show as equal runs of WINDOW
-words, which start at words picked by their content and go through the same buckets.
+words, which start at words picked by their content and go through the same buckets. Runs that repeat are seeds: all runs that
+overlap one, at any word, are compared next, so the passage goes as a whole, up to its first and last word.
 """
 
 from __future__ import annotations
@@ -130,10 +131,31 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, width: int = WINDOW) ->
     return one, two
 
 
-#: Marks, in place of a band, of runs of words and of runs that the batch holds earlier.
+#: Marks, in place of a band, of runs of words and of runs that the batch holds earlier (less the first word's number there).
 RUN, KNOWN_RUN = -1, -2
 
 
+def around_seeds(seeds: np.ndarray, n: int, width: int = WINDOW) -> np.ndarray:
+    """Starts of all runs of a text of ``n`` words that overlap a run from one of those words."""
+    starts = np.unique(seeds[:, None] + np.arange(1 - width, width))
+    return starts[(starts >= 0) & (starts <= n - width)]
+
+
+def run_rows(bucket: np.ndarray, code: np.ndarray, key: np.ndarray, par: np.ndarray) -> list[list[np.ndarray]]:
+    """Rows (bucket, hash, key, par, band) of runs of words; of equal runs only the first looks for others."""
+    order = np.lexsort((par, key, code, bucket))
+    bucket, code, key, par = (x[order] for x in (bucket, code, key, par))
+    first = np.ones(len(bucket), bool)
+    first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    later = ~first & ((key != key[lead]) | (par != par[lead]))
+    return [
+        [bucket[first], code[first], key[first], par[first], np.full(int(first.sum()), RUN)],
+        # known runs only travel along, dealt out evenly; the places of hash and band hold the first run's key and word
+        [key[later] * 31 + par[later], key[lead[later]], key[later], par[later], KNOWN_RUN - par[lead[later]]],
+    ]
+
+
 def _banded(rows: int, bands: int, min_words: int, shingle: int, whole: bool = False):
     split = _whole if whole else paragraphs
 
@@ -192,16 +214,7 @@ def _banded(rows: int, bands: int, min_words: int, shingle: int, whole: bool = F
                 hashes = np.array([c[0] for c in copies], np.uint64).view(np.int64)
                 out.append([np.array([first_bucket[c[0]] for c in copies], np.int64), hashes, np.array([c[1] for c in copies], np.int64), np.array([c[2] for c in copies], np.int64), np.zeros(len(copies), np.int64)])
             if runs:
-                bucket, code, key, par = (np.concatenate(x) for x in zip(*runs))
-                order = np.lexsort((par, key, code, bucket))
-                bucket, code, key, par = (x[order] for x in (bucket, code, key, par))
-                first = np.ones(len(bucket), bool)
-                first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
-                lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                later = ~first & ((key != key[lead]) | (par != par[lead]))
-                out.append([bucket[first], code[first], key[first], par[first], np.full(int(first.sum()), RUN)])
-                # known runs only travel along, dealt out evenly; the place of the hash holds the first run's key
-                out.append([key[later] * 31 + par[later], key[lead[later]], key[later], par[later], np.full(int(later.sum()), KNOWN_RUN)])
+                out += run_rows(*(np.concatenate(x) for x in zip(*runs)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["bucket", "hash", "key", "par", "band"])
 
@@ -218,9 +231,9 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets sorted by (bucket, hash, key, par) to copies, candidate pairs and members of large buckets."""
     for part in grouped_batches(batches, 1):
         bucket, code, key, par, band = (part.column(k).to_numpy() for k in range(5))
-        known = band == KNOWN_RUN
+        known = band <= KNOWN_RUN
         zero = np.zeros(int(known.sum()), np.int64)
-        passed = [zero + PASSAGE, zero, key[known], par[known], code[known], zero]
+        passed = [zero + PASSAGE, zero, key[known], par[known], code[known], KNOWN_RUN - band[known]]
         bucket, code, key, par, band = (x[~known] for x in (bucket, code, key, par, band))
         first = np.ones(len(bucket), bool)
         first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
@@ -252,20 +265,34 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in others)], names=["kind", "bucket", "key_a", "par_a", "key_b", "par_b"])
 
 
-def _shingle_sets(shingle: int, whole: bool = False):
+def _looked_up(shingle: int, whole: bool = False):
     split = _whole if whole else paragraphs
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of the wanted paragraphs, and a row (bucket, hash, key, par, band) for each run that overlaps a seed."""
         for batch in sliced(batches):
             out: list[list] = [[], [], []]
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            runs: list[list[np.ndarray]] = []
+            for key, text, wanted, seeds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 lines = split(text.as_py())
                 for n in wanted:
                     for column, x in zip(out, (key, n, np.unique(shingle_hashes(word_hashes(lines[n]), shingle)).tobytes())):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.binary()))], names=["key", "par", "shingles"])
+                if seeds:
+                    words = np.concatenate([word_hashes(line) for line in lines])
+                    starts = around_seeds(np.array(seeds), len(words))
+                    bucket, code = window_hashes(words, starts)
+                    runs.append([bucket.view(np.int64), code.view(np.int64), np.full(len(starts), key), starts])
+            columns = [pa.nulls(len(out[0]), pa.int64())] * 2 + [pa.array(x, pa.int64()) for x in out[:2]] + [pa.nulls(len(out[0]), pa.int64()), pa.array(out[2], pa.binary())]
+            names = ["bucket", "hash", "key", "par", "band", "shingles"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if runs:
+                rows = [np.concatenate(x).astype(np.int64) for x in zip(*run_rows(*(np.concatenate(x) for x in zip(*runs))))]
+                for low in range(0, len(rows[0]), WORDS):
+                    part = [pa.array(x[low : low + WORDS]) for x in rows]
+                    yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], names=names)
 
-    return sets
+    return looked_up
 
 
 def _verified(threshold: float):
@@ -322,7 +349,8 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     by its first place. Classes that meet in a band are verified by the exact Jaccard similarity of their word shingles: small
     buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components, and
     the first paragraph of each is not in the result. For a passage, par is the number of its first word in the text; equal
-    runs of words, by two hashes of 64 bits, are one class, of which the first stays. With ``whole``, texts are taken as one
+    runs of words, by two hashes of 64 bits, are one class, of which the first stays. Runs are looked for at picked words first,
+    then at all words around those that repeat; a passage of 2 * WINDOW - 1 words holds a picked run, so all of it is covered. With ``whole``, texts are taken as one
     paragraph each, and there are no passages.
     """
     rows, bands = tune_bands(threshold, recall)
@@ -332,8 +360,15 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     pairs = materialize(found.where(F.col("kind") == PAIR).select(*_ENDS).distinct(), "par-pairs")
     large = found.where(F.col("kind") == LARGE).select("bucket", F.col("key_a").alias("key"), F.col("par_a").alias("par"))
     wanted = pairs.select(F.col("key_a").alias("key"), F.col("par_a").alias("par")).union(pairs.select("key_b", "par_b")).union(large.select("key", "par")).distinct()
-    by_text = wanted.groupBy("key").agg(F.collect_list("par").alias("wanted"))
-    sets = materialize(thin.join(by_text, "key").mapInArrow(_shingle_sets(shingle, whole), "key long, par long, shingles binary"), "par-sets", release=True)
+    passed = found.where(F.col("kind") == PASSAGE)
+    seeds = passed.select(F.col("key_a").alias("key"), F.col("par_a").alias("seed")).union(passed.select("key_b", "par_b")).distinct()
+    both = wanted.select("key", "par", F.lit(None).cast("long").alias("seed")).union(seeds.select("key", F.lit(None).cast("long"), "seed"))
+    by_text = both.groupBy("key").agg(F.collect_list("par").alias("wanted"), F.collect_list("seed").alias("seeds"))
+    looked_up = thin.join(by_text, "key").mapInArrow(_looked_up(shingle, whole), "bucket long, hash long, key long, par long, band long, shingles binary")
+    looked_up = materialize(looked_up, "par-sets", release=True)
+    sets = looked_up.where("shingles IS NOT NULL").select("key", "par", "shingles")
+    runs = looked_up.where("shingles IS NULL").select("bucket", "hash", "key", "par", "band")
+    cut = runs.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND)
     side = lambda x: sets.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(f"par_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), ["key_a", "par_a"]).join(side("b"), ["key_b", "par_b"]).select(*_ENDS, "set_a", "set_b")
     links = both.mapInArrow(_verified(threshold), "key_a long, par_a long, key_b long, par_b long")
@@ -349,7 +384,7 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     edges = copies.union(links).union(forest).select(F.struct(F.col("key_a").alias("key"), F.col("par_a").alias("par")).alias("src"), F.struct(F.col("key_b").alias("key"), F.col("par_b").alias("par")).alias("dst"))
     comps = connected_components(edges)
     gone = comps.where("node <> component").select("node.key", "node.par", F.col("component.key").alias("first_key"), F.lit(False).alias("passage"))
-    return gone.union(found.where(F.col("kind") == PASSAGE).select(F.col("key_a"), F.col("par_a"), F.col("key_b"), F.lit(True)))
+    return gone.union(cut.select(F.col("key_a"), F.col("par_a"), F.col("key_b"), F.lit(True)))
 
 
 _WORD = re.compile(r"\S+")
@@ -401,8 +436,8 @@ def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     """One row per document: ``(doc_id, n_paragraphs, n_removed, n_passages, chars_removed, first_docs, kept_text)``.
 
     Paragraphs (lines) that have an equal or near copy (Jaccard of five-word shingles) earlier, by doc_id and line, are taken
-    out of the text; of each group the first stays. Within the other paragraphs, runs of WINDOW words that are there earlier
-    go, too (n_passages). first_docs: ids of documents that hold the text removed earlier on. Lines of under ``min_words``
+    out of the text; of each group the first stays. Within the other paragraphs, passages of WINDOW words or more that are
+    there earlier and hold a picked run go as a whole, too (n_passages). first_docs: ids of documents that hold the text removed earlier on. Lines of under ``min_words``
     words, null and empty texts stay as they are. A null id comes first; rows that repeat id and text are one document, and
     each is returned. An empty table gives no rows.
     """
