@@ -78,3 +78,12 @@ def test_near_copies(spark, small):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = simhash.keep_one_of_group(spark, frame, "")
     assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == want
+
+
+def test_repeated_ids(spark):
+    """Near-duplicates go row by row: by id and text, not by id alone."""
+    words = [f"w{k}" for k in range(60)]
+    a, edited, b, c = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), "a text without an id and of its own"
+    rows = [(3, edited, "x"), (7, a, "x"), (7, b, "x"), (8, "one two three four five six", "z"), (8, "one two three four five six", "y"), (None, c, "x"), (None, c, "x"), (9, c, "x"), (None, "another one", None)]
+    got = simhash.keep_one_of_group(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(3, edited, "x"), (7, b, "x"), (8, "one two three four five six", "y"), (None, c, "x"), (None, "another one", None)], key=str)

@@ -208,8 +208,14 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
     link. At 0.8 two fingerprints differ in about 10 bits, too many for the trie join, so MinHash bands find the candidates
-    and each is verified by its exact similarity. Texts without words are copies of each other. A null id comes first.
+    and each is verified by its exact similarity. Texts without words are copies of each other.
+
+    Rows are judged by id and text: rows that share an id but not the text are documents of their own, and of rows that repeat
+    both one stays, the least by its columns in turn. A null id comes before all others, so of copies its row stays.
     """
     keyed = keyed_documents(docs)
     found = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
-    return keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    kept = keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti")
+    if not keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.select(*docs.columns)
