@@ -180,10 +180,65 @@ def test_stream_ingest_recomputes_months(spark, tmp_path):
     files.write_csv(sensor_rows(spark), raw, "ROI", "sentinel_1")
     jobs.ingest_csv(spark, raw, out, state, roi="ROI")
     assert spark.read.parquet(out).count() == 2
-    later = sensor_rows(spark).limit(1).withColumn("geo", F.lit("elsewhere"))
-    files.write_csv(later, raw, "ROI", "sentinel_1")
+    # a file of another layout and one of another source, whose name is new
+    (tmp_path / "raw" / "ROI" / "sentinel_1" / "later.csv").write_text(".geo,VH,date,VV\nelsewhere,9.5,2025-06-03,8.5\n")
     jobs.ingest_csv(spark, raw, out, state, roi="ROI")
     assert spark.read.parquet(out).count() == 3
+    assert [tuple(r) for r in spark.read.parquet(out).where("geo = 'elsewhere'").select("VV", "VH", "RATIOVHVV").collect()] == [(8.5, 9.5, None)]
+    os.makedirs(tmp_path / "raw" / "ROI" / "drone")
+    (tmp_path / "raw" / "ROI" / "drone" / "a.csv").write_text("date,height,.geo\n2025-06-03,1.5,elsewhere\n2025-09-01,2.5,there\n")
+    jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    got = spark.read.option("mergeSchema", True).parquet(out)
+    assert got.count() == 4 and {tuple(r) for r in got.where("height IS NOT NULL").select("geo", "VV", "height").collect()} == {("elsewhere", 8.5, 1.5), ("there", None, 2.5)}
+
+
+def test_layouts_unknown_sources_and_bad_files(spark, tmp_path):
+    """Columns go by each file's own header, sources by their folder; what can't be read is left out."""
+    for name in ("sentinel_1", "drone", "notes"):
+        os.makedirs(tmp_path / "ROI" / name)
+    one, two = tmp_path / "ROI" / "sentinel_1", tmp_path / "ROI" / "drone"
+    (one / "a.csv").write_text('date,VV,VH,RATIOVHVV,.geo\n2025-06-01,1.0,2.0,3.0,"{""a"":[1,2]}"\n')
+    (one / "b.csv").write_text(" .geo ,VH, VV,date\ng2,20.0,10.0,2025-06-02\n")
+    (one / "c.csv").write_bytes(bytes(range(256)) * 9)
+    (one / "d.csv").write_text("")
+    (two / "a.csv").write_text("date,height,.geo\n2025-06-01,1.5,g1\n")
+    (two / "b.csv").write_text("date,width,.geo\n2025-06-02,2.5,g1\n")
+    (tmp_path / "ROI" / "notes" / "a.csv").write_text("some,text\n1,2\n")
+    found = files.read_sources(spark, str(tmp_path))
+    assert set(found) == {"sentinel_1", "drone"} and files.read_static(spark, str(tmp_path)) == {}
+    rows = {(str(r.date), r.VV, r.VH, r.RATIOVHVV, r.geo) for r in found["sentinel_1"].collect()}
+    assert rows == {("2025-06-01", 1.0, 2.0, 3.0, '{"a":[1,2]}'), ("2025-06-02", 10.0, 20.0, None, "g2")}
+    assert {(str(r.date), r.height, r.width) for r in found["drone"].collect()} == {("2025-06-01", 1.5, None), ("2025-06-02", None, 2.5)}
+
+
+def test_export_replaces_its_months(spark, tmp_path):
+    for _ in range(2):
+        files.write_csv(sensor_rows(spark), str(tmp_path), "ROI", "sentinel_1")
+    files.write_csv(sensor_rows(spark).where("date < '2025-07-01'").withColumn("VV", F.lit(9.0)), str(tmp_path), "ROI", "sentinel_1")
+    assert sorted(r.VV for r in files.read_sources(spark, str(tmp_path))["sentinel_1"].collect()) == [2.5, 9.0]
+
+
+def test_large_parcel_on_fine_cells(spark):
+    """5 ha are counted on cells of 1 m like any other parcel."""
+    side = 223.0
+    edges = spark.createDataFrame(square(side, 3.0), EDGES)
+    got = geometry.adaptive_core(edges).first()
+    assert (got.area_10m, got.area_5m) == ((side - 20) ** 2, (side - 10) ** 2)
+
+
+def test_meteo_stream_keeps_days_open(spark, tmp_path):
+    """Days change as rows come; what is over a day late is left out."""
+    feed, out, state = str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "ts timestamp, cell_id long, temp_c double"
+
+    def run(*rows):
+        spark.createDataFrame([(t, 1, v) for t, v in rows], "ts string, cell_id long, temp_c double").withColumn("ts", c("ts").cast("timestamp")).write.mode("append").parquet(feed)
+        jobs.daily_meteo(spark.readStream.schema(schema).parquet(feed), out, state)
+        return {(str(r.date), r.MIN_TEMP_C, r.MAX_TEMP_C) for r in jobs.latest_meteo(spark, out).collect()}
+
+    assert run(("2025-06-01 05:00:00", 4.0), ("2025-06-01 06:00:00", 5.0)) == {("2025-06-01", 4.0, 5.0)}
+    assert run(("2025-06-01 12:00:00", 9.0), ("2025-06-05 12:00:00", 7.0)) == {("2025-06-01", 4.0, 9.0), ("2025-06-05", 7.0, 7.0)}
+    assert run(("2025-06-01 13:00:00", 99.0), ("2025-06-05 13:00:00", 6.0)) == {("2025-06-01", 4.0, 9.0), ("2025-06-05", 6.0, 7.0)}
 
 
 def test_scene_filters_are_pushed_down(spark, tmp_path):

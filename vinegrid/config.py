@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
 
 #: The default parcel, [lon, lat] vertices of a ring that is not closed.
 DEFAULT_RING = (
@@ -20,23 +19,18 @@ DEFAULT_RING = (
 
 @dataclass(frozen=True)
 class Params:
-    """Defaults of every threshold; ``profile`` picks the intended formulas or those as written in the original scripts."""
+    """Thresholds of the sensor pipelines; ``profile`` picks the intended formulas or those as written in the original scripts."""
 
     profile: str = "intended"
     scale_m: float = 10.0
-    t1: tuple[date, date] = (date(2025, 6, 1), date(2025, 7, 20))
-    t2: tuple[date, date] = (date(2025, 7, 21), date(2025, 9, 10))
     season: tuple[int, int] = (4, 9)
     hours: tuple[int, int] = (9, 15)
-    cloud_max_s2: float = 50.0
-    cloud_max_landsat: float = 80.0
     cs_min: float = 0.60
     cs_cdf_min: float = 0.70
     cloud_probability_max: float = 30.0
     clear_classes: tuple[int, ...] = (4, 5, 6)
     dilation_cells: int = 2
     despeckle_radius: float = 2.5
-    erosion_m: tuple[int, int] = (10, 5)
     core_area_min: float = 2500.0
     small_pixels: float = 60.0
     min_share: float = 0.30
@@ -44,7 +38,6 @@ class Params:
     min_pixels_small: int = 15
     min_coverage: float = 0.60
     min_coverage_small: float = 0.50
-    clip_buffer_m: float = 100.0
     roi_name: str = "ROI_TEST"
 
     def __post_init__(self) -> None:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vinegrid.config import DEFAULTS, Params
+
 c = F.col
 
 
@@ -122,21 +124,21 @@ def geo_point(x: Column, y: Column) -> Column:
 # masks: true is clear
 
 
-def clear_cloudscore(cs_min: float = 0.60, cdf_min: float = 0.70) -> Column:
+def clear_cloudscore(cs_min: float = DEFAULTS.cs_min, cdf_min: float = DEFAULTS.cs_cdf_min) -> Column:
     return (c("cs") >= cs_min) & (c("cs_cdf") >= cdf_min)
 
 
-def clear_probability(most: float = 30.0) -> Column:
+def clear_probability(most: float = DEFAULTS.cloud_probability_max) -> Column:
     return c("probability") <= most
 
 
-def clear_scl(classes: tuple[int, ...] = (4, 5, 6)) -> Column:
+def clear_scl(classes: tuple[int, ...] = DEFAULTS.clear_classes) -> Column:
     return c("scl").isin(*classes)
 
 
-def clear_ensemble() -> Column:
+def clear_ensemble(params: Params = DEFAULTS) -> Column:
     """All three say clear; a null leaves the pixel masked but seeds no dilation."""
-    return clear_cloudscore() & clear_probability() & clear_scl()
+    return clear_cloudscore(params.cs_min, params.cs_cdf_min) & clear_probability(params.cloud_probability_max) & clear_scl(params.clear_classes)
 
 
 def bits_unset(band: str, *bits: int) -> Column:
@@ -151,7 +153,7 @@ def dark() -> Column:
     return (c("b8") / 10000 < 0.15) & (c("scl") != 6)
 
 
-def qa_valid(count: Column, total: Column, coverage: Column, small: Column) -> Column:
+def qa_valid(count: Column, total: Column, coverage: Column, small: Column, params: Params = DEFAULTS) -> Column:
     """A parcel's observation counts if enough pixels, by number and share, are clear."""
-    needed = F.greatest(F.when(small, 15.0).otherwise(25.0), total * 0.30)
-    return (count >= needed) & (coverage >= F.when(small, 0.50).otherwise(0.60))
+    needed = F.greatest(F.when(small, float(params.min_pixels_small)).otherwise(float(params.min_pixels)), total * params.min_share)
+    return (count >= needed) & (coverage >= F.when(small, params.min_coverage_small).otherwise(params.min_coverage))

@@ -5,6 +5,7 @@ Pixels meet parcels through coarse tiles of the parcels' boxes, so no pair furth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, radians
 
 from pyspark.sql import Column, DataFrame
@@ -28,41 +29,66 @@ def edge_table(spark, ring, parcel_id: int = 1) -> DataFrame:
     return spark.createDataFrame(ring_edges(ring, parcel_id), "parcel_id long, edge_id int, x1 double, y1 double, x2 double, y2 double")
 
 
-def crosses(x: Column, y: Column) -> Column:
+def _crosses(x: Column, y: Column, e: Column) -> Column:
     """1 if a ray to the east meets the edge."""
-    over = (c("y1") > y) != (c("y2") > y)
-    return F.when(over, (x < (c("x2") - c("x1")) * (y - c("y1")) / (c("y2") - c("y1")) + c("x1")).cast("int")).otherwise(0)
+    over = (e["y1"] > y) != (e["y2"] > y)
+    return F.when(over, (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).cast("int")).otherwise(0)
 
 
-def edge_distance(x: Column, y: Column) -> Column:
-    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
-    t = F.least(F.greatest(((x - c("x1")) * dx + (y - c("y1")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    gx, gy = x - (c("x1") + t * dx), y - (c("y1") + t * dy)
+def _edge_distance(x: Column, y: Column, e: Column) -> Column:
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    t = F.least(F.greatest(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    gx, gy = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
     return F.sqrt(gx * gx + gy * gy)
 
 
-def boxes(edges: DataFrame, reach: float = 0.0) -> DataFrame:
+def inside(x: Column, y: Column, ring: str = "ring") -> Column:
+    """Whether a point lies in the polygon whose edges an array column holds."""
+    return _fold(x, y, ring, F.lit(0), lambda n, x, y, e: n + _crosses(x, y, e)) % 2 == 1
+
+
+def distance(x: Column, y: Column, ring: str = "ring") -> Column:
+    """Distance of a point to the nearest edge of an array column."""
+    return _fold(x, y, ring, F.lit(float("inf")), lambda d, x, y, e: F.least(d, _edge_distance(x, y, e)))
+
+
+def _fold(x: Column, y: Column, ring: str, start: Column, step: Callable[..., Column]) -> Column:
+    """Edges folded into one value. The point is part of the state: filters on a lambda that only names it are pushed below its join."""
+    state = F.struct(x.alias("x"), y.alias("y"), start.alias("v"))
+    return F.aggregate(ring, state, lambda s, e: F.struct(s["x"].alias("x"), s["y"].alias("y"), step(s["v"], s["x"], s["y"], e).alias("v")), lambda s: s["v"])
+
+
+def rings(edges: DataFrame, reach: float = 0.0) -> DataFrame:
+    """A row per parcel: its edges as one array and its box, widened by ``reach``."""
     return edges.groupBy("parcel_id").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("ring"),
         (F.min(F.least("x1", "x2")) - reach).alias("min_x"), (F.max(F.greatest("x1", "x2")) + reach).alias("max_x"),
         (F.min(F.least("y1", "y2")) - reach).alias("min_y"), (F.max(F.greatest("y1", "y2")) + reach).alias("max_y"),
     )
 
 
+def _filled(box: DataFrame, step: float) -> DataFrame:
+    """(row, col, x, y) of the cells of that size that each parcel's box meets, beside its other columns."""
+    line = lambda lo, hi: F.sequence(F.floor(c(lo) / step).cast("int"), F.greatest(F.ceil(c(hi) / step).cast("int") - 1, F.floor(c(lo) / step).cast("int")))
+    cells = box.withColumn("row", F.explode(line("min_y", "max_y"))).withColumn("col", F.explode(line("min_x", "max_x")))
+    return cells.withColumns({"x": (c("col") + 0.5) * step, "y": (c("row") + 0.5) * step})
+
+
 def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float = 10.0) -> DataFrame:
-    """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
+    """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``.
+
+    A parcel's edges travel as one array, so a cell that meets it is judged where they meet, without another shuffle.
+    """
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2
     tile = lambda v: F.floor(v / TILE).cast("int")
     points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": tile(x), "ty": tile(y)})
     tiled = (
-        boxes(edges, reach)
+        rings(edges, reach)
         .withColumn("tx", F.explode(F.sequence(tile(c("min_x")), tile(c("max_x")))))
         .withColumn("ty", F.explode(F.sequence(tile(c("min_y")), tile(c("max_y")))))
     )
     near = points.join(tiled, ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y")
-    return (
-        near.select("parcel_id", "row", "col", "x", "y").join(edges, "parcel_id").groupBy("parcel_id", "row", "col")
-        .agg((F.sum(crosses(c("x"), c("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(c("x"), c("y"))).alias("dist"))
-    )
+    return near.select("parcel_id", "row", "col", inside(c("x"), c("y")).alias("inside"), distance(c("x"), c("y")).alias("dist"))
 
 
 def clip(cells: DataFrame, edges: DataFrame, buffer: float = 100.0) -> DataFrame:
@@ -76,34 +102,32 @@ def areas(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parcel_id").agg((F.abs(F.sum(c("x1") * c("y2") - c("x2") * c("y1"))) / 2).alias("area_m2"))
 
 
-def adaptive_core(edges: DataFrame, pixel_area: float = 100.0, core_min: float = 2500.0, small_pixels: float = 60.0) -> DataFrame:
+def adaptive_core(edges: DataFrame, pixel_area: float = 100.0, core_min: float = 2500.0, small_pixels: float = 60.0, step: float = 1.0) -> DataFrame:
     """Erosion of each parcel: 10 m if that leaves ``core_min``, else 5 m if that does, else none.
 
-    Eroded areas are counted on cells of 1 m (10 m for boxes of over 2 ha) whose centre lies inside, at least so far from the
-    boundary. A parcel is small below ``small_pixels`` pixels.
+    Eroded areas are counted on cells of ``step`` metres whose centre lies inside, at least so far from the boundary. Cells are
+    made, judged and counted in one pass; only a parcel's sums are shuffled. A parcel is small below ``small_pixels`` pixels.
     """
-    box = boxes(edges).withColumn("step", F.when((c("max_x") - c("min_x")) * (c("max_y") - c("min_y")) > 20000, 10.0).otherwise(1.0))
-    line = lambda lo, hi: F.sequence(F.floor(c(lo) / c("step")).cast("int"), F.ceil(c(hi) / c("step")).cast("int") - 1)
-    cells = (
-        box.withColumn("i", F.explode(line("min_x", "max_x"))).withColumn("j", F.explode(line("min_y", "max_y")))
-        .select("parcel_id", "step", "i", "j", ((c("i") + 0.5) * c("step")).alias("x"), ((c("j") + 0.5) * c("step")).alias("y"))
-    )
-    inside = cells.join(edges, "parcel_id").groupBy("parcel_id", "step", "i", "j").agg(
-        (F.sum(crosses(c("x"), c("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(c("x"), c("y"))).alias("dist")
-    )
-    count = lambda d: F.sum(F.when(c("inside") & (c("dist") >= d), c("step") * c("step")).otherwise(0.0))
-    eroded = inside.groupBy("parcel_id").agg(count(10.0).alias("area_10m"), count(5.0).alias("area_5m"))
-    return areas(edges).join(eroded, "parcel_id").select(
+    cells = _filled(rings(edges), step).where(inside(c("x"), c("y"))).select("parcel_id", distance(c("x"), c("y")).alias("dist"))
+    count = lambda d: F.sum(F.when(c("dist") >= d, step * step).otherwise(0.0))
+    eroded = cells.groupBy("parcel_id").agg(count(10.0).alias("area_10m"), count(5.0).alias("area_5m"))
+    whole = areas(edges).join(eroded, "parcel_id", "left").fillna(0.0, ["area_10m", "area_5m"])
+    return whole.select(
         "parcel_id", "area_m2", "area_10m", "area_5m",
         F.when(c("area_10m") >= core_min, 10).when(c("area_5m") >= core_min, 5).otherwise(0).alias("erosion_m"),
         (c("area_m2") / pixel_area < small_pixels).cast("int").alias("is_small_parcel"),
     )
 
 
-def core_cells(cells: DataFrame, edges: DataFrame, core: DataFrame) -> DataFrame:
-    """(parcel_id, row, col) of the cells in each parcel's eroded core."""
-    found = locate(cells, edges).where("inside").join(core.select("parcel_id", "erosion_m"), "parcel_id")
-    return found.where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).select("parcel_id", "row", "col")
+def core_area() -> Column:
+    """Area of a parcel after the erosion that it gets."""
+    return F.when(c("erosion_m") == 10, c("area_10m")).when(c("erosion_m") == 5, c("area_5m")).otherwise(c("area_m2"))
+
+
+def core_cells(edges: DataFrame, core: DataFrame, scale: float = 10.0) -> DataFrame:
+    """Cells in each parcel's eroded core: (row, col) beside the columns of ``core``. Made from the parcels alone, no pixel is read."""
+    found = _filled(rings(edges), scale).where(inside(c("x"), c("y"))).select("parcel_id", "row", "col", distance(c("x"), c("y")).alias("dist"))
+    return found.join(core, "parcel_id").where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).drop("dist")
 
 
 def edges_of_geojson(parcels: DataFrame, text: str = "geojson") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vinegrid.config import DEFAULTS, Params
 from vinegrid.functions import indices as ix
 
 c = F.col
@@ -28,8 +29,8 @@ def coverage(pixels: DataFrame, keys: Sequence[str], total: float, first_band: s
     return pixels.groupBy(*keys).agg(F.count(first_band).alias("valid_pixels")).withColumn("total_pixels", F.lit(float(total))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
 
 
-def validate(stats: DataFrame, small: str = "is_small_parcel") -> DataFrame:
-    valid = ix.qa_valid(c("valid_pixels"), c("total_pixels"), c("coverage_ratio"), c(small) == 1)
+def validate(stats: DataFrame, small: str = "is_small_parcel", params: Params = DEFAULTS) -> DataFrame:
+    valid = ix.qa_valid(c("valid_pixels"), c("total_pixels"), c("coverage_ratio"), c(small) == 1, params)
     return stats.withColumn("observation_valid", valid.cast("int"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vinegrid.config import DEFAULTS, Params
@@ -31,21 +31,23 @@ def sentinel1(px_s1: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Pixels that all three products call clear and that no cloudy one is near to."""
-    tested = merge.combine(px_s2, px_cs, px_cld).withColumn("clear", ix.clear_ensemble())
+    tested = merge.combine(px_s2, px_cs, px_cld).withColumn("clear", ix.clear_ensemble(params))
     return neighborhood.drop_dilated(tested, ~c("clear"), params.dilation_cells).where("clear").drop("clear")
 
 
 def sentinel2(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Cleaned indices of each parcel's core with its quality columns; every band counts for coverage, rows need all indices."""
-    core = geometry.adaptive_core(edges)
-    cells = geometry.core_cells(px_s2, edges, core)
-    clear = clear_pixels(px_s2, px_cs, px_cld, params).join(cells, ["row", "col"])
-    named = clear.withColumns(ix.s2_indices(params.profile))
-    total = core.select("parcel_id", "erosion_m", "is_small_parcel", (F.when(c("erosion_m") == 10, c("area_10m")).when(c("erosion_m") == 5, c("area_5m")).otherwise(c("area_m2")) / 100).alias("total_pixels"))
-    seen = named.groupBy("parcel_id", "scene_id").agg(F.count("b4").alias("valid_pixels")).join(total, "parcel_id").withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
-    quality = stats.validate(seen)
+    """Cleaned indices of each parcel's core with its quality columns; every band counts for coverage, rows need all indices.
+
+    The core's cells carry the parcel's columns, and a scene's pixels in a parcel are counted by a window, so that each input
+    is read once.
+    """
+    core = geometry.adaptive_core(edges, params.scale_m**2, params.core_area_min, params.small_pixels)
+    core = core.select("parcel_id", "erosion_m", "is_small_parcel", (geometry.core_area() / params.scale_m**2).alias("total_pixels"))
+    clear = clear_pixels(px_s2, px_cs, px_cld, params).join(geometry.core_cells(edges, core, params.scale_m), ["row", "col"])
+    seen = clear.withColumn("valid_pixels", F.count("b4").over(Window.partitionBy("parcel_id", "scene_id"))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
     indices = ["NDVI", "EVI", "GNDVI", "IRECI", "NDMI", "NDRE"]
-    return dated(named.dropna(subset=indices).join(quality, ["parcel_id", "scene_id"])).select(
+    named = stats.validate(seen, params=params).withColumns({k: v for k, v in ix.s2_indices(params.profile).items() if k in indices}).dropna(subset=indices)
+    return dated(named).select(
         "parcel_id", "date", *indices, "valid_pixels", "total_pixels", "coverage_ratio", "observation_valid", "erosion_m", "is_small_parcel", geo().alias("geo"), "row", "col"
     )
 
@@ -76,25 +78,32 @@ def era5(hourly: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return stats.day_spine(season, stats.daily_meteo(season))
 
 
-def merged_dataset(spark: SparkSession, raw: str, out: str, roi: str = "*") -> DataFrame:
-    """Merge all CSV time series by date and place and write them by month; returns what was written."""
+def merged_dataset(spark: SparkSession, raw: str, out: str, roi: str = "*", months: DataFrame | None = None) -> DataFrame:
+    """Merge all CSV time series by date and place and write them by month, or only the ``months`` (year, month); returns the dataset."""
     sources = files.read_sources(spark, raw, roi)
     if not sources:
         raise ValueError(f"no time series under {raw}")
+    if months is not None:
+        sources = {k: _of_months(v, months) for k, v in sources.items()}
     files.write_partitioned(merge.outer_merge(sources), out)
     return spark.read.parquet(out)
 
 
+def _of_months(rows: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows of those months; there are as many as months between two dates, so their table is small."""
+    return merge.with_year_month(rows).join(F.broadcast(months.select("year", "month")), ["year", "month"], "left_semi").drop("year", "month")
+
+
 def run_pipeline(spark: SparkSession, sensors: dict[str, DataFrame], raw: str, out: str, start: str, end: str, as_of: str, roi: str = DEFAULTS.roi_name) -> DataFrame:
-    """Backfill: rows of the months that ``out`` lacks, each sensor written once, then the merge. ``sensors``: source -> export rows.
+    """Backfill: rows of the months that ``out`` lacks, each sensor written once, then the merge of those months. ``sensors``: source -> export rows.
 
-    All missing months go in one job, by a join with the table of months.
+    All missing months go in one job, by a join with the table of months. A run that failed can be run again: its months are
+    still missing, and exports of them are replaced.
     """
     months = merge.missing_months(spark, files.partitions(spark, out), start, end, as_of)
     for source, rows in sensors.items():
-        due = merge.with_year_month(rows).join(F.broadcast(months.select("year", "month")), ["year", "month"], "left_semi")  # as many rows as months
-        files.write_csv(due, raw, roi, source)
-    return merged_dataset(spark, raw, out, roi)
+        files.write_csv(_of_months(rows, months), raw, roi, source)
+    return merged_dataset(spark, raw, out, roi, months)
 
 
 def static_s2(clear: DataFrame, phases: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from vinegrid.queries.pixels import _DAY, INDEX_SQL
 from vinegrid.queries.registry import query
 from vinegrid.queries.space import _CLEAR_LST, _FOCAL, _GRID, _NEAR, S2_SQL, TERRAIN_SQL, located_sql
 from vinegrid.queries.tables import _ECO, _GEO, _LS, _MERGED, _S1, _VALUES, _tree, shared_folder, sources
-from vinegrid.schema import METADATA
+from vinegrid.schema import METADATA, export_schema
 from vinegrid.sources import files
 from vinegrid.streaming import jobs
 
@@ -27,6 +27,10 @@ def _round_trip(spark, df, source):
     return files.read_csv(spark, f"{base}/ROI_TEST/{source}", source)
 
 
+def _typed(source, raw):
+    return [c(f"`{f.name}`").try_cast(f.dataType).alias("geo" if f.name == ".geo" else f.name) for f in export_schema(source).fields]
+
+
 def _export(name, source, rows, sql, doubles):
     query(name, sql, doubles)(lambda spark, sf: _round_trip(spark, rows(spark, sf), source))
 
@@ -41,8 +45,25 @@ def _s2(spark, sf):
     return pipelines.sentinel2(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld")), adapter(spark, sf, "parcel_edges"))
 
 
-for _name in ("sink_csv_s2", "sink_csv_step2", "src_read_back"):
-    _export(_name, "sentinel_2", _s2, _S2_ROWS, _S2_DOUBLES)
+_export("sink_csv_s2", "sentinel_2", _s2, _S2_ROWS, _S2_DOUBLES)
+
+
+@query("sink_csv_step2", f"SELECT *, 'output' AS folder FROM ({_S2_ROWS})", _S2_DOUBLES)
+def sink_csv_step2(spark, sf):
+    """The ad hoc export: one folder of its own, outside the raw tree, replaced by each run."""
+    path = f"{shared_folder(spark, 'step2')}/output"
+    files.write_single(_s2(spark, sf), path, "sentinel_2")
+    raw = files.csv_rows(spark, path)
+    return raw.select(*_typed("sentinel_2", raw), F.regexp_extract(c("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"))
+
+
+@query("src_read_back", f"SELECT CAST(observation_valid AS BIGINT) AS observation_valid, count(*) AS n_rows, count(DISTINCT date) AS dates, avg(coverage_ratio) AS mean_coverage FROM ({_S2_ROWS}) GROUP BY 1", "mean_coverage")
+def src_read_back(spark, sf):
+    """An exported file read again with types that Spark infers, and summed up."""
+    path = f"{shared_folder(spark, 'back')}/output"
+    files.write_single(_s2(spark, sf), path, "sentinel_2")
+    back = files.csv_rows(spark, path, infer=True)
+    return back.groupBy(c("observation_valid").cast("long").alias("observation_valid")).agg(F.count("*").alias("n_rows"), F.countDistinct("date").alias("dates"), F.avg("coverage_ratio").alias("mean_coverage"))
 
 _LST_ROWS = f"SELECT {_DAY} AS date, LST, f.row, f.col FROM {_GRID} f JOIN ({_CLEAR_LST}) q ON {_NEAR.format(m=30)}"
 _export("sink_csv_landsat", "landsat_thermal", lambda s, d: pipelines.landsat(adapter(s, d, "px_landsat"), adapter(s, d, "dem").select("row", "col")), f"SELECT date, LST, {_GEO} AS geo FROM ({_LST_ROWS})", "LST")
@@ -50,8 +71,17 @@ _export("sink_csv_srtm", "srtm", lambda s, d: pipelines.srtm(adapter(s, d, "dem"
 _ECO_TS = "(timestamp '2025-06-01 00:00:00' + scene_id * 25 * interval 1 hour)"
 _ECO_ROWS = f"SELECT CAST({_ECO_TS} AS date) AS date, lst * 0.02::DOUBLE - 273.15::DOUBLE AS LST_eco, f.row, f.col FROM {_GRID} f JOIN px_eco q ON {_NEAR.format(m=70)} WHERE hour({_ECO_TS}) BETWEEN 9 AND 15"
 _export("sink_csv_eco", "ecostress", lambda s, d: pipelines.ecostress(adapter(s, d, "px_eco"), adapter(s, d, "dem").select("row", "col")), f"SELECT date, LST_eco, {_GEO} AS geo FROM ({_ECO_ROWS})", "LST_eco")
-# no scene passes: the header alone is written
-query("sink_csv_eco_empty")(lambda spark, sf: _round_trip(spark, pipelines.ecostress(adapter(spark, sf, "px_eco").where("lst < 0"), adapter(spark, sf, "dem").select("row", "col")), "ecostress"))
+
+
+@query("sink_csv_eco_empty", "SELECT 'date,LST_eco,.geo' AS header, count(*) AS n_files, (SELECT count(*) FROM px_eco WHERE lst < 0) AS n_rows FROM (SELECT 1)")
+def sink_csv_eco_empty(spark, sf):
+    """No scene passes: the header alone is written."""
+    base = shared_folder(spark, "export")
+    files.write_csv(pipelines.ecostress(adapter(spark, sf, "px_eco").where("lst < 0"), adapter(spark, sf, "dem").select("row", "col")), base, "ROI_TEST", "ecostress")
+    lines = spark.read.text(f"{base}/ROI_TEST/ecostress")
+    rows = files.read_csv(spark, f"{base}/ROI_TEST/ecostress", "ecostress").agg(F.count("*").alias("n_rows"))
+    return lines.groupBy(c("value").alias("header")).agg(F.countDistinct("_metadata.file_path").alias("n_files")).crossJoin(F.broadcast(rows))
+
 
 _ERA = "MIN_TEMP_C MEAN_TEMP_C MAX_TEMP_C RAIN_TOTAL PET_TOTAL AET_TOTAL WDI"
 _ERA_SQL = """SELECT CAST(ts AS date) AS date, min(temperature_2m - 273.15::DOUBLE) AS MIN_TEMP_C, avg(temperature_2m - 273.15::DOUBLE) AS MEAN_TEMP_C, max(temperature_2m - 273.15::DOUBLE) AS MAX_TEMP_C,
@@ -104,11 +134,35 @@ def sink_metadata(spark, sf):
     return spark.read.schema(METADATA).json(path).select("source", "image_count", "date_range", "status", "run_id", F.size(c("roi_coords")[0]).alias("vertices"))
 
 
-@query("st_ingest_csv", f"WITH {_S1}, {_ECO}, {_LS}, touched AS (SELECT DISTINCT month(date) AS m FROM s1) SELECT date, geo, LST_eco, LST, VV, VH, RATIOVHVV FROM ({_MERGED}) WHERE month(date) IN (SELECT m FROM touched)", _VALUES)
+@query("st_ingest_csv", f"WITH {_S1}, {_ECO}, {_LS} SELECT date, geo, LST_eco, LST, VV, VH, RATIOVHVV FROM ({_MERGED})", _VALUES)
 def st_ingest_csv(spark, sf):
-    out = shared_folder(spark, "merged")
-    jobs.ingest_csv(spark, _tree(spark, sf), out, shared_folder(spark, "state"), roi="ROI_TEST")
-    return spark.read.parquet(out).select("date", "geo", *_VALUES.split())
+    """First two sources arrive, then the third: its months are merged anew."""
+    out, raw, state = (shared_folder(spark, x) for x in ("merged", "raw", "state"))
+    found = sources(spark, sf)
+    for arrived in (("sentinel_1", "landsat_thermal"), ("ecostress",)):
+        for source in arrived:
+            files.write_csv(found[source], raw, "ROI_TEST", source)
+        jobs.ingest_csv(spark, raw, out, state, roi="ROI_TEST")
+    return spark.read.option("mergeSchema", True).parquet(out).select("date", "geo", *_VALUES.split())
+
+
+@query("src_csv_layouts", f"WITH {_S1} SELECT date, geo, VV, VH, CASE WHEN day(date) % 2 = 0 THEN RATIOVHVV END AS RATIOVHVV FROM s1", "VV VH RATIOVHVV")
+def src_csv_layouts(spark, sf):
+    """Files of one source with other columns in another order, matched by their own headers."""
+    base = shared_folder(spark, "layouts")
+    rows = sources(spark, sf)["sentinel_1"]
+    files.write_csv(rows.where(F.day("date") % 2 == 0), base, "ROI_TEST", "sentinel_1")
+    other = rows.where(F.day("date") % 2 == 1).select(c("VH").alias(" VH"), c("geo").alias(".geo"), "date", "VV")
+    other.write.option("header", True).option("escape", '"').csv(f"{base}/ROI_TEST/sentinel_1/other")
+    return files.read_sources(spark, base)["sentinel_1"].select("date", "geo", "VV", "VH", "RATIOVHVV")
+
+
+@query("src_unknown_source", f"WITH {_ECO} SELECT date, geo, LST_eco AS canopy FROM eco", "canopy")
+def src_unknown_source(spark, sf):
+    """A folder whose name is new takes part by its files' headers."""
+    base = shared_folder(spark, "unknown")
+    sources(spark, sf)["ecostress"].select("date", c("LST_eco").alias("canopy"), c("geo").alias(".geo")).write.option("header", True).option("escape", '"').csv(f"{base}/ROI_TEST/drone")
+    return files.read_sources(spark, base)["drone"].select("date", "geo", "canopy")
 
 
 @query("src_roi_geojson", "SELECT parcel_id, count(*) AS edges, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area_m2 FROM parcel_edges GROUP BY 1", "area_m2")

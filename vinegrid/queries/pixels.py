@@ -196,7 +196,7 @@ def _index(name):
         columns = {name: _INDEX[name]()} | ({f"{name}_as_written": _INDEX[name]("as_written")} if both else {})
         return ix.add_columns(adapter(spark, sf, "px_s2").select("scene_id", "row", "col", *[b for b in ("b2", "b3", "b4", "b5", "b6", "b7", "b8", "b11")]), columns).select("scene_id", "row", "col", *columns)
 
-    query(f"ix_{name.lower()}", sql, name + (f" {name}_as_written" if both else ""))(run)
+    query(f"ix_{name.lower()}", sql, exact=True)(run)
 
 
 for _name in _INDEX:
@@ -205,18 +205,18 @@ for _name in _INDEX:
 ALL = ["NDVI", "EVI", "GNDVI", "IRECI", "NDMI", "NDRE", "MNDWI"]
 
 
-@query("ix_all_s2", "SELECT scene_id, row, col, " + ", ".join(f"{INDEX_SQL[x]} AS {x}" for x in ALL) + f", CAST(epoch_ms(CAST({_DAY} AS timestamp)) AS DOUBLE) AS date_band FROM px_s2", " ".join(ALL))
+@query("ix_all_s2", "SELECT scene_id, row, col, " + ", ".join(f"{INDEX_SQL[x]} AS {x}" for x in ALL) + f", CAST(epoch_ms(CAST({_DAY} AS timestamp)) AS DOUBLE) AS date_band FROM px_s2", exact=True)
 def ix_all_s2(spark, sf):
     df = ix.add_columns(dated(adapter(spark, sf, "px_s2")), ix.s2_indices())
     return df.select("scene_id", "row", "col", *ALL, F.unix_millis(c("date").cast("timestamp")).cast("double").alias("date_band"))
 
 
-@query("ix_ratio_s1", "SELECT scene_id, row, col, vh / nullif(vv, 0) AS RATIOVHVV, vh - vv AS RATIO_DB FROM px_s1", "RATIOVHVV RATIO_DB")
+@query("ix_ratio_s1", "SELECT scene_id, row, col, vh / nullif(vv, 0) AS RATIOVHVV, vh - vv AS RATIO_DB FROM px_s1", exact=True)
 def ix_ratio_s1(spark, sf):
     return adapter(spark, sf, "px_s1").select("scene_id", "row", "col", ix.ratio_vh_vv().alias("RATIOVHVV"), ix.ratio_vh_vv(db=True).alias("RATIO_DB"))
 
 
-@query("ix_all_s1", f"SELECT scene_id, row, col, vv AS VV, vh AS VH, vh / nullif(vv, 0) AS RATIOVHVV, CAST(epoch_ms(CAST({_DAY} AS timestamp)) AS DOUBLE) AS date_band FROM px_s1", "VV VH RATIOVHVV")
+@query("ix_all_s1", f"SELECT scene_id, row, col, vv AS VV, vh AS VH, vh / nullif(vv, 0) AS RATIOVHVV, CAST(epoch_ms(CAST({_DAY} AS timestamp)) AS DOUBLE) AS date_band FROM px_s1", exact=True)
 def ix_all_s1(spark, sf):
     df = dated(adapter(spark, sf, "px_s1"))
     return df.select("scene_id", "row", "col", c("vv").alias("VV"), c("vh").alias("VH"), ix.ratio_vh_vv().alias("RATIOVHVV"), F.unix_millis(c("date").cast("timestamp")).cast("double").alias("date_band"))

@@ -28,16 +28,19 @@ def with_adapters(sql: str) -> str:
     return f"WITH {views} {body}" if used else sql
 
 
-def query(name: str, sql: str | None = None, doubles: str = ""):
-    """Register a query; ``doubles`` names the twin's columns that are rounded."""
+def query(name: str, sql: str | None = None, doubles: str = "", exact: bool = False):
+    """Register a query; ``doubles`` names the twin's columns that are rounded, as sums may differ in their last digits.
+
+    ``exact``: doubles stay as they are, where both engines do the same operations in the same order.
+    """
 
     def put(f: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is there already")
-        QUERIES[name] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        QUERIES[name] = f if exact else lambda spark, sf_dir: _rounded(f(spark, sf_dir))
         if sql:
             inner = with_adapters(sql)
-            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({x}, 6) + 0.0 AS {x}' for x in doubles.split())}) FROM ({inner})" if doubles else inner
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({x}, 6) + 0.0 AS {x}' for x in doubles.split())}) FROM ({inner})" if doubles and not exact else inner
         return f
 
     return put

@@ -52,7 +52,7 @@ def geo_area(spark, sf):
 
 
 CORE_SQL = f"""box AS (SELECT parcel_id, min(least(x1, x2)) AS ax, max(greatest(x1, x2)) AS bx, min(least(y1, y2)) AS ay, max(greatest(y1, y2)) AS by_ FROM parcel_edges GROUP BY 1),
-    stepped AS (SELECT *, CASE WHEN (bx - ax) * (by_ - ay) > 20000 THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END AS step FROM box),
+    stepped AS (SELECT *, 1.0::DOUBLE AS step FROM box),
     xs AS (SELECT parcel_id, step, ay, by_, unnest(range(CAST(floor(ax / step) AS BIGINT), CAST(ceil(bx / step) AS BIGINT))) AS i FROM stepped),
     cells AS (SELECT parcel_id, step, i, unnest(range(CAST(floor(ay / step) AS BIGINT), CAST(ceil(by_ / step) AS BIGINT))) AS j FROM xs),
     points AS (SELECT parcel_id, step, i, j, (i + 0.5::DOUBLE) * step AS x, (j + 0.5::DOUBLE) * step AS y FROM cells),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -26,10 +27,14 @@ _MERGED = "SELECT date, geo, LST_eco, LST, VV, VH, RATIOVHVV FROM eco FULL JOIN
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all nodes see, or a local one where it is unset."""
+    """A new folder under ``spark.checkpoint.dir``, which all nodes see; where it is unset, a local one for a local master only."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        base = f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -119,6 +124,17 @@ def pl_run(spark, sf):
     return out.select("date", "geo", *_VALUES.split(), "year", "month")
 
 
+@query("pl_backfill", f"WITH {_S1}, {_ECO}, {_LS} SELECT date, geo, CASE WHEN month(date) = 7 THEN -1.0::DOUBLE ELSE LST_eco END AS LST_eco, CASE WHEN month(date) = 7 THEN NULL ELSE LST END AS LST, {_YM} FROM ({_MERGED}) WHERE date >= date '2025-06-01' AND date < date '2025-09-01' AND (month(date) <> 7 OR LST_eco IS NOT NULL)", "LST_eco LST")
+def pl_backfill(spark, sf):
+    """A month that is there stays as it is, whatever the sensors hold for it; those that are missing come."""
+    raw, out = shared_folder(spark, "raw"), shared_folder(spark, "merged")
+    found = sources(spark, sf)
+    there = {"ecostress": found["ecostress"].where(F.month("date") == 7).withColumn("LST_eco", F.lit(-1.0))}
+    files.write_partitioned(merge.outer_merge(there), out)
+    pipelines.run_pipeline(spark, found, raw, out, "2025-06-01", "2025-12-31", "2025-08-31")
+    return spark.read.option("mergeSchema", True).parquet(out).select("date", "geo", "LST_eco", "LST", "year", "month")
+
+
 @query("sink_parquet_ym", f"WITH {_S1} SELECT date, geo, VV, VH, {_YM} FROM s1", "VV VH")
 def sink_parquet_ym(spark, sf):
     path = shared_folder(spark, "sink")
@@ -141,4 +157,4 @@ def st_daily_meteo(spark, sf):
     events.select("ts", (c("user_id") % 16).alias("cell_id"), (c("value") % 40).alias("temp_c")).write.parquet(feed)
     stream = spark.readStream.schema("ts timestamp_ntz, cell_id long, temp_c double").parquet(feed)
     jobs.daily_meteo(stream, out, shared_folder(spark, "state"))
-    return spark.read.parquet(out)
+    return jobs.latest_meteo(spark, out)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vinegrid.config import DEFAULT_RING
 from vinegrid.operators.merge import with_year_month
@@ -14,65 +18,141 @@ c = F.col
 
 
 def parent_folder() -> Column:
-    """Name of the folder that holds the file."""
-    return F.regexp_extract(c("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    """Name of the source's folder that holds the file, with or without a folder for the month."""
+    return F.regexp_extract(c("_metadata.file_path"), "([^/]+)/(?:month=[^/]*/)?[^/]+$", 1)
+
+
+def _status(spark: SparkSession, pattern: str):
+    """File statuses of a path with wildcards, none if there is nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+
+
+def source_folders(spark: SparkSession, base: str, roi: str = "*") -> list[str]:
+    """Names of all source folders under ``base/<roi>``."""
+    return sorted({x.getPath().getName() for x in _status(spark, f"{base}/{roi}/*") if x.isDirectory()})
 
 
 def read_sources(spark: SparkSession, base: str, roi: str = "*") -> dict[str, DataFrame]:
-    """Time series of the CSV tree ``base/<roi>/<source>/*.csv``, by source; header blanks trimmed, rows that don't parse dropped.
+    """Time series of the CSV tree ``base/<roi>/<source>/**.csv``, by source, of whatever name; rows that don't parse are dropped.
 
-    Sources without a date are static and left out, as are folders with no file. ``.geo`` becomes ``geo``.
+    Files whose header has no ``date`` are static and left out, as are those without ``.geo``, which becomes ``geo``.
     """
-    found = {}
-    for source in EXPORT_COLUMNS:
-        df = read_csv(spark, f"{base}/{roi}/{source}", source)
-        if df is not None:
-            found[source] = df
-    return found
+    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source) for source in source_folders(spark, base, roi)}
+    return {k: v for k, v in found.items() if v is not None}
 
 
 def read_static(spark: SparkSession, base: str, roi: str = "*") -> dict[str, DataFrame]:
-    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source) for source in STATIC_COLUMNS}
+    """The tree's files without a date, by source."""
+    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source, static=True) for source in source_folders(spark, base, roi)}
     return {k: v for k, v in found.items() if v is not None}
 
 
-def read_csv(spark: SparkSession, path: str, source: str) -> DataFrame | None:
-    """CSV files under a folder with the source's schema; columns are matched by their trimmed header."""
-    schema = export_schema(source)
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("escape", '"').option("header", True).option("mode", "PERMISSIVE")
+#: Layouts (different headers) of one source's files at most; each is a branch of one expression.
+MAX_LAYOUTS = 256
+
+
+def _layouts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[str]] | None:
+    """(file, header line) of all CSV files under a path, and the distinct header lines; None if there is no file.
+
+    The first line of a file is the one with the lowest row number of its first block's task.
+    """
     try:
-        raw = reader.csv(path)
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", True).text(paths)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    raw = raw.toDF(*[x.strip() for x in raw.columns])
-    there = {x: x for x in raw.columns}
-    typed = [(F.try_to_date(c("date")) if f.name == "date" else c(f"`{there[f.name]}`").try_cast(f.dataType) if f.name in there else F.lit(None).cast(f.dataType)).alias("geo" if f.name == ".geo" else f.name) for f in schema.fields]
+    first = lines.where("_metadata.file_block_start = 0").select(c("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = first.groupBy("_file").agg(F.min_by("value", "n").alias("_header"))
+    distinct = [r[0] for r in heads.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if len(distinct) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers under {paths}")
+    return heads, sorted(distinct)
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False) -> DataFrame | None:
+    """CSV files under a folder, each file's columns matched by its own trimmed header; None if there is no file that fits.
+
+    A source without a known schema gets its value columns, as doubles, from the headers. Columns that a file lacks are null.
+    Files that can't be read and headers without ``.geo``, or without ``date`` (with it, for ``static``), are left out.
+    """
+    found = _layouts(spark, paths)
+    if found is None:
+        return None
+    heads, lines = found
+    names = {line: [x.strip().strip("\ufeff") for x in next(csv.reader([line]), [])] for line in lines}
+    fits = {line: cells for line, cells in names.items() if ".geo" in cells and ("date" in cells) != static}
+    if not fits:
+        return None
+    if source in (STATIC_COLUMNS if static else EXPORT_COLUMNS):
+        fields = [(f.name, f.dataType) for f in export_schema(source).fields]
+    else:
+        values = list(dict.fromkeys(x for cells in fits.values() for x in cells if x not in ("date", ".geo", "")))
+        fields = [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values), (".geo", T.StringType())]
+    cells = [f"_c{k}" for k in range(max(map(len, fits.values())))]
+    reader = spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    raw = reader.option("escape", '"').option("header", len(names) == 1).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(paths)
+    if len(names) > 1:  # as many rows as files on the right
+        raw = raw.withColumn("_file", c("_metadata.file_path")).join(heads.where(c("_header").isin(list(fits))), "_file")
+        itself = lambda line: F.array(*cells[: len(fits[line])]) == F.array(*[F.lit(x) for x in next(csv.reader([line]))])
+        raw = raw.where(~F.coalesce(*[F.when(c("_header") == line, itself(line)) for line in fits], F.lit(False)))
+
+    def column(name: str) -> Column:
+        at = {line: cells[own.index(name)] for line, own in fits.items() if name in own}
+        if len(names) == 1:
+            return c(next(iter(at.values()))) if at else F.lit(None).cast("string")
+        return F.coalesce(*[F.when(c("_header") == line, c(x)) for line, x in at.items()], F.lit(None).cast("string"))
+
+    typed = [(F.try_to_date(column(n)) if n == "date" else column(n).try_cast(kind)).alias("geo" if n == ".geo" else n) for n, kind in fields]
     out = raw.select(*typed)
-    return out.where(c("date").isNotNull()) if source in EXPORT_COLUMNS else out
+    return out if static else out.where(c("date").isNotNull())
 
 
 def write_csv(df: DataFrame, base: str, roi: str, source: str) -> None:
-    """Append a source's export to ``base/<roi>/<source>``, with header and quoted GeoJSON."""
+    """Write a source's export to ``base/<roi>/<source>``, with header and quoted GeoJSON, a folder for each month.
+
+    The months at hand are replaced, so an export that is run again leaves no row twice; a static one is replaced as a whole. An
+    export without rows leaves the header alone if there is nothing else yet.
+    """
+    path = f"{base}/{roi}/{source}"
+    fields = [f.name for f in export_schema(source).fields]
+    out = df.select(*[c("geo").alias(".geo") if x == ".geo" else c(x) for x in fields])
+    put = lambda frame, mode: frame.write.mode(mode).option("header", True).option("escape", '"')
+    if "date" not in fields:
+        put(out, "overwrite").csv(path)
+        return
+    put(out.withColumn("month", F.date_format("date", "yyyy-MM")), "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").csv(path)
+    if not len(_status(spark := df.sparkSession, f"{path}/month=*")) and not len(_status(spark, f"{path}/*.csv")):
+        put(out.limit(0), "append").csv(path)
+
+
+def write_single(df: DataFrame, path: str, source: str) -> None:
+    """Write an export to one folder of its own, replacing what is there."""
     columns = [c("geo").alias(".geo") if f.name == ".geo" else c(f.name) for f in export_schema(source).fields]
-    df.select(*columns).write.mode("append").option("header", True).option("escape", '"').csv(f"{base}/{roi}/{source}")
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def csv_rows(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """Files of one layout as they are, as text or with the types that Spark infers."""
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", infer).csv(path)
 
 
-def write_partitioned(df: DataFrame, path: str, day: str = "date") -> None:
-    """Parquet by year and month; only the months at hand are replaced."""
+def write_partitioned(df: DataFrame, path: str, day: str = "date", parts: int = 16) -> None:
+    """Parquet by year and month; only the months at hand are replaced.
+
+    A month's rows are dealt to up to ``parts`` tasks by a hash of the row, so that one month is no single task.
+    """
     out = with_year_month(df, day)
-    out.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+    dealt = out.withColumn("_salt", salt).repartition("year", "month", "_salt").drop("_salt")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 
 
 def partitions(spark: SparkSession, path: str) -> DataFrame:
-    """(year, month) of the months that have rows; empty if there is no dataset yet."""
-    try:
-        return spark.read.parquet(path).select(c("year").cast("int"), c("month").cast("int")).distinct()
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return spark.createDataFrame([], "year int, month int")
-        raise
+    """(year, month) of the months that have a folder with files, by their names alone; empty if there is no dataset yet."""
+    found = {(int(m[1]), int(m[2])) for x in _status(spark, f"{path}/year=*/month=*/*.parquet") if (m := re.search(r"year=(\d+)/month=(\d+)/", x.getPath().toString()))}
+    return spark.createDataFrame(sorted(found), "year int, month int")
 
 
 def read_ring(spark: SparkSession, path: str | None = None) -> list[tuple[float, float]]:

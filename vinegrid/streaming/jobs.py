@@ -6,30 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinegrid.operators.merge import outer_merge
-from vinegrid.schema import export_schema
 from vinegrid.sources import files
 
 c = F.col
 
 
-def ingest_csv(spark: SparkSession, raw: str, out: str, checkpoint: str, roi: str = "*", source: str = "sentinel_1") -> None:
-    """When new CSVs of a source arrive, merge the months that they touch anew, from all sources, and replace those months.
+def ingest_csv(spark: SparkSession, raw: str, out: str, checkpoint: str, roi: str = "*", files_per_batch: int = 1000) -> None:
+    """When new CSVs of any source arrive, merge the months that they touch anew, from all sources, and replace those months.
 
-    The outer merge is not append-only, so touched months are recomputed, never appended to.
+    The outer merge is not append-only, so touched months are recomputed, never appended to. A batch's new files, at most
+    ``files_per_batch``, are read by their own headers.
     """
 
     def touched(batch: DataFrame, _: int) -> None:
-        months = batch.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct()
+        new: dict[str, list[str]] = {}
+        for row in batch.select("source", "file").distinct().collect():  # as many rows as a batch has files
+            new.setdefault(row["source"], []).append(row["file"])
+        days = [df.select("date") for source, paths in new.items() if (df := files.read_csv(spark, paths, source)) is not None]
+        if not days:
+            return
+        months = days[0]
+        for more in days[1:]:
+            months = months.union(more)
+        months = months.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct()
         sources = files.read_sources(spark, raw, roi)
         due = {k: v.join(F.broadcast(months), (F.year("date") == c("year")) & (F.month("date") == c("month")), "left_semi") for k, v in sources.items()}
         files.write_partitioned(outer_merge(due), out)
 
-    new = spark.readStream.schema(export_schema(source)).option("header", True).option("escape", '"').csv(f"{raw}/{roi}/{source}")
+    lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch).text(f"{raw}/{roi}/*")
+    new = lines.select(files.parent_folder().alias("source"), c("_metadata.file_path").alias("file"))
     new.writeStream.foreachBatch(touched).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def daily_meteo(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Daily temperature statistics of a stream (ts, cell_id, temp_c), kept up to date as Parquet; late rows up to a day count."""
+    """Daily temperature statistics of a stream (ts, cell_id, temp_c); read them with ``latest_meteo``.
+
+    Update mode: each batch writes the days that it changed, in a folder of its own, which a batch that is run again replaces.
+    Rows of over a day behind the newest one seen in earlier batches are too late and left out, and closed days leave the state.
+    """
     daily = (
         stream.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", "1 day")
         .groupBy("cell_id", F.window("ts", "1 day").alias("w"))
@@ -37,7 +51,13 @@ def daily_meteo(stream: DataFrame, out: str, checkpoint: str) -> None:
         .select("cell_id", F.to_date("w.start").alias("date"), "MIN_TEMP_C", "MEAN_TEMP_C", "MAX_TEMP_C")
     )
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    daily.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    daily.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def latest_meteo(spark: SparkSession, out: str) -> DataFrame:
+    """Each cell's days as the last batch that changed them left them."""
+    values = F.struct("MIN_TEMP_C", "MEAN_TEMP_C", "MAX_TEMP_C")
+    return spark.read.parquet(out).groupBy("cell_id", "date").agg(F.max_by(values, "batch").alias("v")).select("cell_id", "date", "v.*")
