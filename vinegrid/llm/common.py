@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; a local one where it is unset, for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
@@ -139,13 +141,20 @@ def local_roots(n: int, i, j):
 def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``_key``: the id itself where ids are unique and not null, else ranks of (id, text's hash), a null id first.
 
-    Rows that repeat both id and text are one document and share their key.
+    Rows that repeat both id and text are one document and share their key. Ranks are row numbers within ranges of the order,
+    put together from the ranges' counts, of which there are as many as shuffle partitions.
     """
     doc_id = F.col(id_col).cast("long")
     if docs.groupBy(doc_id.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").isEmpty():
         return docs.withColumn("_key", doc_id)
+    spark = docs.sparkSession
     hashed = docs.withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    pairs = hashed.select(doc_id.alias("i"), "_h").distinct().orderBy(F.asc_nulls_first("i"), "_h")
-    ranks = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_i long, _g string, _key long")
-    ranks = materialize(ranks, "doc-keys")
+    order = [F.asc_nulls_first("_i"), F.asc("_g")]
+    pairs = hashed.select(doc_id.alias("_i"), F.col("_h").alias("_g")).distinct().repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = materialize(pairs.withColumn("_part", F.spark_partition_id()), "doc-ranges")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranks = materialize(ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_part").select("_i", "_g", (F.col("_before") + F.col("_nth") - 1).alias("_key")), "doc-keys")
     return hashed.join(ranks, doc_id.eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).drop("_i", "_g", "_h")

@@ -1,8 +1,9 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
 
-A passage that stands within a longer paragraph changes too little of it for that: such passages show as equal runs of WINDOW
-words, which start at words picked by their content and go through the same buckets. Runs that repeat are seeds: all runs that
-overlap one, at any word, are compared next, so the passage goes as a whole, up to its first and last word.
+Two kinds of paragraphs are banded: the lines of a text, and pieces of PIECE words that start at words picked by their content,
+so that a passage within longer lines has the same pieces wherever it stands. A piece that repeats ends where the pick ends it,
+not where the passage does, so each repeated stretch is then compared, word by word, with what surrounds its first copy, and
+goes up to its first and last word.
 """
 
 from __future__ import annotations
@@ -15,22 +16,27 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, sliced, table
+from vinegrid.llm.trie import trie_pairs
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-#: Paragraphs of fewer words are left alone: short lines repeat by chance.
+#: Lines of fewer words are left alone, but for pieces that they are part of: short lines repeat by chance.
 MIN_WORDS = 20
-#: Words of a run that counts as a passage. Of each so many words in a row one starts a run, so any passage of 2 * WINDOW - 1
-#: words (51) holds a whole run, the same one wherever the passage stands.
-WINDOW = 26
+#: Words of a piece. Of each so many words in a row one starts a piece, so any passage of 2 * PIECE - 1 words (51) holds a whole
+#: piece, the same one wherever the passage stands. Pieces have bands of their own: there are many, most without a copy.
+PIECE = 26
+PIECE_RECALL = 0.95
+PIECE_HASHES = 6
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
 TILE = 512
+#: Differing bits up to which whole texts are candidates (see simhash.keep_one_of_group).
+TEXT_BUDGET = 24
 #: Words that are hashed at once, and entries of a worker's cache of word hashes.
 WORDS = 1 << 17
 CACHE = 150_000
@@ -99,8 +105,8 @@ def _whole(text: str | None) -> list[str]:
     return [text or ""]
 
 
-def window_starts(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """Places of the words that start a run, in texts laid end to end (low, high: their ranges).
+def piece_starts(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = PIECE) -> np.ndarray:
+    """Places of the words that start a piece, in texts laid end to end (low, high: their ranges).
 
     A word is picked if it has the smallest hash, the first of equals, of any ``width`` words in a row of its text.
     """
@@ -119,178 +125,208 @@ def window_starts(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: i
     return picked[picked + width <= end[picked]]
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the run of words from each start."""
-    one, two = np.zeros(len(starts), np.uint64), np.ones(len(starts), np.uint64)
+def piece_hashes(words: np.ndarray, starts: np.ndarray, width: int = PIECE) -> np.ndarray:
+    """A hash of the ``width`` words from each start."""
+    code = np.ones(len(starts), np.uint64)
     for k in range(width):
-        word = words[starts + k]
-        one = (one ^ word) * np.uint64(0x9E3779B97F4A7C15)
-        one ^= one >> np.uint64(29)
-        two = (two + word) * np.uint64(0xD6E8FEB86659FD93)
-        two ^= two >> np.uint64(32)
-    return one, two
+        code = (code + words[starts + k]) * np.uint64(0xD6E8FEB86659FD93)
+        code ^= code >> np.uint64(32)
+    return code
 
 
-#: Marks, in place of a band, of runs of words and of runs that the batch holds earlier (less the first word's number there).
-RUN, KNOWN_RUN = -1, -2
+def piece_keys(codes: np.ndarray, starts: np.ndarray, rows: int, bands: int, shingles: int) -> np.ndarray:
+    """Pieces x bands, as band_keys; codes: hashes of the shingles from each word of the texts."""
+    part = codes[starts + np.arange(shingles)[:, None]]
+    keys = np.empty((len(starts), bands), np.uint64)
+    mult = _multipliers(rows * bands)
+    for band in range(bands):
+        key = np.full(len(starts), np.uint64(1000 + band))
+        for k in range(rows):
+            key = (key ^ (part * mult[band * rows + k]).min(axis=0)) * np.uint64(0xD6E8FEB86659FD93)
+            key ^= key >> np.uint64(32)
+        keys[:, band] = key
+    return keys
 
 
-def around_seeds(seeds: np.ndarray, n: int, width: int = WINDOW) -> np.ndarray:
-    """Starts of all runs of a text of ``n`` words that overlap a run from one of those words."""
-    starts = np.unique(seeds[:, None] + np.arange(1 - width, width))
-    return starts[(starts >= 0) & (starts <= n - width)]
+def fingerprint(codes: np.ndarray) -> int:
+    """SimHash of the shingles' hashes, as signed 64-bit integer."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(codes), 1 << 16):
+        part = codes[low : low + (1 << 16)] * np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(31)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(codes)).view(np.int64)[0])
 
 
-def run_rows(bucket: np.ndarray, code: np.ndarray, key: np.ndarray, par: np.ndarray) -> list[list[np.ndarray]]:
-    """Rows (bucket, hash, key, par, band) of runs of words; of equal runs only the first looks for others."""
-    order = np.lexsort((par, key, code, bucket))
-    bucket, code, key, par = (x[order] for x in (bucket, code, key, par))
-    first = np.ones(len(bucket), bool)
-    first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    later = ~first & ((key != key[lead]) | (par != par[lead]))
-    return [
-        [bucket[first], code[first], key[first], par[first], np.full(int(first.sum()), RUN)],
-        # known runs only travel along, dealt out evenly; the places of hash and band hold the first run's key and word
-        [key[later] * 31 + par[later], key[lead[later]], key[later], par[later], KNOWN_RUN - par[lead[later]]],
-    ]
+# A paragraph's place is (key, par): par is 2 * n for line n, 2 * n + 1 for a piece from word n on, and a whole text's fingerprint.
+_ROW = ["bucket", "hash", "key", "par", "band"]
 
 
-def _banded(rows: int, bands: int, min_words: int, shingle: int, whole: bool = False):
+def _banded(min_words: int, shingle: int, lines: tuple[int, int], pieces: tuple[int, int], whole: bool = False):
     split = _whole if whole else paragraphs
 
+    def rows_of(keys: np.ndarray, code: np.ndarray, key: np.ndarray, par: np.ndarray) -> list[np.ndarray]:
+        bands = keys.shape[1]
+        own = np.repeat(code[:, None], bands, axis=1)
+        own[:, 1:] >>= np.uint64(32)  # copies go by the first band; in the others half a hash, which packs better, tells classes apart
+        return [keys.view(np.int64).ravel(), own.view(np.int64).ravel(), np.repeat(key, bands), np.repeat(par, bands), np.tile(np.arange(bands), len(key))]
+
+    def known(first_key: np.ndarray, first_par: np.ndarray, key: np.ndarray, par: np.ndarray) -> list[np.ndarray]:
+        """Copies of a paragraph of the batch only travel along, dealt out evenly; hash and band hold the first place."""
+        return [key * 31 + par * 0x9E3779B9, first_key, key, par, np.full(len(key), -1) if whole else -1 - first_par]
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (bucket, words' hash, key, paragraph) for each band of each paragraph. Of equal paragraphs of a batch the first
-        goes on with all bands, the others with the first band only, as copies of it. A row for each run of words, too, its
-        first word's number for the paragraph's; of equal runs of a batch only the first looks for others. With ``whole``, texts
-        are banded as they are, and there are no runs."""
+        """A row (bucket, words' hash, key, par, band) for each band of each line and piece. Of equal ones of a batch only the
+        first is banded, the others are known as its copies. With ``whole``, texts are banded as they are, without pieces."""
         for batch in sliced(batches, 2000):
             out: list[list[np.ndarray]] = []
-            first_bucket: dict[int, int] = {}
-            copies: list[tuple[int, int, int]] = []
-            runs: list[list[np.ndarray]] = []
+            places: dict[int, tuple[int, int]] = {}
+            copies: list[tuple[int, int, int, int]] = []
+            cut: list[list[np.ndarray]] = []
             texts: list[tuple[int, np.ndarray]] = []
             held: list[tuple[int, int, int, np.ndarray]] = []
             size = 0
 
             def flush() -> None:
                 if held:
-                    keys = band_keys([h[3] for h in held], rows, bands, shingle).view(np.int64)
-                    hashes = np.array([h[0] for h in held], np.uint64).view(np.int64)
-                    out.append([keys.ravel(), np.repeat(hashes, bands), np.repeat(np.array([h[1] for h in held], np.int64), bands), np.repeat(np.array([h[2] for h in held], np.int64), bands), np.tile(np.arange(bands), len(held))])
-                    first_bucket.update({h[0]: keys[k, 0] for k, h in enumerate(held)})
+                    hashes, keys, pars = np.array([h[0] for h in held], np.uint64), *(np.array([h[k] for h in held], np.int64) for k in (1, 2))
+                    out.append(rows_of(band_keys([h[3] for h in held], *lines, shingle), hashes, keys, pars))
                 if texts:
                     words = np.concatenate([w for _, w in texts])
                     high = np.cumsum([len(w) for _, w in texts])
                     low = high - np.array([len(w) for _, w in texts])
-                    starts = window_starts(words, low, high)
-                    bucket, code = window_hashes(words, starts)
+                    starts = piece_starts(words, low, high)
                     owner = np.searchsorted(high, starts, "right")
-                    runs.append([bucket.view(np.int64), code.view(np.int64), np.array([k for k, _ in texts], np.int64)[owner], starts - low[owner]])
+                    at = 2 * (starts - low[owner]) + 1
+                    cut.append([piece_keys(shingle_hashes(words, shingle), starts, *pieces, PIECE - shingle + 1), piece_hashes(words, starts), np.array([k for k, _ in texts], np.int64)[owner], at])
                 held.clear()
                 texts.clear()
 
             for key, at in sorted(zip(batch.column(0).to_pylist(), range(batch.num_rows))):
-                lines = [word_hashes(line) for line in split(batch.column(1)[at].as_py())]
+                found = [word_hashes(line) for line in split(batch.column(1)[at].as_py())]
                 if not whole:
-                    texts.append((key, np.concatenate(lines)))
-                size += sum(map(len, lines))
-                for n, words in enumerate(lines):
+                    texts.append((key, np.concatenate(found)))
+                size += sum(map(len, found))
+                for n, words in enumerate(found):
                     if len(words) < min_words:
                         continue
                     if not len(words):  # all texts without words are equal
                         words = np.zeros(1, np.uint64)
                     own = xxhash.xxh3_64_intdigest(words.tobytes())
-                    if own in first_bucket:
-                        copies.append((own, key, n))
+                    par = fingerprint(shingle_hashes(words, shingle)) if whole else 2 * n
+                    if own in places:
+                        copies.append((*places[own], key, par))
                     else:
-                        first_bucket[own] = 0
-                        held.append((own, key, n, words))
+                        places[own] = key, par
+                        held.append((own, key, par, words))
                 if size >= WORDS:
                     flush()
                     size = 0
             flush()
             if copies:
-                hashes = np.array([c[0] for c in copies], np.uint64).view(np.int64)
-                out.append([np.array([first_bucket[c[0]] for c in copies], np.int64), hashes, np.array([c[1] for c in copies], np.int64), np.array([c[2] for c in copies], np.int64), np.zeros(len(copies), np.int64)])
-            if runs:
-                out += run_rows(*(np.concatenate(x) for x in zip(*runs)))
+                out.append(known(*(np.array(x, np.int64) for x in zip(*copies))))
+            if cut:
+                keys, code, key, par = (np.concatenate(x) for x in zip(*cut))
+                order = np.lexsort((par, key, code))
+                keys, code, key, par = (x[order] for x in (keys, code, key, par))
+                first = np.ones(len(code), bool)
+                first[1:] = code[1:] != code[:-1]
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+                later = ~first & ((key != key[lead]) | (par != par[lead]))
+                out.append(rows_of(keys[first], code[first], key[first], par[first]))
+                out.append(known(key[lead[later]], par[lead[later]], key[later], par[later]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["bucket", "hash", "key", "par", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=_ROW)
 
     return banded
 
 
-#: Kinds of rows: an equal paragraph of an earlier one; a candidate pair; a paragraph of a bucket too large for pairs; a run of
-#: words that is there earlier.
-COPY, PAIR, LARGE, PASSAGE = 0, 1, 2, 3
+#: Kinds of rows: a copy of the first equal paragraph; a copy of the first one of its batch; a candidate pair; a paragraph of a
+#: bucket too large for pairs.
+COPY, KNOWN, PAIR, LARGE = 0, 1, 2, 3
 _FOUND = "kind int, bucket long, key_a long, par_a long, key_b long, par_b long"
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets sorted by (bucket, hash, key, par) to copies, candidate pairs and members of large buckets."""
-    for part in grouped_batches(batches, 1):
-        bucket, code, key, par, band = (part.column(k).to_numpy() for k in range(5))
-        known = band <= KNOWN_RUN
-        zero = np.zeros(int(known.sum()), np.int64)
-        passed = [zero + PASSAGE, zero, key[known], par[known], code[known], KNOWN_RUN - band[known]]
-        bucket, code, key, par, band = (x[~known] for x in (bucket, code, key, par, band))
-        first = np.ones(len(bucket), bool)
-        first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        copy = np.flatnonzero(~first & (band == 0) & ((key != key[lead]) | (par != par[lead])))
-        zero = np.zeros(len(copy), np.int64)
-        rows = [passed, [zero + COPY, zero, key[copy], par[copy], key[lead[copy]], par[lead[copy]]]]
-        run = np.flatnonzero(~first & (band == RUN) & ((key != key[lead]) | (par != par[lead])))
-        zero = np.zeros(len(run), np.int64)
-        rows.append([zero + PASSAGE, zero, key[run], par[run], key[lead[run]], par[lead[run]]])
-        own = np.flatnonzero(first & (band != RUN))
-        new = np.ones(len(own) + 1, bool)
-        new[1:-1] = bucket[own[1:]] != bucket[own[:-1]]
-        edge = np.flatnonzero(new)
-        size = np.diff(edge)
-        for n in np.unique(size):
-            at = edge[:-1][size == n]
-            if 2 <= n <= PAIRED:
-                i, j = (np.array(x) for x in zip(*combinations(range(n), 2)))
-                a, b = own[(at[:, None] + i).ravel()], own[(at[:, None] + j).ravel()]
-                turn = (key[a] > key[b]) | ((key[a] == key[b]) & (par[a] > par[b]))
-                a, b = np.where(turn, b, a), np.where(turn, a, b)
-                rows.append([np.full(len(a), PAIR), np.zeros(len(a), np.int64), key[a], par[a], key[b], par[b]])
-            elif n > PAIRED:
-                a = own[(at[:, None] + np.arange(n)).ravel()]
-                zero = np.zeros(len(a), np.int64)
-                rows.append([zero + LARGE, bucket[a], key[a], par[a], zero, zero])
-        kind, *others = (np.concatenate(x) for x in zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in others)], names=["kind", "bucket", "key_a", "par_a", "key_b", "par_b"])
+def _apart(key_a: np.ndarray, par_a: np.ndarray, key_b: np.ndarray, par_b: np.ndarray) -> np.ndarray:
+    """Pieces of a text that overlap are no pair."""
+    return (key_a != key_b) | (par_a % 2 == 0) | (np.abs(par_b - par_a) >= 2 * PIECE)
+
+
+def _bucketed(whole: bool = False):
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets sorted by (bucket, hash, key, par) to copies, candidate pairs and members of large buckets."""
+        for part in grouped_batches(batches, 1):
+            bucket, code, key, par, band = (part.column(k).to_numpy() for k in range(5))
+            known = band < 0
+            zero = np.zeros(int(known.sum()), np.int64)
+            rows = [[zero + KNOWN, zero, key[known], par[known], code[known], par[known] if whole else -1 - band[known]]]
+            bucket, code, key, par, band = (x[~known] for x in (bucket, code, key, par, band))
+            first = np.ones(len(bucket), bool)
+            first[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            copy = np.flatnonzero(~first & (band == 0) & ((key != key[lead]) | (par != par[lead])))
+            zero = np.zeros(len(copy), np.int64)
+            rows.append([zero + COPY, zero, key[copy], par[copy], key[lead[copy]], par[lead[copy]]])
+            own = np.flatnonzero(first)
+            if whole:  # by fingerprint, as the trie's self-join needs them
+                own = own[np.lexsort((par[own].view(np.uint64), bucket[own]))]
+            new = np.ones(len(own) + 1, bool)
+            new[1:-1] = bucket[own[1:]] != bucket[own[:-1]]
+            edge = np.flatnonzero(new)
+            size = np.diff(edge)
+            pairs = [np.zeros((2, 0), np.int64)]
+            if whole:
+                node = np.stack([edge[:-1], edge[1:]], 1)[(size > 1) & (size <= PAIRED)]
+                zero = np.zeros(len(node), np.int64)
+                pairs.append(np.stack(trie_pairs(par[own].view(np.uint64), node, node, zero, zero, TEXT_BUDGET)))
+            else:
+                for n in np.unique(size[(size > 1) & (size <= PAIRED)]):
+                    at = edge[:-1][size == n]
+                    i, j = (np.array(x) for x in zip(*combinations(range(n), 2)))
+                    pairs.append(np.stack([(at[:, None] + i).ravel(), (at[:, None] + j).ravel()]))
+            a, b = own[np.concatenate(pairs, axis=1)]
+            turn = (key[a] > key[b]) | ((key[a] == key[b]) & (par[a] > par[b]))
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            apart = _apart(key[a], par[a], key[b], par[b])
+            a, b = a[apart], b[apart]
+            zero = np.zeros(len(a), np.int64)
+            rows.append([zero + PAIR, zero, key[a], par[a], key[b], par[b]])
+            a = own[np.repeat(size > PAIRED, size)]
+            zero = np.zeros(len(a), np.int64)
+            rows.append([zero + LARGE, bucket[a], key[a], par[a], zero, zero])
+            kind, *others = (np.concatenate(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in others)], names=["kind", "bucket", "key_a", "par_a", "key_b", "par_b"])
+
+    return bucketed
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """Word hashes in 32 bits, for comparisons side by side."""
+    return (words >> np.uint64(32)).astype(np.uint32)
 
 
 def _looked_up(shingle: int, whole: bool = False):
     split = _whole if whole else paragraphs
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingles of the wanted paragraphs, and a row (bucket, hash, key, par, band) for each run that overlaps a seed."""
+        """The shingles of the wanted paragraphs, and of the wanted pieces the words before (nearest first) and behind them."""
         for batch in sliced(batches):
-            out: list[list] = [[], [], []]
-            runs: list[list[np.ndarray]] = []
-            for key, text, wanted, seeds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                lines = split(text.as_py())
-                for n in wanted:
-                    for column, x in zip(out, (key, n, np.unique(shingle_hashes(word_hashes(lines[n]), shingle)).tobytes())):
+            out: list[list] = [[], [], [], [], []]
+            for key, text, wanted, around in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = [word_hashes(line) for line in split(text.as_py())]
+                words = np.concatenate(found)
+                for par in wanted:
+                    part = words if whole else found[par // 2] if par % 2 == 0 else words[par // 2 : par // 2 + PIECE]
+                    part = part if len(part) else np.zeros(1, np.uint64)
+                    for column, x in zip(out, (key, par, np.unique(shingle_hashes(part, shingle)).tobytes(), None, None)):
                         column.append(x)
-                if seeds:
-                    words = np.concatenate([word_hashes(line) for line in lines])
-                    starts = around_seeds(np.array(seeds), len(words))
-                    bucket, code = window_hashes(words, starts)
-                    runs.append([bucket.view(np.int64), code.view(np.int64), np.full(len(starts), key), starts])
-            columns = [pa.nulls(len(out[0]), pa.int64())] * 2 + [pa.array(x, pa.int64()) for x in out[:2]] + [pa.nulls(len(out[0]), pa.int64()), pa.array(out[2], pa.binary())]
-            names = ["bucket", "hash", "key", "par", "band", "shingles"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            if runs:
-                rows = [np.concatenate(x).astype(np.int64) for x in zip(*run_rows(*(np.concatenate(x) for x in zip(*runs))))]
-                for low in range(0, len(rows[0]), WORDS):
-                    part = [pa.array(x[low : low + WORDS]) for x in rows]
-                    yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], names=names)
+                for par in around:
+                    at = par // 2
+                    before, behind = _short(words[max(at - PIECE + 1, 0) : at][::-1]), _short(words[at + PIECE : at + 2 * PIECE - 1])
+                    for column, x in zip(out, (key, par, None, before.tobytes(), behind.tobytes())):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "par", "shingles", "before", "behind"])
 
     return looked_up
 
@@ -328,6 +364,8 @@ def _tile_links(threshold: float):
             block[row[a:b], column[a:b] - low] = 1
             shared += block @ block.T
         i, j = np.nonzero(np.triu(shared >= threshold * (size[:, None] + size - shared), 1))
+        apart = _apart(key[i], par[i], key[j], par[j])
+        i, j = i[apart], j[apart]
         order = np.lexsort((par, key))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -342,33 +380,43 @@ def _tile_links(threshold: float):
 _ENDS = ["key_a", "par_a", "key_b", "par_b"]
 
 
-def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> DataFrame:
-    """``(key, par, first_key, passage)`` of each paragraph, or run of words (passage), that has a copy earlier in the corpus.
+def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """``(key, par, first_key)`` of each line or piece that has a copy earlier in the corpus, and what surrounds pieces.
+
+    keyed: (_key, text). Lines of ``min_words`` words or more and pieces are banded; equal ones of a bucket are one class, named
+    by its first place, and all but that go. Classes that meet in a band are verified by the exact Jaccard similarity of their word shingles: small
+    buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components of
+    classes, and the first place of each is not in the result. first_key: a text that holds the like earlier. With ``whole``, texts are taken as one paragraph each, without pieces, and
+    of the texts of a small bucket only those are verified whose fingerprints differ in TEXT_BUDGET bits at most, found by the
+    self-join of the fingerprints' trie.
 
-    keyed: (_key, text). Paragraphs of ``min_words`` words or more are banded; equal paragraphs of a bucket are one class, named
-    by its first place. Classes that meet in a band are verified by the exact Jaccard similarity of their word shingles: small
-    buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components, and
-    the first paragraph of each is not in the result. For a passage, par is the number of its first word in the text; equal
-    runs of words, by two hashes of 64 bits, are one class, of which the first stays. Runs are looked for at picked words first,
-    then at all words around those that repeat; a passage of 2 * WINDOW - 1 words holds a picked run, so all of it is covered. With ``whole``, texts are taken as one
-    paragraph each, and there are no passages.
+    The second table has ``(key, start, before, behind)`` for each repeated piece without another one right before or behind
+    it in its text: up to PIECE - 1 words, as 32-bit hashes, on either side of its first copy. Null with ``whole``.
     """
-    rows, bands = tune_bands(threshold, recall)
+    lines, pieces = tune_bands(threshold, recall), tune_bands(threshold, PIECE_RECALL, PIECE_HASHES)
     thin = keyed.select(F.col("_key").alias("key"), "text")
-    banded = thin.mapInArrow(_banded(rows, bands, min_words, shingle, whole), "bucket long, hash long, key long, par long, band long")
-    found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND), "par-found", release=True)
+    banded = thin.mapInArrow(_banded(min_words, shingle, lines, pieces, whole), "bucket long, hash long, key long, par long, band long")
+    found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed(whole), _FOUND), "par-found", release=True)
     pairs = materialize(found.where(F.col("kind") == PAIR).select(*_ENDS).distinct(), "par-pairs")
     large = found.where(F.col("kind") == LARGE).select("bucket", F.col("key_a").alias("key"), F.col("par_a").alias("par"))
     wanted = pairs.select(F.col("key_a").alias("key"), F.col("par_a").alias("par")).union(pairs.select("key_b", "par_b")).union(large.select("key", "par")).distinct()
-    passed = found.where(F.col("kind") == PASSAGE)
-    seeds = passed.select(F.col("key_a").alias("key"), F.col("par_a").alias("seed")).union(passed.select("key_b", "par_b")).distinct()
-    both = wanted.select("key", "par", F.lit(None).cast("long").alias("seed")).union(seeds.select("key", F.lit(None).cast("long"), "seed"))
-    by_text = both.groupBy("key").agg(F.collect_list("par").alias("wanted"), F.collect_list("seed").alias("seeds"))
-    looked_up = thin.join(by_text, "key").mapInArrow(_looked_up(shingle, whole), "bucket long, hash long, key long, par long, band long, shingles binary")
+    copies = found.where(F.col("kind").isin(COPY, KNOWN)).select(*_ENDS)
+    null = F.lit(None).cast("long")
+    requests = wanted.select("key", F.col("par").alias("wanted"), null.alias("around"))
+    if not whole:
+        place = Window.partitionBy("key").orderBy("par")
+        ends = copies.where("par_a % 2 = 1").select(F.col("key_a").alias("key"), F.col("par_a").alias("par"), "key_b", "par_b")
+        ends = ends.withColumn("gap_before", F.col("par") - F.lag("par").over(place)).withColumn("gap_behind", F.lead("par").over(place) - F.col("par"))
+        ends = ends.where(f"coalesce(gap_before, {2 * PIECE + 1}) > {2 * PIECE} OR coalesce(gap_behind, {2 * PIECE + 1}) > {2 * PIECE}")
+        # the first of a batch may have its first copy elsewhere
+        up = found.where((F.col("kind") == COPY) & (F.col("par_a") % 2 == 1)).select(F.col("key_a").alias("key_b"), F.col("par_a").alias("par_b"), F.col("key_b").alias("key_c"), F.col("par_b").alias("par_c"))
+        ends = ends.join(up, ["key_b", "par_b"], "left").select("key", "par", F.coalesce("key_c", "key_b").alias("key_b"), F.coalesce("par_c", "par_b").alias("par_b"))
+        ends = materialize(ends, "par-ends")
+        requests = requests.union(ends.select(F.col("key_b").alias("key"), null, F.col("par_b")).distinct())
+    by_text = requests.groupBy("key").agg(F.collect_list("wanted").alias("wanted"), F.collect_list("around").alias("around"))
+    looked_up = thin.join(by_text, "key").mapInArrow(_looked_up(shingle, whole), "key long, par long, shingles binary, before binary, behind binary")
     looked_up = materialize(looked_up, "par-sets", release=True)
     sets = looked_up.where("shingles IS NOT NULL").select("key", "par", "shingles")
-    runs = looked_up.where("shingles IS NULL").select("bucket", "hash", "key", "par", "band")
-    cut = runs.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed, _FOUND)
     side = lambda x: sets.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(f"par_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), ["key_a", "par_a"]).join(side("b"), ["key_b", "par_b"]).select(*_ENDS, "set_a", "set_b")
     links = both.mapInArrow(_verified(threshold), "key_a long, par_a long, key_b long, par_b long")
@@ -380,28 +428,46 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
         .select("bucket", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "key", "par", "shingles")
     )
     forest = dealt.groupBy("bucket", "tile_a", "tile_b").applyInArrow(_tile_links(threshold), "key_a long, par_a long, key_b long, par_b long")
-    copies = found.where(F.col("kind") == COPY).select(*_ENDS)
-    edges = copies.union(links).union(forest).select(F.struct(F.col("key_a").alias("key"), F.col("par_a").alias("par")).alias("src"), F.struct(F.col("key_b").alias("key"), F.col("par_b").alias("par")).alias("dst"))
-    comps = connected_components(edges)
-    gone = comps.where("node <> component").select("node.key", "node.par", F.col("component.key").alias("first_key"), F.lit(False).alias("passage"))
-    return gone.union(cut.select(F.col("key_a"), F.col("par_a"), F.col("key_b"), F.lit(True)))
+    edges = links.union(forest).select(F.struct(F.col("key_a").alias("key"), F.col("par_a").alias("par")).alias("src"), F.struct(F.col("key_b").alias("key"), F.col("par_b").alias("par")).alias("dst"))
+    comps = connected_components(edges).select("node.key", "node.par", F.col("component.key").alias("first_key"), F.col("component.par").alias("first_par"))
+    gone = copies.select(F.col("key_a").alias("key"), F.col("par_a").alias("par"), F.col("key_b").alias("first_key"))
+    gone = gone.union(comps.where("key <> first_key OR par <> first_par").select("key", "par", "first_key"))
+    if whole:
+        return gone, None
+    around = looked_up.where("before IS NOT NULL").select(F.col("key").alias("key_b"), F.col("par").alias("par_b"), "before", "behind")
+    return gone, ends.join(around, ["key_b", "par_b"]).select("key", F.expr("par div 2").alias("start"), "before", "behind")
 
 
 _WORD = re.compile(r"\S+")
 
 
-def cut_text(text: str, lines_gone: set[int], runs: list[int], width: int = WINDOW) -> tuple[str, int]:
-    """The text without those lines and without runs of ``width`` words from those words on, and how many passages went.
+def gone_words(words: np.ndarray, starts: list[int], ends: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+    """Whether each word lies in a piece that repeats, or goes on like its first copy right before or behind it."""
+    gone = np.zeros(len(words), bool)
+    for start in starts:
+        gone[start : start + PIECE] = True
+    for start, before, behind in ends:
+        own, first = words[max(start - PIECE + 1, 0) : start][::-1], np.frombuffer(before, np.uint32)
+        n = min(len(own), len(first))
+        unlike = np.flatnonzero(own[:n] != first[:n])
+        gone[start - (int(unlike[0]) if len(unlike) else n) : start] = True
+        own, first = words[start + PIECE : start + 2 * PIECE - 1], np.frombuffer(behind, np.uint32)
+        n = min(len(own), len(first))
+        unlike = np.flatnonzero(own[:n] != first[:n])
+        gone[start + PIECE : start + PIECE + (int(unlike[0]) if len(unlike) else n)] = True
+    return gone
+
+
+def cut_text(text: str, lines_gone: set[int], starts: list[int], ends: list[tuple[int, bytes, bytes]]) -> tuple[str, int]:
+    """The text without those lines and without the pieces from those words on, and how many passages went.
 
     A line that loses all its words goes; within a line, what follows the passage moves up to its start.
     """
     lines = paragraphs(text)
-    gone = np.zeros(len(text) // 2 + 2 + width, bool)
-    for start in runs:
-        gone[start : start + width] = True
+    gone = gone_words(_short(np.concatenate([word_hashes(line) for line in lines])), starts, ends) if starts else None
     kept, passages, word, open_ = [], 0, 0, False
     for n, line in enumerate(lines):
-        if not runs:
+        if gone is None:
             if n not in lines_gone:
                 kept.append(line)
             continue
@@ -425,37 +491,45 @@ def cut_text(text: str, lines_gone: set[int], runs: list[int], width: int = WIND
     return "\n".join(kept), passages
 
 
-def _runs(gone: DataFrame) -> DataFrame:
-    """(_key, lines, words) to cut per text."""
-    return gone.groupBy("key").agg(
-        F.collect_list(F.when(~F.col("passage"), F.col("par"))).alias("_lines"), F.collect_list(F.when(F.col("passage"), F.col("par"))).alias("_words")
-    ).withColumnRenamed("key", "_key")
+def _cuts(gone: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_key, lines, pieces, ends) to cut per text."""
+    null = F.lit(None)
+    rows = gone.select("key", F.when(F.col("par") % 2 == 0, F.expr("par div 2")).alias("line"), F.when(F.col("par") % 2 == 1, F.expr("par div 2")).alias("piece"), null.cast("struct<start:bigint,before:binary,behind:binary>").alias("end"))
+    rows = rows.union(ends.select("key", null.cast("long"), null.cast("long"), F.struct("start", "before", "behind")))
+    return rows.groupBy("key").agg(F.collect_list("line").alias("_lines"), F.collect_list("piece").alias("_pieces"), F.collect_list("end").alias("_ends")).withColumnRenamed("key", "_key")
+
+
+def _cut(text: str | None, lines: list[int] | None, pieces: list[int], ends: list[dict]) -> tuple[str | None, int]:
+    if not lines and not pieces:
+        return text, 0
+    return cut_text(text, set(lines), pieces, [(e["start"], e["before"], e["behind"]) for e in ends])
 
 
 def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``(doc_id, n_paragraphs, n_removed, n_passages, chars_removed, first_docs, kept_text)``.
 
-    Paragraphs (lines) that have an equal or near copy (Jaccard of five-word shingles) earlier, by doc_id and line, are taken
-    out of the text; of each group the first stays. Within the other paragraphs, passages of WINDOW words or more that are
-    there earlier and hold a picked run go as a whole, too (n_passages). first_docs: ids of documents that hold the text removed earlier on. Lines of under ``min_words``
-    words, null and empty texts stay as they are. A null id comes first; rows that repeat id and text are one document, and
-    each is returned. An empty table gives no rows.
+    Lines and pieces that have an equal or near copy (Jaccard of five-word shingles) earlier, by doc_id and place, are taken
+    out of the text; of each group the first stays. So of each passage of 2 * PIECE - 1 words (51) or more that is there earlier
+    some piece goes, and with it, up to its ends, the passage (n_passages). first_docs: ids of documents that hold the text
+    removed earlier on. Lines of under ``min_words`` words go only as part of a piece; null and empty texts stay as they are. A
+    null id comes first; rows that repeat id and text are one document, and each is returned. An empty table gives no rows.
     """
     keyed = keyed_documents(docs.select("doc_id", "text"))
-    gone = materialize(paragraph_groups(keyed, threshold, min_words=min_words), "par-gone")
+    gone, ends = paragraph_groups(keyed, threshold, min_words=min_words)
+    gone = materialize(gone, "par-gone")
     ids = keyed.select(F.col("_key").alias("first_key"), F.col("doc_id").alias("first_doc")).distinct()
     first = gone.select("key", "first_key").distinct().join(ids, "first_key").groupBy("key").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    by_text = _runs(gone).join(first.withColumnRenamed("key", "_key"), "_key", "left")
-    joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_words")
+    by_text = _cuts(gone, ends).join(first.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_pieces", "_ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
-            for text, lines, words in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for text, lines, pieces, ends in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 text = text.as_py()
-                kept, passages = cut_text(text, set(lines), words) if lines or words else (text, 0)
+                kept, passages = _cut(text, lines, pieces, ends)
                 counted = sum(len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words for x in paragraphs(text))
-                for column, x in zip(out, (counted, len(lines or ()), passages, len(text or "") - len(kept or ""), kept)):
+                for column, x in zip(out, (counted, len(set(lines or ())), passages, len(text or "") - len(kept or ""), kept)):
                     column.append(x)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "first_docs", "n_paragraphs", "n_removed", "n_passages", "chars_removed", "kept_text"])
@@ -471,15 +545,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose their repeated paragraphs and passages, ``n_chars`` follows where it is there; all rows stay."""
     keyed = keyed_documents(docs)
-    joined = keyed.join(_runs(paragraph_groups(keyed.select("_key", "text"))), "_key", "left").select(*docs.columns, "_lines", "_words")
+    cuts = _cuts(*paragraph_groups(keyed.select("_key", "text")))
+    joined = keyed.join(cuts, "_key", "left").select(*docs.columns, "_lines", "_pieces", "_ends")
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            lines, words = (batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1))
-            texts = [cut_text(t.as_py(), set(a), b)[0] if a or b else t.as_py() for t, a, b in zip(batch.column(at), lines, words)]
-            touched = [bool(a or b) for a, b in zip(lines, words)]
-            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -2], pa.array(touched, pa.bool_())]
+            todo = [batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns)]
+            texts = [_cut(t.as_py(), *x)[0] for t, *x in zip(batch.column(at), *todo)]
+            touched = [bool(a or b) for a, b in zip(*todo[:2])]
+            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -3], pa.array(touched, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*docs_names, "_touched"])
 
     docs_names = docs.columns

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, table
 from vinegrid.llm.paragraphs import paragraph_groups
+from vinegrid.llm.trie import trie_pairs
 
 BUDGET = 2
 SHINGLE = 3
@@ -23,8 +24,6 @@ STEP = 6
 #: Of the pipeline's stage: words of a shingle and the least Jaccard similarity of near-duplicates.
 STAGE_SHINGLE = 5
 STAGE_THRESHOLD = 0.8
-#: Node pairs of so few fingerprint pairs are compared directly.
-LEAF_PAIRS = 32
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -65,53 +64,6 @@ def _rotated(fp: Column, first: int) -> Column:
     return fp if not first else F.shiftleft(fp, first).bitwiseOR(F.shiftrightunsigned(fp, 64 - first))
 
 
-def trie_pairs(v: np.ndarray, a: np.ndarray, b: np.ndarray, bit: np.ndarray, spent: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the budget below pairs of trie nodes.
-
-    v: sorted values (uint64) below each node. a, b: k x 2 ranges of v, the nodes of each pair; equal ranges mean a node with
-    itself. bit: the nodes' depth, spent: differing bits above it. All node pairs go down together, level by level: each pair
-    becomes the pairs of its children, unlike children cost a bit, pairs beyond the budget or without rows are dropped.
-    """
-    found_i, found_j = [], []
-    while len(a):
-        same = (a == b).all(axis=1)
-        size_a, size_b = a[:, 1] - a[:, 0], b[:, 1] - b[:, 0]
-        leaf = (size_a * size_b <= LEAF_PAIRS) | (bit >= 64)
-        if leaf.any():
-            n = (size_a * size_b)[leaf]
-            at = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            i, j = a[leaf][at, 0] + k // size_b[leaf][at], b[leaf][at, 0] + k % size_b[leaf][at]
-            near = (np.bitwise_count(v[i] ^ v[j]) <= budget) & (~same[leaf][at] | (i < j))
-            found_i.append(i[near]), found_j.append(j[near])
-            go = ~leaf
-            a, b, bit, spent, same = a[go], b[go], bit[go], spent[go], same[go]
-            if not len(a):
-                break
-        shift = (63 - bit).astype(np.uint64)
-
-        def middle(node: np.ndarray) -> np.ndarray:
-            """The first place in each node's range whose next bit is set."""
-            low, high = node[:, 0].copy(), node[:, 1].copy()
-            while (open_ := low < high).any():
-                mid = (low + high) // 2
-                one = (v[np.minimum(mid, len(v) - 1)] >> shift) & np.uint64(1) == 1
-                high = np.where(open_ & one, mid, high)
-                low = np.where(open_ & ~one, mid + 1, low)
-            return low
-
-        mid_a, mid_b = middle(a), middle(b)
-        a0, a1 = np.stack([a[:, 0], mid_a], 1), np.stack([mid_a, a[:, 1]], 1)
-        b0, b1 = np.stack([b[:, 0], mid_b], 1), np.stack([mid_b, b[:, 1]], 1)
-        cross = ~same  # a node with itself needs its unlike children once only
-        a, b = np.concatenate([a0, a1, a0, a1[cross]]), np.concatenate([b0, b1, b1, b0[cross]])
-        spent = np.concatenate([spent, spent, spent + 1, spent[cross] + 1])
-        bit = np.concatenate([bit, bit, bit, bit[cross]]) + 1
-        keep = (spent <= budget) & (a[:, 0] < a[:, 1]) & (b[:, 0] < b[:, 1])
-        a, b, bit, spent = a[keep], b[keep], bit[keep], spent[keep]
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 _KEY = ["rot", "depth", "node_a", "node_b"]
 
 
@@ -137,16 +89,16 @@ def _join_nodes(budget: int):
 
 
 def fingerprint_links(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Links that connect all fingerprints within ``budget`` differing bits: ``(src, dst)`` of representatives.
+    """Links that connect all fingerprints within ``budget`` differing bits: ``(src, dst)``.
 
-    ``reps``: written table (fp, rep) of distinct fingerprints. Two fingerprints within the budget agree on a whole segment of
+    ``reps``: written table of distinct fingerprints (fp). Two fingerprints within the budget agree on a whole segment of
     the bits, so the trie is read in budget + 1 rotations, each from the nodes that lie a segment deep; there no bit differs.
     Node pairs are the shuffle key. A node pair with more than NODE_ROWS fingerprints is split STEP bits further down, into
     pairs of children with budget left, as often as needed, so no task gets an unbounded node; nothing is dropped. Each task
     contracts the pairs that it finds to a forest, of at most one link a fingerprint.
     """
     parts = [
-        reps.select(F.lit(first).alias("rot"), F.lit(width).alias("depth"), F.shiftrightunsigned(_rotated(F.col("fp"), first), 64 - width).alias("node_a"), _rotated(F.col("fp"), first).alias("value"), "rep")
+        reps.select(F.lit(first).alias("rot"), F.lit(width).alias("depth"), F.shiftrightunsigned(_rotated(F.col("fp"), first), 64 - width).alias("node_a"), _rotated(F.col("fp"), first).alias("value"), F.col("fp").alias("rep"))
         for first, width in _rotations(budget)
     ]
     rows = parts[0]
@@ -189,12 +141,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     """One row per document: ``(doc_id, fp, component_id)``, the smallest doc_id that links of near fingerprints reach.
 
     Equal fingerprints are one node, so copies never make pairs. Null and empty texts have the fingerprint 0 and are linked
-    like any other. A null doc_id takes part in links but never names a component, unless no other id is there (then null).
+    like any other. Components are made of fingerprints and named last, so a row with a null doc_id links and bridges like any
+    other but never names a component, unless no other id is there (then null). Rows that repeat an id are rows of their own.
     """
     fps = materialize(fingerprints(docs, shingle=shingle), "simhash-fp")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    comps = connected_components(fingerprint_links(reps.where("rep is not null"), budget)).withColumnRenamed("node", "rep")
-    named = materialize(reps.join(comps, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-classes")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-reps")
+    comps = connected_components(fingerprint_links(reps.select("fp"), budget)).withColumnRenamed("node", "fp")
+    classes = reps.join(comps, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
+    names = classes.groupBy("class").agg(F.min("low").alias("component_id"))
+    named = materialize(classes.join(names, "class").select("fp", "component_id"), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -207,14 +162,16 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: of each group of near-duplicates, the document with the smallest id stays.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
-    link. At 0.8 two fingerprints differ in about 10 bits, too many for the trie join, so MinHash bands find the candidates
-    and each is verified by its exact similarity. Texts without words are copies of each other.
+    link. At 0.8 two fingerprints of five-word shingles differ in about 10 bits; a trie of the whole corpus prunes too little at
+    such a budget. So texts are blocked by MinHash bands first; in each block the self-join of the fingerprints' trie, at
+    TEXT_BUDGET bits, gives the candidates, and each is verified by its exact similarity. Blocks of many texts are compared in
+    tiles. Texts without words are copies of each other.
 
     Rows are judged by id and text: rows that share an id but not the text are documents of their own, and of rows that repeat
     both one stays, the least by its columns in turn. A null id comes before all others, so of copies its row stays.
     """
     keyed = keyed_documents(docs)
-    found = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
+    found, _ = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
     kept = keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti")
     if not keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
