@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -19,6 +18,8 @@ SPACE = 1 << 13
 LENGTHS = (1, 2, 3)
 SAMPLE_PER_LANG = 250
 LANDMARKS_PER_LANG = 24
+#: Languages that are learned at most, the most frequent ones, so that the fit stays bounded whatever stands in ``lang``.
+LANGUAGES = 256
 RIDGE = 1.0
 UNKNOWN = "und"
 #: The pipeline rejects documents whose best one-versus-rest output is below this score, unless they are so short (characters)
@@ -26,8 +27,6 @@ UNKNOWN = "und"
 REJECT_BELOW = 0.5
 SHORT = 200
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass
 class LanguageModel:
@@ -66,16 +65,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_language_model(docs: DataFrame, sample: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS_PER_LANG) -> LanguageModel | None:
-    """Fit on at most ``sample`` rows of each language, the smallest by a hash of their id; None if no row is labelled.
+def fit_language_model(docs: DataFrame, sample: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS_PER_LANG, languages_most: int = LANGUAGES) -> LanguageModel | None:
+    """Fit on at most ``sample`` rows of each language, the smallest by a hash of id, language and text; None if no row is labelled.
 
     Only presence vectors of the sample (1 KB each) come to the driver. The first ``landmarks`` rows of each language are the
-    Nyström landmarks.
+    Nyström landmarks. Rows go by their own hash, so repeated or null ids keep each row's own label; rows that repeat one
+    another count once. Of more than ``languages_most`` languages the most frequent are learned.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    keys = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in keys.collect()], "doc_id long, lang string, nth int")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("k"))
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages_most)
+    first = Window.partitionBy("lang").orderBy("k")
+    keys = known.select("lang", "k").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    keys = keys.join(F.broadcast(frequent.select("lang")), "lang").groupBy("lang", "k").agg(F.min("nth").alias("nth"))
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in keys.collect()], "lang string, k long, nth int")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +89,9 @@ def fit_language_model(docs: DataFrame, sample: int = SAMPLE_PER_LANG, landmarks
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["lang", "nth", "bits"])
 
     # the keys are at most ``sample`` rows a language
-    texts = known.drop("lang").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "nth", "text")
-    rows = sorted(texts.mapInArrow(vectors, "lang string, nth int, bits binary").collect(), key=lambda r: (r["lang"], r["nth"], r["bits"]))
+    texts = known.join(F.broadcast(chosen), ["lang", "k"]).select("lang", "nth", "text")
+    found = texts.mapInArrow(vectors, "lang string, nth int, bits binary").dropDuplicates(["lang", "nth"]).collect()
+    rows = sorted(found, key=lambda r: (r["lang"], r["nth"]))
     if not rows:
         return None
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.float32)
@@ -126,7 +129,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str
                 texts = batch.column(at).slice(low, 128)
                 marks, fit = np.zeros((len(texts), SPACE), np.uint8), np.zeros(len(texts), bool)
                 for k, text in enumerate(texts):
-                    if fitted is not None and (text := text.as_py()) and _LETTER.search(text):
+                    if fitted is not None and (text := text.as_py()) and any(map(str.isalpha, text)):
                         presence(text, marks[k])
                         fit[k] = True
                 if fitted is None:
