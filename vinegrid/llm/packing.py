@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,6 +25,12 @@ CACHE = 250_000
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
+#: The kind of tokenizer whose texts fall apart at white space: lower-casing, words and digits and marks apart, byte letters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-ins for bytes of byte-level BPE: printable Latin-1 bytes stand for themselves, others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,7 +43,8 @@ class ChunkEncoder(dict):
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of its chunks in turn. Two generations
     bound the memory. Chunks of Latin letters, the common case, go to the vocabulary's model straight away (lower-cased, as
-    byte letters), all others through the whole tokenizer.
+    byte letters), all others through the whole tokenizer. A tokenizer whose normalizer and pre-tokenizer are not of that kind
+    encodes texts as a whole.
     """
 
     def __init__(self, file: str):
@@ -48,6 +56,8 @@ class ChunkEncoder(dict):
         self.whole = Tokenizer.from_file(file)
         self.model = self.whole.model
         self.letters = _byte_letters()
+        own = json.loads(self.whole.to_str())
+        self.by_chunk = own["normalizer"] == _NORMALIZER and own["pre_tokenizer"] == _PRE_TOKENIZER and own["post_processor"] is None
         self.words: dict[str, bytes] = {}
         self.tails = {x: self._full(x) for x in ("", ".", ",")}
 
@@ -77,6 +87,8 @@ class ChunkEncoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if not self.by_chunk:
+            return self._full(text)
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))
 

@@ -71,12 +71,23 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc
     )
 
 
-def write_shards(docs: DataFrame, dealt: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents in shard folders, rows in slot order; needs unique ids."""
+def write_shards(docs: DataFrame, dealt: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
+    """Write the documents in shard folders, rows in slot order. dealt: what ``interleave`` made of them.
+
+    Rows meet their places by id, source, size and checksum, and in turn where these are equal, so null and repeated ids are
+    written once each.
+    """
+    keys = ["_id", "_source", "_size", "_crc"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": (F.octet_length(text) + 16).cast("long"), "_crc": F.crc32(text.cast("binary"))})
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))))
+    places = dealt.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("text_crc32").alias("_c"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    places = places.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_s", "_z", "_c").orderBy("_shard", "_slot")))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_crc") == F.col("_c")) & (F.col("_nth") == F.col("_n"))
     (
-        docs.join(dealt.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-        .repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot")
-        .write.mode("overwrite").partitionBy("shard").parquet(path)
+        own.join(places, same).repartition("_shard", F.expr("_slot div 100000")).sortWithinPartitions("_shard", "_slot")
+        .select(*docs.columns, F.col("_shard").alias("shard_number"), F.col("_slot").alias("slot"))
+        .write.mode("overwrite").partitionBy("shard_number").parquet(path)
     )
 
 
