@@ -1,5 +1,6 @@
 """URL filter, packing, sharding, embeddings, SimHash, language ID and top-k against brute force."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vinegrid.llm import common, embeddings, hamming, language, packing, sharding, simhash, urls
+from vinegrid.llm import common, embeddings, hamming, language, packing, sharding, simhash, trie, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score double"
 ODD = [
@@ -67,7 +68,8 @@ def test_urls(spark, small):
         assert (r.rule if isinstance(r.rule, str) else None) == rule and r.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
     free = got[got.rule.isna()]
     spam = free.host.str.contains("-")
-    assert spam.any() and (free[spam].verdict == "block").all() and (free[~spam].verdict == "allow").all()
+    # the labels know none of these hosts
+    assert spam.any() and (free[spam].verdict == "block").mean() > 0.95 and (free[~spam].verdict == "allow").mean() > 0.95
 
 
 def test_urls_odd(spark):
@@ -79,6 +81,60 @@ def test_urls_odd(spark):
     assert got.host.iloc[8] == "É.com" and got.verdict.isin(["allow", "block"]).all()
 
 
+def test_labelled_urls():
+    """The labels share no host with the tables, and hosts left out of the fit are mostly judged right (see the README)."""
+    bare = lambda h: re.sub(r"^(www|m|blog)\\.", "", h)
+    hosts = {bare(url_parts(u)[0]) for u, _ in urls.LABELLED if u}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        pages = pd.read_parquet(f"/root/testdata/{sf}/pages.parquet").url
+        assert not hosts & {bare(url_parts(u)[0]) for u in pages}
+
+
+def test_held_out_urls(spark):
+    right = []
+    for fold in range(4):
+        model = urls.fit_url_model(spark.createDataFrame([x for k, x in enumerate(urls.LABELLED) if k % 4 != fold], "url string, label int"))
+        held = [x for k, x in enumerate(urls.LABELLED) if k % 4 == fold]
+        got = urls.filter_urls(spark.createDataFrame(held, "url string, label int"), (), model).collect()
+        right += [(r.verdict == "block") == bool(r.label) for r in got]
+    assert sum(right) / len(right) > 0.75
+
+
+def test_many_rules_and_empty_tables(spark):
+    """5,000 rules are joined, with the result of one expression; empty tables and labels of one kind do no harm."""
+    rng = np.random.default_rng(9)
+    names = ["com", "org", "a.com", "b.a.com", "x.org", "É.com"] + [f"h{k}.com" for k in range(700)]
+    rules = sorted({(str(rng.choice(["allow", "block"])), str(rng.choice(names)), "/" + "/".join(rng.choice(["en", "fr", "1"], rng.integers(0, 3)))) for _ in range(9000)})[:5000]
+    pages = [(k, f"http://{rng.choice(['', 'www.', 'c.'])}{rng.choice(names)}/{'/'.join(rng.choice(['en', 'fr', '1', '2'], rng.integers(0, 4)))}?q") for k in range(300)] + [(None, None), (7, "no scheme"), (8, "http://.com/en"), (8, "http://.com/en")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    model = (0.0, [0.0] * urls.BUCKETS)
+    got = Counter((r.page_id, r.url, r.rule, r.verdict) for r in urls.filter_urls(frame, rules, model).collect())
+    few = Counter((r.page_id, r.url, r.rule, r.verdict) for r in urls.filter_urls(frame, spark.createDataFrame(rules[:900], "v string, h string, p string"), model).collect())
+    assert few == Counter((r.page_id, r.url, r.rule, r.verdict) for r in urls.filter_urls(frame, rules[:900], model).collect())
+    want = Counter()
+    for key, url in pages:
+        host, path = url_parts(url)
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = min(fit, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r)) if fit else None
+        want[(key, url, best and best[1] + best[2], best[0] if best else "block")] += 1
+    assert got == want
+    assert urls.filter_urls(frame.limit(0), urls.RULES, model).count() == 0
+    empty = spark.createDataFrame([], "url string, label int")
+    assert urls.fit_url_model(empty) == (0.0, [0.0] * urls.BUCKETS)
+    intercept, weights = urls.fit_url_model(spark.createDataFrame([("http://a.com", 1), ("http://b.com", None)], "url string, label int"))
+    assert intercept > 0 and not any(weights)
+
+
+def test_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["Hello wide  world", "a\nb\t C", "", "Straße 12!"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(packing.tokenizer_file(name))
+        got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=name, keep_ids=True).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {k: whole.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -133,6 +189,37 @@ def test_sharding(spark, odd, none, small):
     assert sharding.interleave(none, 4).count() == 0
 
 
+def test_sharding_order(spark, small):
+    """Each source's rows in the order of their hash, all rows in that of the fractional rank, cut into equal runs."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = sharding.interleave(docs, 40).toPandas()
+    rows = docs.select("doc_id", "text", "source").toPandas()
+    crc = [zlib.crc32((t or "").encode()) for t in rows.text]
+    start = {r.s: r.h for r in docs.select(F.coalesce("source", F.lit("")).alias("s"), (F.pmod(F.xxhash64(F.lit(8), F.concat(F.lit("1"), "source")), F.lit(1 << 20)) + 0.5).alias("h")).distinct().collect()}
+
+    def seeded(i, c):  # Spark hashes an int in 4 bytes, a long in 8
+        h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+        for x in (i, c):
+            h = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+        return h
+
+    order = []
+    for source, group in rows.groupby("source"):
+        members = sorted((seeded(i, crc[at]), i) for at, i in zip(group.index, group.doc_id))
+        order += [((n + 1 - start[source] / (1 << 20)) / len(members), "1" + source, n, i) for n, (_, i) in enumerate(members)]
+    n = len(order)
+    want = {i: p * 40 // n for p, (*_, i) in enumerate(sorted(order))}
+    assert dict(zip(got.doc_id, got.shard)) == want
+
+
+def test_write_shards(spark, odd, tmp_path):
+    dealt = common.materialize(sharding.interleave(odd, 4), "dealt")
+    sharding.write_shards(odd, dealt, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(map(tuple, back.select(*odd.columns).collect())) == Counter(map(tuple, odd.collect()))
+    assert Counter((r.shard_number, r.slot, r.doc_id) for r in back.collect()) == Counter((r.shard, r.slot, r.doc_id) for r in dealt.collect())
+
+
 def cosine_classes(rows, threshold):
     """n_links and component of each vec_id by brute force."""
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
@@ -161,6 +248,14 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_and_null_ids(spark):
+    """Rows that repeat an id are vectors of their own; null ids link and name nothing."""
+    v, w, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(1, v, 0), (1, v, 0), (2, near, 0), (3, w, 0), (3, v, 1), (None, near, 0), (None, w, 1), (4, None, 0), (4, w, 0)]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == Counter({(1, 3, 1, True): 2, (2, 3, 1, False): 1, (None, 3, 1, False): 1, (3, 1, 3, True): 1, (4, 1, 3, False): 1, (3, 0, 3, True): 1, (None, 0, None, True): 1, (4, 0, 4, True): 1})
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 64))
@@ -212,9 +307,37 @@ def test_trie_join(spark, monkeypatch, cap):
             fps.add(b ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 5)).tolist())))
     fps = sorted(fps)
     monkeypatch.setattr(simhash, "NODE_ROWS", cap)
-    reps = common.materialize(spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in enumerate(fps)], "fp long, rep long"), "test")
+    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    reps = common.materialize(spark.createDataFrame([(f,) for f in signed], "fp long"), "test")
     comps = {r.node: r.component for r in common.connected_components(simhash.fingerprint_links(reps)).collect()}
-    assert {i: comps.get(i, i) for i in range(len(fps))} == slow_components(list(range(len(fps))), fps, 2)
+    order = sorted(range(len(fps)), key=lambda i: signed[i])
+    want = slow_components(list(range(len(fps))), [fps[i] for i in order], 2)
+    assert {signed[i]: comps.get(signed[i], signed[i]) for i in order} == {signed[order[a]]: signed[order[b]] for a, b in want.items()}
+
+
+def test_trie_traversal(spark, small):
+    """The tables' own fingerprints go down the trie: node pairs are split, and those beyond the budget dropped, at every level."""
+    fps = np.unique(np.array([int(r.fingerprint, 16) for r in simhash.op6_simhash(spark, small).select("fingerprint").collect()], np.uint64))
+    one, zero = np.array([[0, len(fps)]]), np.zeros(1, np.int64)
+    for budget in (0, 2, 9, 24):
+        count: list[int] = []
+        i, j = trie.trie_pairs(fps, one, one, zero, zero, budget, count)
+        pairs, dropped = count[::2], count[1::2]
+        assert len(pairs) > 9 and pairs[0] == 1 and sum(pairs) > len(fps) and sum(dropped) > 0
+        near = np.bitwise_count(fps[:, None] ^ fps) <= budget
+        assert set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    same = np.array([3, 3, 9, 9, 9], np.uint64)
+    i, j = trie.trie_pairs(same, np.array([[0, 5]]), np.array([[0, 5]]), zero, zero, 1)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (2, 3), (2, 4), (3, 4)]
+
+
+def test_simhash_null_ids(spark, monkeypatch):
+    """Rows without an id link and bridge."""
+    fps = {"a": 0, "b": 3, "c": 15, "d": 63, "e": 31 << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for kv in fps.items() for x in kv]), F.col("text")).cast("long").alias("fp")))
+    rows = [(5, "a"), (None, "b"), (9, "c"), (None, "d"), (5, "e"), (None, "e"), (2, "a")]
+    got = Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(5, 0, 2), (None, 3, 2), (9, 15, 2), (None, 63, 2), (5, 31 << 40, 5), (None, 31 << 40, 5), (2, 0, 2)])
 
 
 def test_language(spark, odd, none, small):
@@ -234,6 +357,79 @@ def test_language(spark, odd, none, small):
     assert {r.doc_id for r in both.where("doc_id < 3").collect()} == {2} and both.count() >= 0.99 * known.count()
 
 
+def slow_scores(model, text):
+    """One-versus-rest outputs by definition: n-grams as sets, kernel values one by one."""
+    chars = [c if c.isalpha() else " " for c in text.lower()]
+
+    def slot(gram):
+        code = 0
+        for c, mix in zip(gram, language._MIX):
+            code = (code + ord(c)) * int(mix) % (1 << 32)
+        return (code ^ (code >> 15)) * int(language._MIX[0]) % (1 << 32) >> 19
+
+    grams = {slot("".join(chars[i : i + n])) for n in language.LENGTHS for i in range(len(chars) - n + 1)}
+    marks = [set(np.flatnonzero(x).tolist()) for x in model.landmarks.T]
+    kernel = np.array([len(grams & m) / np.sqrt(len(grams) * len(m)) for m in marks])
+    return kernel @ model.weights[:-1] + model.weights[-1]
+
+
+def test_language_scores(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.fit_language_model(docs.where(~language.held_out(F.col("doc_id"))))
+    got = language.predict_language(docs.select("doc_id", "text"), model).collect()
+    for r in got:
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score) == (language.UNKNOWN, 0)
+            continue
+        outputs = slow_scores(model, r.text)
+        assert abs(r.score - min(max((outputs.max() + 1) / 2, 0), 1)) < 1e-4
+        assert outputs[model.languages.index(r.lang_pred)] > outputs.max() - 1e-4
+
+
+def test_language_odd(spark, small):
+    """Marks that look like letters are none; repeated and null ids keep their own labels; labels without bound stay bounded."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").where("text IS NOT NULL")
+    marks = spark.createDataFrame([(10**9, "½ ² ① 123", None), (10**9 + 1, "ª", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify_languages(docs.union(marks)).where(f"doc_id >= {10**9}").collect()}
+    assert (got[10**9].lang_pred, got[10**9].score) == ("und", 0) and got[10**9 + 1].lang_pred != "und"
+    held = docs.where(language.held_out(F.col("doc_id")))
+    truth = {r.doc_id: r.lang for r in held.collect()}
+    for ids in (F.lit(4).cast("long"), F.lit(None).cast("long")):
+        model = language.fit_language_model(docs.where(~language.held_out(F.col("doc_id"))).withColumn("doc_id", ids))
+        found = language.predict_language(held.drop("lang"), model).collect()
+        assert np.mean([r.lang_pred == truth[r.doc_id] for r in found]) > 0.97
+    junk = docs.limit(400).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit("aa")).otherwise(F.col("doc_id").cast("string")))
+    assert len(language.fit_language_model(junk, languages_most=10).languages) == 10
+
+
+def test_long_codes(spark):
+    """Codes of any length, each among those of its own; every radius by multi-index steps."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(25, 768))
+    vectors = {d: [(base[rng.integers(25), :d] + rng.normal(size=d) * rng.choice([0.1, 0.5, 2.0])).tolist() for _ in range(400)] for d in (768, 65, 3)}
+    rows = [(10_000 * d + k, v) for d, own in vectors.items() for k, v in enumerate(own)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").select("id", hamming.sign_code(F.col("v")).alias("code"))
+    got = defaultdict(list)
+    for r in hamming.top_k(frame, frame.where("id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.distance))
+    for d, own in vectors.items():
+        bits = np.array(own) > 0
+        for q in range(0, len(own), 50):
+            far = (bits != bits[q]).sum(axis=1)
+            assert got[10_000 * d + q] == [(10_000 * d + int(i), int(far[i])) for i in np.lexsort((np.arange(len(own)), far))[:10]]
+    assert len(got) == 24
+
+
+def test_top_k_steps(spark, small):
+    """The registered query's searches end by the bound of the radii, not by looking at all codes at once."""
+    vectors = np.array([r.embedding for r in spark.read.parquet(f"{small}/embeddings.parquet").where("embedding IS NOT NULL").select("embedding").collect()])
+    words = np.unique(np.packbits(vectors > 0, axis=1).view(">u8").astype(np.uint64), axis=0)
+    work: list[int] = []
+    hamming._covering(words, np.ones(len(words), np.int64), words[::50], 10, vectors.shape[1], work)
+    radii = work[::2]
+    assert radii == sorted(radii) and radii[-1] > 0 and max(work[1::2]) < len(words) * len(words[::50])
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
@@ -255,7 +451,17 @@ def test_top_k(spark, monkeypatch):
         assert got == want
     assert hamming.top_k(frame.limit(0), frame).count() == 0
     code = spark.createDataFrame([([1.0, -1.0, 0.5],), ([1.0, None],), ([],), (None,), ([float("inf")],)], "v array<double>").select(hamming.sign_code(F.col("v")).alias("c"))
-    assert [r.c for r in code.collect()] == [5, None, None, None, None]
+    assert [r.c for r in code.collect()] == [[3, 5], None, None, None, None]
+
+
+def test_keyed_documents(spark):
+    """Keys follow the order of id, null first, and of the text's hash; equal rows share theirs."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 9 == 0 else int(rng.integers(0, 60)), None if k % 7 == 0 else f"t{rng.integers(0, 4)}") for k in range(400)]
+    got = common.keyed_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted({(-1 if i is None else i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows})
+    want = {x: k for k, x in enumerate(order)}
+    assert len(got) == len(rows) and all(r._key == want[(-1 if r.doc_id is None else r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest())] for r in got)
 
 
 def test_components(spark):
