@@ -27,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The files go when the application ends.
-    ``release``: what was shuffled for it is large and not needed any more; the driver's garbage collection makes Spark delete it.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The files go when the application ends, or with
+    ``discard``. ``release``: what was shuffled for it is large and not needed any more; Spark deletes shuffle files when the
+    driver's garbage collector finds them unused, which this asks it to do now.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -37,7 +38,17 @@ def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     if release:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -74,6 +85,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .distinct()
         )
         done = materialize(small, "cc-edges")
+        discard(pairs)
         # a forest of stars is a fixed point: no node is both a root and a leaf, and no leaf has two roots
         state = done.agg(F.count("u").alias("n"), F.countDistinct("u").alias("nodes")).first()
         roots_below = done.select(F.col("v").alias("u")).distinct().join(done.select("u").distinct(), "u", "left_semi")

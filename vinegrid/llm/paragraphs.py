@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, sliced, table
+from vinegrid.llm.common import connected_components, discard, grouped_batches, keyed_documents, local_roots, materialize, sliced, table
 from vinegrid.llm.trie import trie_pairs
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ PIECE_RECALL = 0.95
 PIECE_HASHES = 6
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
-TILE = 512
+TILE = 1024
 #: Differing bits up to which whole texts are candidates (see simhash.keep_one_of_group).
 TEXT_BUDGET = 24
 #: Words that are hashed at once, and entries of a worker's cache of word hashes.
@@ -61,7 +61,10 @@ _HASHES = _WordHashes()
 
 
 def word_hashes(paragraph: str) -> np.ndarray:
-    words = paragraph.lower().split()
+    return hashes_of(paragraph.lower().split())
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -305,6 +308,12 @@ def _short(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.uint32)
 
 
+def _around(words: list[str], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short hashes of the words before a piece, nearest first, and behind it, PIECE - 1 at most."""
+    before, behind = words[max(start - PIECE + 1, 0) : start], words[start + PIECE : start + 2 * PIECE - 1]
+    return _short(hashes_of(before[::-1])), _short(hashes_of(behind))
+
+
 def _looked_up(shingle: int, whole: bool = False):
     split = _whole if whole else paragraphs
 
@@ -313,17 +322,15 @@ def _looked_up(shingle: int, whole: bool = False):
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for key, text, wanted, around in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = [word_hashes(line) for line in split(text.as_py())]
-                words = np.concatenate(found)
+                text = text.as_py() or ""
+                lines, words = split(text), text.lower().split()  # words are the same whether or not lines are cut first
                 for par in wanted:
-                    part = words if whole else found[par // 2] if par % 2 == 0 else words[par // 2 : par // 2 + PIECE]
+                    part = word_hashes(text if whole else lines[par // 2]) if whole or par % 2 == 0 else hashes_of(words[par // 2 : par // 2 + PIECE])
                     part = part if len(part) else np.zeros(1, np.uint64)
                     for column, x in zip(out, (key, par, np.unique(shingle_hashes(part, shingle)).tobytes(), None, None)):
                         column.append(x)
                 for par in around:
-                    at = par // 2
-                    before, behind = _short(words[max(at - PIECE + 1, 0) : at][::-1]), _short(words[at + PIECE : at + 2 * PIECE - 1])
-                    for column, x in zip(out, (key, par, None, before.tobytes(), behind.tobytes())):
+                    for column, x in zip(out, (key, par, None, *(x.tobytes() for x in _around(words, par // 2)))):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "par", "shingles", "before", "behind"])
@@ -352,12 +359,14 @@ def _tile_links(threshold: float):
         sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
         key, par = part["key"].to_numpy(), part["par"].to_numpy()
         size = np.array([len(s) for s in sets])
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size)
         shared = np.zeros((len(sets), len(sets)), np.float32)
+        more = times > 1  # what stands in one set only is not shared
+        row, column = row[more[column]], (np.cumsum(more) - 1)[column[more[column]]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        width = 1 << 14  # columns at once, to bound the dense block
+        width = 1 << 12  # columns at once, to bound the dense block
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, low), np.searchsorted(column, low + width)
             block = np.zeros((len(sets), width), np.float32)
@@ -380,7 +389,7 @@ def _tile_links(threshold: float):
 _ENDS = ["key_a", "par_a", "key_b", "par_b"]
 
 
-def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """``(key, par, first_key)`` of each line or piece that has a copy earlier in the corpus, and what surrounds pieces.
 
     keyed: (_key, text). Lines of ``min_words`` words or more and pieces are banded; equal ones of a bucket are one class, named
@@ -391,7 +400,8 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     self-join of the fingerprints' trie.
 
     The second table has ``(key, start, before, behind)`` for each repeated piece without another one right before or behind
-    it in its text: up to PIECE - 1 words, as 32-bit hashes, on either side of its first copy. Null with ``whole``.
+    it in its text: up to PIECE - 1 words, as 32-bit hashes, on either side of its first copy. None with ``whole``. Both read the written tables
+    that come third, which may be discarded once the results are written.
     """
     lines, pieces = tune_bands(threshold, recall), tune_bands(threshold, PIECE_RECALL, PIECE_HASHES)
     thin = keyed.select(F.col("_key").alias("key"), "text")
@@ -433,28 +443,26 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     gone = copies.select(F.col("key_a").alias("key"), F.col("par_a").alias("par"), F.col("key_b").alias("first_key"))
     gone = gone.union(comps.where("key <> first_key OR par <> first_par").select("key", "par", "first_key"))
     if whole:
-        return gone, None
+        return gone, None, [found, pairs, looked_up]
     around = looked_up.where("before IS NOT NULL").select(F.col("key").alias("key_b"), F.col("par").alias("par_b"), "before", "behind")
-    return gone, ends.join(around, ["key_b", "par_b"]).select("key", F.expr("par div 2").alias("start"), "before", "behind")
+    return gone, ends.join(around, ["key_b", "par_b"]).select("key", F.expr("par div 2").alias("start"), "before", "behind"), [found, pairs, looked_up, ends]
 
 
 _WORD = re.compile(r"\S+")
 
 
-def gone_words(words: np.ndarray, starts: list[int], ends: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+def gone_words(words: list[str], starts: list[int], ends: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     """Whether each word lies in a piece that repeats, or goes on like its first copy right before or behind it."""
     gone = np.zeros(len(words), bool)
     for start in starts:
         gone[start : start + PIECE] = True
-    for start, before, behind in ends:
-        own, first = words[max(start - PIECE + 1, 0) : start][::-1], np.frombuffer(before, np.uint32)
-        n = min(len(own), len(first))
-        unlike = np.flatnonzero(own[:n] != first[:n])
-        gone[start - (int(unlike[0]) if len(unlike) else n) : start] = True
-        own, first = words[start + PIECE : start + 2 * PIECE - 1], np.frombuffer(behind, np.uint32)
-        n = min(len(own), len(first))
-        unlike = np.flatnonzero(own[:n] != first[:n])
-        gone[start + PIECE : start + PIECE + (int(unlike[0]) if len(unlike) else n)] = True
+    for start, *sides in ends:
+        for own, first, step in zip(_around(words, start), sides, (-1, 1)):
+            first = np.frombuffer(first, np.uint32)
+            n = min(len(own), len(first))
+            unlike = np.flatnonzero(own[:n] != first[:n])
+            n = int(unlike[0]) if len(unlike) else n
+            gone[start - n if step < 0 else start + PIECE : start if step < 0 else start + PIECE + n] = True
     return gone
 
 
@@ -464,21 +472,20 @@ def cut_text(text: str, lines_gone: set[int], starts: list[int], ends: list[tupl
     A line that loses all its words goes; within a line, what follows the passage moves up to its start.
     """
     lines = paragraphs(text)
-    gone = gone_words(_short(np.concatenate([word_hashes(line) for line in lines])), starts, ends) if starts else None
+    gone = gone_words(text.lower().split(), starts, ends) if starts else None
     kept, passages, word, open_ = [], 0, 0, False
     for n, line in enumerate(lines):
         if gone is None:
             if n not in lines_gone:
                 kept.append(line)
             continue
-        spans = [m.span() for m in _WORD.finditer(line)]
-        own = gone[word : word + len(spans)]
-        word += len(spans)
+        own = gone[word : (word := word + len(line.split()))]
         if n in lines_gone or not own.any():
             open_ = False
             if n not in lines_gone:
                 kept.append(line)
             continue
+        spans = [m.span() for m in _WORD.finditer(line)]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
         out, at = [], 0
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -515,11 +522,11 @@ def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     null id comes first; rows that repeat id and text are one document, and each is returned. An empty table gives no rows.
     """
     keyed = keyed_documents(docs.select("doc_id", "text"))
-    gone, ends = paragraph_groups(keyed, threshold, min_words=min_words)
-    gone = materialize(gone, "par-gone")
+    gone, ends, written = paragraph_groups(keyed, threshold, min_words=min_words)
     ids = keyed.select(F.col("_key").alias("first_key"), F.col("doc_id").alias("first_doc")).distinct()
     first = gone.select("key", "first_key").distinct().join(ids, "first_key").groupBy("key").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    by_text = _cuts(gone, ends).join(first.withColumnRenamed("key", "_key"), "_key", "left")
+    by_text = materialize(_cuts(gone, ends).join(first.withColumnRenamed("key", "_key"), "_key", "left"), "par-cuts", release=True)
+    discard(*written)
     joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_pieces", "_ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,7 +552,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose their repeated paragraphs and passages, ``n_chars`` follows where it is there; all rows stay."""
     keyed = keyed_documents(docs)
-    cuts = _cuts(*paragraph_groups(keyed.select("_key", "text")))
+    gone, ends, written = paragraph_groups(keyed.select("_key", "text"))
+    cuts = materialize(_cuts(gone, ends), "par-cuts", release=True)
+    discard(*written)
     joined = keyed.join(cuts, "_key", "left").select(*docs.columns, "_lines", "_pieces", "_ends")
     at = docs.columns.index("text")
 

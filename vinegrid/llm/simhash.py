@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, grouped_batches, keyed_documents, local_roots, materialize, table
+from vinegrid.llm.common import connected_components, discard, grouped_batches, keyed_documents, local_roots, materialize, table
 from vinegrid.llm.paragraphs import paragraph_groups
 from vinegrid.llm.trie import trie_pairs
 
@@ -171,8 +171,10 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     both one stays, the least by its columns in turn. A null id comes before all others, so of copies its row stays.
     """
     keyed = keyed_documents(docs)
-    found, _ = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
-    kept = keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti")
+    found, _, written = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
+    gone = materialize(found.select(F.col("key").alias("_key")).distinct(), "simhash-gone", release=True)
+    discard(*written)
+    kept = keyed.join(gone, "_key", "left_anti")
     if not keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return kept.select(*docs.columns)
