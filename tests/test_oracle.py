@@ -18,7 +18,7 @@ def canonical(rows, names):
 
     def plain(x):
         if isinstance(x, float):
-            return "nan" if math.isnan(x) else round(x, 5)
+            return "nan" if math.isnan(x) else x + 0.0
         if isinstance(x, datetime.datetime):
             return x.replace(tzinfo=None)
         return x

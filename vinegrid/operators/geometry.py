@@ -5,15 +5,19 @@ Pixels meet parcels through coarse tiles of the parcels' boxes, so no pair furth
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from math import cos, radians
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
 #: Side of a tile in metres.
 TILE = 80.0
+#: Cells that a parcel's area is counted on at once.
+CELLS = 1 << 18
 
 
 def ring_edges(ring, parcel_id: int = 1) -> list[tuple[int, int, float, float, float, float]]:
@@ -29,35 +33,19 @@ def edge_table(spark, ring, parcel_id: int = 1) -> DataFrame:
     return spark.createDataFrame(ring_edges(ring, parcel_id), "parcel_id long, edge_id int, x1 double, y1 double, x2 double, y2 double")
 
 
-def _crosses(x: Column, y: Column, e: Column) -> Column:
+def crosses(x: Column, y: Column) -> Column:
     """1 if a ray to the east meets the edge."""
-    over = (e["y1"] > y) != (e["y2"] > y)
-    return F.when(over, (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).cast("int")).otherwise(0)
+    over = (c("y1") > y) != (c("y2") > y)
+    return F.when(over, (x < (c("x2") - c("x1")) * (y - c("y1")) / (c("y2") - c("y1")) + c("x1")).cast("int")).otherwise(0)
 
 
-def _edge_distance(x: Column, y: Column, e: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    t = F.least(F.greatest(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    gx, gy = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
+def edge_distance(x: Column, y: Column) -> Column:
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    t = F.least(F.greatest(((x - c("x1")) * dx + (y - c("y1")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    gx, gy = x - (c("x1") + t * dx), y - (c("y1") + t * dy)
     return F.sqrt(gx * gx + gy * gy)
 
 
-def inside(x: Column, y: Column, ring: str = "ring") -> Column:
-    """Whether a point lies in the polygon whose edges an array column holds."""
-    return _fold(x, y, ring, F.lit(0), lambda n, x, y, e: n + _crosses(x, y, e)) % 2 == 1
-
-
-def distance(x: Column, y: Column, ring: str = "ring") -> Column:
-    """Distance of a point to the nearest edge of an array column."""
-    return _fold(x, y, ring, F.lit(float("inf")), lambda d, x, y, e: F.least(d, _edge_distance(x, y, e)))
-
-
-def _fold(x: Column, y: Column, ring: str, start: Column, step: Callable[..., Column]) -> Column:
-    """Edges folded into one value. The point is part of the state: filters on a lambda that only names it are pushed below its join."""
-    state = F.struct(x.alias("x"), y.alias("y"), start.alias("v"))
-    return F.aggregate(ring, state, lambda s, e: F.struct(s["x"].alias("x"), s["y"].alias("y"), step(s["v"], s["x"], s["y"], e).alias("v")), lambda s: s["v"])
-
-
 def rings(edges: DataFrame, reach: float = 0.0) -> DataFrame:
     """A row per parcel: its edges as one array and its box, widened by ``reach``."""
     return edges.groupBy("parcel_id").agg(
@@ -67,18 +55,22 @@ def rings(edges: DataFrame, reach: float = 0.0) -> DataFrame:
     )
 
 
-def _filled(box: DataFrame, step: float) -> DataFrame:
-    """(row, col, x, y) of the cells of that size that each parcel's box meets, beside its other columns."""
-    line = lambda lo, hi: F.sequence(F.floor(c(lo) / step).cast("int"), F.greatest(F.ceil(c(hi) / step).cast("int") - 1, F.floor(c(lo) / step).cast("int")))
-    cells = box.withColumn("row", F.explode(line("min_y", "max_y"))).withColumn("col", F.explode(line("min_x", "max_x")))
-    return cells.withColumns({"x": (c("col") + 0.5) * step, "y": (c("row") + 0.5) * step})
+def _spread(parcels: DataFrame) -> DataFrame:
+    """Parcels dealt to as many tasks as there are shuffle partitions: they are few bytes, but many cells."""
+    return parcels.repartition(int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "parcel_id")
 
 
-def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float = 10.0) -> DataFrame:
-    """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``.
+def judged(points: DataFrame) -> DataFrame:
+    """(parcel_id, row, col, inside, dist) of points (parcel_id, row, col, x, y, ring).
 
-    A parcel's edges travel as one array, so a cell that meets it is judged where they meet, without another shuffle.
+    A point's edges stand in its own row, so the partial aggregation puts them together before anything is shuffled.
     """
+    met = points.select("parcel_id", "row", "col", "x", "y", F.inline("ring"))
+    return met.groupBy("parcel_id", "row", "col").agg((F.sum(crosses(c("x"), c("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(c("x"), c("y"))).alias("dist"))
+
+
+def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float = 10.0) -> DataFrame:
+    """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2
     tile = lambda v: F.floor(v / TILE).cast("int")
     points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": tile(x), "ty": tile(y)})
@@ -87,8 +79,7 @@ def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float
         .withColumn("tx", F.explode(F.sequence(tile(c("min_x")), tile(c("max_x")))))
         .withColumn("ty", F.explode(F.sequence(tile(c("min_y")), tile(c("max_y")))))
     )
-    near = points.join(tiled, ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y")
-    return near.select("parcel_id", "row", "col", inside(c("x"), c("y")).alias("inside"), distance(c("x"), c("y")).alias("dist"))
+    return judged(points.join(tiled, ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
 
 
 def clip(cells: DataFrame, edges: DataFrame, buffer: float = 100.0) -> DataFrame:
@@ -102,17 +93,45 @@ def areas(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parcel_id").agg((F.abs(F.sum(c("x1") * c("y2") - c("x2") * c("y1"))) / 2).alias("area_m2"))
 
 
+def _eroded(step: float, margins: tuple[float, float]):
+    def areas_of(ring: np.ndarray, box: tuple[float, ...]) -> list[float]:
+        """Area of the cells whose centre lies in the ring, at least so far from its edges; strips of rows bound the memory."""
+        min_x, max_x, min_y, max_y = box
+        x = (np.arange(np.floor(min_x / step), np.ceil(max_x / step)) + 0.5) * step
+        rows = np.arange(np.floor(min_y / step), np.ceil(max_y / step))
+        found = [0, 0]
+        strip = max(1, CELLS // max(len(x), 1))
+        for low in range(0, len(rows), strip):
+            y = ((rows[low : low + strip] + 0.5) * step)[:, None]
+            odd, dist = np.zeros((len(y), len(x)), bool), np.full((len(y), len(x)), np.inf)
+            for x1, y1, x2, y2 in ring:
+                dx, dy = x2 - x1, y2 - y1
+                over = (y1 > y) != (y2 > y)
+                if dy:
+                    odd ^= over & (x < dx * (y - y1) / dy + x1)
+                t = np.clip(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0, 1)
+                dist = np.minimum(dist, np.hypot(x - (x1 + t * dx), y - (y1 + t * dy)))
+            found = [n + int((odd & (dist >= m)).sum()) for n, m in zip(found, margins)]
+        return [n * step * step for n in found]
+
+    def eroded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rings_, *boxes = (x.to_pylist() for x in batch.columns)
+            found = [areas_of(np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in ring]), box) for ring, *box in zip(rings_, *boxes)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=["parcel_id", "area_10m", "area_5m"])
+
+    return eroded
+
+
 def adaptive_core(edges: DataFrame, pixel_area: float = 100.0, core_min: float = 2500.0, small_pixels: float = 60.0, step: float = 1.0) -> DataFrame:
     """Erosion of each parcel: 10 m if that leaves ``core_min``, else 5 m if that does, else none.
 
-    Eroded areas are counted on cells of ``step`` metres whose centre lies inside, at least so far from the boundary. Cells are
-    made, judged and counted in one pass; only a parcel's sums are shuffled. A parcel is small below ``small_pixels`` pixels.
+    Eroded areas are counted on cells of ``step`` metres whose centre lies inside, at least so far from the boundary. A parcel's
+    cells are counted where its edges are, in numpy; only parcels are shuffled. It is small below ``small_pixels`` pixels.
     """
-    cells = _filled(rings(edges), step).where(inside(c("x"), c("y"))).select("parcel_id", distance(c("x"), c("y")).alias("dist"))
-    count = lambda d: F.sum(F.when(c("dist") >= d, step * step).otherwise(0.0))
-    eroded = cells.groupBy("parcel_id").agg(count(10.0).alias("area_10m"), count(5.0).alias("area_5m"))
-    whole = areas(edges).join(eroded, "parcel_id", "left").fillna(0.0, ["area_10m", "area_5m"])
-    return whole.select(
+    spread = _spread(rings(edges)).select(c("parcel_id").cast("long"), "ring", "min_x", "max_x", "min_y", "max_y")
+    eroded = spread.mapInArrow(_eroded(step, (10.0, 5.0)), "parcel_id long, area_10m double, area_5m double")
+    return areas(edges).join(eroded, "parcel_id").select(
         "parcel_id", "area_m2", "area_10m", "area_5m",
         F.when(c("area_10m") >= core_min, 10).when(c("area_5m") >= core_min, 5).otherwise(0).alias("erosion_m"),
         (c("area_m2") / pixel_area < small_pixels).cast("int").alias("is_small_parcel"),
@@ -126,8 +145,10 @@ def core_area() -> Column:
 
 def core_cells(edges: DataFrame, core: DataFrame, scale: float = 10.0) -> DataFrame:
     """Cells in each parcel's eroded core: (row, col) beside the columns of ``core``. Made from the parcels alone, no pixel is read."""
-    found = _filled(rings(edges), scale).where(inside(c("x"), c("y"))).select("parcel_id", "row", "col", distance(c("x"), c("y")).alias("dist"))
-    return found.join(core, "parcel_id").where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).drop("dist")
+    line = lambda lo, hi: F.sequence(F.floor(c(lo) / scale).cast("int"), F.greatest(F.ceil(c(hi) / scale).cast("int") - 1, F.floor(c(lo) / scale).cast("int")))
+    cells = _spread(rings(edges)).withColumn("row", F.explode(line("min_y", "max_y"))).withColumn("col", F.explode(line("min_x", "max_x")))
+    found = judged(cells.withColumns({"x": (c("col") + 0.5) * scale, "y": (c("row") + 0.5) * scale})).where("inside")
+    return found.join(core, "parcel_id").where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).drop("inside", "dist")
 
 
 def edges_of_geojson(parcels: DataFrame, text: str = "geojson") -> DataFrame:

@@ -13,7 +13,7 @@ from vinegrid.queries.pixels import _DAY, INDEX_SQL
 from vinegrid.queries.registry import query
 from vinegrid.queries.space import _CLEAR_LST, _FOCAL, _GRID, _NEAR, S2_SQL, TERRAIN_SQL, located_sql
 from vinegrid.queries.tables import _ECO, _GEO, _LS, _MERGED, _S1, _VALUES, _tree, shared_folder, sources
-from vinegrid.schema import METADATA, export_schema
+from vinegrid.schema import METADATA, STATIC_COLUMNS, export_schema
 from vinegrid.sources import files
 from vinegrid.streaming import jobs
 
@@ -24,7 +24,7 @@ def _round_trip(spark, df, source):
     """Write a source's export and read it as the merge does."""
     base = shared_folder(spark, "export")
     files.write_csv(df, base, "ROI_TEST", source)
-    return files.read_csv(spark, f"{base}/ROI_TEST/{source}", source)
+    return files.read_csv(spark, f"{base}/ROI_TEST/{source}", source, static=source in STATIC_COLUMNS)
 
 
 def _typed(source, raw):
