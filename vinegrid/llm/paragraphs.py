@@ -28,18 +28,19 @@ RECALL = 0.999
 #: Lines of fewer words are left alone, but for pieces that they are part of: short lines repeat by chance.
 MIN_WORDS = 20
 #: Words of a piece. Of each so many words in a row one starts a piece, so any passage of 2 * PIECE - 1 words (51) holds a whole
-#: piece, the same one wherever the passage stands. Pieces have bands of their own: there are many, most without a copy.
+#: piece, the same one wherever the passage stands. Pieces have bands of their own: there are many, most without a copy. Equal
+#: ones, which passages have, meet in any band; the recall is that of pieces just at the threshold.
 PIECE = 26
-PIECE_RECALL = 0.95
-PIECE_HASHES = 6
+PIECE_RECALL = 0.88
+PIECE_HASHES = 9
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
 TILE = 1024
 #: Differing bits up to which whole texts are candidates (see simhash.keep_one_of_group).
 TEXT_BUDGET = 24
 #: Words that are hashed at once, and entries of a worker's cache of word hashes.
-WORDS = 1 << 17
-CACHE = 150_000
+WORDS = 1 << 16
+CACHE = 100_000
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 36) -> tuple[int, int]:
@@ -181,7 +182,7 @@ def _banded(min_words: int, shingle: int, lines: tuple[int, int], pieces: tuple[
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (bucket, words' hash, key, par, band) for each band of each line and piece. Of equal ones of a batch only the
         first is banded, the others are known as its copies. With ``whole``, texts are banded as they are, without pieces."""
-        for batch in sliced(batches, 2000):
+        for batch in sliced(batches, 1000):
             out: list[list[np.ndarray]] = []
             places: dict[int, tuple[int, int]] = {}
             copies: list[tuple[int, int, int, int]] = []
@@ -319,7 +320,7 @@ def _looked_up(shingle: int, whole: bool = False):
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles of the wanted paragraphs, and of the wanted pieces the words before (nearest first) and behind them."""
-        for batch in sliced(batches):
+        for batch in sliced(batches, 500):
             out: list[list] = [[], [], [], [], []]
             for key, text, wanted, around in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = text.as_py() or ""
@@ -530,7 +531,7 @@ def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_pieces", "_ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 500):
             out: list[list] = [[], [], [], [], []]
             for text, lines, pieces, ends in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 text = text.as_py()
@@ -559,7 +560,7 @@ def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: st
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 500):
             todo = [batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns)]
             texts = [_cut(t.as_py(), *x)[0] for t, *x in zip(batch.column(at), *todo)]
             touched = [bool(a or b) for a, b in zip(*todo[:2])]
