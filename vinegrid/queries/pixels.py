@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vinegrid.adapters import adapter
 from vinegrid.functions import indices as ix
-from vinegrid.operators import geometry, merge, scenes, stats
+from vinegrid.operators import merge, scenes, stats
 from vinegrid.plans.pipelines import dated, geo
 from vinegrid.queries.registry import query
 
@@ -279,12 +279,6 @@ def cv_geo_point(spark, sf):
     return adapter(spark, sf, "px_s1").select("scene_id", "row", "col", geo().alias("geo"))
 
 
-@query("cv_reduction_pct", "WITH a AS (SELECT parcel_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM parcel_edges GROUP BY 1) SELECT parcel_id, (area - 2500) / area * 100 AS reduction_pct FROM a", "reduction_pct")
-def cv_reduction_pct(spark, sf):
-    a = geometry.areas(adapter(spark, sf, "parcel_edges"))
-    return a.select("parcel_id", (F.try_divide(c("area_m2") - 2500, c("area_m2")) * 100).alias("reduction_pct"))
-
-
 @query("set_flatten", "SELECT scene_id, unnest(polarisations) AS polarisation FROM scenes")
 def set_flatten(spark, sf):
     return _scenes(spark, sf).select("scene_id", F.explode("polarisations").alias("polarisation"))

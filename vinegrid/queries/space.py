@@ -68,6 +68,22 @@ def geo_erode(spark, sf):
     return geometry.adaptive_core(_edges(spark, sf))
 
 
+_CORE_AREA = "CASE erosion_m WHEN 10 THEN area_10m WHEN 5 THEN area_5m ELSE area_m2 END"
+
+
+@query("cv_reduction_pct", f"WITH {CORE_SQL} SELECT parcel_id, (area_m2 - {_CORE_AREA}) / area_m2 * 100 AS reduction_pct FROM core", "reduction_pct")
+def cv_reduction_pct(spark, sf):
+    """Share of each parcel that its erosion takes."""
+    core = geometry.adaptive_core(_edges(spark, sf))
+    return core.select("parcel_id", (F.try_divide(c("area_m2") - geometry.core_area(), c("area_m2")) * 100).alias("reduction_pct"))
+
+
+@query("agg_total_pixels", f"WITH {CORE_SQL} SELECT parcel_id, {_CORE_AREA} / 100 AS total_pixels FROM core", "total_pixels")
+def agg_total_pixels(spark, sf):
+    """Pixels that each parcel's core holds by its area."""
+    return geometry.adaptive_core(_edges(spark, sf)).select("parcel_id", (geometry.core_area() / 100).alias("total_pixels"))
+
+
 _CLIP = f"WITH {located_sql('dem', 100.0)} SELECT parcel_id, row, col, elevation FROM located JOIN dem USING (row, col) WHERE inside OR dist <= 100"
 
 
@@ -184,14 +200,16 @@ def jn_align_nearest(spark, sf):
 _W = "CASE WHEN abs({d}) <= 1 THEN 1.5 * pow(abs({d}), 3) - 2.5 * pow(abs({d}), 2) + 1 WHEN abs({d}) < 2 THEN -0.5 * pow(abs({d}), 3) + 2.5 * pow(abs({d}), 2) - 4 * abs({d}) + 2 ELSE 0 END"
 
 
-@query("jn_align_bicubic", f"""WITH coarse AS (SELECT row AS crow, col AS ccol, elevation FROM dem WHERE row < 32 AND col < 32),
+@query("jn_align_bicubic", f"""WITH coarse AS (SELECT row // 2 AS crow, col // 2 AS ccol, avg(CAST(elevation AS DOUBLE)) AS elevation FROM dem GROUP BY 1, 2),
     fine AS (SELECT row, col, (row + 0.5) / 2 - 0.5 AS y, (col + 0.5) / 2 - 0.5 AS x FROM dem),
     four AS (SELECT unnest(range(-1, 3)) AS s),
     j AS (SELECT row, col, elevation, ({_W.format(d='(y - crow)')}) * ({_W.format(d='(x - ccol)')}) AS w FROM fine CROSS JOIN four a CROSS JOIN four b JOIN coarse ON crow = floor(y) + a.s AND ccol = floor(x) + b.s)
     SELECT row, col, CAST(sum(w * elevation) / nullif(sum(w), 0) AS DOUBLE) AS elevation FROM j GROUP BY 1, 2""", "elevation")
 def jn_align_bicubic(spark, sf):
+    """The elevation's mean over 2 x 2 cells, brought back to all cells."""
     dem = adapter(spark, sf, "dem")
-    return merge.align_bicubic(dem, dem.where("row < 32 AND col < 32"), "elevation")
+    coarse = dem.groupBy(F.expr("int(row div 2)").alias("row"), F.expr("int(col div 2)").alias("col")).agg(F.avg(c("elevation").cast("double")).alias("elevation"))
+    return merge.align_bicubic(dem, coarse, "elevation")
 
 
 _FLOW = f"{TERRAIN_SQL}, flow AS (SELECT f.row, f.col, slope, aspect, b1 FROM terrain f JOIN flowacc q ON {_NEAR.format(m=160)})"
@@ -242,7 +260,7 @@ def _seen(spark, sf):
     return stats.coverage(adapter(spark, sf, "px_s2").withColumn("b4", F.when(ix.clear_scl(), c("b4"))), ["scene_id"], 640.0)
 
 
-for _name, _columns in (("agg_valid_count", "scene_id, valid_pixels"), ("agg_total_pixels", "scene_id, total_pixels"), ("agg_coverage", "scene_id, valid_pixels, coverage_ratio")):
+for _name, _columns in (("agg_valid_count", "scene_id, valid_pixels"), ("agg_coverage", "scene_id, valid_pixels, coverage_ratio")):
     query(_name, f"SELECT {_columns} FROM ({_SEEN})", "coverage_ratio" if "ratio" in _columns else "")(lambda spark, sf, k=_columns: _seen(spark, sf).select(*k.split(", ")))
 
 _VALID = "CAST(valid_pixels >= greatest(CASE WHEN {small} THEN 15.0::DOUBLE ELSE 25.0::DOUBLE END, total_pixels * 0.30::DOUBLE) AND coverage_ratio >= CASE WHEN {small} THEN 0.50 ELSE 0.60 END AS INTEGER)"
