@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vinegrid.adapters import adapter
 from vinegrid.functions import indices as ix
-from vinegrid.operators import merge, scenes, stats
+from vinegrid.operators import merge, scenes
 from vinegrid.plans.pipelines import dated, geo
 from vinegrid.queries.registry import query
 
