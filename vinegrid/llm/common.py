@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
         .distinct()
     )
-    pairs = materialize(pairs, "cc-edges")
+    pairs = materialize(pairs, "cc-edges", release=True)
     if pairs.isEmpty():
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
@@ -158,7 +158,9 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     doc_id = F.col(id_col).cast("long")
     if docs.groupBy(doc_id.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").isEmpty():
-        return docs.withColumn("_key", doc_id)
+        keyed = docs.withColumn("_key", doc_id)
+        keyed._by_id = True
+        return keyed
     spark = docs.sparkSession
     hashed = docs.withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     order = [F.asc_nulls_first("_i"), F.asc("_g")]

@@ -500,11 +500,13 @@ def cut_text(text: str, lines_gone: set[int], starts: list[int], ends: list[tupl
 
 
 def _cuts(gone: DataFrame, ends: DataFrame) -> DataFrame:
-    """(_key, lines, pieces, ends) to cut per text."""
+    """(_key, lines, pieces, ends) to cut per text, and the texts (firsts) that hold the like earlier."""
     null = F.lit(None)
-    rows = gone.select("key", F.when(F.col("par") % 2 == 0, F.expr("par div 2")).alias("line"), F.when(F.col("par") % 2 == 1, F.expr("par div 2")).alias("piece"), null.cast("struct<start:bigint,before:binary,behind:binary>").alias("end"))
-    rows = rows.union(ends.select("key", null.cast("long"), null.cast("long"), F.struct("start", "before", "behind")))
-    return rows.groupBy("key").agg(F.collect_list("line").alias("_lines"), F.collect_list("piece").alias("_pieces"), F.collect_list("end").alias("_ends")).withColumnRenamed("key", "_key")
+    rows = gone.select("key", "first_key", F.when(F.col("par") % 2 == 0, F.expr("par div 2")).alias("line"), F.when(F.col("par") % 2 == 1, F.expr("par div 2")).alias("piece"), null.cast("struct<start:bigint,before:binary,behind:binary>").alias("end"))
+    rows = rows.union(ends.select("key", null.cast("long"), null.cast("long"), null.cast("long"), F.struct("start", "before", "behind")))
+    return rows.groupBy(F.col("key").alias("_key")).agg(
+        F.collect_list("line").alias("_lines"), F.collect_list("piece").alias("_pieces"), F.collect_list("end").alias("_ends"), F.sort_array(F.collect_set("first_key")).alias("_firsts")
+    )
 
 
 def _cut(text: str | None, lines: list[int] | None, pieces: list[int], ends: list[dict]) -> tuple[str | None, int]:
@@ -524,10 +526,13 @@ def remove_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     """
     keyed = keyed_documents(docs.select("doc_id", "text"))
     gone, ends, written = paragraph_groups(keyed, threshold, min_words=min_words)
-    ids = keyed.select(F.col("_key").alias("first_key"), F.col("doc_id").alias("first_doc")).distinct()
-    first = gone.select("key", "first_key").distinct().join(ids, "first_key").groupBy("key").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    by_text = materialize(_cuts(gone, ends).join(first.withColumnRenamed("key", "_key"), "_key", "left"), "par-cuts", release=True)
+    by_text = materialize(_cuts(gone, ends).withColumnRenamed("_firsts", "first_docs"), "par-cuts", release=True)
     discard(*written)
+    if not getattr(keyed, "_by_id", False):  # keys are ranks: back to ids
+        ids = keyed.select(F.col("_key").alias("first_key"), F.col("doc_id").alias("first_doc")).distinct()
+        first = by_text.select("_key", F.explode("first_docs").alias("first_key")).join(ids, "first_key")
+        first = first.groupBy("_key").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+        by_text = by_text.drop("first_docs").join(first, "_key", "left")
     joined = keyed.join(by_text, "_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "first_docs", "text", "_lines", "_pieces", "_ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,7 +559,7 @@ def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: st
     """Pipeline stage: texts lose their repeated paragraphs and passages, ``n_chars`` follows where it is there; all rows stay."""
     keyed = keyed_documents(docs)
     gone, ends, written = paragraph_groups(keyed.select("_key", "text"))
-    cuts = materialize(_cuts(gone, ends), "par-cuts", release=True)
+    cuts = materialize(_cuts(gone, ends).drop("_firsts"), "par-cuts", release=True)
     discard(*written)
     joined = keyed.join(cuts, "_key", "left").select(*docs.columns, "_lines", "_pieces", "_ends")
     at = docs.columns.index("text")
