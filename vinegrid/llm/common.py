@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
 
 
+def crc32_sql(words: str) -> str:
+    """DuckDB's common table expressions up to ``crc (w, crc)``, the unsigned CRC-32 of the UTF-8 bytes of a query's strings ``w``; they need RECURSIVE."""
+    return f"""crc_bits AS (
+  SELECT i AS octet, i AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT octet, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT octet, v FROM crc_bits WHERE k = 8), crc_steps AS (
+  SELECT w, hex(encode(w)) AS h, 0 AS k, 4294967295 AS a FROM ({words})
+  UNION ALL SELECT w, h, k + 1, xor(a >> 8, v) FROM crc_steps JOIN crc_table ON octet = xor(a, ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) & 255 WHERE 2 * k < length(h)
+), crc AS (SELECT w, xor(a, 4294967295) AS crc FROM crc_steps WHERE 2 * k = length(h))"""
+
+
 def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

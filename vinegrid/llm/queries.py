@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from vinegrid.llm.bpe import op12_bpe
 from vinegrid.llm.embeddings import OP4_SQL, op4_embedding_dedup
 from vinegrid.llm.hamming import OP10_SQL, op10_top_k
 from vinegrid.llm.language import op8_language_id
+from vinegrid.llm.merkle import OP13_SQL, op13_merkle
 from vinegrid.llm.packing import op2_packing
 from vinegrid.llm.paragraphs import op5_substring_dedup
+from vinegrid.llm.resampling import OP11_SQL, op11_resampling
 from vinegrid.llm.segmentation import op9_sentencepiece
 from vinegrid.llm.sharding import op3_sharding
 from vinegrid.llm.simhash import op6_simhash
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_top_k": op10_top_k,
+    "op11_resampling": op11_resampling,
+    "op12_bpe": op12_bpe,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op10_top_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op10_top_k": OP10_SQL, "op11_resampling": OP11_SQL, "op13_merkle": OP13_SQL}
