@@ -69,17 +69,33 @@ def judged(points: DataFrame) -> DataFrame:
     return met.groupBy("parcel_id", "row", "col").agg((F.sum(crosses(c("x"), c("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(c("x"), c("y"))).alias("dist"))
 
 
+def _tile(v: Column) -> Column:
+    return F.floor(v / TILE).cast("int")
+
+
+def _tiled(parcels: DataFrame) -> DataFrame:
+    """A row per parcel and tile (tx, ty) of its box."""
+    line = lambda lo, hi: F.explode(F.sequence(_tile(c(lo)), _tile(c(hi))))
+    return parcels.withColumn("tx", line("min_x", "max_x")).withColumn("ty", line("min_y", "max_y"))
+
+
+def box_tiles(edges: DataFrame, reach: float = 0.0) -> DataFrame:
+    """The tiles (tx, ty) that the parcels' boxes, widened by ``reach``, touch."""
+    box = edges.groupBy("parcel_id").agg(*[(f(g(f"{v}1", f"{v}2")) + sign * reach).alias(f"{name}_{v}") for v in "xy" for name, f, g, sign in (("min", F.min, F.least, -1), ("max", F.max, F.greatest, 1))])
+    return _tiled(box).select("tx", "ty").distinct()
+
+
+def in_tiles(cells: DataFrame, tiles: DataFrame, scale: float = 10.0) -> DataFrame:
+    """Cells whose centre is in one of the tiles; Spark broadcasts the tiles where their size allows it."""
+    at = lambda v: _tile(c(v) * scale + scale / 2)
+    return cells.withColumns({"tx": at("col"), "ty": at("row")}).join(tiles, ["tx", "ty"], "left_semi").drop("tx", "ty")
+
+
 def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float = 10.0) -> DataFrame:
     """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2
-    tile = lambda v: F.floor(v / TILE).cast("int")
-    points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": tile(x), "ty": tile(y)})
-    tiled = (
-        rings(edges, reach)
-        .withColumn("tx", F.explode(F.sequence(tile(c("min_x")), tile(c("max_x")))))
-        .withColumn("ty", F.explode(F.sequence(tile(c("min_y")), tile(c("max_y")))))
-    )
-    return judged(points.join(tiled, ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
+    points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": _tile(x), "ty": _tile(y)})
+    return judged(points.join(_tiled(rings(edges, reach)), ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
 
 
 def clip(cells: DataFrame, edges: DataFrame, buffer: float = 100.0) -> DataFrame:

@@ -13,8 +13,13 @@ CELL = ["scene_id", "row", "col"]
 
 
 def combine(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame) -> DataFrame:
-    """Inner join of the image and both cloud products; all three shuffle on the same key."""
-    return px_s2.join(px_cs, CELL).join(px_cld, CELL)
+    """Inner join of the image and both cloud products; all three shuffle on the same key.
+
+    Stored tables (sources.pixels) are joined by day and tile, too, within their buckets, so that nothing is shuffled.
+    """
+    stored = all({"acquired_date", "tile"} <= set(df.columns) for df in (px_s2, px_cs, px_cld))
+    keys = ["acquired_date", "tile", *CELL] if stored else CELL
+    return px_s2.join(px_cs, keys).join(px_cld, keys)
 
 
 def coarse_key(fine: str, fine_m: float, coarse_m: float) -> Column:

@@ -29,8 +29,15 @@ def sentinel1(px_s1: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return dated(calm).select("date", c("vv").alias("VV"), c("vh").alias("VH"), ix.ratio_vh_vv().alias("RATIOVHVV"), geo().alias("geo"), "row", "col")
 
 
-def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Pixels that all three products call clear and that no cloudy one is near to."""
+def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS, edges: DataFrame | None = None) -> DataFrame:
+    """Pixels that all three products call clear and that no cloudy one is near to.
+
+    ``edges``: only pixels in these parcels are wanted. Each table is then cut to the tiles of the parcels' boxes, widened by the
+    dilation, before anything else is done with it; of the pixels in these tiles but outside the boxes some may come out, too.
+    """
+    if edges is not None:
+        near = geometry.box_tiles(edges, params.dilation_cells * params.scale_m)
+        px_s2, px_cs, px_cld = (geometry.in_tiles(px, near, params.scale_m) for px in (px_s2, px_cs, px_cld))
     tested = merge.combine(px_s2, px_cs, px_cld).withColumn("clear", ix.clear_ensemble(params))
     return neighborhood.drop_dilated(tested, ~c("clear"), params.dilation_cells).where("clear").drop("clear")
 
@@ -39,11 +46,11 @@ def sentinel2(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: Data
     """Cleaned indices of each parcel's core with its quality columns; every band counts for coverage, rows need all indices.
 
     The core's cells carry the parcel's columns, and a scene's pixels in a parcel are counted by a window, so that each input
-    is read once.
+    is read once, and only near the parcels.
     """
     core = geometry.adaptive_core(edges, params.scale_m**2, params.core_area_min, params.small_pixels)
     core = core.select("parcel_id", "erosion_m", "is_small_parcel", (geometry.core_area() / params.scale_m**2).alias("total_pixels"))
-    clear = clear_pixels(px_s2, px_cs, px_cld, params).join(geometry.core_cells(edges, core, params.scale_m), ["row", "col"])
+    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(geometry.core_cells(edges, core, params.scale_m), ["row", "col"])
     seen = clear.withColumn("valid_pixels", F.count("b4").over(Window.partitionBy("parcel_id", "scene_id"))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
     indices = ["NDVI", "EVI", "GNDVI", "IRECI", "NDMI", "NDRE"]
     named = stats.validate(seen, params=params).withColumns({k: v for k, v in ix.s2_indices(params.profile).items() if k in indices}).dropna(subset=indices)

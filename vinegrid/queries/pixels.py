@@ -9,6 +9,8 @@ from vinegrid.functions import indices as ix
 from vinegrid.operators import merge, scenes
 from vinegrid.plans.pipelines import dated, geo
 from vinegrid.queries.registry import query
+from vinegrid.sources import pixels
+from vinegrid.sources.files import shared_folder
 
 c = F.col
 START, END = "1996-01-01", "1998-07-01"
@@ -20,6 +22,20 @@ def _scenes(spark, sf):
     return adapter(spark, sf, "scenes")
 
 
+def stored(spark, sf, *names):
+    """Pixel tables of a sensor as they are stored: by day, in buckets of scene tiles. A scene's number counts its days from the first."""
+    base = shared_folder(spark, "pixels")
+    key = base.rsplit("-", 1)[-1]
+    return [pixels.write_pixels(dated(adapter(spark, sf, x)).withColumnRenamed("date", pixels.DAY), f"{x}_{key}", f"{base}/{x}", buckets=2) for x in names]
+
+
+def stored_with_scenes(spark, sf, name):
+    """As ``stored``, on the days that the scene table gives."""
+    days = _scenes(spark, sf).select("scene_id", F.to_date("acquired_at").alias(pixels.DAY))
+    base = shared_folder(spark, "pixels")
+    return pixels.write_pixels(adapter(spark, sf, name).join(days, "scene_id"), f"{name}_{base.rsplit('-', 1)[-1]}", f"{base}/{name}", buckets=2)
+
+
 # 2.1 sources and 2.3 filters on scenes
 
 
@@ -62,7 +78,8 @@ def flt_phase(spark, sf):
 
 @query("src_s2", f"SELECT scene_id, row, col, {_DAY} AS date, b4, b8, scl FROM px_s2 WHERE {_DAY} >= date '2025-06-10' AND {_DAY} < date '2025-08-01'")
 def src_s2(spark, sf):
-    return dated(adapter(spark, sf, "px_s2")).where("date >= date'2025-06-10' AND date < date'2025-08-01'").select("scene_id", "row", "col", "date", "b4", "b8", "scl")
+    (px,) = stored(spark, sf, "px_s2")
+    return pixels.of_days(px, "2025-06-10", "2025-08-01").select("scene_id", "row", "col", c(pixels.DAY).alias("date"), "b4", "b8", "scl")
 
 
 @query("src_cloudscore", "SELECT scene_id, row, col, cs AS cs_cs, cs_cdf AS cs_cs_cdf FROM px_cs", "cs_cs cs_cs_cdf")
@@ -78,7 +95,8 @@ def src_cloudprob(spark, sf):
 @query("src_s1", "SELECT p.scene_id, row, col, vv, vh FROM px_s1 p JOIN scenes s ON p.scene_id = s.scene_id WHERE s.sensor = 'S1' AND list_contains(polarisations, 'VV') AND list_contains(polarisations, 'VH') AND instrument_mode = 'IW' AND orbit_pass = 'ASCENDING'", "vv vh")
 def src_s1(spark, sf):
     kept = scenes.retrieve(_scenes(spark, sf), ["S1"], polarisations=["VV", "VH"], mode="IW", orbit="ASCENDING")
-    return adapter(spark, sf, "px_s1").join(kept.select("scene_id"), "scene_id").select("scene_id", "row", "col", "vv", "vh")
+    kept = kept.select("scene_id", F.to_date("acquired_at").alias(pixels.DAY))
+    return pixels.of_scenes(stored_with_scenes(spark, sf, "px_s1"), kept).select("scene_id", "row", "col", "vv", "vh")
 
 
 _LANDSAT = "SELECT scene_id, acquired_at, sensor, cloud_pct FROM scenes WHERE sensor = 'L9' AND cloud_pct < 80 UNION ALL SELECT scene_id, acquired_at, sensor, cloud_pct FROM scenes WHERE sensor = 'L8' AND cloud_pct < 80"
@@ -86,7 +104,8 @@ _LANDSAT = "SELECT scene_id, acquired_at, sensor, cloud_pct FROM scenes WHERE se
 
 @query("src_landsat", f"SELECT p.scene_id, row, col, st_b10, qa_pixel FROM px_landsat p JOIN ({_LANDSAT}) s ON p.scene_id = s.scene_id")
 def src_landsat(spark, sf):
-    return adapter(spark, sf, "px_landsat").join(scenes.landsat_scenes(_scenes(spark, sf)).select("scene_id"), "scene_id").select("scene_id", "row", "col", "st_b10", "qa_pixel")
+    kept = scenes.landsat_scenes(_scenes(spark, sf)).select("scene_id", F.to_date("acquired_at").alias(pixels.DAY))
+    return pixels.of_scenes(stored_with_scenes(spark, sf, "px_landsat"), kept).select("scene_id", "row", "col", "st_b10", "qa_pixel")
 
 
 @query("set_merge", _LANDSAT)
@@ -153,7 +172,7 @@ _mask("msk_dark", "px_s2", ix.dark, "b8 / 10000 < 0.15 AND scl <> 6", lambda s,
 
 @query("jn_combine", f"SELECT scene_id, row, col, b4, b8, cs, cs_cdf, probability FROM {_COMBINED}", "cs cs_cdf probability")
 def jn_combine(spark, sf):
-    return combined(spark, sf).select("scene_id", "row", "col", "b4", "b8", "cs", "cs_cdf", "probability")
+    return merge.combine(*stored(spark, sf, "px_s2", "px_cs", "px_cld")).select("scene_id", "row", "col", "b4", "b8", "cs", "cs_cdf", "probability")
 
 
 @query("msk_apply", "SELECT scene_id, row, col, CASE WHEN scl IN (4, 5, 6) THEN b4 END AS b4, CASE WHEN scl IN (4, 5, 6) THEN b8 END AS b8 FROM px_s2")

@@ -235,7 +235,7 @@ def pl_srtm(spark, sf):
     return pipelines.srtm(adapter(spark, sf, "dem"), _edges(spark, sf)).drop("geo")
 
 
-@query("jn_terrain_static", f"WITH {TERRAIN_SQL} SELECT scene_id, row, col, vv, elevation, slope, aspect FROM px_s1 LEFT JOIN terrain USING (row, col)", "elevation slope aspect")
+@query("jn_terrain_static", f"WITH {TERRAIN_SQL} SELECT scene_id, row, col, vv, elevation, slope, aspect FROM px_s1 LEFT JOIN terrain USING (row, col)", "vv elevation slope aspect")
 def jn_terrain_static(spark, sf):
     return adapter(spark, sf, "px_s1").join(neighborhood.terrain(adapter(spark, sf, "dem")), ["row", "col"], "left").select("scene_id", "row", "col", "vv", "elevation", "slope", "aspect")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import functions as F
 
 from vinegrid.adapters import adapter, table
@@ -16,6 +13,7 @@ from vinegrid.plans.pipelines import dated, geo
 from vinegrid.queries.pixels import _DAY
 from vinegrid.queries.registry import query
 from vinegrid.sources import files
+from vinegrid.sources.files import shared_folder
 from vinegrid.streaming import jobs
 
 c = F.col
@@ -26,18 +24,6 @@ _LS = f"ls AS (SELECT {_DAY} AS date, {_GEO} AS geo, st_b10 * 0.00341802::DOUBLE
 _MERGED = "SELECT date, geo, LST_eco, LST, VV, VH, RATIOVHVV FROM eco FULL JOIN ls USING (date, geo) FULL JOIN s1 USING (date, geo)"
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all nodes see; where it is unset, a local one for a local master only."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        base = f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def sources(spark, sf):
     """Three exports at their own cells, as the raw tree would hold them."""
     s1 = dated(adapter(spark, sf, "px_s1")).select("date", geo().alias("geo"), c("vv").alias("VV"), c("vh").alias("VH"), ix.ratio_vh_vv().alias("RATIOVHVV"))

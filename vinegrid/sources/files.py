@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import re
+import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,16 @@ from vinegrid.schema import EXPORT_COLUMNS, GEOJSON, STATIC_COLUMNS, export_sche
 c = F.col
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all nodes see; where it is unset, a local one for a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        base = f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def parent_folder() -> Column:
     """Name of the source's folder that holds the file, with or without a folder for the month."""
     return F.regexp_extract(c("_metadata.file_path"), "([^/]+)/(?:month=[^/]*/)?[^/]+$", 1)
