@@ -211,6 +211,68 @@ def test_layouts_unknown_sources_and_bad_files(spark, tmp_path):
     assert {(str(r.date), r.height, r.width) for r in found["drone"].collect()} == {("2025-06-01", 1.5, None), ("2025-06-02", None, 2.5)}
 
 
+def year_of(spark, base, source="sentinel_1"):
+    """A row for each month of a year, written by Spark, and files of others beside the month folders."""
+    rows = spark.range(12).select(F.make_date(F.lit(2025), c("id") + 1, F.lit(15)).alias("date"), c("id").cast("double").alias("VV"), F.lit(1.0).alias("VH"), F.lit(2.0).alias("RATIOVHVV"), F.lit("g").alias("geo"))
+    files.write_csv(rows, str(base), "ROI", source)
+    folder = base / "ROI" / source
+    (folder / "2025-03-01_2025-04-30.csv").write_text("date,VV,.geo\n2025-03-01,103.0,h\n2025-04-30,104.0,h\n")
+    (folder / "2025-07-01_2025-07-31.csv").write_text("date,VV,.geo\n2025-07-01,107.0,h\n")
+    (folder / "undated.csv").write_text("date,VV,.geo\n2025-07-02,207.0,h\n2025-01-02,201.0,h\n")
+    return rows
+
+
+def test_only_files_of_the_months_are_opened(spark, tmp_path):
+    year_of(spark, tmp_path)
+    found = files.read_sources(spark, str(tmp_path), months=["2025-04", "2025-11"])["sentinel_1"]
+    opened = {x.split("/sentinel_1/")[1].split("/part-")[0] for x in found.inputFiles() if x.endswith(".csv")}
+    assert opened == {"month=2025-04", "month=2025-11", "2025-03-01_2025-04-30.csv", "undated.csv"}
+    assert sorted(r.VV for r in found.collect()) == [3.0, 10.0, 103.0, 104.0, 201.0, 207.0]
+    assert files.month_paths(spark, f"{tmp_path}/ROI/sentinel_1", []) == [f"file:{tmp_path}/ROI/sentinel_1/undated.csv"]
+    assert files.read_sources(spark, str(tmp_path)).keys() == {"sentinel_1"} and files.read_sources(spark, str(tmp_path))["sentinel_1"].count() == 17
+
+
+def test_backfill_leaves_other_months_closed(spark, tmp_path):
+    """Files of months that are there are made unreadable: a backfill of one month of twelve doesn't notice."""
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    rows = year_of(spark, raw)
+    pipelines.merged_dataset(spark, str(raw), out)
+    before = sorted(map(str, spark.read.parquet(out).collect()))
+    july = tmp_path / "out" / "year=2025" / "month=7"
+    for x in july.iterdir():
+        x.unlink()
+    july.rmdir()
+    for x in (raw / "ROI" / "sentinel_1").glob("month=*/*.csv"):
+        if "month=2025-07" not in str(x):
+            x.write_text("not,a,header\nat,all\n")
+    got = pipelines.run_pipeline(spark, {"sentinel_1": rows}, str(raw), out, "2025-01-01", "2025-12-31", "2025-12-31", roi="ROI")
+    assert sorted(map(str, got.collect())) == before
+
+
+def test_known_headers_need_no_file(spark, tmp_path):
+    """Headers that the writer noted are taken from there; a file that was changed since is opened."""
+    year_of(spark, tmp_path)
+    known = f"{tmp_path}/{files.HEADERS}"
+    heads = files._headers(spark, f"{tmp_path}/ROI/sentinel_1", known)
+    assert heads.count() == 15 and {r._header for r in heads.collect()} == {"date,VV,VH,RATIOVHVV,.geo", "date,VV,.geo"}
+    one = next((tmp_path / "ROI" / "sentinel_1").glob("month=2025-05/*.csv"))
+    (one.parent / f".{one.name}.crc").unlink()
+    one.write_text("VV,date,.geo\n55.0,2025-05-05,h\n")
+    assert sorted(r.VV for r in files.read_sources(spark, str(tmp_path), months=["2025-05"])["sentinel_1"].collect()) == [55.0, 201.0, 207.0]
+
+
+def test_any_number_of_layouts(spark, tmp_path):
+    """More headers than one expression could hold a branch for; empty names keep their places."""
+    folder = tmp_path / "ROI" / "drone"
+    os.makedirs(folder)
+    for k in range(300):
+        (folder / f"{k}.csv").write_text(f",b{k},date,,.geo\n9,{k}.5,2025-06-01,8,g{k}\n")
+    found = files.read_sources(spark, str(tmp_path))["drone"]
+    assert len(found.columns) == 302
+    wide = found.select("geo", F.coalesce(*[c(f"b{k}") for k in range(300)]).alias("v")).collect()
+    assert sorted((r.geo, r.v) for r in wide) == sorted((f"g{k}", k + 0.5) for k in range(300))
+
+
 def test_export_replaces_its_months(spark, tmp_path):
     for _ in range(2):
         files.write_csv(sensor_rows(spark), str(tmp_path), "ROI", "sentinel_1")

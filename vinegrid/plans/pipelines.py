@@ -86,13 +86,18 @@ def era5(hourly: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def merged_dataset(spark: SparkSession, raw: str, out: str, roi: str = "*", months: DataFrame | None = None) -> DataFrame:
-    """Merge all CSV time series by date and place and write them by month, or only the ``months`` (year, month); returns the dataset."""
-    sources = files.read_sources(spark, raw, roi)
-    if not sources:
+    """Merge all CSV time series by date and place and write them by month, or only the ``months`` (year, month); returns the dataset.
+
+    Only files that can hold rows of these months are opened.
+    """
+    names = None if months is None else [f"{r['year']}-{r['month']:02d}" for r in months.select("year", "month").distinct().collect()]  # a calendar's months
+    sources = files.read_sources(spark, raw, roi, names)
+    if not sources and months is None:
         raise ValueError(f"no time series under {raw}")
-    if months is not None:
-        sources = {k: _of_months(v, months) for k, v in sources.items()}
-    files.write_partitioned(merge.outer_merge(sources), out)
+    if sources:
+        if months is not None:
+            sources = {k: _of_months(v, months) for k, v in sources.items()}
+        files.write_partitioned(merge.outer_merge(sources), out)
     return spark.read.parquet(out)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import csv
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,80 +42,119 @@ def _status(spark: SparkSession, pattern: str):
 
 def source_folders(spark: SparkSession, base: str, roi: str = "*") -> list[str]:
     """Names of all source folders under ``base/<roi>``."""
-    return sorted({x.getPath().getName() for x in _status(spark, f"{base}/{roi}/*") if x.isDirectory()})
+    return sorted({x.getPath().getName() for x in _status(spark, f"{base}/{roi}/*") if x.isDirectory() and not x.getPath().getParent().getName().startswith("_")})
 
 
-def read_sources(spark: SparkSession, base: str, roi: str = "*") -> dict[str, DataFrame]:
+def read_sources(spark: SparkSession, base: str, roi: str = "*", months: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Time series of the CSV tree ``base/<roi>/<source>/**.csv``, by source, of whatever name; rows that don't parse are dropped.
 
-    Files whose header has no ``date`` are static and left out, as are those without ``.geo``, which becomes ``geo``.
+    ``months`` ("2025-06" and so on): only files that can hold rows of these months are opened. Files whose header has no ``date``
+    are static and left out, as are those without ``.geo``, which becomes ``geo``.
     """
-    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source) for source in source_folders(spark, base, roi)}
+    found = {source: read_csv(spark, month_paths(spark, f"{base}/{roi}/{source}", months), source, headers=f"{base}/{HEADERS}") for source in source_folders(spark, base, roi)}
     return {k: v for k, v in found.items() if v is not None}
 
 
 def read_static(spark: SparkSession, base: str, roi: str = "*") -> dict[str, DataFrame]:
     """The tree's files without a date, by source."""
-    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source, static=True) for source in source_folders(spark, base, roi)}
+    found = {source: read_csv(spark, f"{base}/{roi}/{source}", source, static=True, headers=f"{base}/{HEADERS}") for source in source_folders(spark, base, roi)}
     return {k: v for k, v in found.items() if v is not None}
 
 
-#: Layouts (different headers) of one source's files at most; each is a branch of one expression.
-MAX_LAYOUTS = 256
+#: Folder, within a tree, of the headers of files that ``write_csv`` wrote.
+HEADERS = "_headers"
+_RANGE = re.compile(r"(\d{4}-\d{2})-\d{2}_(\d{4}-\d{2})-\d{2}\.csv$")
 
 
-def _layouts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[str]] | None:
-    """(file, header line) of all CSV files under a path, and the distinct header lines; None if there is no file.
+def month_paths(spark: SparkSession, folder: str, months: Sequence[str] | None) -> str | list[str]:
+    """Paths under a source's folder that can hold rows of the months: their own folders, and files of the folder itself.
 
-    The first line of a file is the one with the lowest row number of its first block's task.
+    Of the latter, those that are named by their first and last day are left out if no month is between these. The paths are as
+    many as months, and files beside month folders.
     """
+    if months is None:
+        return folder
+    own = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/month={{{','.join(months)}}}")] if months else []
+    flat = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/*.csv") if x.isFile()]
+    other = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/*") if x.isDirectory() and not x.getPath().getName().startswith(("month=", "_", "."))]
+    return own + other + [x for x in flat if (m := _RANGE.search(x)) is None or any(m[1] <= month <= m[2] for month in months)]
+
+
+def _csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """(file, modified, size) of the CSV files under the paths, whose content is not read; None if there is no such path."""
+    if not paths:
+        return None
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     try:
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", True).text(paths)
+        found = reader.load(paths)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return found.select(*[c(f"_metadata.{x}").alias(name) for x, name in (("file_path", "_file"), ("file_modification_time", "_modified"), ("file_size", "_size"))])
+
+
+def _first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, header line): the line with the lowest row number of the first block's task."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(files)
     first = lines.where("_metadata.file_block_start = 0").select(c("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("n"), "value")
-    heads = first.groupBy("_file").agg(F.min_by("value", "n").alias("_header"))
-    distinct = [r[0] for r in heads.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(distinct) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers under {paths}")
-    return heads, sorted(distinct)
+    return first.groupBy("_file").agg(F.min_by("value", "n").alias("_header"))
+
+
+def _headers(spark: SparkSession, paths: str | list[str], known: str | None) -> DataFrame | None:
+    """(file, header line) of all CSV files under the paths; only those that the table ``known`` doesn't hold are opened for it."""
+    found = _csv_files(spark, paths)
+    if found is None:
+        return None
+    if known and len(_status(spark, f"{known}/*.parquet")):
+        noted = found.join(spark.read.parquet(known), ["_file", "_modified", "_size"], "left").select("_file", "_header")
+    else:
+        noted = found.select("_file", F.lit(None).cast("string").alias("_header"))
+    unknown = [r["_file"] for r in noted.where("_header IS NULL").select("_file").collect()]  # Spark's reader takes paths from the driver
+    heads = noted.where("_header IS NOT NULL").distinct()
+    return heads.union(_first_lines(spark, unknown)) if unknown else heads
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False) -> DataFrame | None:
+def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False, headers: str | None = None) -> DataFrame | None:
     """CSV files under a folder, each file's columns matched by its own trimmed header; None if there is no file that fits.
 
     A source without a known schema gets its value columns, as doubles, from the headers. Columns that a file lacks are null.
-    Files that can't be read and headers without ``.geo``, or without ``date`` (with it, for ``static``), are left out.
+    Files that can't be read and headers without ``.geo``, or without ``date`` (with it, for ``static``), are left out. Any number
+    of different headers is read in one way: a file's header goes with its rows, and a column is looked up in it. ``headers``:
+    where headers are noted (``write_csv``).
     """
-    found = _layouts(spark, paths)
-    if found is None:
+    heads = _headers(spark, paths, headers)
+    if heads is None:
         return None
-    heads, lines = found
-    names = {line: [x.strip().strip("\ufeff") for x in next(csv.reader([line]), [])] for line in lines}
-    fits = {line: cells for line, cells in names.items() if ".geo" in cells and ("date" in cells) != static}
-    if not fits:
+    width = (heads.agg(F.max(F.size(F.split("_header", ","))).alias("n")).first()["n"]) or 0
+    if not width:
         return None
+    cells = [f"_c{k}" for k in range(width)]
+    row = F.from_csv("_header", F.lit(", ".join(f"{x} string" for x in cells)), {"escape": '"'})
+    heads = heads.select("_file", row.alias("_r")).select("_file", F.array(*[F.coalesce(c(f"_r.{x}"), F.lit("")) for x in cells]).alias("_raw"))
+    names = F.transform("_raw", lambda x: F.trim(F.replace(x, F.lit("\ufeff"), F.lit(""))))
+    heads = heads.withColumn("_names", names)
+    dated = F.array_contains("_names", "date")
+    fits = heads.where(F.array_contains("_names", ".geo") & (~dated if static else dated))
+    several = len(heads.select("_raw").distinct().take(2)) > 1
     if source in (STATIC_COLUMNS if static else EXPORT_COLUMNS):
         fields = [(f.name, f.dataType) for f in export_schema(source).fields]
+        if fits.isEmpty():
+            return None
     else:
-        values = list(dict.fromkeys(x for cells in fits.values() for x in cells if x not in ("date", ".geo", "")))
-        fields = [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values), (".geo", T.StringType())]
-    cells = [f"_c{k}" for k in range(max(map(len, fits.values())))]
+        values = [r[0] for r in fits.select(F.posexplode("_names").alias("k", "x")).groupBy("x").agg(F.min("k").alias("k")).orderBy("k", "x").select("x").collect()]  # the columns
+        if not values:
+            return None
+        fields = [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values if x not in ("date", ".geo", "")), (".geo", T.StringType())]
     reader = spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    raw = reader.option("escape", '"').option("header", len(names) == 1).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(paths)
-    if len(names) > 1:  # as many rows as files on the right
-        raw = raw.withColumn("_file", c("_metadata.file_path")).join(heads.where(c("_header").isin(list(fits))), "_file")
-        itself = lambda line: F.array(*cells[: len(fits[line])]) == F.array(*[F.lit(x) for x in next(csv.reader([line]))])
-        raw = raw.where(~F.coalesce(*[F.when(c("_header") == line, itself(line)) for line in fits], F.lit(False)))
-
-    def column(name: str) -> Column:
-        at = {line: cells[own.index(name)] for line, own in fits.items() if name in own}
-        if len(names) == 1:
-            return c(next(iter(at.values()))) if at else F.lit(None).cast("string")
-        return F.coalesce(*[F.when(c("_header") == line, c(x)) for line, x in at.items()], F.lit(None).cast("string"))
-
+    raw = reader.option("escape", '"').option("header", not several).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(paths)
+    if several:  # as many rows as files on the right
+        raw = raw.withColumn("_file", c("_metadata.file_path")).withColumn("_cells", F.array(*cells)).join(fits, "_file")
+        raw = raw.where(F.transform("_cells", lambda x: F.coalesce(x, F.lit(""))) != c("_raw"))
+        column = lambda name: F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))
+    else:
+        own = fits.first()["_names"]
+        column = lambda name: c(cells[own.index(name)]) if name in own else F.lit(None).cast("string")
     typed = [(F.try_to_date(column(n)) if n == "date" else column(n).try_cast(kind)).alias("geo" if n == ".geo" else n) for n, kind in fields]
     out = raw.select(*typed)
     return out if static else out.where(c("date").isNotNull())
@@ -125,18 +164,32 @@ def write_csv(df: DataFrame, base: str, roi: str, source: str) -> None:
     """Write a source's export to ``base/<roi>/<source>``, with header and quoted GeoJSON, a folder for each month.
 
     The months at hand are replaced, so an export that is run again leaves no row twice; a static one is replaced as a whole. An
-    export without rows leaves the header alone if there is nothing else yet.
+    export without rows leaves the header alone if there is nothing else yet. The header of the files is noted in the tree, so that
+    they need not be opened for it.
     """
-    path = f"{base}/{roi}/{source}"
+    path, spark = f"{base}/{roi}/{source}", df.sparkSession
     fields = [f.name for f in export_schema(source).fields]
     out = df.select(*[c("geo").alias(".geo") if x == ".geo" else c(x) for x in fields])
     put = lambda frame, mode: frame.write.mode(mode).option("header", True).option("escape", '"')
     if "date" not in fields:
         put(out, "overwrite").csv(path)
+        _note_headers(spark, base, path, fields)
         return
     put(out.withColumn("month", F.date_format("date", "yyyy-MM")), "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").csv(path)
-    if not len(_status(spark := df.sparkSession, f"{path}/month=*")) and not len(_status(spark, f"{path}/*.csv")):
+    if not len(_status(spark, f"{path}/month=*")) and not len(_status(spark, f"{path}/*.csv")):
         put(out.limit(0), "append").csv(path)
+    _note_headers(spark, base, path, fields)
+
+
+def _note_headers(spark: SparkSession, base: str, path: str, fields: list[str]) -> None:
+    """Note the header of a source's files that aren't noted yet and were written by Spark; those of others are read when needed."""
+    found, known = _csv_files(spark, path), f"{base}/{HEADERS}"
+    if found is None:
+        return
+    found = found.where(F.regexp_extract("_file", "[^/]+$", 0).startswith("part-"))
+    if len(_status(spark, f"{known}/*.parquet")):
+        found = found.join(spark.read.parquet(known), ["_file", "_modified", "_size"], "left_anti")
+    found.withColumn("_header", F.lit(",".join(fields))).coalesce(1).write.mode("append").parquet(known)
 
 
 def write_single(df: DataFrame, path: str, source: str) -> None:

@@ -22,14 +22,15 @@ def ingest_csv(spark: SparkSession, raw: str, out: str, checkpoint: str, roi: st
         new: dict[str, list[str]] = {}
         for row in batch.select("source", "file").distinct().collect():  # as many rows as a batch has files
             new.setdefault(row["source"], []).append(row["file"])
-        days = [df.select("date") for source, paths in new.items() if (df := files.read_csv(spark, paths, source)) is not None]
+        days = [df.select("date") for source, paths in new.items() if (df := files.read_csv(spark, paths, source, headers=f"{raw}/{files.HEADERS}")) is not None]
         if not days:
             return
         months = days[0]
         for more in days[1:]:
             months = months.union(more)
         months = months.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct()
-        sources = files.read_sources(spark, raw, roi)
+        names = [f"{r['year']}-{r['month']:02d}" for r in months.collect()]  # a calendar's months
+        sources = files.read_sources(spark, raw, roi, names)
         due = {k: v.join(F.broadcast(months), (F.year("date") == c("year")) & (F.month("date") == c("month")), "left_semi") for k, v in sources.items()}
         files.write_partitioned(outer_merge(due), out)
 
