@@ -253,7 +253,7 @@ def test_known_headers_need_no_file(spark, tmp_path):
     """Headers that the writer noted are taken from there; a file that was changed since is opened."""
     year_of(spark, tmp_path)
     known = f"{tmp_path}/{files.HEADERS}"
-    heads = files._headers(spark, f"{tmp_path}/ROI/sentinel_1", known)
+    heads, _ = files._headers(spark, f"{tmp_path}/ROI/sentinel_1", known)
     assert heads.count() == 15 and {r._header for r in heads.collect()} == {"date,VV,VH,RATIOVHVV,.geo", "date,VV,.geo"}
     one = next((tmp_path / "ROI" / "sentinel_1").glob("month=2025-05/*.csv"))
     (one.parent / f".{one.name}.crc").unlink()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinegrid.config import DEFAULTS, Params
@@ -13,20 +14,68 @@ from vinegrid.functions import indices as ix
 c = F.col
 
 
-def band_stats(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], approximate: bool = False) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys, of which nulls match each other."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    test = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_r_{k}")) for k in keys])
+    return left.join(named, test, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _value_range(value: str) -> Column:
+    """Number of the range that a value lies in, rising with the value: equal steps of its logarithm, 256 to a factor of e, NaN last."""
+    steps = F.floor(F.least(F.log1p(F.abs(c(value)) * 1048576.0), F.lit(1000.0)) * 256)
+    return F.when(F.isnan(value), F.lit(1 << 40)).otherwise(F.signum(value).cast("long") * steps).cast("long")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """(keys, p array, n): exact quantiles of each group, interpolated as ``percentile`` does; groups without a value are left out.
+
+    Distributed selection: equal values are counted, counts per range of values give the ranges that hold the wanted ranks, and
+    only in these are values put in order. So no task holds a group's values: a group's ranges are a few thousand rows at most,
+    and a window sorts the different values of one range, which spills.
+    """
+    counted = df.where(c(value).isNotNull()).groupBy(*keys, (c(value).cast("double") + 0.0).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", _value_range("_v"))
+    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b")
+    ranges = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    ranges = ranges.select(*keys, "_b", "_n", (F.sum("_n").over(order) - c("_n")).alias("_before"), F.sum("_n").over(group).alias("_total"))
+    place = lambda p: F.lit(float(p)) * (c("_total") - 1)
+    ranks = F.array_distinct(F.array(*[f(place(p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)]))
+    wanted = F.filter(ranks, lambda r: (r >= c("_before")) & (r < c("_before") + c("_n")))
+    holding = ranges.withColumn("_wanted", wanted).where(F.size("_wanted") > 0).select(*keys, "_b", "_before", "_total", "_wanted")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    ordered = _same(counted, holding, [*keys, "_b"]).withColumn("_upto", c("_before") + F.sum("_n").over(inside))
+    met = F.filter("_wanted", lambda r: (r >= c("_upto") - c("_n")) & (r < c("_upto")))
+    found = ordered.select(*keys, "_total", "_v", F.explode(met).alias("_rank"))
+    at = lambda p, f: F.max(F.when(c("_rank") == f(place(p)).cast("long"), c("_v")))
+    ends = [x for k, p in enumerate(probabilities) for x in (at(p, F.floor).alias(f"_lo{k}"), at(p, F.ceil).alias(f"_hi{k}"))]
+    rows = found.groupBy(*keys, "_total").agg(*ends)
+    between = lambda k, p: F.when(c(f"_lo{k}") == c(f"_hi{k}"), c(f"_lo{k}")).otherwise((F.ceil(place(p)) - place(p)) * c(f"_lo{k}") + (place(p) - F.floor(place(p))) * c(f"_hi{k}"))
+    return rows.select(*keys, F.array(*[between(k, p) for k, p in enumerate(probabilities)]).alias("p"), c("_total").alias("n"))
+
+
+PERCENTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def band_stats(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], approximate: bool = False, sample_deviation: bool = False) -> DataFrame:
     """Median, quartiles, deciles, count and deviation of each band per group, one row per group and band.
 
-    Exact percentiles hold a map of values per group; ``approximate`` bounds that memory for very large groups.
+    Exact percentiles are found by distributed selection (``quantiles``), ``approximate`` ones in one pass.
     """
     long = pixels.select(*keys, *[c(b).cast("double").alias(b) for b in bands]).unpivot(list(keys), list(bands), "band", "value")
-    p = F.percentile_approx("value", [0.1, 0.25, 0.5, 0.75, 0.9]) if approximate else F.percentile("value", F.array(*map(F.lit, [0.1, 0.25, 0.5, 0.75, 0.9])))
-    out = long.groupBy(*keys, "band").agg(p.alias("p"), F.count("value").alias("n"), F.stddev_pop("value").alias("stddev"))
-    return out.select(*keys, "band", *[F.get("p", i).alias(name) for i, name in enumerate(["p10", "p25", "median", "p75", "p90"])], "n", "stddev")
+    grouped = [*keys, "band"]
+    deviation = (F.stddev_samp if sample_deviation else F.stddev_pop)("value").alias("stddev")
+    named = [F.get("p", i).alias(name) for i, name in enumerate(PERCENTILES)]
+    if approximate:
+        out = long.groupBy(*grouped).agg(F.percentile_approx("value", list(PERCENTILES.values())).alias("p"), F.count("value").alias("n"), deviation)
+        return out.select(*grouped, *named, "n", "stddev")
+    spread = long.groupBy(*grouped).agg(F.count("value").alias("n"), deviation)
+    found = quantiles(long, grouped, "value", list(PERCENTILES.values())).drop("n")
+    return _same(spread, found, grouped, "left").select(*grouped, *named, "n", "stddev")
 
 
-def coverage(pixels: DataFrame, keys: Sequence[str], total: float, first_band: str = "b4") -> DataFrame:
-    """valid_pixels, total_pixels, coverage_ratio per group; masked pixels are null in the first band."""
-    return pixels.groupBy(*keys).agg(F.count(first_band).alias("valid_pixels")).withColumn("total_pixels", F.lit(float(total))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
+def coverage(pixels: DataFrame, keys: Sequence[str], total: str = "total_pixels", first_band: str = "b4") -> DataFrame:
+    """valid_pixels and coverage_ratio per group, whose keys hold ``total``, the pixels of its parcel's core; masked pixels are null in the first band."""
+    return pixels.groupBy(*keys).agg(F.count(first_band).alias("valid_pixels")).withColumn("coverage_ratio", F.try_divide("valid_pixels", c(total)))
 
 
 def validate(stats: DataFrame, small: str = "is_small_parcel", params: Params = DEFAULTS) -> DataFrame:
@@ -36,9 +85,9 @@ def validate(stats: DataFrame, small: str = "is_small_parcel", params: Params =
 
 def iqr_filter(df: DataFrame, keys: Sequence[str], value: str, fence: float = 1.5) -> DataFrame:
     """Rows within the Tukey fences of their group."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, keys, value, [0.25, 0.75]).select(*keys, c("p").alias("_q"))
     width = (F.get("_q", 1) - F.get("_q", 0)) * fence
-    return df.join(q, list(keys)).where(c(value).between(F.get("_q", 0) - width, F.get("_q", 1) + width)).drop("_q")
+    return _same(df, q, keys).where(c(value).between(F.get("_q", 0) - width, F.get("_q", 1) + width)).drop("_q")
 
 
 def peak_mosaic(pixels: DataFrame, bands: Sequence[str], by: str = "ndvi") -> DataFrame:

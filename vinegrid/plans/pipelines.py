@@ -42,15 +42,31 @@ def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params:
     return neighborhood.drop_dilated(tested, ~c("clear"), params.dilation_cells).where("clear").drop("clear")
 
 
+def parcel_cells(edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Cells (row, col) of each parcel's eroded core with parcel_id, erosion_m, is_small_parcel and total_pixels."""
+    core = geometry.adaptive_core(edges, params.scale_m**2, params.core_area_min, params.small_pixels)
+    core = core.select("parcel_id", "erosion_m", "is_small_parcel", (geometry.core_area() / params.scale_m**2).alias("total_pixels"))
+    return geometry.core_cells(edges, core, params.scale_m)
+
+
+#: What identifies a parcel's observation, and what its parcel gives to it.
+OBSERVED = ["parcel_id", "scene_id"]
+OF_PARCEL = ["erosion_m", "is_small_parcel", "total_pixels"]
+
+
+def observations(px: DataFrame, edges: DataFrame, params: Params = DEFAULTS, first_band: str = "b4") -> DataFrame:
+    """Quality of each parcel and scene: valid and total pixels of its core, coverage, erosion, and whether it counts as observed."""
+    seen = px.join(parcel_cells(edges, params), ["row", "col"])
+    return stats.validate(stats.coverage(seen, [*OBSERVED, *OF_PARCEL], first_band=first_band), params=params)
+
+
 def sentinel2(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Cleaned indices of each parcel's core with its quality columns; every band counts for coverage, rows need all indices.
 
     The core's cells carry the parcel's columns, and a scene's pixels in a parcel are counted by a window, so that each input
     is read once, and only near the parcels.
     """
-    core = geometry.adaptive_core(edges, params.scale_m**2, params.core_area_min, params.small_pixels)
-    core = core.select("parcel_id", "erosion_m", "is_small_parcel", (geometry.core_area() / params.scale_m**2).alias("total_pixels"))
-    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(geometry.core_cells(edges, core, params.scale_m), ["row", "col"])
+    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(parcel_cells(edges, params), ["row", "col"])
     seen = clear.withColumn("valid_pixels", F.count("b4").over(Window.partitionBy("parcel_id", "scene_id"))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
     indices = ["NDVI", "EVI", "GNDVI", "IRECI", "NDMI", "NDRE"]
     named = stats.validate(seen, params=params).withColumns({k: v for k, v in ix.s2_indices(params.profile).items() if k in indices}).dropna(subset=indices)

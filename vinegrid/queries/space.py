@@ -242,52 +242,66 @@ def jn_terrain_static(spark, sf):
 
 # statistics
 
-_P = ", ".join(f"quantile_cont(value, {q}) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90")))
-_LONG = f"SELECT scene_id, 'ndvi' AS band, {INDEX_SQL['NDVI']} AS value FROM masked UNION ALL SELECT scene_id, 'b8', CAST(b8 AS DOUBLE) FROM masked"
+_P = ", ".join(f"quantile_cont(value, {q}) AS {n}" for n, q in stats.PERCENTILES.items())
+_BANDS = ["b2", "b3", "b4", "b5", "b6", "b7", "b8", "b11"]
 STATS_DOUBLES = "p10 p25 median p75 p90 stddev"
+#: Cells of each parcel's core with the parcel's columns.
+CORED_SQL = f"""{CORE_SQL}, {located_sql('px_s2')},
+    cored AS (SELECT parcel_id, row, col, erosion_m, is_small_parcel, {_CORE_AREA} / 100 AS total_pixels FROM located JOIN core USING (parcel_id) WHERE inside AND (erosion_m = 0 OR dist >= erosion_m))"""
+_LONG = " UNION ALL ".join(f"SELECT parcel_id, scene_id, '{x.lower()}' AS band, CAST({y} AS DOUBLE) AS value FROM {{of}} JOIN cored USING (row, col)" for x, y in [("NDVI", INDEX_SQL["NDVI"]), *((x, x) for x in _BANDS)])
+_STATS = f"SELECT parcel_id, scene_id, band, {_P}, count(value) AS n, stddev_pop(value) AS stddev FROM ({{long}}) GROUP BY 1, 2, 3"
 
 
-@query("agg_parcel_stats", f"WITH {_MASKED}, long AS ({_LONG}) SELECT scene_id, band, {_P}, count(value) AS n, stddev_pop(value) AS stddev FROM long GROUP BY 1, 2", STATS_DOUBLES)
+@query("agg_parcel_stats", f"WITH {_MASKED}, {CORED_SQL} {_STATS.format(long=_LONG.format(of='masked'))}", STATS_DOUBLES)
 def agg_parcel_stats(spark, sf):
-    px = msk_dilated(spark, sf).withColumn("ndvi", ix.ndvi())
-    return stats.band_stats(px, ["scene_id"], ["ndvi", "b8"])
+    """All bands and the vegetation index of each parcel's core in each scene."""
+    edges = _edges(spark, sf)
+    clear = pipelines.clear_pixels(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld")), edges=edges).withColumn("ndvi", ix.ndvi())
+    return stats.band_stats(clear.join(pipelines.parcel_cells(edges), ["row", "col"]), pipelines.OBSERVED, ["ndvi", *_BANDS])
 
 
-_SEEN = "SELECT scene_id, count(CASE WHEN scl IN (4, 5, 6) THEN b4 END) AS valid_pixels, 640.0::DOUBLE AS total_pixels, count(CASE WHEN scl IN (4, 5, 6) THEN b4 END) / 640.0::DOUBLE AS coverage_ratio FROM px_s2 GROUP BY 1"
-
+_VALID = "CAST(valid_pixels >= greatest(CASE WHEN {small} THEN 15.0::DOUBLE ELSE 25.0::DOUBLE END, total_pixels * 0.30::DOUBLE) AND coverage_ratio >= CASE WHEN {small} THEN 0.50 ELSE 0.60 END AS INTEGER)"
+SEEN_SQL = f"""{CORED_SQL},
+    seen AS (SELECT *, valid_pixels / nullif(total_pixels, 0) AS coverage_ratio FROM (SELECT parcel_id, scene_id, erosion_m, is_small_parcel, total_pixels, count(CASE WHEN scl IN (4, 5, 6) THEN b4 END) AS valid_pixels FROM px_s2 JOIN cored USING (row, col) GROUP BY ALL)),
+    observed AS (SELECT *, {_VALID.format(small='is_small_parcel = 1')} AS observation_valid FROM seen)"""
 
-def _seen(spark, sf):
-    return stats.coverage(adapter(spark, sf, "px_s2").withColumn("b4", F.when(ix.clear_scl(), c("b4"))), ["scene_id"], 640.0)
 
+def _clear_b4(spark, sf):
+    return adapter(spark, sf, "px_s2").withColumn("b4", F.when(ix.clear_scl(), c("b4")))
 
-for _name, _columns in (("agg_valid_count", "scene_id, valid_pixels"), ("agg_coverage", "scene_id, valid_pixels, coverage_ratio")):
-    query(_name, f"SELECT {_columns} FROM ({_SEEN})", "coverage_ratio" if "ratio" in _columns else "")(lambda spark, sf, k=_columns: _seen(spark, sf).select(*k.split(", ")))
 
-_VALID = "CAST(valid_pixels >= greatest(CASE WHEN {small} THEN 15.0::DOUBLE ELSE 25.0::DOUBLE END, total_pixels * 0.30::DOUBLE) AND coverage_ratio >= CASE WHEN {small} THEN 0.50 ELSE 0.60 END AS INTEGER)"
+def _seen(spark, sf):
+    return pipelines.observations(_clear_b4(spark, sf), _edges(spark, sf))
 
 
-@query("qa_validate", f"SELECT *, scene_id % 2 AS is_small_parcel, {_VALID.format(small='scene_id % 2 = 1')} AS observation_valid FROM ({_SEEN})", "coverage_ratio")
-def qa_validate(spark, sf):
-    return stats.validate(_seen(spark, sf).withColumn("is_small_parcel", c("scene_id") % 2))
+_QUALITY = ["valid_pixels", "total_pixels", "coverage_ratio", "observation_valid", "erosion_m", "is_small_parcel"]
+for _name, _columns in (("agg_valid_count", ["valid_pixels"]), ("agg_coverage", ["valid_pixels", "total_pixels", "coverage_ratio"]), ("qa_validate", _QUALITY)):
+    query(_name, f"WITH {SEEN_SQL} SELECT parcel_id, scene_id, {', '.join(_columns)} FROM observed", " ".join(x for x in ("total_pixels", "coverage_ratio") if x in _columns))(
+        lambda spark, sf, k=_columns: _seen(spark, sf).select("parcel_id", "scene_id", *k)
+    )
 
 
-@query("jn_scene_stats", f"SELECT scene_id, row, col, b8, valid_pixels, coverage_ratio FROM px_s2 JOIN ({_SEEN}) USING (scene_id)", "coverage_ratio")
+@query("jn_scene_stats", f"""WITH {SEEN_SQL}, st AS ({_STATS.format(long=_LONG.format(of='px_s2'))})
+    SELECT parcel_id, scene_id, row, col, b8, median, p10, p90, n, valid_pixels, coverage_ratio FROM px_s2 JOIN cored USING (row, col) JOIN (SELECT * FROM st WHERE band = 'b8') USING (parcel_id, scene_id) JOIN observed USING (parcel_id, scene_id)""", "median p10 p90 coverage_ratio")
 def jn_scene_stats(spark, sf):
-    return adapter(spark, sf, "px_s2").join(_seen(spark, sf), "scene_id").select("scene_id", "row", "col", "b8", "valid_pixels", "coverage_ratio")
+    """Each pixel of a core beside its parcel's statistics and quality in that scene."""
+    inside = adapter(spark, sf, "px_s2").join(pipelines.parcel_cells(_edges(spark, sf)), ["row", "col"]).drop(*pipelines.OF_PARCEL)
+    per = stats.band_stats(inside, pipelines.OBSERVED, ["b8"]).drop("band", "p25", "p75", "stddev")
+    joined = inside.select("parcel_id", "scene_id", "row", "col", "b8").join(per, pipelines.OBSERVED).join(_seen(spark, sf), pipelines.OBSERVED)
+    return joined.select("parcel_id", "scene_id", "row", "col", "b8", "median", "p10", "p90", "n", "valid_pixels", "coverage_ratio")
 
 
-@query("cv_qa_columns", f"SELECT scene_id, row, col, {INDEX_SQL['NDVI']} AS NDVI, valid_pixels, total_pixels, coverage_ratio, {_VALID.format(small='false')} AS observation_valid, 10 AS erosion_m, 0 AS is_small_parcel FROM px_s2 JOIN ({_SEEN}) USING (scene_id)", "NDVI coverage_ratio")
+@query("cv_qa_columns", f"WITH {SEEN_SQL} SELECT parcel_id, scene_id, row, col, {INDEX_SQL['NDVI']} AS NDVI, {', '.join(f'observed.{x}' for x in _QUALITY)} FROM px_s2 JOIN cored USING (row, col) JOIN observed USING (parcel_id, scene_id)", "NDVI total_pixels coverage_ratio")
 def cv_qa_columns(spark, sf):
-    quality = stats.validate(_seen(spark, sf).withColumns({"erosion_m": F.lit(10), "is_small_parcel": F.lit(0)}))
-    px = adapter(spark, sf, "px_s2").select("scene_id", "row", "col", ix.ndvi().alias("NDVI"))
-    return px.join(quality, "scene_id").select("scene_id", "row", "col", "NDVI", "valid_pixels", "total_pixels", "coverage_ratio", "observation_valid", "erosion_m", "is_small_parcel")
+    px = adapter(spark, sf, "px_s2").join(pipelines.parcel_cells(_edges(spark, sf)).select("parcel_id", "row", "col"), ["row", "col"])
+    return px.select("parcel_id", "scene_id", "row", "col", ix.ndvi().alias("NDVI")).join(_seen(spark, sf), pipelines.OBSERVED).select("parcel_id", "scene_id", "row", "col", "NDVI", *_QUALITY)
 
 
-@query("agg_summary", f"""WITH v AS (SELECT *, {_DAY} AS date, {_VALID.format(small='false')} AS ok FROM px_s2 JOIN ({_SEEN}) USING (scene_id))
-    SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS dates, avg(coverage_ratio) AS mean_coverage, count(DISTINCT CASE WHEN ok = 1 THEN date END) AS valid_dates FROM v""", "mean_coverage")
+@query("agg_summary", f"""WITH {SEEN_SQL}, v AS (SELECT parcel_id, {_DAY} AS date, coverage_ratio, observation_valid AS ok FROM px_s2 JOIN cored USING (row, col) JOIN observed USING (parcel_id, scene_id))
+    SELECT parcel_id, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS dates, avg(coverage_ratio) AS mean_coverage, count(DISTINCT CASE WHEN ok = 1 THEN date END) AS valid_dates FROM v GROUP BY 1""", "mean_coverage")
 def agg_summary(spark, sf):
     df = dated(cv_qa_columns(spark, sf))
-    return df.agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("date").alias("dates"), F.avg("coverage_ratio").alias("mean_coverage"), F.countDistinct(F.when(c("observation_valid") == 1, c("date"))).alias("valid_dates"))
+    return df.groupBy("parcel_id").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("date").alias("dates"), F.avg("coverage_ratio").alias("mean_coverage"), F.countDistinct(F.when(c("observation_valid") == 1, c("date"))).alias("valid_dates"))
 
 
 @query("agg_iqr_outlier", "WITH q AS (SELECT scene_id, quantile_cont(b8, 0.25) AS a, quantile_cont(b8, 0.75) AS b FROM px_s2 GROUP BY 1) SELECT scene_id, row, col, b8 FROM px_s2 JOIN q USING (scene_id) WHERE b8 BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,18 +102,32 @@ def _first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     return first.groupBy("_file").agg(F.min_by("value", "n").alias("_header"))
 
 
-def _headers(spark: SparkSession, paths: str | list[str], known: str | None) -> DataFrame | None:
-    """(file, header line) of all CSV files under the paths; only those that the table ``known`` doesn't hold are opened for it."""
+_NOTED = "_file string, _modified timestamp, _size long, _header string"
+
+
+def _noted(spark: SparkSession, found: DataFrame, known: str | None, how: str) -> DataFrame:
+    """Files joined with what is noted of their headers."""
+    if known and len(_status(spark, f"{known}/*.parquet")):
+        return found.join(spark.read.schema(_NOTED).parquet(known), ["_file", "_modified", "_size"], how)
+    return found.withColumn("_header", F.lit(None).cast("string")) if how == "left" else found
+
+
+def _headers(spark: SparkSession, paths: str | list[str], known: str | None) -> tuple[DataFrame, Row] | None:
+    """(file, header line) of all CSV files under the paths, and facts of them: most cells of a header, its least and greatest text.
+
+    Only files that the table ``known`` doesn't hold are opened.
+    """
     found = _csv_files(spark, paths)
     if found is None:
         return None
-    if known and len(_status(spark, f"{known}/*.parquet")):
-        noted = found.join(spark.read.parquet(known), ["_file", "_modified", "_size"], "left").select("_file", "_header")
-    else:
-        noted = found.select("_file", F.lit(None).cast("string").alias("_header"))
-    unknown = [r["_file"] for r in noted.where("_header IS NULL").select("_file").collect()]  # Spark's reader takes paths from the driver
-    heads = noted.where("_header IS NOT NULL").distinct()
-    return heads.union(_first_lines(spark, unknown)) if unknown else heads
+    heads = _noted(spark, found, known, "left").select("_file", "_header").distinct()
+    facts = lambda df: df.agg(F.max(F.size(F.split("_header", ","))).alias("width"), F.min("_header").alias("low"), F.max("_header").alias("high"), F.count_if(c("_header").isNull()).alias("unknown")).first()
+    first = facts(heads)
+    if not first["unknown"]:
+        return heads, first
+    unknown = [r["_file"] for r in heads.where("_header IS NULL").collect()]  # Spark's reader takes paths from the driver
+    heads = heads.where("_header IS NOT NULL").union(_first_lines(spark, unknown))
+    return heads, facts(heads)
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False, headers: str | None = None) -> DataFrame | None:
@@ -123,29 +138,26 @@ def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: b
     of different headers is read in one way: a file's header goes with its rows, and a column is looked up in it. ``headers``:
     where headers are noted (``write_csv``).
     """
-    heads = _headers(spark, paths, headers)
-    if heads is None:
-        return None
-    width = (heads.agg(F.max(F.size(F.split("_header", ","))).alias("n")).first()["n"]) or 0
-    if not width:
+    found = _headers(spark, paths, headers)
+    if found is None or found[1]["low"] is None:
         return None
-    cells = [f"_c{k}" for k in range(width)]
-    row = F.from_csv("_header", F.lit(", ".join(f"{x} string" for x in cells)), {"escape": '"'})
-    heads = heads.select("_file", row.alias("_r")).select("_file", F.array(*[F.coalesce(c(f"_r.{x}"), F.lit("")) for x in cells]).alias("_raw"))
-    names = F.transform("_raw", lambda x: F.trim(F.replace(x, F.lit("\ufeff"), F.lit(""))))
-    heads = heads.withColumn("_names", names)
-    dated = F.array_contains("_names", "date")
-    fits = heads.where(F.array_contains("_names", ".geo") & (~dated if static else dated))
-    several = len(heads.select("_raw").distinct().take(2)) > 1
-    if source in (STATIC_COLUMNS if static else EXPORT_COLUMNS):
-        fields = [(f.name, f.dataType) for f in export_schema(source).fields]
-        if fits.isEmpty():
-            return None
+    heads, facts = found
+    cells, several = [f"_c{k}" for k in range(facts["width"])], facts["low"] != facts["high"]
+    fitting = lambda names: ".geo" in names and ("date" in names) != static
+    known_fields = [(f.name, f.dataType) for f in export_schema(source).fields] if source in (STATIC_COLUMNS if static else EXPORT_COLUMNS) else None
+    if several:
+        row = F.from_csv("_header", F.lit(", ".join(f"{x} string" for x in cells)), {"escape": '"'})
+        heads = heads.select("_file", row.alias("_r")).select("_file", F.array(*[F.coalesce(c(f"_r.{x}"), F.lit("")) for x in cells]).alias("_raw"))
+        heads = heads.withColumn("_names", F.transform("_raw", lambda x: F.trim(F.replace(x, F.lit("\ufeff"), F.lit("")))))
+        has_date = F.array_contains("_names", "date")
+        fits = heads.where(F.array_contains("_names", ".geo") & (~has_date if static else has_date))
+        names = [r[0] for r in fits.select(F.posexplode("_names").alias("k", "x")).groupBy("x").agg(F.min("k").alias("k")).orderBy("k", "x").select("x").collect()]  # the columns
     else:
-        values = [r[0] for r in fits.select(F.posexplode("_names").alias("k", "x")).groupBy("x").agg(F.min("k").alias("k")).orderBy("k", "x").select("x").collect()]  # the columns
-        if not values:
-            return None
-        fields = [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values if x not in ("date", ".geo", "")), (".geo", T.StringType())]
+        names = [x.strip().strip("\ufeff") for x in next(csv.reader([facts["low"]]), [])]
+    if not fitting(names):
+        return None
+    values = dict.fromkeys(x for x in names if x not in ("date", ".geo", ""))
+    fields = known_fields or [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values), (".geo", T.StringType())]
     reader = spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     raw = reader.option("escape", '"').option("header", not several).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(paths)
     if several:  # as many rows as files on the right
@@ -153,8 +165,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: b
         raw = raw.where(F.transform("_cells", lambda x: F.coalesce(x, F.lit(""))) != c("_raw"))
         column = lambda name: F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))
     else:
-        own = fits.first()["_names"]
-        column = lambda name: c(cells[own.index(name)]) if name in own else F.lit(None).cast("string")
+        column = lambda name: c(cells[names.index(name)]) if name in names else F.lit(None).cast("string")
     typed = [(F.try_to_date(column(n)) if n == "date" else column(n).try_cast(kind)).alias("geo" if n == ".geo" else n) for n, kind in fields]
     out = raw.select(*typed)
     return out if static else out.where(c("date").isNotNull())
@@ -187,9 +198,7 @@ def _note_headers(spark: SparkSession, base: str, path: str, fields: list[str])
     if found is None:
         return
     found = found.where(F.regexp_extract("_file", "[^/]+$", 0).startswith("part-"))
-    if len(_status(spark, f"{known}/*.parquet")):
-        found = found.join(spark.read.parquet(known), ["_file", "_modified", "_size"], "left_anti")
-    found.withColumn("_header", F.lit(",".join(fields))).coalesce(1).write.mode("append").parquet(known)
+    _noted(spark, found, known, "left_anti").withColumn("_header", F.lit(",".join(fields))).coalesce(1).write.mode("append").parquet(known)
 
 
 def write_single(df: DataFrame, path: str, source: str) -> None:
