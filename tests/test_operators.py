@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,38 @@ def test_adaptive_core(spark):
     assert [(got[k].area_m2, got[k].area_10m, got[k].area_5m, got[k].erosion_m, got[k].is_small_parcel) for k in (1, 2, 3)] == [(1600, 400, 900, 0, 1), (3600, 1600, 2500, 5, 1), (10000, 6400, 8100, 10, 0)]
 
 
+def rough_ring(n, size=600.0, key=1):
+    """A closed ring of ``n`` edges around a centre, in and out at random; the more edges, the finer."""
+    rng = np.random.default_rng(5)
+    angle, radius = np.sort(rng.uniform(0, 2 * np.pi, n)), size * (0.6 + 0.3 * rng.random(n) / (1 + n / 100))
+    points = list(zip((size + radius * np.cos(angle)).tolist(), (size + radius * np.sin(angle)).tolist()))
+    return [(key, k, *a, *b) for k, (a, b) in enumerate(zip(points, points[1:] + points[:1]))]
+
+
+@pytest.mark.parametrize("n", [3, 40, 10_000])
+def test_edges_by_tile(spark, n):
+    """A tile's edges give what all edges give, and are few, however many the ring has."""
+    ring = rough_ring(n)
+    edges = spark.createDataFrame(ring, EDGES)
+    got = {(r.row, r.col): (r.inside, r.dist) for r in geometry.locate(grid(spark, 130, 130), edges, reach=100.0).collect()}
+    e = np.array([r[2:] for r in ring])
+    x1, y1, x2, y2 = e.T
+    for row, col in list(got)[:: 7 if n > 1000 else 1]:
+        x, y = col * 10 + 5.0, row * 10 + 5.0
+        over = (y1 > y) != (y2 > y)
+        met = over & (x < (x2 - x1) * (y - y1) / np.where(over, y2 - y1, 1) + x1)
+        t = np.clip(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        dist = np.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)).min()
+        assert got[row, col][0] == bool(met.sum() % 2) and abs(got[row, col][1] - dist) < 1e-9
+    inside = sum(v for v, _ in got.values())
+    core = spark.createDataFrame([(1, 0)], "parcel_id long, erosion_m int")
+    assert geometry.core_cells(edges, core).count() == inside > 0
+    if n == 10_000:
+        # near a ring's centre all edges are about as far away; rays need few edges anywhere
+        tiles = geometry.binned(geometry.rings(edges)).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.count_if("cross").alias("crossing")).collect()
+        assert np.mean([r.n for r in tiles]) < n / 4 and np.mean([r.crossing for r in tiles]) < n / 20
+
+
 def test_erosion_is_monotone(spark):
     edges = geometry.edge_table(spark, DEFAULT_RING)
     located = geometry.locate(grid(spark, 135, 100), edges).where("inside").cache()
@@ -118,6 +151,33 @@ def test_outer_merge_nulls_and_idempotence(spark):
     assert got == {("d1", "g1"): (1.0, 5.0), (None, "g2"): (2.0, 6.0), ("d3", "g3"): (None, 7.0)}
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "wide", "odd"])
+def test_quantiles_by_selection(spark, kind):
+    """As ``percentile`` has them, without a map of a group's values."""
+    rng = np.random.default_rng(3)
+    draw = {
+        "normal": lambda n: rng.normal(0, 1, n), "ties": lambda n: rng.integers(-3, 4, n).astype(float),
+        "wide": lambda n: rng.choice([-1, 1], n) * 10.0 ** rng.uniform(-300, 300, n), "odd": lambda n: rng.choice([0.0, -0.0, np.nan, np.inf, -np.inf, 1.5, 1e-300], n),
+    }[kind]
+    rows = [(g, float(v)) for g, n in ((1, 1), (2, 2), (3, 500), (None, 77)) for v in draw(n)] + [(4, None), (4, None), (3, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    found = stats.quantiles(df, ["g"], "v", probabilities)
+    got = {r.g: (r.p, r.n) for r in found.collect()}
+    want = {r.g: (r.p, r.n) for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probabilities))).alias("p"), F.count("v").alias("n")).collect() if r.n}
+    assert got.keys() == want.keys() == {1, 2, 3, None}
+    for g in want:
+        assert got[g][1] == want[g][1] and np.allclose(got[g][0], want[g][0], rtol=1e-12, equal_nan=True)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_band_stats_of_parcels(spark):
+    df = spark.createDataFrame([(1, 1, 1.0, None), (1, 1, 2.0, None), (1, 2, 5.0, 7.0)], "parcel_id int, scene_id int, b4 double, b8 double")
+    got = {(r.parcel_id, r.scene_id, r.band): (r.p10, r.median, r.n, r.stddev) for r in stats.band_stats(df, ["parcel_id", "scene_id"], ["b4", "b8"], sample_deviation=True).collect()}
+    assert got[1, 1, "b4"] == (1.1, 1.5, 2, 0.5**0.5) and got[1, 1, "b8"] == (None, None, 0, None) and got[1, 2, "b8"] == (7.0, 7.0, 1, None)
+    assert stats.band_stats(df.limit(0), ["parcel_id", "scene_id"], ["b4"]).count() == 0
+
+
 def test_rejects(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (9.0,)], "v double")
     good, bad = scenes.rejects(df, ["v"], 0, 5)

@@ -35,14 +35,17 @@ def edge_table(spark, ring, parcel_id: int = 1) -> DataFrame:
 
 def crosses(x: Column, y: Column) -> Column:
     """1 if a ray to the east meets the edge."""
-    over = (c("y1") > y) != (c("y2") > y)
-    return F.when(over, (x < (c("x2") - c("x1")) * (y - c("y1")) / (c("y2") - c("y1")) + c("x1")).cast("int")).otherwise(0)
+    x1, y1, x2, y2 = (c(k) for k in ("x1", "y1", "x2", "y2"))
+    over = (y1 > y) != (y2 > y)
+    return F.when(over, (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1).cast("int")).otherwise(0)
 
 
 def edge_distance(x: Column, y: Column) -> Column:
-    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
-    t = F.least(F.greatest(((x - c("x1")) * dx + (y - c("y1")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    gx, gy = x - (c("x1") + t * dx), y - (c("y1") + t * dy)
+    """Distance of a point from the edge."""
+    x1, y1, x2, y2 = (c(k) for k in ("x1", "y1", "x2", "y2"))
+    dx, dy = x2 - x1, y2 - y1
+    t = F.least(F.greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    gx, gy = x - (x1 + t * dx), y - (y1 + t * dy)
     return F.sqrt(gx * gx + gy * gy)
 
 
@@ -60,15 +63,6 @@ def _spread(parcels: DataFrame) -> DataFrame:
     return parcels.repartition(int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "parcel_id")
 
 
-def judged(points: DataFrame) -> DataFrame:
-    """(parcel_id, row, col, inside, dist) of points (parcel_id, row, col, x, y, ring).
-
-    A point's edges stand in its own row, so the partial aggregation puts them together before anything is shuffled.
-    """
-    met = points.select("parcel_id", "row", "col", "x", "y", F.inline("ring"))
-    return met.groupBy("parcel_id", "row", "col").agg((F.sum(crosses(c("x"), c("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(c("x"), c("y"))).alias("dist"))
-
-
 def _tile(v: Column) -> Column:
     return F.floor(v / TILE).cast("int")
 
@@ -79,6 +73,38 @@ def _tiled(parcels: DataFrame) -> DataFrame:
     return parcels.withColumn("tx", line("min_x", "max_x")).withColumn("ty", line("min_y", "max_y"))
 
 
+#: Metres that bounds are widened by, against rounding.
+SLACK = 1e-6
+
+
+def binned(parcels: DataFrame) -> DataFrame:
+    """Edges by the tiles of the parcels' boxes: a row per parcel, tile (tx, ty) and edge that the tile's points need.
+
+    ``near``: the edge may be the nearest of a point in the tile, as it is no further from the tile's centre than the nearest one
+    and the tile's diagonal. ``cross``: points of the tile may differ in whether their ray to the east meets the edge. Of the other
+    edges, those east of the tile that pass all its height are met by every ray; ``parity`` tells if they are odd. A tile has at
+    least one row, and all edges are judged once a tile, not once a point.
+    """
+    x0, y0 = c("tx") * TILE - SLACK, c("ty") * TILE - SLACK
+    x9, y9 = x0 + TILE + 2 * SLACK, y0 + TILE + 2 * SLACK
+    low, high = (lambda v, f=f: f(f"{v}1", f"{v}2") for f in (F.least, F.greatest))
+    middle = edge_distance((c("tx") + 0.5) * TILE, (c("ty") + 0.5) * TILE)
+    whole = (low("x") > x9) & (low("y") < y0) & (high("y") > y9)
+    beside = (high("y") < y0) | (low("y") > y9) | (high("x") < x0)
+    tiled, key = _tiled(parcels), ["parcel_id", "tx", "ty"]
+    facts = tiled.select(*key, F.inline("ring")).groupBy(*key).agg(F.min(middle).alias("least"), (F.count_if(whole) % 2).alias("parity"))
+    boxes = ["min_x", "max_x", "min_y", "max_y"]
+    met = tiled.join(facts, key).select(*key, *boxes, "least", "parity", F.inline("ring"))
+    judged_ = met.withColumns({"near": middle <= c("least") + TILE * 2**0.5 + SLACK, "cross": ~beside & ~whole})
+    return judged_.where("near OR cross").drop("least")
+
+
+def judged(met: DataFrame) -> DataFrame:
+    """(parcel_id, row, col, inside, dist) of points (parcel_id, row, col, x, y) beside the binned edges of their tile."""
+    odd = F.sum(F.when(c("cross"), crosses(c("x"), c("y"))).otherwise(0)) + F.max("parity")
+    return met.groupBy("parcel_id", "row", "col").agg((odd % 2 == 1).alias("inside"), F.min(F.when(c("near"), edge_distance(c("x"), c("y")))).alias("dist"))
+
+
 def box_tiles(edges: DataFrame, reach: float = 0.0) -> DataFrame:
     """The tiles (tx, ty) that the parcels' boxes, widened by ``reach``, touch."""
     box = edges.groupBy("parcel_id").agg(*[(f(g(f"{v}1", f"{v}2")) + sign * reach).alias(f"{name}_{v}") for v in "xy" for name, f, g, sign in (("min", F.min, F.least, -1), ("max", F.max, F.greatest, 1))])
@@ -95,7 +121,7 @@ def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float
     """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2
     points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": _tile(x), "ty": _tile(y)})
-    return judged(points.join(_tiled(rings(edges, reach)), ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
+    return judged(points.join(binned(_spread(rings(edges, reach))), ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
 
 
 def clip(cells: DataFrame, edges: DataFrame, buffer: float = 100.0) -> DataFrame:
@@ -161,8 +187,12 @@ def core_area() -> Column:
 
 def core_cells(edges: DataFrame, core: DataFrame, scale: float = 10.0) -> DataFrame:
     """Cells in each parcel's eroded core: (row, col) beside the columns of ``core``. Made from the parcels alone, no pixel is read."""
-    line = lambda lo, hi: F.sequence(F.floor(c(lo) / scale).cast("int"), F.greatest(F.ceil(c(hi) / scale).cast("int") - 1, F.floor(c(lo) / scale).cast("int")))
-    cells = _spread(rings(edges)).withColumn("row", F.explode(line("min_y", "max_y"))).withColumn("col", F.explode(line("min_x", "max_x")))
+    tiles = binned(_spread(rings(edges)))
+    # cells whose centre is in the tile, of those that the parcel's box touches
+    line = lambda t, lo, hi: F.sequence(F.floor(F.greatest(c(t) * TILE, c(lo)) / scale).cast("int") - 1, F.floor(F.least((c(t) + 1) * TILE, c(hi)) / scale).cast("int") + 1)
+    own = lambda v, t, lo, hi: (_tile((v + 0.5) * scale) == c(t)) & (v >= F.floor(c(lo) / scale)) & (v <= F.ceil(c(hi) / scale))
+    cells = tiles.withColumn("row", F.explode(F.filter(line("ty", "min_y", "max_y"), lambda v: own(v, "ty", "min_y", "max_y"))))
+    cells = cells.withColumn("col", F.explode(F.filter(line("tx", "min_x", "max_x"), lambda v: own(v, "tx", "min_x", "max_x"))))
     found = judged(cells.withColumns({"x": (c("col") + 0.5) * scale, "y": (c("row") + 0.5) * scale})).where("inside")
     return found.join(core, "parcel_id").where((c("erosion_m") == 0) | (c("dist") >= c("erosion_m"))).drop("inside", "dist")
 
