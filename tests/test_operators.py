@@ -271,6 +271,18 @@ def test_layouts_unknown_sources_and_bad_files(spark, tmp_path):
     assert {(str(r.date), r.height, r.width) for r in found["drone"].collect()} == {("2025-06-01", 1.5, None), ("2025-06-02", None, 2.5)}
 
 
+def test_merge_by_cell_carries_the_place(spark):
+    """Sources that name a place differently meet by (date, row, col); the first one's name stays."""
+    a = spark.createDataFrame([("d", 0, 0, "a00", 1.0), ("d", 0, 1, "a01", 2.0), (None, 3, None, "a3", 5.0)], "date string, row int, col int, geo string, v double")
+    b = spark.createDataFrame([("d", 0, 0, "b00", 3.0), ("d", 1, 1, "b11", 4.0), (None, 3, None, None, 6.0)], "date string, row int, col int, geo string, v double")
+    d = spark.createDataFrame([("d", 1, 1, 7.0), ("e", 1, 1, 8.0)], "date string, row int, col int, w double")
+    got = merge.outer_merge({"b": b, "a": a, "d": d}, on=("date", "row", "col"), carry=["geo"])
+    assert sorted(got.columns) == ["a_v", "b_v", "col", "date", "geo", "row", "w"]
+    rows = {(r.date, r.row, r.col): (r.geo, r.a_v, r.b_v, r.w) for r in got.collect()}
+    assert rows == {("d", 0, 0): ("a00", 1.0, 3.0, None), ("d", 0, 1): ("a01", 2.0, None, None), (None, 3, None): ("a3", 5.0, 6.0, None), ("d", 1, 1): ("b11", None, 4.0, 7.0), ("e", 1, 1): (None, None, None, 8.0)}
+    assert got.count() == 5
+
+
 def year_of(spark, base, source="sentinel_1"):
     """A row for each month of a year, written by Spark, and files of others beside the month folders."""
     rows = spark.range(12).select(F.make_date(F.lit(2025), c("id") + 1, F.lit(15)).alias("date"), c("id").cast("double").alias("VV"), F.lit(1.0).alias("VH"), F.lit(2.0).alias("RATIOVHVV"), F.lit("g").alias("geo"))

@@ -64,18 +64,21 @@ def prefixed(sources: Mapping[str, DataFrame], on: Sequence[str]) -> dict[str, D
     return {name: df.withColumnsRenamed({x: f"{name}_{x}" for x in df.columns if x not in on and seen[x] > 1}) for name, df in sources.items()}
 
 
-def outer_merge(sources: Mapping[str, DataFrame], on: Sequence[str] = ("date", "geo")) -> DataFrame:
+def outer_merge(sources: Mapping[str, DataFrame], on: Sequence[str] = ("date", "geo"), carry: Sequence[str] = ()) -> DataFrame:
     """Full outer join of all sources in the order of their names; null keys match each other.
 
-    Sources with several rows per key multiply, as in a relational join; aggregate them first if that is not wanted.
+    ``carry``: columns that go along with the key but aren't part of it, as ``geo`` does with (date, row, col); the first source
+    that has one gives it. Sources with several rows per key multiply, as in a relational join; aggregate them first if that is
+    not wanted.
     """
-    ready = prefixed(dict(sorted(sources.items())), on)
+    ready = prefixed(dict(sorted(sources.items())), [*on, *carry])
 
     def join(left: DataFrame, right: DataFrame) -> DataFrame:
-        renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+        shared = [*on, *(x for x in carry if x in left.columns and x in right.columns)]
+        renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in shared})
         test = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_r_{k}")) for k in on])
         joined = left.join(renamed, test, "full")
-        return joined.withColumns({k: F.coalesce(c(k), c(f"_r_{k}")) for k in on}).drop(*[f"_r_{k}" for k in on])
+        return joined.withColumns({k: F.coalesce(c(k), c(f"_r_{k}")) for k in shared}).drop(*[f"_r_{k}" for k in shared])
 
     return reduce(join, ready.values())
 
