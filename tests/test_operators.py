@@ -1,6 +1,8 @@
 """Micro grids, properties, files and streams."""
 
 import os
+from collections import Counter
+from math import log
 
 import numpy as np
 import pytest
@@ -114,6 +116,34 @@ def test_glcm_constant_and_stripes(spark):
     assert all(r.contrast == pytest.approx(14 / 20) for r in stripes)
 
 
+def slow_glcm(levels, half=3):
+    """(entropy, contrast) of each cell by its definition."""
+    out = {}
+    for r, k in levels:
+        pairs = Counter()
+        for dr, dc in [(0, 1), (1, 0), (1, 1), (1, -1)]:
+            for (a, b), own in levels.items():
+                other = levels.get((a + dr, b + dc))
+                if own is not None and other is not None and all(abs(v - r) <= half for v in (a, a + dr)) and all(abs(v - k) <= half for v in (b, b + dc)):
+                    pairs[own, other] += 1
+        n = sum(pairs.values())
+        if n:
+            out[r, k] = (-sum(v / n * log(v / n) for v in pairs.values()), sum((i - j) ** 2 * v for (i, j), v in pairs.items()) / n)
+    return out
+
+
+@pytest.mark.parametrize("tile", [5, 16])
+def test_glcm_over_tiles(spark, tile):
+    """Gaps, cells without a level, negative places and any tile give what the definition gives."""
+    rng = np.random.default_rng(11)
+    levels = {(r, k): int(rng.integers(0, 4)) if rng.random() > 0.1 else None for r in range(-9, 9) for k in range(-3, 20) if rng.random() > 0.1 and not r + k == 20}
+    levels[40, 40] = 1
+    cells = spark.createDataFrame([(*at, v) for at, v in levels.items()], "row int, col int, level int").repartition(3)
+    got = {(r.row, r.col): (r.entropy, r.contrast) for r in neighborhood.glcm(cells, "level", tile=tile).collect()}
+    want = slow_glcm(levels)
+    assert got.keys() == want.keys() and (40, 40) not in got and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_bicubic_reproduces_a_plane(spark):
     coarse = grid(spark, 8, 8).withColumn("v", c("row") * 2.0 + c("col"))
     got = merge.align_bicubic(grid(spark, 16, 16), coarse, "v").where("row BETWEEN 4 AND 11 AND col BETWEEN 4 AND 11").collect()
@@ -352,6 +382,29 @@ def test_export_replaces_its_months(spark, tmp_path):
     assert sorted(r.VV for r in files.read_sources(spark, str(tmp_path))["sentinel_1"].collect()) == [2.5, 9.0]
 
 
+@pytest.mark.parametrize(("n", "step"), [(3, 1.0), (40, 1.0), (40, 2.5), (1000, 1.0)])
+def test_eroded_areas_by_all_cells(spark, n, step):
+    """Swept rows count the cells that a test of every cell against every edge counts."""
+    rings_ = rough_ring(n, 60.0) + rough_ring(n, 25.0, 2) + square(40, 7.5, key=3) + square(0.2, 0.1, key=4)
+    got = {r.parcel_id: (r.a, r.b) for r in geometry.eroded_areas(spark.createDataFrame(rings_, EDGES), {"a": 10.0, "b": 3.0}, step).collect()}
+    at = (np.arange(-20, 140) + 0.5) * step
+    x, y = np.meshgrid(at, at)
+    for key in (1, 2, 3, 4):
+        odd, dist = np.zeros(x.shape, bool), np.full(x.shape, np.inf)
+        for _, _, x1, y1, x2, y2 in (r for r in rings_ if r[0] == key):
+            dx, dy = x2 - x1, y2 - y1
+            if dy:
+                odd ^= ((y1 > y) != (y2 > y)) & (x < dx * (y - y1) / dy + x1)
+            t = np.clip(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0, 1)
+            dist = np.minimum(dist, np.hypot(x - (x1 + t * dx), y - (y1 + t * dy)))
+        assert got[key] == tuple((odd & (dist >= m)).sum() * step * step for m in (10.0, 3.0))
+
+
+def test_erosion_stays_in_the_engine(spark):
+    plan = geometry.adaptive_core(spark.createDataFrame(square(40), EDGES))._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan and "Window" in plan
+
+
 def test_large_parcel_on_fine_cells(spark):
     """5 ha are counted on cells of 1 m like any other parcel."""
     side = 223.0

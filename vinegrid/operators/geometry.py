@@ -5,19 +5,15 @@ Pixels meet parcels through coarse tiles of the parcels' boxes, so no pair furth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 from math import cos, radians
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
 #: Side of a tile in metres.
 TILE = 80.0
-#: Cells that a parcel's area is counted on at once.
-CELLS = 1 << 18
 
 
 def ring_edges(ring, parcel_id: int = 1) -> list[tuple[int, int, float, float, float, float]]:
@@ -60,7 +56,12 @@ def rings(edges: DataFrame, reach: float = 0.0) -> DataFrame:
 
 def _spread(parcels: DataFrame) -> DataFrame:
     """Parcels dealt to as many tasks as there are shuffle partitions: they are few bytes, but many cells."""
-    return parcels.repartition(int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "parcel_id")
+    return _dealt(parcels, "parcel_id")
+
+
+def _dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as there are shuffle partitions, which adaptive execution doesn't make fewer of."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def _tile(v: Column) -> Column:
@@ -135,44 +136,61 @@ def areas(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parcel_id").agg((F.abs(F.sum(c("x1") * c("y2") - c("x2") * c("y1"))) / 2).alias("area_m2"))
 
 
-def _eroded(step: float, margins: tuple[float, float]):
-    def areas_of(ring: np.ndarray, box: tuple[float, ...]) -> list[float]:
-        """Area of the cells whose centre lies in the ring, at least so far from its edges; strips of rows bound the memory."""
-        min_x, max_x, min_y, max_y = box
-        x = (np.arange(np.floor(min_x / step), np.ceil(max_x / step)) + 0.5) * step
-        rows = np.arange(np.floor(min_y / step), np.ceil(max_y / step))
-        found = [0, 0]
-        strip = max(1, CELLS // max(len(x), 1))
-        for low in range(0, len(rows), strip):
-            y = ((rows[low : low + strip] + 0.5) * step)[:, None]
-            odd, dist = np.zeros((len(y), len(x)), bool), np.full((len(y), len(x)), np.inf)
-            for x1, y1, x2, y2 in ring:
-                dx, dy = x2 - x1, y2 - y1
-                over = (y1 > y) != (y2 > y)
-                if dy:
-                    odd ^= over & (x < dx * (y - y1) / dy + x1)
-                t = np.clip(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0, 1)
-                dist = np.minimum(dist, np.hypot(x - (x1 + t * dx), y - (y1 + t * dy)))
-            found = [n + int((odd & (dist >= m)).sum()) for n, m in zip(found, margins)]
-        return [n * step * step for n in found]
-
-    def eroded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rings_, *boxes = (x.to_pylist() for x in batch.columns)
-            found = [areas_of(np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in ring]), box) for ring, *box in zip(rings_, *boxes)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=["parcel_id", "area_10m", "area_5m"])
-
-    return eroded
+def _within(y: Column, margin: float) -> tuple[Column, Column]:
+    """Where a line to the east at height ``y`` enters and leaves what is closer to the edge than ``margin``; nulls if it does not.
+
+    That is a convex shape: two discs around the ends and the band between them, of which the band may be missed.
+    """
+    x1, y1, x2, y2 = (c(k) for k in ("x1", "y1", "x2", "y2"))
+    dx, dy = x2 - x1, y2 - y1
+    square = dx * dx + dy * dy
+    wide = margin * F.sqrt(square)
+    disc = lambda px, py, sign: F.when(F.abs(y - py) < margin, px + sign * F.sqrt(margin * margin - (y - py) * (y - py)))
+    # x between both ends' perpendiculars, and between both sides of the band; a level or upright edge bounds one of them by y alone
+    ends = [F.when(dx != 0, x1 + (t - (y - y1) * dy) / dx) for t in (F.lit(0.0), square)]
+    sides = [F.when(dy != 0, x1 + ((y - y1) * dx + w) / dy) for w in (-wide, wide)]
+    low = F.greatest(F.least(*ends), F.least(*sides))
+    high = F.least(F.greatest(*ends), F.greatest(*sides))
+    beside = F.when(dx == 0, (y - y1) * dy < 0).otherwise(False) | F.when(dx == 0, (y - y1) * dy > square).otherwise(False) | F.when(dy == 0, F.abs(y - y1) >= margin).otherwise(False)
+    met = ~beside & (low < high)
+    enter = F.least(disc(x1, y1, -1), disc(x2, y2, -1), F.when(met, low))
+    leave = F.greatest(disc(x1, y1, 1), disc(x2, y2, 1), F.when(met, high))
+    return enter, leave
+
+
+def eroded_areas(edges: DataFrame, margins: Mapping[str, float], step: float = 1.0) -> DataFrame:
+    """Area of the cells of ``step`` metres whose centre lies inside, at least each margin from the boundary; (parcel_id, margins' names).
+
+    Rows of cells are swept from the east. An edge meets those of its own height and the margin: where it crosses a row, inside and
+    outside change, and within the margin it covers a run of cells. Running sums over these events tell which runs between
+    them count, so cells are never listed: the cost is an edge's height, whatever the parcel's area. Rows of a parcel are
+    shuffled on their own, so it is spread over many tasks, and sums are all that a task holds.
+    """
+    reach = max(margins.values())
+    cell = lambda v: v / step - 0.5
+    rows = F.sequence(F.floor(cell(F.least("y1", "y2") - reach)), F.ceil(cell(F.greatest("y1", "y2") + reach)))
+    swept = edges.select("parcel_id", "x1", "y1", "x2", "y2", F.explode(rows).alias("j")).withColumn("y", (c("j") + 0.5) * step)
+    crossed = (c("y1") > c("y")) != (c("y2") > c("y"))
+    at = F.when(crossed, F.ceil(cell((c("x2") - c("x1")) * (c("y") - c("y1")) / (c("y2") - c("y1")) + c("x1"))))
+    spans = {name: _within(c("y"), m) for name, m in margins.items()}
+    runs = {f"{side}_{name}": f for name, (enter, leave) in spans.items() for side, f in (("from", F.floor(cell(enter)) + 1), ("to", F.ceil(cell(leave))))}
+    event = lambda x, odd, sign, own: F.struct(x.alias("at"), F.lit(odd).alias("odd"), *[F.lit(sign if name == own else 0).alias(name) for name in margins])
+    run = lambda name, side, sign: event(F.when(c(f"from_{name}") < c(f"to_{name}"), c(f"{side}_{name}")), 0, sign, name)
+    events = F.array(event(c("crossing"), 1, 0, None), *[run(name, side, sign) for name in margins for side, sign in (("to", 1), ("from", -1))])
+    found = swept.withColumns({"crossing": at, **runs}).select("parcel_id", "j", F.inline(events)).where("at IS NOT NULL")
+    west = Window.partitionBy("parcel_id", "j").orderBy(F.desc("at"))
+    so_far = west.rowsBetween(Window.unboundedPreceding, 0)
+    width = F.coalesce(c("at") - F.lead("at").over(west), F.lit(0))
+    sums = found.select("parcel_id", width.alias("width"), (F.sum("odd").over(so_far) % 2 == 1).alias("inside"), *[F.sum(name).over(so_far).alias(name) for name in margins])
+    return sums.groupBy("parcel_id").agg(*[(F.sum(F.when(c("inside") & (c(name) == 0), c("width")).otherwise(0)) * step * step).alias(name) for name in margins])
 
 
 def adaptive_core(edges: DataFrame, pixel_area: float = 100.0, core_min: float = 2500.0, small_pixels: float = 60.0, step: float = 1.0) -> DataFrame:
     """Erosion of each parcel: 10 m if that leaves ``core_min``, else 5 m if that does, else none.
 
-    Eroded areas are counted on cells of ``step`` metres whose centre lies inside, at least so far from the boundary. A parcel's
-    cells are counted where its edges are, in numpy; only parcels are shuffled. It is small below ``small_pixels`` pixels.
+    Eroded areas are those of cells of ``step`` metres (``eroded_areas``). A parcel is small below ``small_pixels`` pixels.
     """
-    spread = _spread(rings(edges)).select(c("parcel_id").cast("long"), "ring", "min_x", "max_x", "min_y", "max_y")
-    eroded = spread.mapInArrow(_eroded(step, (10.0, 5.0)), "parcel_id long, area_10m double, area_5m double")
+    eroded = eroded_areas(edges, {"area_10m": 10.0, "area_5m": 5.0}, step)
     return areas(edges).join(eroded, "parcel_id").select(
         "parcel_id", "area_m2", "area_10m", "area_5m",
         F.when(c("area_10m") >= core_min, 10).when(c("area_5m") >= core_min, 5).otherwise(0).alias("erosion_m"),
@@ -199,8 +217,6 @@ def core_cells(edges: DataFrame, core: DataFrame, scale: float = 10.0) -> DataFr
 
 def edges_of_geojson(parcels: DataFrame, text: str = "geojson") -> DataFrame:
     """Edge table of polygons given as GeoJSON text (parcel_id, text), in the text's own units; rings are closed, edges of no length left out."""
-    from pyspark.sql import Window
-
     from vinegrid.schema import GEOJSON
 
     ring = F.from_json(c(text), GEOJSON)["coordinates"][0]
