@@ -31,7 +31,7 @@ MIN_WORDS = 20
 #: piece, the same one wherever the passage stands. Pieces have bands of their own: there are many, most without a copy. Equal
 #: ones, which passages have, meet in any band; the recall is that of pieces just at the threshold.
 PIECE = 26
-PIECE_RECALL = 0.88
+PIECE_RECALL = 0.98
 PIECE_HASHES = 9
 #: Up to so many distinct paragraphs of a band bucket make pairs; larger buckets are compared in tiles of TILE rows.
 PAIRED = 16
