@@ -433,3 +433,74 @@ def test_scene_filters_are_pushed_down(spark, tmp_path):
     spark.createDataFrame([(1, "S2", 10.0), (2, "S1", 20.0)], "scene_id long, sensor string, cloud_pct double").write.parquet(path)
     plan = scenes.retrieve(spark.read.parquet(path), ["S2"], cloud_max=50.0)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(cloud_pct,50.0)" in plan and ("EqualTo(sensor,S2)" in plan or "In(sensor" in plan)
+
+
+def test_shadows_by_scene_angles(spark):
+    """By hand: at 45 degrees a cloud at 50 m casts 5 cells away, opposite of the sun; each scene by its own angles."""
+    sun = spark.createDataFrame([(1, 180.0, 45.0), (2, 270.0, 45.0), (3, None, 45.0), (4, 180.0, 90.0), (5, 180.0, None), (6, 180.0, 0.0)], "scene_id int, azimuth double, zenith double")
+    moves = {(r.scene_id, r.r, r.k) for r in neighborhood.shadow_moves(sun, [50.0, 100.0]).collect()}
+    assert moves == {(1, 5, 0), (1, 10, 0), (2, 0, 5), (2, 0, 10), (6, 0, 0)}
+    core = spark.createDataFrame([(k, 10, 10) for k in (*range(1, 8), 1)], "scene_id int, row int, col int")
+    dark = spark.createDataFrame([(k, r, q) for k in range(1, 8) for r in range(21) for q in range(21)], "scene_id int, row int, col int")
+    got = {tuple(r) for r in neighborhood.scene_shadows(core, dark, sun, [50.0, 100.0], widen=0).collect()}
+    assert got == {(1, 15, 10), (1, 20, 10), (2, 10, 15), (2, 10, 20), (6, 10, 10)}
+    wide = {tuple(r) for r in neighborhood.scene_shadows(core, dark.where("scene_id = 1 AND row < 16"), sun, [50.0, 100.0]).collect()}
+    assert wide == {(1, 15 + r, 10 + k) for r, k in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
+
+
+def test_clear_pixels_lose_shadows(spark):
+    """A likely cloud of another product, and one by class, shade dark pixels; bright ones and water stay."""
+    cells = [(1, r, k) for r in range(16) for k in range(3)]
+    scl = {(0, 0): 9, (6, 0): 6}
+    px = spark.createDataFrame([(*x, 4000.0 if x[1:] == (5, 2) else 1000.0, scl.get(x[1:], 4)) for x in cells], "scene_id int, row int, col int, b8 double, scl int")
+    cs = spark.createDataFrame([(*x, 1.0, 1.0) for x in cells], "scene_id int, row int, col int, cs double, cs_cdf double")
+    cld = spark.createDataFrame([(*x, 60.0 if x[1:] == (0, 2) else 0.0) for x in cells], "scene_id int, row int, col int, probability double")
+    sun = spark.createDataFrame([(1, 180.0, 45.0)], "scene_id int, azimuth double, zenith double")
+    params = Params(dilation_cells=0, cloud_heights_m=(50.0, 60.0, 100.0))
+    kept = {(r.row, r.col) for r in pipelines.clear_pixels(px, cs, cld, params, sun=sun).collect()}
+    hit = {(5, 0), (10, 0), (6, 2), (10, 2)}  # (6, 0) is water, (5, 2) bright
+    shaded = {(r + a, k + b) for r, k in hit for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
+    assert kept == {x[1:] for x in cells} - shaded - {(0, 0), (0, 2)}
+
+
+def test_calendar_periods(spark):
+    days = spark.createDataFrame([("2024-12-30",), ("2025-01-05",), ("1969-12-31",), (None,)], "d string").select(c("d").cast("date").alias("d"))
+    at = lambda every: [None if r[0] is None else str(r[0]) for r in days.select(stats.period_start("d", every)).collect()]
+    assert at("week") == ["2024-12-30", "2024-12-30", "1969-12-29", None]
+    assert at("month") == ["2024-12-01", "2025-01-01", "1969-12-01", None]
+    assert at(7) == at("week") and at(14)[2:] == ["1969-12-22", None]
+
+
+def test_period_stats(spark):
+    rows = [(1, "2025-06-02", 1.0), (1, "2025-06-08", 3.0), (1, "2025-06-08", None), (1, "2025-06-09", 7.0), (None, "2025-06-09", 5.0)]
+    px = spark.createDataFrame(rows, "parcel_id int, date string, v double").withColumn("date", c("date").cast("date"))
+    got = {(r.parcel_id, str(r.period)): (r.median, r.n, r.days, str(r.first_day), str(r.last_day)) for r in stats.period_stats(px, ["v"]).collect()}
+    assert got == {
+        (1, "2025-06-02"): (2.0, 2, 2, "2025-06-02", "2025-06-08"), (1, "2025-06-09"): (7.0, 1, 1, "2025-06-09", "2025-06-09"),
+        (None, "2025-06-09"): (5.0, 1, 1, "2025-06-09", "2025-06-09"),
+    }
+    assert stats.period_stats(px.limit(0), ["v"]).count() == 0
+
+
+def test_anomaly_by_days_and_not_by_rows(spark):
+    """A gap empties the frame, rows of the same day don't count for each other."""
+    rows = [("a", "2024-02-27", 1.0), ("a", "2024-02-28", 3.0), ("a", "2024-02-29", 5.0), ("a", "2024-03-01", 5.0), ("a", "2024-03-01", 7.0), ("a", "2024-06-01", 9.0), ("a", None, 2.0), ("b", "2024-03-01", 4.0)]
+    df = spark.createDataFrame(rows, "k string, date string, v double").withColumn("date", c("date").cast("date"))
+    got = {(r.k, r.date and str(r.date), r.v): (r.n_before, r.mean_before, r.z) for r in stats.calendar_anomaly(df, ["k"], "date", "v", 10).collect()}
+    dev = (8 / 3) ** 0.5
+    assert got[("a", "2024-03-01", 5.0)] == (3, 3.0, pytest.approx(2 / dev)) and got[("a", "2024-03-01", 7.0)] == (3, 3.0, pytest.approx(4 / dev))
+    assert got[("a", "2024-02-29", 5.0)] == (2, 2.0, None)  # fewer than three
+    assert got[("a", "2024-06-01", 9.0)] == (0, None, None) and got[("a", None, 2.0)] == (0, None, None) and got[("b", "2024-03-01", 4.0)] == (0, None, None)
+
+
+def test_weeks_on_years(spark):
+    """2020 has 53 weeks, 2019 has 52; a gap is filled from next to it, the earlier week first."""
+    monday = lambda y, w: str(np.datetime64(f"{y}-01-04") - np.timedelta64(int((np.datetime64(f"{y}-01-04").astype(int) + 3) % 7), "D") + np.timedelta64(7 * (w - 1), "D"))
+    rows = [("a", monday(2020, 53), 1.0), ("a", monday(2019, 52), 4.0), ("a", monday(2020, 9), 2.0), ("a", monday(2019, 8), 5.0), ("a", monday(2019, 10), 6.0), ("a", monday(2021, 9), 3.0), ("b", monday(2021, 9), 3.0), (None, monday(2020, 9), 2.0), (None, monday(2019, 9), 1.0)]
+    df = spark.createDataFrame(rows, "k string, week string, v double").withColumn("week", c("week").cast("date"))
+    out = {(r.k, str(r.week), r.years_back): (str(r.then_week), r.then, r.weeks_off, r.change) for r in stats.week_on_years(df, ["k"], "v", (1, 2)).collect()}
+    assert out == {
+        ("a", monday(2020, 53), 1): (monday(2019, 52), 4.0, 0, -3.0), ("a", monday(2020, 9), 1): (monday(2019, 8), 5.0, -1, -3.0),
+        ("a", monday(2021, 9), 1): (monday(2020, 9), 2.0, 0, 1.0), ("a", monday(2021, 9), 2): (monday(2019, 8), 5.0, -1, -2.0),
+    }
+    assert stats.week_on_years(df, ["k"], "v", (1,), 0).count() == 2

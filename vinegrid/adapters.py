@@ -63,6 +63,10 @@ ADAPTERS = {
           case when o_orderkey % 4 = 0 then 'EW' else 'IW' end as instrument_mode, case when o_orderkey % 2 = 0 then 'ASCENDING' else 'DESCENDING' end as orbit_pass,
           cast(o_custkey % 64 as double) * 10 as min_x, cast(o_custkey % 64 as double) * 10 + 200 as max_x, cast(o_custkey % 61 as double) * 10 as min_y, cast(o_custkey % 61 as double) * 10 + 200 as max_y
         from orders"""),
+    "scene_sun": ("orders", """
+        select o_orderkey as scene_id, 110 + cast((o_orderkey * 13) % 700 as double) / 10 as azimuth,
+          case when o_orderkey % 11 <> 0 then cast(o_custkey % 30 as double) / 10 end as zenith
+        from orders"""),
     "parcel_edges": ("supplier", """
         with p as (
           select s_suppkey as parcel_id, cast(s_suppkey % 53 as double) * 10 + 3 as x0, cast(s_suppkey % 47 as double) * 10 + 2 as y0,

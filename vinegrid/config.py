@@ -29,6 +29,10 @@ class Params:
     cs_cdf_min: float = 0.70
     cloud_probability_max: float = 30.0
     clear_classes: tuple[int, ...] = (4, 5, 6)
+    core_probability: float = 50.0
+    core_classes: tuple[int, ...] = (8, 9)
+    dark_nir: float = 0.15
+    cloud_heights_m: tuple[float, ...] = (500.0, 1000.0, 2000.0)
     dilation_cells: int = 2
     despeckle_radius: float = 2.5
     core_area_min: float = 2500.0

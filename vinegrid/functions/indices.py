@@ -148,9 +148,9 @@ def bits_unset(band: str, *bits: int) -> Column:
     return out
 
 
-def dark() -> Column:
-    """Shadow candidates: near infrared below 0.15 and no water."""
-    return (c("b8") / 10000 < 0.15) & (c("scl") != 6)
+def dark(params: Params = DEFAULTS) -> Column:
+    """Shadow candidates: near infrared below a limit and no water."""
+    return (c("b8") / 10000 < params.dark_nir) & (c("scl") != 6)
 
 
 def qa_valid(count: Column, total: Column, coverage: Column, small: Column, params: Params = DEFAULTS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
+CELL = ["scene_id", "row", "col"]
 
 
 def offsets(radius: float, shape: str = "circle") -> list[tuple[int, int]]:
@@ -115,3 +116,27 @@ def shadows(cloudy: DataFrame, dark: DataFrame, azimuth: float, zenith: float, h
     moves = [(floor(h * tan(radians(zenith)) * cos(back) / scale + 0.5), floor(h * tan(radians(zenith)) * sin(back) / scale + 0.5)) for h in heights]
     cast = _shifted(cloudy, moves, ["scene_id"]).select("scene_id", "row", "col").distinct()
     return dilate(cast.join(dark.select("scene_id", "row", "col"), ["scene_id", "row", "col"]), 1)
+
+
+def shadow_moves(angles: DataFrame, heights: Sequence[float] = (500.0, 1000.0, 2000.0), scale: float = 10.0) -> DataFrame:
+    """(scene_id, r, k): by how many cells each scene's own sun moves the shadow of a cloud of each height; equal moves once.
+
+    ``angles``: scene_id, azimuth and zenith in degrees, a row a scene. A scene without angles or with the sun at the horizon or
+    below it has no row.
+    """
+    reach = lambda h: F.tan(F.radians("zenith")) * (h / scale)
+    back = F.radians(c("azimuth") + 180.0)
+    cells = lambda x: F.floor(x + 0.5).cast("int")
+    moves = F.array(*[F.struct(cells(reach(h) * F.cos(back)).alias("r"), cells(reach(h) * F.sin(back)).alias("k")) for h in heights])
+    seen = angles.where(c("azimuth").isNotNull() & (c("zenith") >= 0) & (c("zenith") < 90))
+    return seen.select("scene_id", F.inline(F.array_distinct(moves)))
+
+
+def scene_shadows(core: DataFrame, dark: DataFrame, angles: DataFrame, heights: Sequence[float] = (500.0, 1000.0, 2000.0), scale: float = 10.0, widen: int = 1) -> DataFrame:
+    """Dark cells on which a cloud of any of the heights casts its shadow, by each scene's own sun, widened; (scene_id, row, col).
+
+    Each cloud core's row is moved a few times and meets the dark cells by an equality of keys; nothing is joined within a scene.
+    """
+    moved = core.select("scene_id", "row", "col").join(shadow_moves(angles, heights, scale), "scene_id")
+    cast = moved.select("scene_id", (c("row") + c("r")).alias("row"), (c("col") + c("k")).alias("col"))
+    return dilate(dark.select("scene_id", "row", "col").join(cast, CELL, "left_semi"), widen)

@@ -127,6 +127,68 @@ def year_on_year(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.join(last, [*keys, "year"]).withColumn("change", c(value) - c("last_year"))
 
 
+def period_start(day: str, every: str | int = "week") -> Column:
+    """First day of the calendar period that a day is in: "week" (from Monday), "month", "quarter", "year", or a number of days.
+
+    Periods of n days are counted from Monday, 1970-01-05, before it, too. A null day has a null period.
+    """
+    if isinstance(every, str):
+        return F.to_date(F.date_trunc(every, c(day)))
+    monday = F.lit("1970-01-05").cast("date")
+    return F.date_add(monday, (F.floor(F.datediff(c(day), monday) / every) * every).cast("int"))
+
+
+def period_stats(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("parcel_id",), day: str = "date", every: str | int = "week") -> DataFrame:
+    """Statistics of all pixels of each group and calendar period, a row per band, with the days observed and the first and last of them.
+
+    Columns: keys, period, band, the percentiles, n, stddev, days, first_day, last_day. Periods without a row are left out.
+    """
+    named = pixels.withColumn("period", period_start(day, every))
+    seen = named.groupBy(*keys, "period").agg(F.countDistinct(day).alias("days"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return _same(band_stats(named, [*keys, "period"], bands), seen, [*keys, "period"])
+
+
+def calendar_anomaly(df: DataFrame, keys: Sequence[str], day: str, value: str, days: int = 42, least: int = 3) -> DataFrame:
+    """z-score against the group's values of the ``days`` days before a row's own day, however many observations these hold.
+
+    Adds n_before, mean_before and z; z is null where fewer than ``least`` values lie in the frame or they don't vary. Rows of one
+    day don't count for each other. A null day has no frame: all three are null, n_before 0.
+    """
+    at = F.datediff(c(day), F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-days, -1)
+    dated = c("_at").isNotNull()
+    framed = df.withColumn("_at", at).withColumns({"n_before": F.when(dated, F.count(value).over(w)).otherwise(0), "mean_before": F.when(dated, F.avg(value).over(w)), "_dev": F.when(dated, F.stddev_pop(value).over(w))})
+    z = F.when((c("n_before") >= least) & (c("_dev") > 0), (c(value) - c("mean_before")) / c("_dev"))
+    return framed.withColumn("z", z).drop("_at", "_dev")
+
+
+def iso_monday(year: Column, week: Column) -> Column:
+    """Monday of a week of an ISO year; a 53rd week that the year doesn't have is its last."""
+    last = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+    first = F.to_date(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))))
+    return F.date_add(first, ((F.least(week, last) - 1) * 7).cast("int"))
+
+
+def week_on_years(weeks: DataFrame, keys: Sequence[str], value: str, years: Sequence[int] = (1,), slack: int = 1, week: str = "week") -> DataFrame:
+    """Each week beside the same ISO week of earlier years; one row per group, week and year gone back that has a counterpart.
+
+    ``weeks``: keys, Monday of the week, value; one row per group and week. Where that week has no value, the nearest one up to
+    ``slack`` weeks away stands in for it, the earlier of two; ``weeks_off`` says by how many. Leap years and years of 53 weeks
+    shift no season, since weeks are found by their number. Joins are on equal keys, 2 * slack + 1 candidates a row; null keys
+    have no counterpart.
+    """
+    mine = weeks.where(c(value).isNotNull() & c(week).isNotNull())
+    number = F.weekofyear(week)
+    back = F.explode(F.array(*[F.lit(y) for y in years]))
+    asked = mine.withColumn("years_back", back).withColumn("_same", iso_monday(F.year(F.date_add(c(week), 3)) - c("years_back"), number))
+    asked = asked.withColumn("weeks_off", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))).withColumn("_then", F.date_add("_same", c("weeks_off") * 7))
+    other = mine.select(*keys, c(week).alias("_then"), c(value).alias("_value"))
+    met = asked.join(other, [*keys, "_then"])
+    nearest = F.min_by(F.struct(c("_then").alias("then_week"), c("_value").alias("then"), "weeks_off"), F.struct(F.abs("weeks_off"), "weeks_off"))
+    best = met.groupBy(*keys, week, "years_back").agg(F.first(value).alias(value), nearest.alias("_b"))
+    return best.select(*keys, week, "years_back", value, "_b.then_week", "_b.then", "_b.weeks_off").withColumn("change", c(value) - c("then"))
+
+
 def daily_meteo(hourly: DataFrame) -> DataFrame:
     """Daily temperatures, water sums, WDI and growing degree days per cell."""
     return hourly.withColumns(ix.era5_columns()).groupBy("cell_id", F.to_date("ts").alias("date")).agg(

@@ -29,17 +29,29 @@ def sentinel1(px_s1: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return dated(calm).select("date", c("vv").alias("VV"), c("vh").alias("VH"), ix.ratio_vh_vv().alias("RATIOVHVV"), geo().alias("geo"), "row", "col")
 
 
-def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS, edges: DataFrame | None = None) -> DataFrame:
+def clear_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS, edges: DataFrame | None = None, sun: DataFrame | None = None) -> DataFrame:
     """Pixels that all three products call clear and that no cloudy one is near to.
 
     ``edges``: only pixels in these parcels are wanted. Each table is then cut to the tiles of the parcels' boxes, widened by the
     dilation, before anything else is done with it; of the pixels in these tiles but outside the boxes some may come out, too.
+    ``sun``: angles by scene (scene_id, azimuth, zenith); pixels in the shadow of a cloud go, too. Clouds far outside the parcels
+    cast shadows into them, so cloud cores are taken from whole scenes.
     """
+    core = None if sun is None else cloud_core(px_s2, px_cld, params)
     if edges is not None:
         near = geometry.box_tiles(edges, params.dilation_cells * params.scale_m)
         px_s2, px_cs, px_cld = (geometry.in_tiles(px, near, params.scale_m) for px in (px_s2, px_cs, px_cld))
     tested = merge.combine(px_s2, px_cs, px_cld).withColumn("clear", ix.clear_ensemble(params))
-    return neighborhood.drop_dilated(tested, ~c("clear"), params.dilation_cells).where("clear").drop("clear")
+    clear = neighborhood.drop_dilated(tested, ~c("clear"), params.dilation_cells).where("clear").drop("clear")
+    if core is None:
+        return clear
+    return clear.join(neighborhood.scene_shadows(core, px_s2.where(ix.dark(params)), sun, params.cloud_heights_m, params.scale_m), merge.CELL, "left_anti")
+
+
+def cloud_core(px_s2: DataFrame, px_cld: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Cells (scene_id, row, col) of clouds that cast shadows, by probability or class; a cell may come twice."""
+    likely = px_cld.where(c("probability") > params.core_probability).select(*merge.CELL)
+    return px_s2.where(c("scl").isin(*params.core_classes)).select(*merge.CELL).union(likely)
 
 
 def parcel_cells(edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -75,6 +87,27 @@ def sentinel2(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: Data
     )
 
 
+def parcel_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, scenes: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Clear pixels of each parcel's core with their date and vegetation index: what a parcel's time series are made of.
+
+    ``scenes``: (scene_id, acquired_at) gives the dates; without it scene numbers count days.
+    """
+    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(parcel_cells(edges, params).select("parcel_id", "row", "col"), ["row", "col"])
+    if scenes is None:
+        named = dated(clear)
+    else:
+        named = clear.join(scenes.select("scene_id", F.to_date("acquired_at").alias("date")), "scene_id")
+    return named.withColumn("ndvi", ix.ndvi())
+
+
+def parcel_series(pixels: DataFrame, every: str | int = 1, value: str = "ndvi") -> DataFrame:
+    """(parcel_id, period, n, mean, median) of a value over each parcel's clear pixels by calendar period, days by default."""
+    keys = ["parcel_id", "period"]
+    named = pixels.withColumn("period", stats.period_start("date", every))
+    means = named.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return means.where("n > 0").join(stats.quantiles(named, keys, value, [0.5]).select(*keys, F.get("p", 0).alias("median")), keys)
+
+
 def landsat(px_landsat: DataFrame, grid: DataFrame) -> DataFrame:
     """Cloud-masked surface temperature on the fine grid (row, col)."""
     clear = px_landsat.where(ix.bits_unset("qa_pixel", 3, 4)).select("scene_id", "row", "col", ix.lst_landsat().alias("LST")).dropna(subset=["LST"])

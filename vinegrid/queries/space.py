@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vinegrid.adapters import adapter
+from vinegrid.config import Params
 from vinegrid.functions import indices as ix
 from vinegrid.operators import geometry, merge, neighborhood, scenes, stats
 from vinegrid.plans import pipelines
@@ -187,6 +188,30 @@ def nb_shadow(spark, sf):
     return neighborhood.shadows(px.where(~ix.clear_scl()), dark, 130.0, 1.5)
 
 
+#: The tables' near infrared starts at 0.15 and no probability is over 31, so the limits are others than the default ones.
+_SHADOW_LIMITS = Params(dark_nir=0.30, core_probability=25.0)
+_MOVE = "CAST(floor(tan(radians(zenith)) * h / 10 * {f}(radians(azimuth + 180)) + 0.5) AS INTEGER)"
+_SHADED = f"""core AS (SELECT scene_id, row, col FROM px_s2 WHERE scl IN (8, 9) UNION SELECT scene_id, row, col FROM px_cld WHERE probability > 25),
+    moves AS (SELECT DISTINCT scene_id, {_MOVE.format(f='cos')} AS r, {_MOVE.format(f='sin')} AS k FROM scene_sun CROSS JOIN (VALUES (500.0::DOUBLE), (1000.0::DOUBLE), (2000.0::DOUBLE)) m(h) WHERE zenith IS NOT NULL),
+    cast_ AS (SELECT DISTINCT scene_id, row + r AS row, col + k AS col FROM core JOIN moves USING (scene_id)),
+    hit AS (SELECT scene_id, row, col FROM px_s2 SEMI JOIN cast_ USING (scene_id, row, col) WHERE b8 / 10000 < 0.30 AND scl <> 6),
+    shaded AS (SELECT DISTINCT scene_id, CAST(row + r AS INTEGER) AS row, CAST(col + k AS INTEGER) AS col FROM hit CROSS JOIN (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(r, k))"""
+
+
+@query("nb_shadow_scenes", f"WITH {_SHADED} SELECT scene_id, row, col FROM shaded")
+def nb_shadow_scenes(spark, sf):
+    """Shadows by each scene's own sun."""
+    px, cld, sun = (adapter(spark, sf, x) for x in ("px_s2", "px_cld", "scene_sun"))
+    return neighborhood.scene_shadows(pipelines.cloud_core(px, cld, _SHADOW_LIMITS), px.where(ix.dark(_SHADOW_LIMITS)), sun)
+
+
+@query("msk_shadow_scenes", f"WITH {_MASKED}, {_SHADED} SELECT scene_id, row, col, b4, b8 FROM masked ANTI JOIN shaded USING (scene_id, row, col)")
+def msk_shadow_scenes(spark, sf):
+    """Clear pixels, dilated clouds and shadows masked."""
+    px = (adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld"))
+    return pipelines.clear_pixels(*px, _SHADOW_LIMITS, sun=adapter(spark, sf, "scene_sun")).select("scene_id", "row", "col", "b4", "b8")
+
+
 # alignment
 
 _NEAR = "CAST(floor((f.row + 0.5) * 10 / {m}) AS INTEGER) = q.row AND CAST(floor((f.col + 0.5) * 10 / {m}) AS INTEGER) = q.col"
@@ -385,6 +410,49 @@ def win_yoy(spark, sf):
     return stats.year_on_year(yearly, ["sensor", "month"], "cloud").select("sensor", "month", "year", "cloud", "last_year", "change")
 
 
+# time series of parcels: clear pixels of their cores, by the dates of the scene table
+
+_SERIES = f"""{_MASKED}, {CORED_SQL},
+    own AS (SELECT parcel_id, CAST(acquired_at AS date) AS date, {INDEX_SQL['NDVI']} AS ndvi, b8 FROM masked JOIN cored USING (row, col) JOIN scenes USING (scene_id))"""
+_WEEK = "CAST(date_trunc('week', date) AS date)"
+
+
+def _own(spark, sf):
+    return pipelines.parcel_pixels(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld", "parcel_edges", "scenes")))
+
+
+@query("agg_parcel_weekly", f"""WITH {_SERIES}, long AS (SELECT parcel_id, {_WEEK} AS period, date, 'ndvi' AS band, ndvi AS value FROM own UNION ALL SELECT parcel_id, {_WEEK}, date, 'b8', b8 FROM own)
+    SELECT parcel_id, period, band, {_P}, count(value) AS n, stddev_pop(value) AS stddev, count(DISTINCT date) AS days, min(date) AS first_day, max(date) AS last_day FROM long GROUP BY 1, 2, 3""", STATS_DOUBLES)
+def agg_parcel_weekly(spark, sf):
+    """Statistics of each parcel in each calendar week."""
+    return stats.period_stats(_own(spark, sf), ["ndvi", "b8"])
+
+
+@query("agg_parcel_fortnightly", f"""WITH {_SERIES} SELECT parcel_id, CAST(date '1970-01-05' + 14 * CAST(floor((date - date '1970-01-05') / 14.0) AS INTEGER) AS date) AS period, count(ndvi) AS n, avg(ndvi) AS mean, median(ndvi) AS median FROM own GROUP BY 1, 2 HAVING count(ndvi) > 0""", "mean median")
+def agg_parcel_fortnightly(spark, sf):
+    """Vegetation index of each parcel by periods of fourteen days."""
+    return pipelines.parcel_series(_own(spark, sf), 14)
+
+
+@query("win_parcel_anomaly", f"""WITH {_SERIES}, days AS (SELECT parcel_id, date, round(avg(ndvi), 6) AS mean FROM own WHERE ndvi IS NOT NULL GROUP BY 1, 2),
+    framed AS (SELECT *, count(mean) OVER w AS n_before, avg(mean) OVER w AS mean_before, stddev_pop(mean) OVER w AS dev FROM days WINDOW w AS (PARTITION BY parcel_id ORDER BY date RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+    SELECT parcel_id, date, mean, n_before, mean_before, CASE WHEN n_before >= 3 AND dev > 0 THEN (mean - mean_before) / dev END AS z FROM framed""", "mean mean_before z")
+def win_parcel_anomaly(spark, sf):
+    """Each parcel's day against the year before it, by days and not by rows."""
+    days = pipelines.parcel_series(_own(spark, sf)).select("parcel_id", c("period").alias("date"), F.round("mean", 6).alias("mean"))
+    return stats.calendar_anomaly(days, ["parcel_id"], "date", "mean", 365)
+
+
+@query("win_parcel_yoy", f"""WITH {_SERIES}, weeks AS (SELECT parcel_id, {_WEEK} AS week, avg(ndvi) AS mean FROM own WHERE ndvi IS NOT NULL GROUP BY 1, 2),
+    asked AS (SELECT *, CAST(date_trunc('week', make_date(isoyear(week) - back, 1, 4)) AS date) + 7 * (least(weekofyear(week), weekofyear(make_date(isoyear(week) - back, 12, 28))) - 1)::INTEGER AS same FROM weeks CROSS JOIN (VALUES (1), (2)) b(back)),
+    met AS (SELECT a.parcel_id, a.week, back, a.mean, b.week AS then_week, b.mean AS then_, CAST((b.week - same) // 7 AS INTEGER) AS off FROM asked a JOIN weeks b ON a.parcel_id = b.parcel_id AND b.week BETWEEN same - 28 AND same + 28)
+    SELECT parcel_id, week, CAST(back AS INTEGER) AS years_back, mean, then_week, then_ AS "then", off AS weeks_off, mean - then_ AS change FROM met QUALIFY row_number() OVER (PARTITION BY parcel_id, week, back ORDER BY abs(off), off) = 1""", 'mean "then" change')
+def win_parcel_yoy(spark, sf):
+    """Each parcel's week against that week one and two years before, or the nearest within four weeks."""
+    weeks = pipelines.parcel_series(_own(spark, sf), "week").select("parcel_id", c("period").alias("week"), "mean")
+    return stats.week_on_years(weeks, ["parcel_id"], "mean", (1, 2), 4)
+
+
 # meteorology
 
 _DAILY = f"""daily AS (SELECT cell_id, CAST(ts AS date) AS date, min(temperature_2m - 273.15::DOUBLE) AS MIN_TEMP_C, avg(temperature_2m - 273.15::DOUBLE) AS MEAN_TEMP_C, max(temperature_2m - 273.15::DOUBLE) AS MAX_TEMP_C,
