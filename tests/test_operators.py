@@ -282,6 +282,74 @@ def test_stream_ingest_recomputes_months(spark, tmp_path):
     assert got.count() == 4 and {tuple(r) for r in got.where("height IS NOT NULL").select("geo", "VV", "height").collect()} == {("elsewhere", 8.5, 1.5), ("there", None, 2.5)}
 
 
+def days_of(spark, out):
+    return sorted((str(r.date), r.geo) for r in spark.read.option("mergeSchema", True).parquet(out).select("date", "geo").collect())
+
+
+def month_files(out):
+    return {str(x.relative_to(out)): x.stat().st_mtime_ns for x in sorted(out.glob("year=*/month=*/*.parquet"))}
+
+
+def put_file(folder, name, *days):
+    os.makedirs(folder, exist_ok=True)
+    (folder / name).write_text("date,VV,.geo\n" + "".join(f"{d},1.0,{name}\n" for d in days))
+
+
+@pytest.mark.parametrize("point", ["begun", "written"])
+def test_ingest_killed_on_the_way(spark, tmp_path, monkeypatch, point):
+    """A batch that stops before or after its months are written, and whose file is another one by the time it runs again."""
+    raw, out, state = str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "state")
+    folder = tmp_path / "raw" / "ROI" / "sentinel_1"
+    put_file(folder, "a.csv", "2025-01-05", "2025-02-05")
+    jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    put_file(folder, "b.csv", "2025-03-05", "2025-02-06")
+    whole = jobs._replace_months
+
+    def killed(*args):
+        if point == "written":
+            whole(*args)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(jobs, "_replace_months", killed)
+    with pytest.raises(Exception, match="killed"):
+        jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    monkeypatch.setattr(jobs, "_replace_months", whole)
+    put_file(folder, "b.csv", "2025-04-05")
+    untouched = {k: v for k, v in month_files(tmp_path / "out").items() if "month=1/" in k}
+    jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    assert days_of(spark, out) == [("2025-01-05", "a.csv"), ("2025-02-05", "a.csv"), ("2025-04-05", "b.csv")]
+    after = month_files(tmp_path / "out")
+    assert untouched and untouched.items() <= after.items() and not any("month=3/" in k for k in after)
+    # what is done is not done again, by this stream or by a new one
+    for checkpoint in (state, str(tmp_path / "other")):
+        jobs.ingest_csv(spark, raw, out, checkpoint, roi="ROI")
+    assert month_files(tmp_path / "out") == after
+
+
+def test_ingest_of_replaced_and_removed_files(spark, tmp_path):
+    raw, out, state = str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "state")
+    folder = tmp_path / "raw" / "ROI" / "sentinel_1"
+    put_file(folder, "a.csv", "2025-01-05", "2025-02-05", "2025-03-05")
+    put_file(folder, "b.csv", "2025-05-05")
+    put_file(folder, "c.csv", "2025-06-05", "2025-01-07")
+    put_file(folder, "empty.csv")
+    (folder / "static.csv").write_text("VV,.geo\n1.0,s\n")
+    jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    before = month_files(tmp_path / "out")
+    put_file(folder, "a.csv", "2025-01-05", "2025-04-05")
+    os.remove(folder / "c.csv")
+    for _ in range(2):
+        jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+        assert days_of(spark, out) == [("2025-01-05", "a.csv"), ("2025-04-05", "a.csv"), ("2025-05-05", "b.csv")]
+    after = month_files(tmp_path / "out")
+    assert {k for k in before if k in after and before[k] == after[k]} == {k for k in before if "month=5/" in k}
+    noted = jobs.manifest(spark, out)
+    assert noted.where(c("size") == jobs.GONE).select("file").distinct().count() == 1 and noted.agg(F.max("seq")).first()[0] == 2
+    put_file(folder, "c.csv", "2025-06-06")  # comes back under its name
+    jobs.ingest_csv(spark, raw, out, state, roi="ROI")
+    assert ("2025-06-06", "c.csv") in days_of(spark, out)
+
+
 def test_layouts_unknown_sources_and_bad_files(spark, tmp_path):
     """Columns go by each file's own header, sources by their folder; what can't be read is left out."""
     for name in ("sentinel_1", "drone", "notes"):

@@ -6,7 +6,7 @@ import csv
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -41,6 +41,10 @@ def _status(spark: SparkSession, pattern: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    return len(_status(spark, pattern)) > 0
+
+
 def source_folders(spark: SparkSession, base: str, roi: str = "*") -> list[str]:
     """Names of all source folders under ``base/<roi>``."""
     return sorted({x.getPath().getName() for x in _status(spark, f"{base}/{roi}/*") if x.isDirectory() and not x.getPath().getParent().getName().startswith("_")})
@@ -81,18 +85,28 @@ def month_paths(spark: SparkSession, folder: str, months: Sequence[str] | None)
     return own + other + [x for x in flat if (m := _RANGE.search(x)) is None or any(m[1] <= month <= m[2] for month in months)]
 
 
-def _csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
-    """(file, modified, size) of the CSV files under the paths, whose content is not read; None if there is no such path."""
+def as_files(found: DataFrame) -> DataFrame:
+    """(file, modified, size, source) of binary files, whose content is not read."""
+    facts = [c(f"_metadata.{x}").alias(name) for x, name in (("file_path", "file"), ("file_modification_time", "modified"), ("file_size", "size"))]
+    return found.select(*facts, parent_folder().alias("source"))
+
+
+def csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """(file, modified, size, source) of the CSV files under the paths; None if there is no such path."""
     if not paths:
         return None
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     try:
-        found = reader.load(paths)
+        return as_files(reader.load(paths))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return found.select(*[c(f"_metadata.{x}").alias(name) for x, name in (("file_path", "_file"), ("file_modification_time", "_modified"), ("file_size", "_size"))])
+
+
+def _csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    found = csv_files(spark, paths)
+    return None if found is None else found.select(c("file").alias("_file"), c("modified").alias("_modified"), c("size").alias("_size"))
 
 
 def _first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -130,13 +144,13 @@ def _headers(spark: SparkSession, paths: str | list[str], known: str | None) ->
     return heads, facts(heads)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False, headers: str | None = None) -> DataFrame | None:
+def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: bool = False, headers: str | None = None, file_name: str | None = None) -> DataFrame | None:
     """CSV files under a folder, each file's columns matched by its own trimmed header; None if there is no file that fits.
 
     A source without a known schema gets its value columns, as doubles, from the headers. Columns that a file lacks are null.
     Files that can't be read and headers without ``.geo``, or without ``date`` (with it, for ``static``), are left out. Any number
     of different headers is read in one way: a file's header goes with its rows, and a column is looked up in it. ``headers``:
-    where headers are noted (``write_csv``).
+    where headers are noted (``write_csv``). ``file_name``: a column of this name says which file a row is from.
     """
     found = _headers(spark, paths, headers)
     if found is None or found[1]["low"] is None:
@@ -167,7 +181,8 @@ def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: b
     else:
         column = lambda name: c(cells[names.index(name)]) if name in names else F.lit(None).cast("string")
     typed = [(F.try_to_date(column(n)) if n == "date" else column(n).try_cast(kind)).alias("geo" if n == ".geo" else n) for n, kind in fields]
-    out = raw.select(*typed)
+    origin = [(c("_file") if several else c("_metadata.file_path")).alias(file_name)] if file_name else []
+    out = raw.select(*typed, *origin)
     return out if static else out.where(c("date").isNotNull())
 
 
@@ -229,6 +244,13 @@ def partitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(found), "year int, month int")
 
 
+def drop_months(spark: SparkSession, path: str, months: Iterable[tuple[int, int]]) -> None:
+    """Remove the folders of these months (year, month)."""
+    for year, month in months:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/year={year}/month={month}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_ring(spark: SparkSession, path: str | None = None) -> list[tuple[float, float]]:
     """Outer ring of a GeoJSON polygon file, or the default parcel's if there is none."""
     if path is None:
