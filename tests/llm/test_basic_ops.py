@@ -399,7 +399,14 @@ def test_language_odd(spark, small):
         found = language.predict_language(held.drop("lang"), model).collect()
         assert np.mean([r.lang_pred == truth[r.doc_id] for r in found]) > 0.97
     junk = docs.limit(400).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit("aa")).otherwise(F.col("doc_id").cast("string")))
-    assert len(language.fit_language_model(junk, languages_most=10).languages) == 10
+    # every language is learned, with fewer rows and landmarks each where there are many, and none is left out in silence
+    every = {r[0] for r in junk.select("lang").where("lang IS NOT NULL AND text IS NOT NULL").distinct().collect()}
+    for most in (len(every), 3 * len(every), language.LANDMARKS):
+        model = language.fit_language_model(junk, landmarks_most=most)
+        assert set(model.languages) == every and model.landmarks.shape[1] <= most
+    for low in ({"landmarks_most": len(every) - 1}, {"rows_most": len(every) - 1}):
+        with pytest.raises(ValueError, match="values of lang"):
+            language.fit_language_model(junk, **low)
 
 
 def test_long_codes(spark):

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from vinegrid.llm.common import table
 
-#: Hashed n-gram space (lengths 1 to 3 together) and bounds of the learning sample: rows and landmarks for each language.
+#: Hashed n-gram space (lengths 1 to 3 together) and bounds of the learning sample: rows and landmarks for each language, and of
+#: all languages together, which many languages share evenly.
 SPACE = 1 << 13
 LENGTHS = (1, 2, 3)
 SAMPLE_PER_LANG = 250
 LANDMARKS_PER_LANG = 24
-#: Languages that are learned at most, the most frequent ones, so that the fit stays bounded whatever stands in ``lang``.
-LANGUAGES = 256
+SAMPLE_ROWS = 64_000
+LANDMARKS = 6_144
 RIDGE = 1.0
 UNKNOWN = "und"
 #: The pipeline rejects documents whose best one-versus-rest output is below this score, unless they are so short (characters)
@@ -65,18 +66,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_language_model(docs: DataFrame, sample: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS_PER_LANG, languages_most: int = LANGUAGES) -> LanguageModel | None:
+def fit_language_model(docs: DataFrame, sample: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS_PER_LANG, rows_most: int = SAMPLE_ROWS, landmarks_most: int = LANDMARKS) -> LanguageModel | None:
     """Fit on at most ``sample`` rows of each language, the smallest by a hash of id, language and text; None if no row is labelled.
 
     Only presence vectors of the sample (1 KB each) come to the driver. The first ``landmarks`` rows of each language are the
     Nyström landmarks. Rows go by their own hash, so repeated or null ids keep each row's own label; rows that repeat one
-    another count once. Of more than ``languages_most`` languages the most frequent are learned.
+    another count once. Every language is learned: where ``sample`` rows of each are more than ``rows_most``, each gets an equal
+    share, and so for landmarks. More languages than ``landmarks_most`` can't have one each, which is an error.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("k"))
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages_most)
+    learned = known.agg(F.countDistinct("lang")).first()[0]
+    if learned > min(rows_most, landmarks_most):
+        raise ValueError(f"{learned} values of lang are more than rows_most or landmarks_most")
+    sample, landmarks = min(sample, rows_most // max(learned, 1)), min(landmarks, landmarks_most // max(learned, 1))
     first = Window.partitionBy("lang").orderBy("k")
     keys = known.select("lang", "k").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
-    keys = keys.join(F.broadcast(frequent.select("lang")), "lang").groupBy("lang", "k").agg(F.min("nth").alias("nth"))
+    keys = keys.groupBy("lang", "k").agg(F.min("nth").alias("nth"))
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in keys.collect()], "lang string, k long, nth int")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
