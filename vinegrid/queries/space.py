@@ -439,7 +439,7 @@ def agg_parcel_fortnightly(spark, sf):
     SELECT parcel_id, date, mean, n_before, mean_before, CASE WHEN n_before >= 3 AND dev > 0 THEN (mean - mean_before) / dev END AS z FROM framed""", "mean mean_before z")
 def win_parcel_anomaly(spark, sf):
     """Each parcel's day against the year before it, by days and not by rows."""
-    days = pipelines.parcel_series(_own(spark, sf)).select("parcel_id", c("period").alias("date"), F.round("mean", 6).alias("mean"))
+    days = pipelines.parcel_series(_own(spark, sf), median=False).select("parcel_id", c("period").alias("date"), F.round("mean", 6).alias("mean"))
     return stats.calendar_anomaly(days, ["parcel_id"], "date", "mean", 365)
 
 
@@ -449,7 +449,7 @@ def win_parcel_anomaly(spark, sf):
     SELECT parcel_id, week, CAST(back AS INTEGER) AS years_back, mean, then_week, then_ AS "then", off AS weeks_off, mean - then_ AS change FROM met QUALIFY row_number() OVER (PARTITION BY parcel_id, week, back ORDER BY abs(off), off) = 1""", 'mean "then" change')
 def win_parcel_yoy(spark, sf):
     """Each parcel's week against that week one and two years before, or the nearest within four weeks."""
-    weeks = pipelines.parcel_series(_own(spark, sf), "week").select("parcel_id", c("period").alias("week"), "mean")
+    weeks = pipelines.parcel_series(_own(spark, sf), "week", median=False).select("parcel_id", c("period").alias("week"), "mean")
     return stats.week_on_years(weeks, ["parcel_id"], "mean", (1, 2), 4)
 
 
