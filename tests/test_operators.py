@@ -572,3 +572,12 @@ def test_weeks_on_years(spark):
         ("a", monday(2021, 9), 1): (monday(2020, 9), 2.0, 0, 1.0), ("a", monday(2021, 9), 2): (monday(2019, 8), 5.0, -1, -2.0),
     }
     assert stats.week_on_years(df, ["k"], "v", (1,), 0).count() == 2
+
+
+def test_source_without_rows_is_counted(spark, tiny, tmp_path):
+    """Files that hold the header alone have a row with none, not no row."""
+    from vinegrid.queries import QUERIES
+
+    spark.read.parquet(f"{tiny}/lineitem.parquet").where("(l_orderkey * l_linenumber) & 24 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["source"]: r["n"] for r in QUERIES["src_parent_folder"](spark, str(tmp_path)).collect()}
+    assert set(found) == {"sentinel_1", "ecostress", "landsat_thermal"} and found["landsat_thermal"] == 0 < found["sentinel_1"]

@@ -92,8 +92,12 @@ _export("sink_csv_era5", "era5", lambda s, d: pipelines.era5(adapter(s, d, "era5
 
 @query("src_parent_folder", f"WITH {_S1}, {_ECO}, {_LS} SELECT 'sentinel_1' AS source, count(*) AS n FROM s1 UNION ALL SELECT 'ecostress', count(*) FROM eco UNION ALL SELECT 'landsat_thermal', count(*) FROM ls")
 def src_parent_folder(spark, sf):
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("escape", '"').schema("date string").csv(_tree(spark, sf))
-    return raw.select(files.parent_folder().alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    """Rows by the folder of their source; a source whose files hold the header alone has none."""
+    base = _tree(spark, sf)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("escape", '"').schema("date string").csv(base)
+    counted = raw.select(files.parent_folder().alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    folders = files.csv_files(spark, base).select("source").distinct()
+    return folders.join(counted, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("src_strip_header", f"WITH {_ECO} SELECT date, geo, LST_eco FROM eco", "LST_eco")
