@@ -581,3 +581,14 @@ def test_source_without_rows_is_counted(spark, tiny, tmp_path):
     spark.read.parquet(f"{tiny}/lineitem.parquet").where("(l_orderkey * l_linenumber) & 24 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = {r["source"]: r["n"] for r in QUERIES["src_parent_folder"](spark, str(tmp_path)).collect()}
     assert set(found) == {"sentinel_1", "ecostress", "landsat_thermal"} and found["landsat_thermal"] == 0 < found["sentinel_1"]
+
+
+def test_rounding_as_the_twin_does(spark):
+    """The scaled double decides, not its text; halves go away from zero."""
+    import duckdb
+
+    values = [0.2417845, 0.0896215, 0.25452049999999995, 0.1234565, -0.1234565, 1.0000005, 2.5, 1e300, 1e305, 0.0, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").orderBy("k").select(ix.rounded(c("x"))).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+    assert [repr(x) for x in got] == [repr(x) for x in want]

@@ -12,6 +12,16 @@ from vinegrid.config import DEFAULTS, Params
 c = F.col
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """A double to so many decimals as C and SQL engines on it do: scaled, to the nearest whole number, halves away from zero.
+
+    Spark's own ``round`` rounds the decimal text of the double, so 0.2417845 goes up even where the scaled double is below the half.
+    """
+    scaled = x * F.lit(10.0**digits)
+    whole = F.when(F.abs(scaled - F.rint(scaled)) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(F.rint(scaled))
+    return F.when(F.abs(scaled) < 1e300, whole / F.lit(10.0**digits)).otherwise(x)
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 

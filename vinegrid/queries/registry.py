@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vinegrid.adapters import ADAPTERS
+from vinegrid.functions.indices import rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, without a negative zero, as in the twin."""
-    return df.withColumns({f.name: F.round(f.name, 6) + F.lit(0.0) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
+    return df.withColumns({f.name: rounded(F.col(f"`{f.name}`")) + F.lit(0.0) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
 
 
 def with_adapters(sql: str) -> str:

@@ -439,7 +439,7 @@ def agg_parcel_fortnightly(spark, sf):
     SELECT parcel_id, date, mean, n_before, mean_before, CASE WHEN n_before >= 3 AND dev > 0 THEN (mean - mean_before) / dev END AS z FROM framed""", "mean mean_before z")
 def win_parcel_anomaly(spark, sf):
     """Each parcel's day against the year before it, by days and not by rows."""
-    days = pipelines.parcel_series(_own(spark, sf), median=False).select("parcel_id", c("period").alias("date"), F.round("mean", 6).alias("mean"))
+    days = pipelines.parcel_series(_own(spark, sf), median=False).select("parcel_id", c("period").alias("date"), ix.rounded(c("mean")).alias("mean"))
     return stats.calendar_anomaly(days, ["parcel_id"], "date", "mean", 365)
 
 
