@@ -592,3 +592,38 @@ def test_rounding_as_the_twin_does(spark):
     con = duckdb.connect()
     want = [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
     assert [repr(x) for x in got] == [repr(x) for x in want]
+
+
+def test_stats_of_groups_that_a_task_holds(spark):
+    """One aggregation gives what distributed selection gives, nulls and groups without a value included."""
+    rows = [(k, float((k * 7 + j * j * 3) % 11) if (k + j) % 3 else None, None if k == 2 else -0.0 if j % 2 else float("nan") if k == 3 else j / 7) for k in range(4) for j in range(k * 3 + 1)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    text = lambda found: sorted(str([x + 0.0 if isinstance(x, float) else x for x in r]) for r in found.collect())
+    one, other = (stats.band_stats(df, ["k"], ["a", "b"], small=x) for x in (True, False))
+    cut = lambda found: found.select("k", "band", *[F.round(x, 9).alias(x) for x in [*stats.PERCENTILES, "stddev"]], "n")
+    assert text(cut(one)) == text(cut(other)) and one.count() == 8
+
+
+def test_parcels_in_chunks_and_by_cell(spark, tiny, monkeypatch):
+    """Small parcels meet pixels in chunks, large ones by cell: rows are the same however parcels are dealt."""
+    from vinegrid.queries import QUERIES
+
+    names = ["agg_parcel_stats", "jn_scene_stats", "cv_qa_columns", "qa_validate", "agg_parcel_fortnightly"]
+    rows = lambda: {x: Counter(map(str, QUERIES[x](spark, tiny).collect())) for x in names}
+    chunks = rows()
+    assert all(chunks.values())
+    monkeypatch.setattr(pipelines, "LARGE_CELLS", 25)
+    monkeypatch.setattr(geometry, "CHUNK_PARCELS", 1)
+    mixed = rows()
+    for name in names:
+        assert chunks[name] == mixed[name], name
+
+
+def test_pixels_beside_parcels_are_not_shuffled(spark, tiny):
+    """Once pixels have met their parcels, no row of them is sent again: the shuffles lie below that join."""
+    from vinegrid.queries import QUERIES
+
+    for name in ("agg_parcel_stats", "jn_scene_stats", "cv_qa_columns", "qa_validate", "agg_parcel_weekly", "pl_s2"):
+        plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString().split("\n")
+        met = next(k for k, line in enumerate(plan) if "Join [chunk" in line)
+        assert not any("Exchange" in line for line in plan[:met]), name

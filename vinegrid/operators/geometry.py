@@ -118,6 +118,36 @@ def in_tiles(cells: DataFrame, tiles: DataFrame, scale: float = 10.0) -> DataFra
     return cells.withColumns({"tx": at("col"), "ty": at("row")}).join(tiles, ["tx", "ty"], "left_semi").drop("tx", "ty")
 
 
+#: Parcels of one chunk, about; what a task does with them is bounded by it.
+CHUNK_PARCELS = 400
+
+
+def chunked(edges: DataFrame, size: int = CHUNK_PARCELS) -> tuple[DataFrame, DataFrame]:
+    """Parcels in chunks of neighbours: (parcel_id, chunk), and the tiles (chunk, tx, ty) that the boxes of a chunk touch.
+
+    A chunk holds parcels whose box starts in the same tile; a tile with many of them has several chunks of about ``size``.
+    """
+    box = edges.groupBy("parcel_id").agg(*[f(g(f"{v}1", f"{v}2")).alias(f"{name}_{v}") for v in "xy" for name, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest))])
+    home = box.withColumns({"hx": _tile(c("min_x")), "hy": _tile(c("min_y"))})
+    crowd = home.groupBy("hx", "hy").agg(F.ceil(F.count("*") / size).alias("parts"))
+    found = home.join(crowd, ["hx", "hy"]).withColumn("chunk", F.xxhash64("hx", "hy", F.pmod(F.xxhash64("parcel_id"), c("parts"))))
+    return found.select("parcel_id", "chunk"), _tiled(found).select("chunk", "tx", "ty").distinct()
+
+
+def meet_in_chunks(px: DataFrame, cells: DataFrame, edges: DataFrame, tasks: int, scale: float = 10.0) -> DataFrame:
+    """Pixels beside the parcels' cells (parcel_id, row, col, ...), dealt by ``chunk``: groups by chunk and parcel need no further shuffle.
+
+    A pixel is sent once to each chunk that has parcels near it, not once to each parcel. Both sides are dealt by the chunk alone,
+    so the session's ``spark.sql.requireAllClusterKeysForCoPartition`` is set to false, as for stored tables.
+    """
+    px.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own, tiles = chunked(edges)
+    at = lambda v: _tile(c(v) * scale + scale / 2)
+    sent = px.withColumns({"tx": at("col"), "ty": at("row")}).join(tiles, ["tx", "ty"]).drop("tx", "ty").repartition(tasks, "chunk")
+    dealt = cells.join(own, "parcel_id").repartition(tasks, "chunk")
+    return sent.join(dealt.hint("shuffle_hash"), ["chunk", "row", "col"])
+
+
 def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float = 10.0) -> DataFrame:
     """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,14 +53,30 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
     return rows.select(*keys, F.array(*[between(k, p) for k, p in enumerate(probabilities)]).alias("p"), c("_total").alias("n"))
 
 
+def quantile_of(ordered: Column, n: Column, p: float) -> Column:
+    """Quantile of an ordered array of n values, interpolated as by ``quantiles``; null if it is empty."""
+    place = (n - 1) * F.lit(float(p))
+    low, high = (F.get(ordered, f(place).cast("int")) for f in (F.floor, F.ceil))
+    return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 PERCENTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
 
-def band_stats(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], approximate: bool = False, sample_deviation: bool = False) -> DataFrame:
+def band_stats(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], approximate: bool = False, sample_deviation: bool = False, small: bool = False, also: Mapping[str, Column] | None = None) -> DataFrame:
     """Median, quartiles, deciles, count and deviation of each band per group, one row per group and band.
 
-    Exact percentiles are found by distributed selection (``quantiles``), ``approximate`` ones in one pass.
+    Exact percentiles are found by distributed selection (``quantiles``), ``approximate`` ones in one pass. ``small``: a task may
+    hold a group, so that its bands are put in order in one aggregation, a row a group; ``also`` names further aggregates of it.
     """
+    if small:
+        deviation = F.stddev_samp if sample_deviation else F.stddev_pop
+        values = lambda b: c(b).cast("double") + 0.0
+        measures = [x for b in bands for x in (F.sort_array(F.collect_list(values(b))).alias(f"_v_{b}"), deviation(values(b)).alias(f"_s_{b}"))]
+        rows = pixels.groupBy(*keys).agg(*measures, *[x.alias(k) for k, x in (also or {}).items()])
+        each = F.inline(F.array(*[F.struct(F.lit(b).alias("band"), c(f"_v_{b}").alias("_v"), c(f"_s_{b}").alias("stddev")) for b in bands]))
+        out = rows.select(*keys, *(also or {}), each).withColumn("n", F.size("_v").cast("long"))
+        return out.select(*keys, "band", *[quantile_of(c("_v"), c("n"), p).alias(name) for name, p in PERCENTILES.items()], "n", "stddev", *(also or {}))
     long = pixels.select(*keys, *[c(b).cast("double").alias(b) for b in bands]).unpivot(list(keys), list(bands), "band", "value")
     grouped = [*keys, "band"]
     deviation = (F.stddev_samp if sample_deviation else F.stddev_pop)("value").alias("stddev")
@@ -138,12 +154,16 @@ def period_start(day: str, every: str | int = "week") -> Column:
     return F.date_add(monday, (F.floor(F.datediff(c(day), monday) / every) * every).cast("int"))
 
 
-def period_stats(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("parcel_id",), day: str = "date", every: str | int = "week") -> DataFrame:
+def period_stats(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("parcel_id",), day: str = "date", every: str | int = "week", small: bool = False) -> DataFrame:
     """Statistics of all pixels of each group and calendar period, a row per band, with the days observed and the first and last of them.
 
     Columns: keys, period, band, the percentiles, n, stddev, days, first_day, last_day. Periods without a row are left out.
+    ``small``: as in ``band_stats``.
     """
-    named = pixels.withColumn("period", period_start(day, every))
+    named = pixels.select(*keys, c(day), period_start(day, every).alias("period"), *bands)
+    if small:
+        days = {"days": F.size(F.collect_set(day)).cast("long"), "first_day": F.min(day), "last_day": F.max(day)}
+        return band_stats(named, [*keys, "period"], bands, small=True, also=days)
     seen = named.groupBy(*keys, "period").agg(F.countDistinct(day).alias("days"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     return _same(band_stats(named, [*keys, "period"], bands), seen, [*keys, "period"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,33 +69,86 @@ OBSERVED = ["parcel_id", "scene_id"]
 OF_PARCEL = ["erosion_m", "is_small_parcel", "total_pixels"]
 
 
+#: Cells of a parcel up to which a task may hold its pixels of one scene or period; statistics of larger ones are found by distributed selection.
+LARGE_CELLS = 4096
+
+
+def by_parcel(px: DataFrame, edges: DataFrame, each: Callable[[DataFrame, list[str]], DataFrame], params: Params = DEFAULTS) -> DataFrame:
+    """Pixels beside the parcels whose core they are in, given to ``each`` with the keys that groups by parcel must begin with.
+
+    Parcels of up to LARGE_CELLS cells meet their pixels in chunks of neighbours (key ``chunk``, ``geometry.meet_in_chunks``), and
+    there are as many tasks as the parcels ask for. Larger ones, if there are any, meet theirs by cell and have no such key.
+    """
+    area, limit = geometry.areas(edges), LARGE_CELLS * params.scale_m**2
+    facts = area.agg(F.count("*").alias("n"), F.count_if(c("area_m2") > limit).alias("large")).first()
+    small = edges
+    parts = []
+    if facts["large"]:
+        large = area.where(c("area_m2") > limit).select("parcel_id")
+        small, wide = edges.join(large, "parcel_id", "left_anti"), edges.join(large, "parcel_id", "left_semi")
+        parts.append(each(px.join(parcel_cells(wide, params), ["row", "col"]), []))
+    if facts["large"] < facts["n"] or not parts:
+        tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // geometry.CHUNK_PARCELS))
+        parts.append(each(geometry.meet_in_chunks(px, parcel_cells(small, params), small, tasks, params.scale_m), ["chunk"]).drop("chunk"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def observations(px: DataFrame, edges: DataFrame, params: Params = DEFAULTS, first_band: str = "b4") -> DataFrame:
     """Quality of each parcel and scene: valid and total pixels of its core, coverage, erosion, and whether it counts as observed."""
-    seen = px.join(parcel_cells(edges, params), ["row", "col"])
-    return stats.validate(stats.coverage(seen, [*OBSERVED, *OF_PARCEL], first_band=first_band), params=params)
+    return by_parcel(px, edges, lambda seen, own: stats.validate(stats.coverage(seen, [*own, *OBSERVED, *OF_PARCEL], first_band=first_band), params=params), params)
+
+
+def observed_pixels(px: DataFrame, edges: DataFrame, params: Params = DEFAULTS, first_band: str = "b4") -> DataFrame:
+    """Pixels of each parcel's core beside the quality of its parcel in that scene, which a window counts."""
+
+    def judged(seen: DataFrame, own: list[str]) -> DataFrame:
+        counted = seen.withColumn("valid_pixels", F.count(first_band).over(Window.partitionBy(*own, *OBSERVED)))
+        return stats.validate(counted.withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels")), params=params)
+
+    return by_parcel(px, edges, judged, params)
+
+
+def parcel_stats(px: DataFrame, edges: DataFrame, bands: Sequence[str], params: Params = DEFAULTS) -> DataFrame:
+    """Statistics of each parcel's core in each scene, a row per band."""
+    return by_parcel(px, edges, lambda inside, own: stats.band_stats(inside, [*own, *OBSERVED], bands, small=bool(own)), params)
+
+
+def pixels_with_stats(px: DataFrame, edges: DataFrame, band: str, params: Params = DEFAULTS, first_band: str = "b4") -> DataFrame:
+    """Pixels (scene_id, row, col, band) of each parcel's core beside the band's statistics and the quality of its parcel in that scene."""
+    shown, last = ["row", "col", band], lambda df: stats.validate(df.withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels")), params=params).drop("band")
+
+    def joined(inside: DataFrame, own: list[str]) -> DataFrame:
+        keys = [*own, *OBSERVED, *OF_PARCEL]
+        valid = F.count(first_band)
+        if own:
+            found = stats.band_stats(inside, keys, [band], small=True, also={"valid_pixels": valid, "_px": F.collect_list(F.struct(*shown))})
+            return last(found.select("*", F.inline("_px")).drop("_px"))
+        found = stats.band_stats(inside, keys, [band]).join(inside.groupBy(*keys).agg(valid.alias("valid_pixels")), keys)
+        return last(inside.select(*OBSERVED, *shown).join(found, OBSERVED))
+
+    return by_parcel(px, edges, joined, params)
 
 
 def sentinel2(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Cleaned indices of each parcel's core with its quality columns; every band counts for coverage, rows need all indices.
 
     The core's cells carry the parcel's columns, and a scene's pixels in a parcel are counted by a window, so that each input
-    is read once, and only near the parcels.
+    is read once, and only near the parcels. Indices are a pixel's, so they are made before it meets its parcels.
     """
-    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(parcel_cells(edges, params), ["row", "col"])
-    seen = clear.withColumn("valid_pixels", F.count("b4").over(Window.partitionBy("parcel_id", "scene_id"))).withColumn("coverage_ratio", F.try_divide("valid_pixels", "total_pixels"))
     indices = ["NDVI", "EVI", "GNDVI", "IRECI", "NDMI", "NDRE"]
-    named = stats.validate(seen, params=params).withColumns({k: v for k, v in ix.s2_indices(params.profile).items() if k in indices}).dropna(subset=indices)
-    return dated(named).select(
+    named = clear_pixels(px_s2, px_cs, px_cld, params, edges).withColumns({k: v for k, v in ix.s2_indices(params.profile).items() if k in indices})
+    seen = observed_pixels(named.select(*merge.CELL, "b4", *indices), edges, params).dropna(subset=indices)
+    return dated(seen).select(
         "parcel_id", "date", *indices, "valid_pixels", "total_pixels", "coverage_ratio", "observation_valid", "erosion_m", "is_small_parcel", geo().alias("geo"), "row", "col"
     )
 
 
-def parcel_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, scenes: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """Clear pixels of each parcel's core with their date and vegetation index: what a parcel's time series are made of.
+def dated_clear(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, scenes: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Clear pixels near the parcels with their date and vegetation index.
 
     ``scenes``: (scene_id, acquired_at) gives the dates; without it scene numbers count days.
     """
-    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges).join(parcel_cells(edges, params).select("parcel_id", "row", "col"), ["row", "col"])
+    clear = clear_pixels(px_s2, px_cs, px_cld, params, edges)
     if scenes is None:
         named = dated(clear)
     else:
@@ -100,15 +156,33 @@ def parcel_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges:
     return named.withColumn("ndvi", ix.ndvi())
 
 
-def parcel_series(pixels: DataFrame, every: str | int = 1, value: str = "ndvi", median: bool = True) -> DataFrame:
-    """(parcel_id, period, n, mean, median) of a value over each parcel's clear pixels by calendar period, days by default.
+def parcel_pixels(px_s2: DataFrame, px_cs: DataFrame, px_cld: DataFrame, edges: DataFrame, scenes: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Clear pixels of each parcel's core with their date and vegetation index: what a parcel's time series are made of."""
+    return by_parcel(dated_clear(px_s2, px_cs, px_cld, edges, scenes, params), edges, lambda inside, own: inside.drop(*OF_PARCEL), params)
+
+
+def parcel_periods(pixels: DataFrame, edges: DataFrame, bands: Sequence[str], every: str | int = "week", params: Params = DEFAULTS) -> DataFrame:
+    """``stats.period_stats`` of each parcel's core, of dated pixels (``dated_clear``)."""
+    return by_parcel(pixels, edges, lambda inside, own: stats.period_stats(inside, bands, [*own, "parcel_id"], every=every, small=bool(own)), params)
+
+
+def parcel_series(pixels: DataFrame, edges: DataFrame, every: str | int = 1, value: str = "ndvi", median: bool = True, params: Params = DEFAULTS) -> DataFrame:
+    """(parcel_id, period, n, mean, median) of a value over each parcel's clear pixels (``dated_clear``) by calendar period, days by default.
 
     Without ``median`` the pixels are read once, in one aggregation.
     """
-    keys = ["parcel_id", "period"]
-    named = pixels.withColumn("period", stats.period_start("date", every))
-    means = named.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).where("n > 0")
-    return means if not median else means.join(stats.quantiles(named, keys, value, [0.5]).select(*keys, F.get("p", 0).alias("median")), keys)
+
+    def series(inside: DataFrame, own: list[str]) -> DataFrame:
+        keys = [*own, "parcel_id", "period"]
+        named = inside.select(*own, "parcel_id", stats.period_start("date", every).alias("period"), value)
+        measures = [F.count(value).alias("n"), F.avg(value).alias("mean")]
+        if median and own:
+            found = named.groupBy(*keys).agg(*measures, F.sort_array(F.collect_list(c(value) + 0.0)).alias("_v")).where("n > 0")
+            return found.select(*keys, "n", "mean", stats.quantile_of(c("_v"), c("n"), 0.5).alias("median"))
+        means = named.groupBy(*keys).agg(*measures).where("n > 0")
+        return means if not median else means.join(stats.quantiles(named, keys, value, [0.5]).select(*keys, F.get("p", 0).alias("median")), keys)
+
+    return by_parcel(pixels, edges, series, params)
 
 
 def landsat(px_landsat: DataFrame, grid: DataFrame) -> DataFrame:

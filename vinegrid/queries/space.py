@@ -282,7 +282,7 @@ def agg_parcel_stats(spark, sf):
     """All bands and the vegetation index of each parcel's core in each scene."""
     edges = _edges(spark, sf)
     clear = pipelines.clear_pixels(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld")), edges=edges).withColumn("ndvi", ix.ndvi())
-    return stats.band_stats(clear.join(pipelines.parcel_cells(edges), ["row", "col"]), pipelines.OBSERVED, ["ndvi", *_BANDS])
+    return pipelines.parcel_stats(clear, edges, ["ndvi", *_BANDS])
 
 
 _VALID = "CAST(valid_pixels >= greatest(CASE WHEN {small} THEN 15.0::DOUBLE ELSE 25.0::DOUBLE END, total_pixels * 0.30::DOUBLE) AND coverage_ratio >= CASE WHEN {small} THEN 0.50 ELSE 0.60 END AS INTEGER)"
@@ -310,16 +310,14 @@ for _name, _columns in (("agg_valid_count", ["valid_pixels"]), ("agg_coverage",
     SELECT parcel_id, scene_id, row, col, b8, median, p10, p90, n, valid_pixels, coverage_ratio FROM px_s2 JOIN cored USING (row, col) JOIN (SELECT * FROM st WHERE band = 'b8') USING (parcel_id, scene_id) JOIN observed USING (parcel_id, scene_id)""", "median p10 p90 coverage_ratio")
 def jn_scene_stats(spark, sf):
     """Each pixel of a core beside its parcel's statistics and quality in that scene."""
-    inside = adapter(spark, sf, "px_s2").join(pipelines.parcel_cells(_edges(spark, sf)), ["row", "col"]).drop(*pipelines.OF_PARCEL)
-    per = stats.band_stats(inside, pipelines.OBSERVED, ["b8"]).drop("band", "p25", "p75", "stddev")
-    joined = inside.select("parcel_id", "scene_id", "row", "col", "b8").join(per, pipelines.OBSERVED).join(_seen(spark, sf), pipelines.OBSERVED)
-    return joined.select("parcel_id", "scene_id", "row", "col", "b8", "median", "p10", "p90", "n", "valid_pixels", "coverage_ratio")
+    px = _clear_b4(spark, sf).select("scene_id", "row", "col", "b4", "b8")
+    return pipelines.pixels_with_stats(px, _edges(spark, sf), "b8").select("parcel_id", "scene_id", "row", "col", "b8", "median", "p10", "p90", "n", "valid_pixels", "coverage_ratio")
 
 
 @query("cv_qa_columns", f"WITH {SEEN_SQL} SELECT parcel_id, scene_id, row, col, {INDEX_SQL['NDVI']} AS NDVI, {', '.join(f'observed.{x}' for x in _QUALITY)} FROM px_s2 JOIN cored USING (row, col) JOIN observed USING (parcel_id, scene_id)", "NDVI total_pixels coverage_ratio")
 def cv_qa_columns(spark, sf):
-    px = adapter(spark, sf, "px_s2").join(pipelines.parcel_cells(_edges(spark, sf)).select("parcel_id", "row", "col"), ["row", "col"])
-    return px.select("parcel_id", "scene_id", "row", "col", ix.ndvi().alias("NDVI")).join(_seen(spark, sf), pipelines.OBSERVED).select("parcel_id", "scene_id", "row", "col", "NDVI", *_QUALITY)
+    px = adapter(spark, sf, "px_s2").select("scene_id", "row", "col", ix.ndvi().alias("NDVI"), F.when(ix.clear_scl(), c("b4")).alias("b4"))
+    return pipelines.observed_pixels(px, _edges(spark, sf)).select("parcel_id", "scene_id", "row", "col", "NDVI", *_QUALITY)
 
 
 @query("agg_summary", f"""WITH {SEEN_SQL}, v AS (SELECT parcel_id, {_DAY} AS date, coverage_ratio, observation_valid AS ok FROM px_s2 JOIN cored USING (row, col) JOIN observed USING (parcel_id, scene_id))
@@ -418,20 +416,20 @@ _WEEK = "CAST(date_trunc('week', date) AS date)"
 
 
 def _own(spark, sf):
-    return pipelines.parcel_pixels(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld", "parcel_edges", "scenes")))
+    return pipelines.dated_clear(*(adapter(spark, sf, x) for x in ("px_s2", "px_cs", "px_cld", "parcel_edges", "scenes")))
 
 
 @query("agg_parcel_weekly", f"""WITH {_SERIES}, long AS (SELECT parcel_id, {_WEEK} AS period, date, 'ndvi' AS band, ndvi AS value FROM own UNION ALL SELECT parcel_id, {_WEEK}, date, 'b8', b8 FROM own)
     SELECT parcel_id, period, band, {_P}, count(value) AS n, stddev_pop(value) AS stddev, count(DISTINCT date) AS days, min(date) AS first_day, max(date) AS last_day FROM long GROUP BY 1, 2, 3""", STATS_DOUBLES)
 def agg_parcel_weekly(spark, sf):
     """Statistics of each parcel in each calendar week."""
-    return stats.period_stats(_own(spark, sf), ["ndvi", "b8"])
+    return pipelines.parcel_periods(_own(spark, sf), _edges(spark, sf), ["ndvi", "b8"])
 
 
 @query("agg_parcel_fortnightly", f"""WITH {_SERIES} SELECT parcel_id, CAST(date '1970-01-05' + 14 * CAST(floor((date - date '1970-01-05') / 14.0) AS INTEGER) AS date) AS period, count(ndvi) AS n, avg(ndvi) AS mean, median(ndvi) AS median FROM own GROUP BY 1, 2 HAVING count(ndvi) > 0""", "mean median")
 def agg_parcel_fortnightly(spark, sf):
     """Vegetation index of each parcel by periods of fourteen days."""
-    return pipelines.parcel_series(_own(spark, sf), 14)
+    return pipelines.parcel_series(_own(spark, sf), _edges(spark, sf), 14)
 
 
 @query("win_parcel_anomaly", f"""WITH {_SERIES}, days AS (SELECT parcel_id, date, round(avg(ndvi), 6) AS mean FROM own WHERE ndvi IS NOT NULL GROUP BY 1, 2),
@@ -439,7 +437,7 @@ def agg_parcel_fortnightly(spark, sf):
     SELECT parcel_id, date, mean, n_before, mean_before, CASE WHEN n_before >= 3 AND dev > 0 THEN (mean - mean_before) / dev END AS z FROM framed""", "mean mean_before z")
 def win_parcel_anomaly(spark, sf):
     """Each parcel's day against the year before it, by days and not by rows."""
-    days = pipelines.parcel_series(_own(spark, sf), median=False).select("parcel_id", c("period").alias("date"), ix.rounded(c("mean")).alias("mean"))
+    days = pipelines.parcel_series(_own(spark, sf), _edges(spark, sf), median=False).select("parcel_id", c("period").alias("date"), ix.rounded(c("mean")).alias("mean"))
     return stats.calendar_anomaly(days, ["parcel_id"], "date", "mean", 365)
 
 
@@ -449,7 +447,7 @@ def win_parcel_anomaly(spark, sf):
     SELECT parcel_id, week, CAST(back AS INTEGER) AS years_back, mean, then_week, then_ AS "then", off AS weeks_off, mean - then_ AS change FROM met QUALIFY row_number() OVER (PARTITION BY parcel_id, week, back ORDER BY abs(off), off) = 1""", 'mean "then" change')
 def win_parcel_yoy(spark, sf):
     """Each parcel's week against that week one and two years before, or the nearest within four weeks."""
-    weeks = pipelines.parcel_series(_own(spark, sf), "week", median=False).select("parcel_id", c("period").alias("week"), "mean")
+    weeks = pipelines.parcel_series(_own(spark, sf), _edges(spark, sf), "week", median=False).select("parcel_id", c("period").alias("week"), "mean")
     return stats.week_on_years(weeks, ["parcel_id"], "mean", (1, 2), 4)
 
 
