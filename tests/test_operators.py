@@ -627,3 +627,11 @@ def test_pixels_beside_parcels_are_not_shuffled(spark, tiny):
         plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString().split("\n")
         met = next(k for k, line in enumerate(plan) if "Join [chunk" in line)
         assert not any("Exchange" in line for line in plan[:met]), name
+
+
+def test_folder_of_a_row_is_cut_not_matched(spark, tmp_path):
+    """The folder comes from the path's slashes; no pattern is run on the path of every row."""
+    spark.range(3).selectExpr("'2024-01-01' AS date").write.option("header", True).csv(f"{tmp_path}/a b/output")
+    found = files.csv_rows(spark, f"{tmp_path}/a b/output").select(files.folder_of_file().alias("folder"))
+    assert [r[0] for r in found.collect()] == ["output"] * 3
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -54,7 +54,7 @@ def sink_csv_step2(spark, sf):
     path = f"{shared_folder(spark, 'step2')}/output"
     files.write_single(_s2(spark, sf), path, "sentinel_2")
     raw = files.csv_rows(spark, path)
-    return raw.select(*_typed("sentinel_2", raw), F.regexp_extract(c("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"))
+    return raw.select(*_typed("sentinel_2", raw), files.folder_of_file().alias("folder"))
 
 
 @query("src_read_back", f"SELECT CAST(observation_valid AS BIGINT) AS observation_valid, count(*) AS n_rows, count(DISTINCT date) AS dates, avg(coverage_ratio) AS mean_coverage FROM ({_S2_ROWS}) GROUP BY 1", "mean_coverage")

@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_of_file() -> Column:
+    """Name of the folder that holds a row's file; cut by its slashes, as a pattern is tried at every letter of the path, row by row."""
+    return F.substring_index(F.substring_index(c("_metadata.file_path"), "/", -2), "/", 1)
+
+
 def parent_folder() -> Column:
     """Name of the source's folder that holds the file, with or without a folder for the month."""
     return F.regexp_extract(c("_metadata.file_path"), "([^/]+)/(?:month=[^/]*/)?[^/]+$", 1)
