@@ -1,10 +1,14 @@
 """Paragraph dedup against brute force."""
 
+import os
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
+from vinegrid.llm import common
 from vinegrid.llm import paragraphs as par
 
 
@@ -176,3 +180,25 @@ def test_whole_passages(spark):
         # what goes beyond is part of a shorter repeated run, of a piece at least, but for a word or two at the ends of near pieces
         assert len(cut[k] - repeated[k]) <= 4
         assert got[k].kept_text.split() == [w for n, w in enumerate(t.split()) if n not in cut[k]]
+
+
+def test_shingles_laid_out():
+    """All paragraphs' shingles hashed at once are those of each on its own."""
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        words = [rng.integers(0, 50, n).astype(np.uint64) for n in rng.integers(1, 12, 7)]
+        codes, low = par.laid_out(words)
+        parts = [par.shingle_hashes(w) for w in words]
+        assert np.array_equal(codes, np.concatenate(parts)) and low.tolist() == np.cumsum([0, *map(len, parts[:-1])]).tolist()
+
+
+def test_shuffles_go(spark):
+    """What was shuffled for a written table is deleted when it is written, and the session's settings are as before."""
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    setting, before = spark.conf.get(common.CLEANUP, None), shuffled()
+    rows = common.materialize(spark.range(20_000).repartition(3, "id").sortWithinPartitions("id"), "test-shuffles")
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and rows.count() == 20_000 and spark.conf.get(common.CLEANUP, None) == setting

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +41,18 @@ def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. The files go when the application ends, or with
-    ``discard``. ``release``: what was shuffled for it is large and not needed any more; Spark deletes shuffle files when the
-    driver's garbage collector finds them unused, which this asks it to do now.
+    ``discard``. What was shuffled for it goes as soon as it is written: Spark is told to delete a query's shuffle files at its
+    end, not when the driver's garbage collector finds them unused, which may be never. ``release``: what was shuffled for other
+    queries before is large, too; the collector is asked to run now.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     if release:

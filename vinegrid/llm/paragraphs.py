@@ -79,15 +79,30 @@ def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return code
 
 
+def laid_out(words: list[np.ndarray], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes of all paragraphs end to end, hashed at once, and where each paragraph's begin."""
+    size = np.array([len(w) for w in words])
+    count = np.maximum(size - shingle + 1, 1)
+    low = np.cumsum(count) - count
+    codes = np.empty(int(count.sum()), np.uint64)
+    start = np.cumsum(size) - size
+    long = size >= shingle
+    owner = np.repeat(np.arange(len(words)), count)
+    own = long[owner]
+    if long.any():
+        codes[own] = shingle_hashes(np.concatenate(words), shingle)[(np.arange(len(codes)) + (start - low)[owner])[own]]
+    for n in np.flatnonzero(~long):
+        codes[low[n]] = shingle_hashes(words[n], shingle)[0]
+    return codes, low
+
+
 def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(17).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(words: list[np.ndarray], rows: int, bands: int, shingle: int = SHINGLE) -> np.ndarray:
     """Paragraphs x bands: MinHash signatures of the shingles, hashed band by band. Each paragraph needs a word at least."""
-    parts = [shingle_hashes(w, shingle) for w in words]
-    low = np.cumsum([0, *map(len, parts[:-1])])
-    codes = np.concatenate(parts)
+    codes, low = laid_out(words, shingle)
     keys = np.empty((len(words), bands), np.uint64)
     mult = _multipliers(rows * bands)
     for band in range(bands):
