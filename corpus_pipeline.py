@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vinegrid.llm.common import materialize, table
+from vinegrid.llm.common import discard, materialize, table
 from vinegrid.llm.language import keep_identified
 from vinegrid.llm.packing import pack
 from vinegrid.llm.paragraphs import without_repeated_paragraphs
@@ -29,8 +29,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each one's result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn, each one's result written to the shared folder and read again; it goes when the next one is written."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from vinegrid.llm import packing, simhash
+from vinegrid.llm import packing, paragraphs, simhash
 from tests.llm.test_paragraphs import brute
 
 
@@ -79,6 +79,29 @@ def test_near_copies(spark, small):
     assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == want
 
 
+def test_trie_of_all_texts(spark, monkeypatch):
+    """Pairs that no block holds but whose fingerprints are within operator 6's bits are found by the trie of the whole table."""
+    monkeypatch.setattr(paragraphs, "tune_bands", lambda *_: (8, 1))
+    rng, rows = np.random.default_rng(5), []
+    while len(rows) < 24:
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        other = [*words[:200], "changed", *words[201:]] if rng.random() < 0.5 else [*words, "more", "words"]
+        pair = [paragraphs.word_hashes(" ".join(x)) for x in (words, other)]
+        one, two = paragraphs.band_keys(pair, 8, 1)
+        near = (np.bitwise_count(np.bitwise_xor(*(np.int64(paragraphs.fingerprint(paragraphs.shingle_hashes(w))) for w in pair)).view(np.uint64))) <= simhash.BUDGET
+        if one[0] != two[0] and near:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = simhash.keep_one_of_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == set(range(0, 24, 2))
+
+
+def test_trie_candidates(spark):
+    """Pairs within the budget, each once, and the other texts of a fingerprint beside its first."""
+    texts = spark.createDataFrame([(1, 0), (2, 3), (3, 7), (4, 0)], "key long, par long")
+    got = {(r.key_a, r.key_b) for r in simhash.trie_candidates(texts).collect()}
+    assert got == {(1, 2), (2, 3), (1, 4)}
+
+
 def test_repeated_ids(spark):
     """Near-duplicates go row by row: by id and text, not by id alone."""
     words = [f"w{k}" for k in range(60)]

@@ -9,7 +9,7 @@ goes up to its first and last word.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, log
 
@@ -261,8 +261,8 @@ def _banded(min_words: int, shingle: int, lines: tuple[int, int], pieces: tuple[
 
 
 #: Kinds of rows: a copy of the first equal paragraph; a copy of the first one of its batch; a candidate pair; a paragraph of a
-#: bucket too large for pairs.
-COPY, KNOWN, PAIR, LARGE = 0, 1, 2, 3
+#: bucket too large for pairs; with whole texts, the first of each class of equal ones with its fingerprint.
+COPY, KNOWN, PAIR, LARGE, TEXT = 0, 1, 2, 3, 4
 _FOUND = "kind int, bucket long, key_a long, par_a long, key_b long, par_b long"
 
 
@@ -287,7 +287,11 @@ def _bucketed(whole: bool = False):
             zero = np.zeros(len(copy), np.int64)
             rows.append([zero + COPY, zero, key[copy], par[copy], key[lead[copy]], par[lead[copy]]])
             own = np.flatnonzero(first)
-            if whole:  # by fingerprint, as the trie's self-join needs them
+            if whole:
+                text = own[band[own] == 0]
+                zero = np.zeros(len(text), np.int64)
+                rows.append([zero + TEXT, zero, key[text], par[text], zero, zero])
+                # by fingerprint, as the trie's self-join needs them
                 own = own[np.lexsort((par[own].view(np.uint64), bucket[own]))]
             new = np.ones(len(own) + 1, bool)
             new[1:-1] = bucket[own[1:]] != bucket[own[:-1]]
@@ -405,7 +409,7 @@ def _tile_links(threshold: float):
 _ENDS = ["key_a", "par_a", "key_b", "par_b"]
 
 
-def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, shingle: int = SHINGLE, whole: bool = False, joined: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """``(key, par, first_key)`` of each line or piece that has a copy earlier in the corpus, and what surrounds pieces.
 
     keyed: (_key, text). Lines of ``min_words`` words or more and pieces are banded; equal ones of a bucket are one class, named
@@ -413,7 +417,8 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     buckets as pairs, large ones in tiles, a task each, of which a forest of links comes back. Links make components of
     classes, and the first place of each is not in the result. first_key: a text that holds the like earlier. With ``whole``, texts are taken as one paragraph each, without pieces, and
     of the texts of a small bucket only those are verified whose fingerprints differ in TEXT_BUDGET bits at most, found by the
-    self-join of the fingerprints' trie.
+    self-join of the fingerprints' trie. ``joined`` gives further candidates (key_a, par_a, key_b, par_b) from the distinct texts
+    (key, par), par being their fingerprint. Candidates that stand in one large bucket are compared in its tiles alone.
 
     The second table has ``(key, start, before, behind)`` for each repeated piece without another one right before or behind
     it in its text: up to PIECE - 1 words, as 32-bit hashes, on either side of its first copy. None with ``whole``. Both read the written tables
@@ -423,8 +428,15 @@ def paragraph_groups(keyed: DataFrame, threshold: float = THRESHOLD, recall: flo
     thin = keyed.select(F.col("_key").alias("key"), "text")
     banded = thin.mapInArrow(_banded(min_words, shingle, lines, pieces, whole), "bucket long, hash long, key long, par long, band long")
     found = materialize(banded.repartition("bucket").sortWithinPartitions("bucket", "hash", "key", "par").mapInArrow(_bucketed(whole), _FOUND), "par-found", release=True)
-    pairs = materialize(found.where(F.col("kind") == PAIR).select(*_ENDS).distinct(), "par-pairs")
+    pairs = found.where(F.col("kind") == PAIR).select(*_ENDS)
     large = found.where(F.col("kind") == LARGE).select("bucket", F.col("key_a").alias("key"), F.col("par_a").alias("par"))
+    if joined:
+        pairs = pairs.union(joined(found.where(F.col("kind") == TEXT).select(F.col("key_a").alias("key"), F.col("par_a").alias("par"))).select(*_ENDS)).distinct()
+        buckets = large.groupBy("key", "par").agg(F.collect_set("bucket").alias("buckets"))
+        for x in "ab":
+            pairs = pairs.join(buckets.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(f"par_{x}"), F.col("buckets").alias(f"buckets_{x}")), [f"key_{x}", f"par_{x}"], "left")
+        pairs = pairs.where("NOT coalesce(arrays_overlap(buckets_a, buckets_b), false)").select(*_ENDS)
+    pairs = materialize(pairs.distinct(), "par-pairs")
     wanted = pairs.select(F.col("key_a").alias("key"), F.col("par_a").alias("par")).union(pairs.select("key_b", "par_b")).union(large.select("key", "par")).distinct()
     copies = found.where(F.col("kind").isin(COPY, KNOWN)).select(*_ENDS)
     null = F.lit(None).cast("long")

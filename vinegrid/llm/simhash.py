@@ -67,7 +67,7 @@ def _rotated(fp: Column, first: int) -> Column:
 _KEY = ["rot", "depth", "node_a", "node_b"]
 
 
-def _join_nodes(budget: int):
+def _join_nodes(budget: int, pairs: bool = False):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped_batches(batches, len(_KEY)):
             rot, depth, node_a, node_b, side, value, rep, spent = (part.column(k).to_numpy() for k in range(8))
@@ -81,6 +81,9 @@ def _join_nodes(budget: int):
             a, b = np.stack([low, np.where(own, high, mid)], 1), np.stack([np.where(own, low, mid), high], 1)
             keep = np.where(own, high - low > 1, (low < mid) & (mid < high))
             i, j = trie_pairs(value.view(np.uint64), a[keep], b[keep], depth[low][keep].astype(np.int64), spent[low][keep].astype(np.int64), budget)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["src", "dst"])
+                continue
             root = local_roots(len(rep), i, j)
             linked = np.flatnonzero(root != np.arange(len(rep)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["src", "dst"])
@@ -88,14 +91,15 @@ def _join_nodes(budget: int):
     return join
 
 
-def fingerprint_links(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
+def fingerprint_links(reps: DataFrame, budget: int = BUDGET, pairs: bool = False) -> DataFrame:
     """Links that connect all fingerprints within ``budget`` differing bits: ``(src, dst)``.
 
     ``reps``: written table of distinct fingerprints (fp). Two fingerprints within the budget agree on a whole segment of
     the bits, so the trie is read in budget + 1 rotations, each from the nodes that lie a segment deep; there no bit differs.
     Node pairs are the shuffle key. A node pair with more than NODE_ROWS fingerprints is split STEP bits further down, into
     pairs of children with budget left, as often as needed, so no task gets an unbounded node; nothing is dropped. Each task
-    contracts the pairs that it finds to a forest, of at most one link a fingerprint.
+    contracts the pairs that it finds to a forest, of at most one link a fingerprint. ``pairs``: the pairs themselves are returned,
+    up to budget + 1 times each; a fingerprint has no more than 2,080 others within 2 bits.
     """
     parts = [
         reps.select(F.lit(first).alias("rot"), F.lit(width).alias("depth"), F.shiftrightunsigned(_rotated(F.col("fp"), first), 64 - width).alias("node_a"), _rotated(F.col("fp"), first).alias("value"), F.col("fp").alias("rep"))
@@ -134,7 +138,7 @@ def fingerprint_links(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
         rows = rows.union(more)
     # all values of one side share their first bit, so the signed order is the unsigned one
     dealt = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "side", "value")
-    return dealt.select(*_KEY, "side", "value", "rep", "spent").mapInArrow(_join_nodes(budget), "src long, dst long")
+    return dealt.select(*_KEY, "side", "value", "rep", "spent").mapInArrow(_join_nodes(budget, pairs), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
@@ -158,20 +162,37 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def trie_candidates(texts: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Candidates ``(key_a, par_a, key_b, par_b)`` of distinct texts (key, par), par being their fingerprint.
+
+    All pairs of fingerprints within the budget are found by the self-join of the trie of the whole table; each fingerprint stands
+    for its text of the smallest key, and its other texts are candidates beside that one.
+    """
+    reps = materialize(texts.groupBy("par").agg(F.min("key").alias("key")), "simhash-reps")
+    side = lambda x, end: reps.select(F.col("key").alias(f"key_{x}"), F.col("par").alias(end))
+    links = fingerprint_links(reps.select(F.col("par").alias("fp")), budget, pairs=True).distinct()
+    found = links.join(side("a", "src"), "src").join(side("b", "dst"), "dst").select("key_a", F.col("src").alias("par_a"), "key_b", F.col("dst").alias("par_b"))
+    same = texts.join(reps.withColumnRenamed("key", "first"), "par").where("key <> first").select(F.col("first").alias("key_a"), F.col("par").alias("par_a"), F.col("key").alias("key_b"), F.col("par").alias("par_b"))
+    a, b = F.struct(F.col("key_a").alias("key"), F.col("par_a").alias("par")), F.struct(F.col("key_b").alias("key"), F.col("par_b").alias("par"))
+    ends = found.union(same).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ends.select(F.col("a.key").alias("key_a"), F.col("a.par").alias("par_a"), F.col("b.key").alias("key_b"), F.col("b.par").alias("par_b"))
+
+
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates, the document with the smallest id stays.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
-    link. At 0.8 two fingerprints of five-word shingles differ in about 10 bits; a trie of the whole corpus prunes too little at
-    such a budget. So texts are blocked by MinHash bands first; in each block the self-join of the fingerprints' trie, at
-    TEXT_BUDGET bits, gives the candidates, and each is verified by its exact similarity. Blocks of many texts are compared in
-    tiles. Texts without words are copies of each other.
+    link. Candidates come from the self-join of the trie of all texts' fingerprints at operator 6's BUDGET (``trie_candidates``).
+    At 0.8 two fingerprints of five-word shingles differ in about 10 bits, at which a trie of the whole corpus prunes next to
+    nothing; so texts are also blocked by MinHash bands, and in each block the trie's self-join goes up to TEXT_BUDGET bits.
+    Blocks of many texts are compared in tiles, pair by pair. Each candidate is verified by its exact similarity. Texts without
+    words are copies of each other.
 
     Rows are judged by id and text: rows that share an id but not the text are documents of their own, and of rows that repeat
     both one stays, the least by its columns in turn. A null id comes before all others, so of copies its row stays.
     """
     keyed = keyed_documents(docs)
-    found, _, written = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True)
+    found, _, written = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True, joined=trie_candidates)
     gone = materialize(found.select(F.col("key").alias("_key")).distinct(), "simhash-gone", release=True)
     discard(*written)
     kept = keyed.join(gone, "_key", "left_anti")
