@@ -619,6 +619,35 @@ def test_parcels_in_chunks_and_by_cell(spark, tiny, monkeypatch):
         assert chunks[name] == mixed[name], name
 
 
+def shares(found):
+    """How many of the rows each task found."""
+    return [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_cells_of_parcels_are_dealt_to_tasks(spark):
+    """Parcels are few bytes, so adaptive execution would leave one task with all their cells."""
+    edges = spark.createDataFrame([e for p in range(2000) for e in square(50, p % 19 * 10, p % 17 * 10, key=p)], EDGES)
+    found = shares(geometry.locate(grid(spark, 24, 24), edges, 20.0))
+    assert len(found) >= 4 and max(found) < sum(found) / 2
+
+
+def test_more_tiles_are_more_tasks(spark, monkeypatch):
+    """A task's share follows from its tiles, not from the parcels' number or size; a large parcel is dealt in pieces, with the same cells."""
+    cells, key = grid(spark, 130, 130), lambda r: (r.parcel_id, r.row, r.col, r.inside, r.dist)
+    for edges in (rough_ring(40), [e for p in range(40) for e in square(75, p * 10, p * 20, key=p)]):
+        edges = spark.createDataFrame(edges, EDGES)
+        whole = Counter(map(key, geometry.locate(cells, edges, 100.0).collect()))
+        core = geometry.adaptive_core(edges).select("parcel_id", "erosion_m")
+        kept = Counter(map(tuple, geometry.core_cells(edges, core).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(geometry, "TASK_TILES", 16)
+            m.setattr(geometry, "PIECE_TILES", 8)
+            found = shares(geometry.binned(geometry.rings(edges, 100.0)))
+            assert len(found) > 4 and max(found) < sum(found) / 2
+            assert Counter(map(key, geometry.locate(cells, edges, 100.0).collect())) == whole and max(whole.values()) == 1
+            assert Counter(map(tuple, geometry.core_cells(edges, core).collect())) == kept and kept
+
+
 def test_pixels_beside_parcels_are_not_shuffled(spark, tiny):
     """Once pixels have met their parcels, no row of them is sent again: the shuffles lie below that join."""
     from vinegrid.queries import QUERIES

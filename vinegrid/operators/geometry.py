@@ -5,7 +5,7 @@ Pixels meet parcels through coarse tiles of the parcels' boxes, so no pair furth
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from math import cos, radians
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +36,9 @@ def crosses(x: Column, y: Column) -> Column:
     return F.when(over, (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1).cast("int")).otherwise(0)
 
 
-def edge_distance(x: Column, y: Column) -> Column:
-    """Distance of a point from the edge."""
-    x1, y1, x2, y2 = (c(k) for k in ("x1", "y1", "x2", "y2"))
+def edge_distance(x: Column, y: Column, of: Callable[[str], Column] = c) -> Column:
+    """Distance of a point from the edge, whose coordinates ``of`` gives by name."""
+    x1, y1, x2, y2 = (of(k) for k in ("x1", "y1", "x2", "y2"))
     dx, dy = x2 - x1, y2 - y1
     t = F.least(F.greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     gx, gy = x - (x1 + t * dx), y - (y1 + t * dy)
@@ -54,16 +54,6 @@ def rings(edges: DataFrame, reach: float = 0.0) -> DataFrame:
     )
 
 
-def _spread(parcels: DataFrame) -> DataFrame:
-    """Parcels dealt to as many tasks as there are shuffle partitions: they are few bytes, but many cells."""
-    return _dealt(parcels, "parcel_id")
-
-
-def _dealt(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows dealt by key to as many tasks as there are shuffle partitions, which adaptive execution doesn't make fewer of."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-
-
 def _tile(v: Column) -> Column:
     return F.floor(v / TILE).cast("int")
 
@@ -78,8 +68,27 @@ def _tiled(parcels: DataFrame) -> DataFrame:
 SLACK = 1e-6
 
 
+#: Tiles of one task, about, and of one piece of a parcel at most; what a task holds is bounded by them, whatever the parcels and their size.
+TASK_TILES = 8192
+PIECE_TILES = 1024
+
+
+def dealt(parcels: DataFrame) -> DataFrame:
+    """Parcels in pieces of tile columns (``piece`` to ``last``), dealt to as many tasks as their tiles ask for, at least the shuffle partitions.
+
+    The tiles are counted first. As ``piece`` is of the key, Spark can't take an earlier shuffle by parcel for this one, which
+    adaptive execution would then make few tasks of: parcels are few bytes, but many cells.
+    """
+    side = lambda v: (_tile(c(f"max_{v}")) - _tile(c(f"min_{v}")) + 1).cast("long")
+    tiles = parcels.agg(F.sum(side("x") * side("y"))).first()[0] or 0
+    tasks = max(int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tiles // TASK_TILES))
+    width = F.greatest(F.floor(PIECE_TILES / side("y")), F.lit(1)).cast("int")
+    pieces = parcels.withColumn("width", width).withColumn("piece", F.explode(F.sequence(_tile(c("min_x")), _tile(c("max_x")), c("width"))))
+    return pieces.withColumn("last", F.least(c("piece") + c("width") - 1, _tile(c("max_x")))).drop("width").repartition(tasks, "parcel_id", "piece")
+
+
 def binned(parcels: DataFrame) -> DataFrame:
-    """Edges by the tiles of the parcels' boxes: a row per parcel, tile (tx, ty) and edge that the tile's points need.
+    """Edges by the tiles of the parcels' boxes: a row per parcel, tile (tx, ty) and edge that the tile's points need; pieces are those of ``dealt``.
 
     ``near``: the edge may be the nearest of a point in the tile, as it is no further from the tile's centre than the nearest one
     and the tile's diagonal. ``cross``: points of the tile may differ in whether their ray to the east meets the edge. Of the other
@@ -88,22 +97,27 @@ def binned(parcels: DataFrame) -> DataFrame:
     """
     x0, y0 = c("tx") * TILE - SLACK, c("ty") * TILE - SLACK
     x9, y9 = x0 + TILE + 2 * SLACK, y0 + TILE + 2 * SLACK
-    low, high = (lambda v, f=f: f(f"{v}1", f"{v}2") for f in (F.least, F.greatest))
-    middle = edge_distance((c("tx") + 0.5) * TILE, (c("ty") + 0.5) * TILE)
-    whole = (low("x") > x9) & (low("y") < y0) & (high("y") > y9)
+    low, high = (lambda v, of=c, f=f: f(of(f"{v}1"), of(f"{v}2")) for f in (F.least, F.greatest))
+    middle = lambda of=c: edge_distance((c("tx") + 0.5) * TILE, (c("ty") + 0.5) * TILE, of)
+    whole = lambda of=c: (low("x", of) > x9) & (low("y", of) < y0) & (high("y", of) > y9)
     beside = (high("y") < y0) | (low("y") > y9) | (high("x") < x0)
-    tiled, key = _tiled(parcels), ["parcel_id", "tx", "ty"]
-    facts = tiled.select(*key, F.inline("ring")).groupBy(*key).agg(F.min(middle).alias("least"), (F.count_if(whole) % 2).alias("parity"))
-    boxes = ["min_x", "max_x", "min_y", "max_y"]
-    met = tiled.join(facts, key).select(*key, *boxes, "least", "parity", F.inline("ring"))
-    judged_ = met.withColumns({"near": middle <= c("least") + TILE * 2**0.5 + SLACK, "cross": ~beside & ~whole})
+    key, boxes = ["parcel_id", "piece", "tx", "ty"], ["min_x", "max_x", "min_y", "max_y"]
+    columns = dealt(parcels).withColumn("tx", F.explode(F.sequence("piece", "last")))
+    tiled = columns.withColumn("ty", F.explode(F.sequence(_tile(c("min_y")), _tile(c("max_y")))))
+    facts = {"least": F.array_min(F.transform("ring", lambda e: middle(e.getField))), "parity": F.size(F.filter("ring", lambda e: whole(e.getField))) % 2}
+    met = tiled.withColumns(facts).select(*key, *boxes, "least", "parity", F.inline("ring"))
+    judged_ = met.withColumns({"near": middle() <= c("least") + TILE * 2**0.5 + SLACK, "cross": ~beside & ~whole()})
     return judged_.where("near OR cross").drop("least")
 
 
 def judged(met: DataFrame) -> DataFrame:
-    """(parcel_id, row, col, inside, dist) of points (parcel_id, row, col, x, y) beside the binned edges of their tile."""
+    """(parcel_id, row, col, inside, dist) of points (parcel_id, row, col, x, y) beside the binned edges of their tile.
+
+    A point is in one tile and so in one piece; grouped by it, too, points stay in the tasks that the pieces were dealt to.
+    """
     odd = F.sum(F.when(c("cross"), crosses(c("x"), c("y"))).otherwise(0)) + F.max("parity")
-    return met.groupBy("parcel_id", "row", "col").agg((odd % 2 == 1).alias("inside"), F.min(F.when(c("near"), edge_distance(c("x"), c("y")))).alias("dist"))
+    found = met.groupBy("parcel_id", "piece", "row", "col").agg((odd % 2 == 1).alias("inside"), F.min(F.when(c("near"), edge_distance(c("x"), c("y")))).alias("dist"))
+    return found.drop("piece")
 
 
 def box_tiles(edges: DataFrame, reach: float = 0.0) -> DataFrame:
@@ -152,7 +166,7 @@ def locate(cells: DataFrame, edges: DataFrame, reach: float = 0.0, scale: float
     """(parcel_id, row, col, inside, dist) for cells whose centre is in a parcel's box, widened by ``reach``."""
     x, y = c("col") * scale + scale / 2, c("row") * scale + scale / 2
     points = cells.select("row", "col").distinct().withColumns({"x": x, "y": y, "tx": _tile(x), "ty": _tile(y)})
-    return judged(points.join(binned(_spread(rings(edges, reach))), ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
+    return judged(points.join(binned(rings(edges, reach)), ["tx", "ty"]).where("x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
 
 
 def clip(cells: DataFrame, edges: DataFrame, buffer: float = 100.0) -> DataFrame:
@@ -235,7 +249,7 @@ def core_area() -> Column:
 
 def core_cells(edges: DataFrame, core: DataFrame, scale: float = 10.0) -> DataFrame:
     """Cells in each parcel's eroded core: (row, col) beside the columns of ``core``. Made from the parcels alone, no pixel is read."""
-    tiles = binned(_spread(rings(edges)))
+    tiles = binned(rings(edges))
     # cells whose centre is in the tile, of those that the parcel's box touches
     line = lambda t, lo, hi: F.sequence(F.floor(F.greatest(c(t) * TILE, c(lo)) / scale).cast("int") - 1, F.floor(F.least((c(t) + 1) * TILE, c(hi)) / scale).cast("int") + 1)
     own = lambda v, t, lo, hi: (_tile((v + 0.5) * scale) == c(t)) & (v >= F.floor(c(lo) / scale)) & (v <= F.ceil(c(hi) / scale))
