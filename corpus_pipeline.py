@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vinegrid.llm.common import discard, materialize, table
+from vinegrid.llm.common import bound_batches, discard, materialize, table
 from vinegrid.llm.language import keep_identified
 from vinegrid.llm.packing import pack
 from vinegrid.llm.paragraphs import without_repeated_paragraphs
@@ -13,6 +13,7 @@ from vinegrid.llm.simhash import keep_one_of_group
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
+    bound_batches(spark)
     return pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

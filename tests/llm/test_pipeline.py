@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from vinegrid.llm import packing, paragraphs, simhash
+from vinegrid.llm import common, packing, paragraphs, simhash
 from tests.llm.test_paragraphs import brute
 
 
@@ -109,3 +110,39 @@ def test_repeated_ids(spark):
     rows = [(3, edited, "x"), (7, a, "x"), (7, b, "x"), (8, "one two three four five six", "z"), (8, "one two three four five six", "y"), (None, c, "x"), (None, c, "x"), (9, c, "x"), (None, "another one", None)]
     got = simhash.keep_one_of_group(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(3, edited, "x"), (7, b, "x"), (8, "one two three four five six", "y"), (None, c, "x"), (None, "another one", None)], key=str)
+
+
+def test_batches_are_bounded(spark, tiny):
+    """Each stage limits the Arrow batches that pass between executors and Python workers by bytes; a smaller limit stays."""
+    schema = spark.read.parquet(f"{tiny}/documents.parquet").schema
+    docs, before = spark.createDataFrame([], schema), spark.conf.get(common.BATCH)
+    texts = spark.range(400, numPartitions=1).selectExpr(f"repeat(cast(id % 10 as string), {1 << 17}) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(common.BATCH)
+            stage(spark, docs, tiny)
+            got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 400 << 17 and max(got) <= 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH, "1m")
+        common.bound_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1m"
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
+def test_caches_go_with_their_stage():
+    """A worker's cache of one stage is emptied by the first task of another, and kept by tasks of its own."""
+    file = packing.tokenizer_file("word_bpe_49k.json")
+    packing.encoder(file).encode("some words")
+    texts = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], names=["key", "text"])
+    banded = paragraphs._banded(1, 5, (3, 2), (2, 2), True)
+    for _ in range(2):
+        assert list(banded(iter([texts]))) and not packing._ENCODERS and "some" in paragraphs._HASHES
+    held, last = packing.encoder(file), paragraphs._HASHES
+    common.keep_only(packing._ENCODERS)
+    assert packing.encoder(file) is held and not last

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that deletes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's limit of an Arrow batch between an executor and its Python worker, and what the pipeline sets it to.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/vinegrid-{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes for the session: by rows alone a batch holds 10,000 texts, in the executor and in the worker, coming and going.
+
+    The setting stays, as it counts when a query runs, not when it is made. A smaller one is kept.
+    """
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
+#: What Python workers keep from task to task.
+_CACHES: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """Register a cache that a Python worker keeps from task to task, until a task of another kind runs in it (``keep_only``)."""
+    _CACHES.append(cache)
+    return cache
+
+
+def keep_only(*own: dict) -> None:
+    """At the start of a task: empty the caches that other kinds of tasks left in this worker, and give back Arrow's unused memory."""
+    import pyarrow as pa
+
+    for cache in _CACHES:
+        if not any(cache is x for x in own):
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def crc32_sql(words: str) -> str:
     """DuckDB's common table expressions up to ``crc (w, crc)``, the unsigned CRC-32 of the UTF-8 bytes of a query's strings ``w``; they need RECURSIVE."""
     return f"""crc_bits AS (

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import table
+from vinegrid.llm.common import bound_batches, keep_only, table
 
 #: Hashed n-gram space (lengths 1 to 3 together) and bounds of the learning sample: rows and landmarks for each language, and of
 #: all languages together, which many languages share evenly.
@@ -127,6 +127,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str
     at = docs.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         fitted = shared.value
         for batch in batches:
             said, scores = [], []
@@ -172,6 +173,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     All columns stay as they are.
     """
+    bound_batches(spark)
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
     judged = predict_language(docs, model, names=("_lang_pred", "_lang_score"))
     return judged.where((F.col("_lang_pred") != UNKNOWN) & ((F.col("_lang_score") >= REJECT_BELOW) | (F.length("text") < SHORT))).select(*docs.columns)

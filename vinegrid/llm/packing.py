@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import materialize, table
+from vinegrid.llm.common import keep_only, materialize, table, worker_cache
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -93,7 +93,7 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder] = worker_cache({})
 
 
 def encoder(file: str) -> ChunkEncoder:
@@ -117,6 +117,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "wo
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_ENCODERS)
         encode, end, step = encoder(tokenizer_file(tokenizer)).encode, np.array([SEPARATOR], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, piece, start, length, crc, raw = [], [], [], [], [], []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, discard, grouped_batches, keyed_documents, local_roots, materialize, sliced, table
+from vinegrid.llm.common import bound_batches, connected_components, discard, grouped_batches, keep_only, keyed_documents, local_roots, materialize, sliced, table, worker_cache
 from vinegrid.llm.trie import trie_pairs
 
 SHINGLE = 5
@@ -58,7 +58,7 @@ class _WordHashes(dict):
         return found
 
 
-_HASHES = _WordHashes()
+_HASHES = worker_cache(_WordHashes())
 
 
 def word_hashes(paragraph: str) -> np.ndarray:
@@ -197,6 +197,7 @@ def _banded(min_words: int, shingle: int, lines: tuple[int, int], pieces: tuple[
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (bucket, words' hash, key, par, band) for each band of each line and piece. Of equal ones of a batch only the
         first is banded, the others are known as its copies. With ``whole``, texts are banded as they are, without pieces."""
+        keep_only(_HASHES)
         for batch in sliced(batches, 1000):
             out: list[list[np.ndarray]] = []
             places: dict[int, tuple[int, int]] = {}
@@ -584,6 +585,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose their repeated paragraphs and passages, ``n_chars`` follows where it is there; all rows stay."""
+    bound_batches(spark)
     keyed = keyed_documents(docs)
     gone, ends, written = paragraph_groups(keyed.select("_key", "text"))
     cuts = materialize(_cuts(gone, ends).drop("_firsts"), "par-cuts", release=True)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinegrid.llm.common import connected_components, discard, grouped_batches, keyed_documents, local_roots, materialize, table
+from vinegrid.llm.common import bound_batches, connected_components, discard, grouped_batches, keyed_documents, local_roots, materialize, table
 from vinegrid.llm.paragraphs import paragraph_groups
 from vinegrid.llm.trie import trie_pairs
 
@@ -191,6 +191,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are judged by id and text: rows that share an id but not the text are documents of their own, and of rows that repeat
     both one stays, the least by its columns in turn. A null id comes before all others, so of copies its row stays.
     """
+    bound_batches(spark)
     keyed = keyed_documents(docs)
     found, _, written = paragraph_groups(keyed.select("_key", "text"), STAGE_THRESHOLD, min_words=0, shingle=STAGE_SHINGLE, whole=True, joined=trie_candidates)
     gone = materialize(found.select(F.col("key").alias("_key")).distinct(), "simhash-gone", release=True)
