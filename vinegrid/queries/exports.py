@@ -52,7 +52,7 @@ _export("sink_csv_s2", "sentinel_2", _s2, _S2_ROWS, _S2_DOUBLES)
 def sink_csv_step2(spark, sf):
     """The ad hoc export: one folder of its own, outside the raw tree, replaced by each run."""
     path = f"{shared_folder(spark, 'step2')}/output"
-    files.write_single(_s2(spark, sf), path, "sentinel_2")
+    files.write_single(_s2(spark, sf), path, "sentinel_2", compression="gzip")
     raw = files.csv_rows(spark, path)
     return raw.select(*_typed("sentinel_2", raw), files.folder_of_file().alias("folder"))
 

@@ -18,6 +18,8 @@ from vinegrid.operators.merge import with_year_month
 from vinegrid.schema import EXPORT_COLUMNS, GEOJSON, STATIC_COLUMNS, export_schema
 
 c = F.col
+#: Names of CSV files, plain or compressed.
+CSV = "*.{csv,csv.gz}"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -73,7 +75,7 @@ def read_static(spark: SparkSession, base: str, roi: str = "*") -> dict[str, Dat
 
 #: Folder, within a tree, of the headers of files that ``write_csv`` wrote.
 HEADERS = "_headers"
-_RANGE = re.compile(r"(\d{4}-\d{2})-\d{2}_(\d{4}-\d{2})-\d{2}\.csv$")
+_RANGE = re.compile(r"(\d{4}-\d{2})-\d{2}_(\d{4}-\d{2})-\d{2}\.csv(?:\.gz)?$")
 
 
 def month_paths(spark: SparkSession, folder: str, months: Sequence[str] | None) -> str | list[str]:
@@ -85,7 +87,7 @@ def month_paths(spark: SparkSession, folder: str, months: Sequence[str] | None)
     if months is None:
         return folder
     own = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/month={{{','.join(months)}}}")] if months else []
-    flat = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/*.csv") if x.isFile()]
+    flat = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/{CSV}") if x.isFile()]
     other = [str(x.getPath().toString()) for x in _status(spark, f"{folder}/*") if x.isDirectory() and not x.getPath().getName().startswith(("month=", "_", "."))]
     return own + other + [x for x in flat if (m := _RANGE.search(x)) is None or any(m[1] <= month <= m[2] for month in months)]
 
@@ -100,7 +102,7 @@ def csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
     """(file, modified, size, source) of the CSV files under the paths; None if there is no such path."""
     if not paths:
         return None
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", CSV)
     try:
         return as_files(reader.load(paths))
     except AnalysisException as e:
@@ -177,7 +179,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: b
         return None
     values = dict.fromkeys(x for x in names if x not in ("date", ".geo", ""))
     fields = known_fields or [*([] if static else [("date", T.DateType())]), *((x, T.DoubleType()) for x in values), (".geo", T.StringType())]
-    reader = spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    reader = spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("pathGlobFilter", CSV)
     raw = reader.option("escape", '"').option("header", not several).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(paths)
     if several:  # as many rows as files on the right
         raw = raw.withColumn("_file", c("_metadata.file_path")).withColumn("_cells", F.array(*cells)).join(fits, "_file")
@@ -191,24 +193,51 @@ def read_csv(spark: SparkSession, paths: str | list[str], source: str, static: b
     return out if static else out.where(c("date").isNotNull())
 
 
-def write_csv(df: DataFrame, base: str, roi: str, source: str) -> None:
+#: Rows of one compressed file at most, as a single task reads it whole.
+FILE_ROWS = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _put(out: DataFrame, path: str, compression: str | None, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
+    """Write rows as CSV with header and quoted GeoJSON, in folders by the columns ``by``.
+
+    To be compressed, each task's rows are put in order of date and place, so that equal cells' values, which each of their parcels
+    repeats, lie within the codec's window. What was shuffled for the rows is deleted as soon as they are written.
+    """
+    spark = out.sparkSession
+    if compression:
+        out = out.sortWithinPartitions(*by, *[c(f"`{x}`") for x in ("date", ".geo") if x in out.columns])
+    to = out.write.mode(mode).option("header", True).option("escape", '"')
+    if compression:
+        to = to.option("compression", compression).option("maxRecordsPerFile", FILE_ROWS)
+    if by:
+        to = to.option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        to.csv(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def write_csv(df: DataFrame, base: str, roi: str, source: str, compression: str | None = None) -> None:
     """Write a source's export to ``base/<roi>/<source>``, with header and quoted GeoJSON, a folder for each month.
 
     The months at hand are replaced, so an export that is run again leaves no row twice; a static one is replaced as a whole. An
     export without rows leaves the header alone if there is nothing else yet. The header of the files is noted in the tree, so that
-    they need not be opened for it.
+    they need not be opened for it. ``compression``: "gzip" gives ``.csv.gz`` files, a small part of the plain ones' size; the
+    readers here take both.
     """
     path, spark = f"{base}/{roi}/{source}", df.sparkSession
     fields = [f.name for f in export_schema(source).fields]
     out = df.select(*[c("geo").alias(".geo") if x == ".geo" else c(x) for x in fields])
-    put = lambda frame, mode: frame.write.mode(mode).option("header", True).option("escape", '"')
     if "date" not in fields:
-        put(out, "overwrite").csv(path)
+        _put(out, path, compression)
         _note_headers(spark, base, path, fields)
         return
-    put(out.withColumn("month", F.date_format("date", "yyyy-MM")), "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").csv(path)
-    if not len(_status(spark, f"{path}/month=*")) and not len(_status(spark, f"{path}/*.csv")):
-        put(out.limit(0), "append").csv(path)
+    _put(out.withColumn("month", F.date_format("date", "yyyy-MM")), path, compression, by=["month"])
+    if not len(_status(spark, f"{path}/month=*")) and not len(_status(spark, f"{path}/{CSV}")):
+        _put(out.limit(0), path, compression, mode="append")
     _note_headers(spark, base, path, fields)
 
 
@@ -221,10 +250,10 @@ def _note_headers(spark: SparkSession, base: str, path: str, fields: list[str])
     _noted(spark, found, known, "left_anti").withColumn("_header", F.lit(",".join(fields))).coalesce(1).write.mode("append").parquet(known)
 
 
-def write_single(df: DataFrame, path: str, source: str) -> None:
-    """Write an export to one folder of its own, replacing what is there."""
+def write_single(df: DataFrame, path: str, source: str, compression: str | None = None) -> None:
+    """Write an export to one folder of its own, replacing what is there; ``compression`` as for ``write_csv``."""
     columns = [c("geo").alias(".geo") if f.name == ".geo" else c(f.name) for f in export_schema(source).fields]
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _put(df.select(*columns), path, compression)
 
 
 def csv_rows(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:

@@ -115,7 +115,7 @@ def ingest_csv(spark: SparkSession, raw: str, out: str, checkpoint: str, roi: st
             _take(spark, raw, out, roi, batch)
 
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    stream = stream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch).load(f"{raw}/{roi}/*")
+    stream = stream.option("recursiveFileLookup", True).option("pathGlobFilter", files.CSV).option("maxFilesPerTrigger", files_per_batch).load(f"{raw}/{roi}/*")
     files.as_files(stream).writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
