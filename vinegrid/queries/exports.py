@@ -21,10 +21,10 @@ c = F.col
 
 
 def _round_trip(spark, df, source):
-    """Write a source's export and read it as the merge does."""
+    """Write a source's export, compressed, and read it as the merge does."""
     base = shared_folder(spark, "export")
-    files.write_csv(df, base, "ROI_TEST", source)
-    return files.read_csv(spark, f"{base}/ROI_TEST/{source}", source, static=source in STATIC_COLUMNS)
+    files.write_csv(df, base, "ROI_TEST", source, compression="gzip")
+    return files.read_csv(spark, f"{base}/ROI_TEST/{source}", source, static=source in STATIC_COLUMNS, headers=f"{base}/{files.HEADERS}")
 
 
 def _typed(source, raw):
